@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import merged, text_or_empty, written
 
 STATISTICS = (
     "log_words", "log_chars", "word_length", "word_length_spread", "symbols", "bars", "digits", "capitals", "stops", "other_ascii",
@@ -58,23 +58,6 @@ def fold_of(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % 3
 
 
-def merged(parts: DataFrame, fan_in: int = 16):
-    """Sum of pickled tuples of arrays, one row each, by a tree of ``fan_in``; None for no rows."""
-
-    def add(rows):
-        total = None
-        for x in rows:
-            got = pickle.loads(bytes(x))
-            total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
-        return [] if total is None else [pickle.dumps(total)]
-
-    rdd = parts.rdd.map(lambda r: r[0])
-    while rdd.getNumPartitions() > fan_in:
-        rdd = rdd.coalesce(-(-rdd.getNumPartitions() // fan_in)).mapPartitions(add)
-    got = add(rdd.mapPartitions(add).toLocalIterator())
-    return pickle.loads(got[0]) if got else None
-
-
 @dataclass
 class Model:
     """Standardisation, random features, ridge weights and the calibration steps."""

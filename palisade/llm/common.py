@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
@@ -53,3 +54,20 @@ def words_of(text: Column) -> Column:
 def bucket(rows: int, per_bucket: int) -> int:
     """How many buckets hold ``rows`` at about ``per_bucket`` each."""
     return max(1, -(-rows // per_bucket))
+
+
+def merged(parts: DataFrame, fan_in: int = 16):
+    """Sum of pickled tuples of arrays, one row each, by a tree of ``fan_in``; None for no rows."""
+
+    def add(rows):
+        total = None
+        for x in rows:
+            got = pickle.loads(bytes(x))
+            total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
+        return [] if total is None else [pickle.dumps(total)]
+
+    rdd = parts.rdd.map(lambda r: r[0])
+    while rdd.getNumPartitions() > fan_in:
+        rdd = rdd.coalesce(-(-rdd.getNumPartitions() // fan_in)).mapPartitions(add)
+    got = add(rdd.mapPartitions(add).toLocalIterator())
+    return pickle.loads(got[0]) if got else None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, fingerprint, mixing, quality_rules, sharding, simhash, token_count
+from . import bpe, classifier, fingerprint, mixing, quality_rules, sharding, simhash, token_count
 from .common import documents
 
 
@@ -23,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, order)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classifier.score_documents(documents(spark, sf_dir), labels)
@@ -54,6 +58,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_bpe": op3_bpe,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_fingerprints": op5_fingerprints,
     "op6_sharding": op6_sharding,
