@@ -78,7 +78,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", bytes_per_bucket
     size = raw.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = bucket(size, bytes_per_bucket)
 
-    def ids_of(found: list[bytes]) -> Ragged:
+    def ids_of(found: list[bytes], _) -> Ragged:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         model = _tokenizer(path)
         rows = [e.ids for i in range(0, len(found), 2048) for e in model.encode_batch([w.decode("utf-8", "replace") for w in found[i : i + 2048]], add_special_tokens=False)]

@@ -68,6 +68,6 @@ def merged(parts: DataFrame, fan_in: int = 16):
 
     rdd = parts.rdd.map(lambda r: r[0])
     while rdd.getNumPartitions() > fan_in:
-        rdd = rdd.coalesce(-(-rdd.getNumPartitions() // fan_in)).mapPartitions(add)
+        rdd = rdd.mapPartitions(add).repartition(-(-rdd.getNumPartitions() // fan_in))
     got = add(rdd.mapPartitions(add).toLocalIterator())
     return pickle.loads(got[0]) if got else None

@@ -66,7 +66,7 @@ class Ragged:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     @classmethod
-    def of(cls, rows: list, kind=np.uint32) -> Ragged:
+    def of(cls, rows: list, kind=np.int64) -> Ragged:
         return cls(np.fromiter(map(len, rows), np.int64, len(rows)), np.fromiter((x for r in rows for x in r), kind))
 
     def take(self, at: np.ndarray) -> Ragged:
@@ -84,7 +84,7 @@ class Ragged:
         return len(lengths).to_bytes(4, "little") + lengths + pack_numbers(self.flat)
 
     @classmethod
-    def unpacked(cls, blob: bytes, kind=np.uint32) -> Ragged:
+    def unpacked(cls, blob: bytes, kind=np.int64) -> Ragged:
         n = int.from_bytes(blob[:4], "little")
         return cls(unpack_numbers(blob[4 : 4 + n]), unpack_numbers(blob[4 + n :]).astype(kind))
 
@@ -103,11 +103,11 @@ def by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarra
             yield int(at[part[0]]), part
 
 
-def word_table(texts: DataFrame, split: Callable[[bytes], list[bytes]], values: Callable[[list[bytes]], Ragged], buckets: int) -> DataFrame:
+def word_table(texts: DataFrame, split: Callable[[bytes], list[bytes]], values: Callable[[list[bytes], np.ndarray], Ragged], buckets: int) -> DataFrame:
     """bucket, words, counts, answers: the distinct words of all ``texts`` (one binary column), packed.
 
-    ``split`` gives a text's words, ``values`` the numbers to store for a list of words; it
-    is called once for each distinct word. Every word is in one row.
+    ``split`` gives a text's words, ``values`` the numbers to store for a list of words and
+    their counts; it sees each distinct word once. Every word is in one row.
     """
 
     def count(batches):
@@ -138,7 +138,7 @@ def word_table(texts: DataFrame, split: Callable[[bytes], list[bytes]], values:
                 part = words[i : i + ROW_WORDS]
                 numbers = np.fromiter((counts[w] for w in part), np.uint64, len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in (pack_words(part), pack_numbers(numbers), values(part).packed()))],
+                    [pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in (pack_words(part), pack_numbers(numbers), values(part, numbers).packed()))],
                     names=["bucket", "words", "counts", "answers"],
                 )
             counts.clear()
@@ -158,6 +158,18 @@ def word_table(texts: DataFrame, split: Callable[[bytes], list[bytes]], values:
     return written(sent.mapInArrow(gather, "bucket int, words binary, counts binary, answers binary"), "dictionary")
 
 
+def totals(table: DataFrame) -> tuple[int, int]:
+    """(sum of all counts, number of distinct words)."""
+
+    def run(batches):
+        for batch in batches:
+            got = [unpack_numbers(x.as_py()) for x in batch.column("counts")]
+            yield pa.RecordBatch.from_pydict({"n": [int(sum(x.sum(dtype=np.int64) for x in got))], "v": [sum(map(len, got))]})
+
+    row = table.select("counts").mapInArrow(run, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).collect()[0]
+    return row[0] or 0, row[1] or 0
+
+
 def _levels(counts: np.ndarray) -> np.ndarray:
     """Counts below 4096 as they are, larger ones by their logarithm: few numbers, same order."""
     c = counts.astype(np.float64)
@@ -198,12 +210,8 @@ def frequent_words(table: DataFrame, size: int = FREQUENT) -> tuple[list[bytes],
     rows = table.select("words", "counts", "answers").mapInArrow(pick, "words binary, counts binary, answers binary").collect()
     words = [w for r in rows for w in unpack_words(bytes(r[0]))]
     counts = np.concatenate([unpack_numbers(bytes(r[1])) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
-    answers = Ragged.of([])
-    for part in (Ragged.unpacked(bytes(r[2])) for r in rows):
-        answers = answers.join(part) if len(rows) < 64 else answers
-    if len(rows) >= 64:
-        parts = [Ragged.unpacked(bytes(r[2])) for r in rows]
-        answers = Ragged(np.concatenate([p.lengths for p in parts]), np.concatenate([p.flat for p in parts]))
+    parts = [Ragged.unpacked(bytes(r[2])) for r in rows] or [Ragged.of([])]
+    answers = Ragged(np.concatenate([p.lengths for p in parts]), np.concatenate([p.flat for p in parts]))
     order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
     return [words[i] for i in order], answers.take(np.array(order, np.int64))
 
@@ -298,7 +306,7 @@ def look_up(
                     size += len(got)
                     continue
                 if values is None:  # the table's rows come first; one empty row more for words it lacks
-                    values = Ragged(np.concatenate([*(p.lengths for p in parts), [0]]), np.concatenate([*(p.flat for p in parts), np.zeros(0, np.uint32)]))
+                    values = Ragged(np.concatenate([*(p.lengths for p in parts), [0]]), np.concatenate([*(p.flat for p in parts), np.zeros(0, np.int64)]))
                 found = values.take(np.fromiter((known.get(w, size) for w in unpack_words(words)), np.int64))
                 out.append((block, check, places, found.packed()))
             yield pa.RecordBatch.from_arrays(
@@ -324,7 +332,7 @@ def look_up(
                     if parts:
                         got = Ragged(np.concatenate([p.lengths for p in parts]), np.concatenate([p.flat for p in parts]))
                         full = base.join(got.take(np.argsort(np.concatenate(places))))
-                docs = Ragged.unpacked(codes, np.int64)
+                docs = Ragged.unpacked(codes)
                 cuts = (docs.starts + docs.lengths)[:-1]
                 top = int(docs.flat.max()) if len(docs.flat) else -1
                 if top >= len(full.lengths):

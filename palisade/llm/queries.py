@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, fingerprint, mixing, quality_rules, sharding, simhash, token_count
+from . import bpe, classifier, fingerprint, lm_score, mixing, quality_rules, sharding, simhash, token_count
 from .common import documents
 
 
@@ -56,6 +56,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_bpe": op3_bpe,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 OP2_SQL = r"""
@@ -100,6 +105,4 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM counts
 """
 
-OP9_SQL = None
-
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL}

@@ -78,7 +78,7 @@ def frequent_pre_tokens(df: DataFrame, text: str = "text", size: int = FREQUENT,
 
     summaries = df.select(text_or_empty(text).alias("text")).mapInArrow(summary, "summary binary").rdd.map(lambda r: bytes(r[0]))
     while summaries.getNumPartitions() > fan_in:
-        summaries = summaries.coalesce(-(-summaries.getNumPartitions() // fan_in)).mapPartitions(lambda it: [merge(it)])
+        summaries = summaries.repartition(-(-summaries.getNumPartitions() // fan_in)).mapPartitions(lambda it: [merge(it)])
     top = merge(summaries.mapPartitions(lambda it: [merge(it)]).toLocalIterator())
     return sorted(pickle.loads(top))
 
