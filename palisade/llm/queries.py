@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, fingerprint, lm_score, mixing, quality_rules, sharding, simhash, token_count
+from . import bpe, classifier, fingerprint, licenses, lm_score, mixing, quality_rules, sharding, simhash, token_count
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir), threshold=0.8)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     order, _ = quality_rules.plan_cascade(docs)
@@ -61,6 +65,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_bpe": op3_bpe,
     "op4_quality_classifier": op4_quality_classifier,
