@@ -1 +1,10 @@
+"""All queries of the draft domain, by name, with the SQL of those that SQL can express."""
 
+from importlib import import_module
+
+QUERIES: dict = {}
+SQL: dict = {}
+for _name in ("scalars", "profiles"):
+    _module = import_module(f"{__name__}.{_name}")
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL

@@ -1,0 +1,48 @@
+"""Schemas of the draft domain's tables; readers never infer."""
+
+from pyspark.sql import types as T
+
+
+def _struct(spec: str) -> T.StructType:
+    kinds = {
+        "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "s": T.StringType(), "b": T.BooleanType(), "D": T.DateType(),
+        "t": T.TimestampType(), "n": T.TimestampNTZType(), "m": T.MapType(T.StringType(), T.DoubleType()), "ai": T.ArrayType(T.IntegerType()),
+        "af": T.ArrayType(T.FloatType()),
+    }
+    return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split(":") for x in spec.split())])
+
+
+TABLES: dict[str, T.StructType] = {
+    "teams": _struct("id:l nhl_id:i abbreviation:s full_name:s city:s conference:s division:s current_gm:s current_gm_since:D"),
+    "general_managers": _struct("id:l name:s team_id:l start_date:D end_date:D is_active:b"),
+    "draft_picks_historical": _struct(
+        "id:l year:i round:i pick_number:i overall_pick:i team_id:l gm_id:l player_id:l player_name:s position:s nationality:s draft_league:s "
+        "draft_league_tier:i css_rank:i height_cm:i weight_kg:i gp_pre_draft:i points_per_game:d ppg_prev_season:d age_at_draft:d"
+    ),
+    "players": _struct(
+        "id:l nhl_player_id:l first_name:s last_name:s full_name:s birth_date:D birth_country:s position:s height_cm:i weight_kg:i "
+        "draft_year:i draft_round:i draft_overall:i composite_score:d created_at:t updated_at:t"
+    ),
+    "draft_classes": _struct("id:l year:i created_at:t"),
+    "prospects": _struct(
+        "id:l player_id:l draft_class_id:l nhl_player_id:l name:s position:s nationality:s height_cm:i weight_kg:i draft_league:s "
+        "draft_league_tier:i css_ranking:i css_category:s points:i goals:i assists:i games_played:i points_per_game:d ppg_prev_season:d "
+        "age_at_draft:d birth_date:D is_active:b"
+    ),
+    "prospect_rankings": _struct("id:l prospect_id:l source:s ranking_type:s category:s rank:i ranking_date:D metadata:s"),
+    "player_season_stats": _struct(
+        "id:l player_id:l season_start:i season_end:i league:s season_type:s source:s as_of_date:D games_played:i goals:i assists:i points:i points_per_game:d raw_payload:s"
+    ),
+    "lottery_odds": _struct("id:l team_id:l season:i final_standing:i lottery_odds_pct:d assigned_combinations:ai wins:i losses:i ot_losses:i points:i"),
+    "gm_tendency_profiles": _struct(
+        "id:l gm_id:l position_weights:m league_weights:m nationality_weights:m avg_ranking_deviation:d tendency_archetype:s computed_at:n"
+    ),
+    "ingestion_runs": _struct("id:l run_id:s started_at:t finished_at:t status:s triggered_by:s teams_upserted:i gms_upserted:i picks_upserted:i error:s"),
+    "prospect_stat_history": _struct(
+        "id:l prospect_id:l fetched_at:t season_type:s league:s games_played:i goals:i assists:i points:i points_per_game:d raw_payload:s"
+    ),
+    "prospect_features": _struct("prospect_id:l schema_version:s features:m css_rank_norm:d ppg_league_norm:d age_league_norm:d refreshed_at:t"),
+    "prospect_stat_snapshots": _struct("id:l player_id:l prospect_id:l draft_year:i snapshot_type:s snapshot_date:D points_per_game:d css_ranking:i"),
+    "scout_embeddings": _struct("id:l doc_type:s ref_id:l content:s embedding:af created_at:t"),
+    "scout_conversations": _struct("id:l session_id:s role:s content:s created_at:t"),
+}
