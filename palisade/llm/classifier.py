@@ -214,4 +214,4 @@ def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", **how) -> Da
             yield pa.RecordBatch.from_arrays(batch.columns[:place], schema=pa.schema([batch.schema.field(i) for i in range(place)]))
 
     raw = text_or_empty(text).cast("binary").alias("palisade_raw_text")
-    return df.select(*[F.col(f"`{c}`") for c in own], raw).mapInArrow(run, df.schema)
+    return df.select("*", raw).mapInArrow(run, df.schema)

@@ -162,25 +162,36 @@ def _rounding(seed: int, last: bool):
     return run
 
 
-def mix(df: DataFrame, seed: int = 42, block_rows: int = 64, fan_in: int = 64, text: str = "text", **how) -> DataFrame:
-    """Every row of ``df`` with mix_size, mix_source_size, mix_target and mix_copies added.
+def mix(
+    df: DataFrame, seed: int = 42, block_rows: int = 64, fan_in: int = 64, text: str = "text", keep: list[str] | None = None, **how
+) -> DataFrame:
+    """Every row of ``df``, its columns ``keep`` (all if None), with mix_size, mix_source_size, mix_target and mix_copies added.
 
     Blocks follow from source and a hash of doc_id and text, never from the cluster, so
     reruns agree. Null text: size 0. Null source: a source of its own, the last. Sizes of 0 add no words
     and get no copies of their fraction (they keep the whole part). Repeated rows draw apart but
-    may swap. An empty table gives an empty table.
+    may swap. An empty table gives an empty table. Own columns named as an added one give way to it.
     """
-    own = df.columns
+    rows = _rounded(df, df.columns if keep is None else keep, seed, block_rows, fan_in, text, **how)
+    own = [c for c in (df.columns if keep is None else keep) if c not in ADDED]
+    return rows.select(*[F.col("palisade_row")[c].alias(c) for c in own], *ADDED)
+
+
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
+def _rounded(df: DataFrame, own: list[str], seed: int, block_rows: int, fan_in: int, text: str, **how) -> DataFrame:
+    """palisade_row (the own columns as a struct, so no name can clash) and the added columns."""
     text_key = text_or_empty(text)
     sized = df.select(F.col("source").cast("string").alias("source"), n_words(text).alias("size"))
     sources = source_targets(sized, **how)
-    n_docs = sources.agg(F.sum("n_docs").alias("n"), F.max("n_docs").alias("most")).collect()[0]
+    most = sources.agg(F.max("n_docs")).collect()[0][0] or 0
     s = sources.select(
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("mix_source"), F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"), F.col("ratio").alias("mix_ratio"), F.col("n_docs").alias("mix_n"),
     )
     rows = df.select(
-        *[F.col(f"`{c}`") for c in own],
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("palisade_row"),
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("mix_source"),
         n_words(text).alias("mix_size"),
         F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64(text_key))).alias("mix_key"),
@@ -189,10 +200,8 @@ def mix(df: DataFrame, seed: int = 42, block_rows: int = 64, fan_in: int = 64, t
     whole = F.floor("mix_ratio")
     block = F.pmod(F.xxhash64("mix_key", F.lit(seed)), F.greatest(F.lit(1), F.ceil(F.col("mix_n") / block_rows)))
     rows = rows.select(
-        *[F.col(f"`{c}`") for c in own], "mix_source", "mix_size", "mix_source_size", "mix_target", "mix_key",
-        whole.cast("long").alias("mix_copies"),
-        F.when(F.col("mix_size") > 0, F.col("mix_ratio") - whole).otherwise(F.lit(0.0)).alias("mix_fraction"),
-        block.cast("long").alias("mix_block"),
+        "palisade_row", "mix_source", "mix_size", "mix_source_size", "mix_target", "mix_key", whole.cast("long").alias("mix_copies"),
+        F.when(F.col("mix_size") > 0, F.col("mix_ratio") - whole).otherwise(F.lit(0.0)).alias("mix_fraction"), block.cast("long").alias("mix_block"),
     )
     group = F.concat_ws("/", "mix_source", F.col("mix_block").cast("string"))
 
@@ -201,7 +210,7 @@ def mix(df: DataFrame, seed: int = 42, block_rows: int = 64, fan_in: int = 64, t
         dealt = grouped.repartition("mix_group").sortWithinPartitions("mix_group", "mix_key", "mix_size")
         return dealt.mapInArrow(_rounding(seed, last), dealt.schema).drop("mix_group")
 
-    blocks = max(1, -(-(n_docs["most"] or 0) // block_rows))
+    blocks = max(1, -(-most // block_rows))
     settled, open_rows = [], rows
     while blocks > 1:
         now = written(level(open_rows, last=False), "mix-level")
@@ -211,10 +220,11 @@ def mix(df: DataFrame, seed: int = 42, block_rows: int = 64, fan_in: int = 64, t
     out = level(open_rows, last=True)
     for x in settled:
         out = out.unionByName(x)
-    return out.select(*[F.col(f"`{c}`") for c in own], "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    return out.select("palisade_row", *ADDED)
 
 
-def mixed(df: DataFrame, **how) -> DataFrame:
+def mixed(df: DataFrame, seed: int = 42, block_rows: int = 64, fan_in: int = 64, text: str = "text", **how) -> DataFrame:
     """The mix itself: each row of ``df`` as often as it is taken, columns as they were."""
-    out = mix(df, **how)
-    return out.withColumn("mix_copy", F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).otherwise(F.array().cast("array<int>")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    out = _rounded(df, df.columns, seed, block_rows, fan_in, text, **how)
+    copies = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).otherwise(F.array().cast("array<int>"))
+    return out.select("palisade_row", F.explode(copies)).select("palisade_row.*")

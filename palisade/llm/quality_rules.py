@@ -164,12 +164,11 @@ def keep_good(df: DataFrame, order: list[str], limits: Limits = Limits(), text:
     Rules run as successive filters; what a rule reads is made just before it, so later
     (dearer) rules see only what earlier ones left. Extra columns of any name pass through.
     """
-    prefix = "palisade_rule_"
-    seen = prefix + "seen"
-    out = df
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("palisade_row"), F.col(text).alias("palisade_text"))
+    out = packed
     for name in order:
         # a filter on a row number stays where it is put: else the optimizer would move
         # it below, and copy what it reads into every step of a lambda
-        out = with_features(out, READS[name], text, prefix).withColumn(seen, F.monotonically_increasing_id())
-        out = out.where((F.col(seen) >= 0) & ~rules_on_features(limits, prefix)[name])
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+        out = with_features(out, READS[name], "palisade_text").withColumn("palisade_seen", F.monotonically_increasing_id())
+        out = out.where((F.col("palisade_seen") >= 0) & ~rules_on_features(limits)[name])
+    return out.select("palisade_row.*")

@@ -14,10 +14,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import written
 from .components import components
 
 BITS = 64
@@ -177,18 +178,17 @@ def links(prints: DataFrame, radius: int = 3, split: int = 16 * TILE) -> DataFra
     return dealt.mapInArrow(_linked(radius), "a bigint, b bigint")
 
 
-def fingerprints(df: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
-    """All columns of ``df`` and ``palisade_fp`` (long: the 64 bits as they are); null texts count as empty."""
-    own, place = df.columns, len(df.columns)
+def fingerprints(df: DataFrame, text: Column, size: int = 3) -> DataFrame:
+    """The columns of ``df`` and ``fp`` (long: the 64 bits as they are) of a text in each row; null texts count as empty."""
+    place = len(df.columns)
 
     def run(batches):
         for batch in batches:
             fp = np.fromiter((simhash(x.as_py(), size) for x in batch.column(place)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(fp.view(np.int64))], names=[*batch.schema.names[:place], "palisade_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:place], pa.array(fp.view(np.int64))], names=[*batch.schema.names[:place], "fp"])
 
-    raw = text_or_empty(text).cast("binary").alias("palisade_raw_text")
-    schema = df.select(*[F.col(f"`{c}`") for c in own], F.lit(0).cast("long").alias("palisade_fp")).schema
-    return df.select(*[F.col(f"`{c}`") for c in own], raw).mapInArrow(run, schema)
+    raw = F.coalesce(text.cast("string"), F.lit("")).cast("binary").alias("fp")
+    return df.select("*", raw).mapInArrow(run, df.select("*", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def classes(prints: DataFrame, radius: int = 3) -> DataFrame:
@@ -213,8 +213,8 @@ def near_duplicates(df: DataFrame, text: str = "text", radius: int = 3, size: in
     Texts without words have the fingerprint zero and link like others. Repeated rows are in one component.
     A row with a null id and no other row in its component has a null component_id.
     """
-    prints = fingerprints(df.select("doc_id", F.col(text).alias("text")), "text", size)
-    prints = written(prints.select("doc_id", F.col("palisade_fp").alias("fp")), "simhash-prints")
+    rows = df.select("doc_id", F.col(text).alias("text"))
+    prints = written(fingerprints(rows, F.col("text"), size).select("doc_id", "fp"), "simhash-prints")
     kinds = classes(prints, radius).select("fp", F.lit(True).alias("grouped"), "component_id")
     return prints.join(kinds, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -225,14 +225,11 @@ def near_duplicates(df: DataFrame, text: str = "text", radius: int = 3, size: in
 def drop_near_duplicates(df: DataFrame, text: str = "text", radius: int = 3, size: int = 3) -> DataFrame:
     """One row of each component, columns as they were: that of the smallest doc_id, of rows that tie
     in it the first by text. Rows without a partner all stay."""
-    own = [F.col(f"`{c}`") for c in df.columns]
-    marked = written(fingerprints(df, text, size), "simhash-marked")
-    prints = marked.select("doc_id", F.col("palisade_fp").alias("fp"))
-    kinds = classes(prints, radius).select(
-        F.col("fp").alias("palisade_fp"), F.col("root").alias("palisade_root"), F.col("component_id").alias("palisade_component")
-    )
-    joined = marked.join(kinds, "palisade_fp", "left")
-    alone = joined.where("palisade_root IS NULL").select(*own)
-    heads = joined.where(F.col("palisade_root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("palisade_component")))
-    first = F.expr("row_number() OVER (PARTITION BY palisade_root ORDER BY xxhash64(`%s`), `%s`)" % (text, text))
-    return alone.unionByName(heads.withColumn("palisade_place", first).where("palisade_place = 1").select(*own))
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))  # so that no name can clash
+    marked = written(fingerprints(packed, F.col("row")[text], size), "simhash-marked")
+    kinds = classes(marked.select(F.col("row")["doc_id"].alias("doc_id"), "fp"), radius)
+    joined = marked.join(kinds, "fp", "left")
+    alone = joined.where("root IS NULL").select("row.*")
+    heads = joined.where(F.col("root").isNotNull() & F.col("row")["doc_id"].eqNullSafe(F.col("component_id")))
+    first = F.row_number().over(W.partitionBy("root").orderBy(F.xxhash64(F.col("row")[text]), F.col("row")[text]))
+    return alone.unionByName(heads.withColumn("place", first).where("place = 1").select("row.*"))
