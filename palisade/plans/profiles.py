@@ -119,7 +119,8 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, ["id"], positions=("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), leagues=("AUTOMOBILE", "BUILDING"), nations=("ASIA", "EUROPE"),
         league=F.col("draft_league"), nation=F.col("nationality"), physique_by=["year"],
     )
-    floats = [n for n, t in out.dtypes if t == "double"]
+    # products of rounded numbers can lie halfway between two roundings, so they stay as they are
+    floats = [n for n, t in out.dtypes if t == "double" and not n.endswith("_affinity")]
     return out.select(*[F.round(n, 6).alias(n) if n in floats else F.col(f"`{n}`") for n in out.columns])
 
 
@@ -211,7 +212,7 @@ SQL = {
         SELECT id, {_HOT('position', ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'), 'pos')}, {_HOT('nationality', ('ASIA', 'EUROPE'), 'nat')}, {_HOT('league', ('AUTOMOBILE', 'BUILDING'), 'league')},
           round(h - median(h) OVER (PARTITION BY year, position), 6) AS height_norm, round(wt - median(wt) OVER (PARTITION BY year, position), 6) AS weight_norm, 1.0::DOUBLE AS ppg_league_norm, 0.0::DOUBLE AS age_league_norm,
           quality AS css_rank_norm, round(slot, 6) AS pick_slot_norm, round(quality - slot, 6) AS rank_vs_slot, rank_gap AS rank_gap_norm, 0.2::DOUBLE AS gm_pos_weight, 0.2::DOUBLE AS gm_league_weight, 0.33::DOUBLE AS gm_nat_weight,
-          0.0::DOUBLE AS gm_n_picks_norm, round(0.2 * quality, 6) AS gm_pos_affinity, round(0.2 * quality, 6) AS gm_league_affinity, round(0.33 * quality, 6) AS gm_nat_affinity, taken_share AS pos_taken_before_norm,
+          0.0::DOUBLE AS gm_n_picks_norm, 0.2::DOUBLE * quality AS gm_pos_affinity, 0.2::DOUBLE * quality AS gm_league_affinity, 0.33::DOUBLE * quality AS gm_nat_affinity, taken_share AS pos_taken_before_norm,
           remaining_share AS pos_remaining_norm, team_taken::DOUBLE AS team_drafted_this_pos, 0.5::DOUBLE AS pos_quality_rank_norm, 0.5::DOUBLE AS css_rank_within_pos, 30.0::DOUBLE AS gp_pre_draft,
           round(CASE WHEN has THEN pp ELSE 0.0 END, 6) AS ppg_prev_season, CAST(has AS INT) AS has_prev_season, round(CASE WHEN has THEN least(greatest(ppg - pp, -3.0), 3.0) ELSE 0.0 END, 6) AS ppg_delta, slot_pressure,
           CAST(round = 1 AS INT) AS round_1, CAST(round = 2 AS INT) AS round_2, CAST(round = 3 AS INT) AS round_3, CAST(round = 4 AS INT) AS round_4 FROM r""",
