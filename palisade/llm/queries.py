@@ -110,4 +110,31 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM counts
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL}
+
+
+def _jump_sql(shards: int) -> str:
+    """The chain of jumps as one number, 64 * shard + next; all ``shards`` steps of it."""
+    u = "(('0x' || substr(md5(key || ':' || i), 1, 8))::BIGINT + 1.0::DOUBLE) / 4294967296.0::DOUBLE"
+    step = f"CASE WHEN a % 64 >= {shards} THEN a ELSE (a % 64) * 64 + least(floor((a % 64 + 1)::DOUBLE / ({u})), {shards})::BIGINT END"
+    return f"CAST(list_reduce(CAST(range(0, {shards + 1}) AS BIGINT[]), lambda a, i: {step}) // 64 AS INT)"
+
+
+OP6_SQL = f"""
+WITH table_crc AS (
+  SELECT list(v ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce([i] || range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))
+), docs AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS t, coalesce(doc_id::VARCHAR, 'null') AS key FROM documents
+), bytes AS (
+  SELECT doc_id, key, octet_length(t) AS n, list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM docs
+), rows AS (
+  SELECT doc_id, key, CAST(n + 1 AS BIGINT) AS size, {_jump_sql(16)} AS shard, {_jump_sql(17)} AS grown_shard,
+         CAST(xor(list_reduce([4294967295::BIGINT] || b, lambda a, x: xor(a >> 8, crcs[xor(a & 255, x) + 1])), 4294967295) AS BIGINT) AS text_crc32
+  FROM bytes, table_crc
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(key || ':slot')[1:8], doc_id NULLS LAST, text_crc32, size) - 1 AS slot
+FROM rows
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op6_sharding": OP6_SQL}

@@ -49,21 +49,23 @@ def shard_documents(df: DataFrame, shards: int = 16, rows_per_bucket: int = 256,
 
     ``law`` is ``key``: doc_id and the number of shards decide, so rows with equal ids share a
     shard and null ids are one key. ``size`` is the UTF-8 length plus 1 (null text: 1, crc 0).
-    ``slot`` numbers the rows of a shard from 0 without gaps: rows are ranked inside small hash
-    buckets of a shard and shifted by the running count of the buckets before, so no shard is
-    ever sorted as a whole. Rows that tie in a rank are identical. ``grown_shard`` is the shard
+    ``slot`` numbers the rows of a shard from 0 without gaps, in order of a digest of the key:
+    rows are ranked inside small ranges of digests and shifted by the running count of the
+    ranges before, so no shard is ever sorted as a whole. Rows that tie in a rank are identical. ``grown_shard`` is the shard
     among one more.
     """
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     key = key_text("doc_id")
     total = df.count()
     buckets = bucket(total, rows_per_bucket * shards)
-    spread = F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int")
+    place = F.conv(F.substring(F.md5(F.concat(key, F.lit(":slot")).cast("binary")), 1, 8), 16, 10).cast("long")
+    spread = F.shiftright(place * F.lit(buckets).cast("long"), 32).cast("int")
     rows = df.select(
         "doc_id",
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
         jump(key, shards).alias("shard"),
+        place.alias("place"),
         spread.alias("part"),
         jump(key, shards + 1).alias("grown_shard"),
     )
@@ -74,7 +76,7 @@ def shard_documents(df: DataFrame, shards: int = 16, rows_per_bucket: int = 256,
     )
     ranked = rows.withColumn(
         "rank",
-        F.expr("row_number() OVER (PARTITION BY shard, part ORDER BY doc_id NULLS LAST, text_crc32, size)") - 1,
+        F.expr("row_number() OVER (PARTITION BY shard, part ORDER BY place, doc_id NULLS LAST, text_crc32, size)") - 1,
     )
     return ranked.join(before, ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
