@@ -195,14 +195,17 @@ def score_documents(df: DataFrame, labels: DataFrame, text: str = "text", **how)
     )
 
 
-def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", **how) -> DataFrame:
+def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", sample_rows: int = 16_384, **how) -> DataFrame:
     """The rows of ``df`` whose score is 0.5 or more, columns as they were.
 
-    The model is fitted on the labelled rows of ``df``; then each text is scored where it lies.
+    The model is fitted on ``sample_rows`` labelled ids at most, those of the least hashes, so
+    the ids that are sent to find their texts have a fixed bound and no text is shuffled; then
+    each text is scored where it lies.
     """
     own = df.columns
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL")
-    labelled = df.select("doc_id", F.col(text).alias("text")).join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(fold_of() != 1).select("doc_id").distinct()
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    labelled = df.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id", "left_semi")
     model = df.sparkSession.sparkContext.broadcast(fit(written(text_statistics(labelled), "classifier-stats"), labels, **how))
     place = len(own)
 
