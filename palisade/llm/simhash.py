@@ -228,7 +228,8 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", radius: int = 3, siz
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))  # so that no name can clash
     marked = written(fingerprints(packed, F.col("row")[text], size), "simhash-marked")
     kinds = classes(marked.select(F.col("row")["doc_id"].alias("doc_id"), "fp"), radius)
-    joined = marked.join(kinds, "fp", "left")
+    # kinds grows with the rows, so it is never broadcast: texts meet it by one shuffle at every size
+    joined = marked.join(kinds.hint("merge"), "fp", "left")
     alone = joined.where("root IS NULL").select("row.*")
     heads = joined.where(F.col("root").isNotNull() & F.col("row")["doc_id"].eqNullSafe(F.col("component_id")))
     first = F.row_number().over(W.partitionBy("root").orderBy(F.xxhash64(F.col("row")[text]), F.col("row")[text]))
