@@ -1,0 +1,48 @@
+"""The registered queries of the llm subpackage and the corpus pipeline."""
+
+import os
+
+import corpus_pipeline
+import oracle
+import pytest
+from palisade.llm import queries
+from palisade.llm.common import documents, written
+from pyspark.sql import functions as F
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, name):
+    assert not oracle.differences(queries.QUERIES[name](spark, SF), queries.ORACLE_SQL[name], SF)
+
+
+def test_one_query_per_operator():
+    assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stages(spark):
+    docs = documents(spark, SF)
+    before = {r.doc_id for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, SF), f"test-{name}")
+        assert out.columns == docs.columns
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert ids and set(ids) <= before
+        if name != "source_mix":
+            assert len(ids) == len(set(ids))  # doc_id is a key of documents
+        docs, before = out, set(ids)
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert tokens.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and tokens.count() == docs.count()
+    # a mix repeats whole documents only
+    assert tokens.groupBy("doc_id").agg(F.countDistinct("ids_sha256").alias("n")).where("n > 1").count() == 0
+
+
+@pytest.mark.parametrize("rows", [20, 10_000])
+def test_classifier_sample_bound(spark, rows):
+    """A smaller labelled sample changes which rows stay, never what they hold."""
+    from palisade.llm import classifier
+
+    docs, labels = documents(spark, SF), spark.read.parquet(f"{SF}/labels.parquet")
+    kept = classifier.keep_good(docs, labels, sample_rows=rows)
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
