@@ -37,4 +37,4 @@ def test_seeded_drafts_repeat(spark):
 
 def test_clusters_cover_every_manager(spark):
     found = plans.QUERIES["archetype_gmm"](spark, SF).collect()
-    assert len({r[0] for r in found}) == len(found)
+    assert len({r.gm for r in found}) == len(found)
