@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, classifier, mixing, quality_rules, simhash
+from palisade.llm import bpe, classifier, mixing, near_copies, quality_rules
 from palisade.llm.common import documents, written
 from palisade.llm.queries import tokenizer_path
 
@@ -26,8 +26,8 @@ def keep_good_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group linked by a Jaccard index of 0.8 or more of five-word shingles."""
+    return near_copies.drop_near_copies(docs, threshold=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_classifier", keep_good_scores),
     ("quality_rules", keep_good_by_rules),
-    ("simhash_dedup", drop_near_duplicates),
+    ("near_duplicates", drop_near_duplicates),
     ("source_mix", mix_sources),
     ("bpe", encode),
 ]

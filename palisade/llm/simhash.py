@@ -191,15 +191,15 @@ def fingerprints(df: DataFrame, text: Column, size: int = 3) -> DataFrame:
     return df.select("*", raw).mapInArrow(run, df.select("*", F.lit(0).cast("long").alias("fp")).schema)
 
 
-def classes(prints: DataFrame, radius: int = 3) -> DataFrame:
+def classes(prints: DataFrame, radius: int = 3, edges: DataFrame | None = None) -> DataFrame:
     """fp, root, component_id for the fingerprints that several rows of ``prints`` (doc_id, fp) share or link.
 
     component_id is the smallest doc_id of all rows that links reach (null if all are null); root is
     the smallest fingerprint. A fingerprint that is left out has one row and no link. Exact copies are one fingerprint, so
-    their number never matters to the comparison.
+    their number never matters to the comparison. ``edges`` (a, b) are used in place of links by radius if given.
     """
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
-    found = components(links(nodes.select("fp"), radius))
+    found = components(links(nodes.select("fp"), radius) if edges is None else edges)
     roots = written(found.select(F.col("node").alias("fp"), "root"), "simhash-roots")
     merged = nodes.join(roots, "fp", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "fp"))
     merged = written(merged.select("fp", "root", "least"), "simhash-merged")
