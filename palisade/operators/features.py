@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,15 +54,38 @@ def board_state(picks: DataFrame, cohort: list[str]) -> DataFrame:
     )
 
 
+def _better_later(quality: np.ndarray) -> np.ndarray:
+    """How many later values are higher, for each value: blocks against themselves, then halves merged."""
+    n, base = len(quality), 512
+    out = np.zeros(n, np.int64)
+    for i in range(0, n, base):
+        q = quality[i : i + base]
+        out[i : i + base] = np.triu(q[None, :] > q[:, None]).sum(axis=1)
+    width = base
+    while width < n:
+        for i in range(0, n - width, 2 * width):
+            later = np.sort(quality[i + width : i + 2 * width])
+            out[i : i + width] += len(later) - np.searchsorted(later, quality[i : i + width], side="right")
+        width *= 2
+    return out
+
+
 def competition_rank(picks: DataFrame, cohort: list[str]) -> DataFrame:
     """id, pos_quality_rank: 1 less the share of remaining same-position picks of higher quality; 1 for the only one.
 
-    Pairs form within cohort and position only, so cohorts must be small (a draft, a month).
+    Rivals are counted by merging sorted blocks, not in pairs, so a cohort may be a whole year; one of its positions is held by a task.
     """
-    a = picks.select(*cohort, "position", "id", "overall_pick", "quality")
-    b = picks.select(*cohort, "position", F.col("overall_pick").alias("later"), F.col("quality").alias("q"))
-    pairs = a.join(b, [*cohort, "position"]).where("later >= overall_pick")
-    counts = pairs.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("q") > F.col("quality")).alias("better"))
+
+    def run(group):
+        pick, quality = group.column("overall_pick").to_numpy(), group.column("quality").to_numpy()
+        at = np.lexsort((quality, pick))  # of equal picks none before a row is better than it
+        better = np.empty(len(at), np.int64)
+        better[at] = _better_later(quality[at])
+        n = len(at) - np.searchsorted(pick[at], pick)
+        return pa.table({"id": group.column("id"), "n": n, "better": better})
+
+    rows = picks.select(*cohort, "position", "id", "overall_pick", "quality").dropna(subset=[*cohort, "position"])
+    counts = rows.groupBy(*cohort, "position").applyInArrow(run, f"id {picks.schema['id'].dataType.simpleString()}, n bigint, better bigint")
     return counts.select("id", F.when(F.col("n") > 1, F.round(1 - F.col("better") / F.col("n"), 4)).otherwise(F.lit(1.0)).alias("pos_quality_rank"))
 
 
@@ -135,7 +160,33 @@ def stratified_negatives(picks: DataFrame, cohort: list[str], window: int = 31,
     at = W.partitionBy(*cohort, "overall_pick")
     drawn = pairs.withColumns({"u": F.md5(F.concat_ws("|", F.lit(seed), *cohort, "overall_pick", "negative").cast("binary")), "pool": F.count("*").over(at)})
     drawn = drawn.withColumn("place", F.row_number().over(at.orderBy("u", "negative"))).where((F.col("pool") >= same_position) & (F.col("place") <= same_position))
-    drawn = drawn.select(*cohort, "overall_pick", "negative").withColumn("stratum", F.lit("position"))
+    return _with_window(a, drawn.select(*cohort, "overall_pick", "negative"), cohort, window, same_position)
+
+
+def sampled_negatives(picks: DataFrame, cohort: list[str], window: int = 31, same_position: int = 12, seed: int = 42) -> DataFrame:
+    """The columns and strata of ``stratified_negatives``, drawn in bounded work, so a cohort may be a whole year.
+
+    The ``same_position`` places among the later picks of the position come from Floyd's sampling with hashes
+    of seed, pick and step as its numbers: each set of places is as likely, and no pairs are made but those drawn.
+    """
+    a = picks.select(*cohort, "overall_pick", "position").dropna()
+    position, k = W.partitionBy(*cohort, "position"), same_position
+    placed = a.withColumns({"seq": F.row_number().over(position.orderBy("overall_pick")), "size": F.count("*").over(position)})
+    pool = placed.where(F.col("size") - F.col("seq") >= k).withColumn("pool", F.col("size") - F.col("seq"))
+    number = f"conv(substr(md5(cast(concat_ws('|', {seed}, {', '.join(cohort)}, overall_pick, k) AS binary)), 1, 8), 16, 10)"
+    step = f"pmod(cast({number} AS bigint), pool - {k} + k + 1)"
+    chosen = f"aggregate(sequence(0, {k - 1}), cast(array() AS array<bigint>), (s, k) -> s || array(if(array_contains(s, {step}), pool - {k} + k, {step})))"
+    asked = pool.select(*cohort, "position", "overall_pick", "seq", F.explode(F.expr(chosen)).alias("ahead"))
+    asked = asked.select(*cohort, "position", "overall_pick", (F.col("seq") + 1 + F.col("ahead")).alias("seq"))
+    later = placed.select(*cohort, "position", "seq", F.col("overall_pick").alias("negative"))
+    drawn = asked.join(later, [*cohort, "position", "seq"]).select(*cohort, "overall_pick", "negative")
+    return _with_window(picks.select(*cohort, "overall_pick", "position"), drawn, cohort, window, same_position)
+
+
+def _with_window(a: DataFrame, drawn: DataFrame, cohort: list[str], window: int, same_position: int) -> DataFrame:
+    """``drawn`` and the next picks of the window that are not among them, with their strata."""
+    at = W.partitionBy(*cohort, "overall_pick")
+    drawn = drawn.withColumn("stratum", F.lit("position"))
     frame = W.partitionBy(*cohort).orderBy("overall_pick").rowsBetween(1, window)
     near = a.select(*cohort, "overall_pick", F.collect_list("overall_pick").over(frame).alias("later"))
     near = near.select(*cohort, "overall_pick", F.explode("later").alias("negative"))

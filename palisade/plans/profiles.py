@@ -101,6 +101,11 @@ def position_competition_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.competition_rank(features.ordinal_quality(order_picks(spark, sf_dir), ["year", "month"]), ["year", "month"])
 
 
+def position_competition_rank_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As position_competition_rank, among the picks of the whole year."""
+    return features.competition_rank(features.ordinal_quality(order_picks(spark, sf_dir), ["year"]), ["year"])
+
+
 def sample_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = order_picks(spark, sf_dir)
     last = p.agg(F.max("year").alias("last"))
@@ -130,10 +135,17 @@ def stratified_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("year", "month", "overall_pick", "stratum").agg(F.count("*").alias("n"), F.sum("negative").alias("s"))
 
 
+def stratified_negatives_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every pick of rounds 1 to 4, those of its position from the whole rest of the year."""
+    rows = features.sampled_negatives(order_picks(spark, sf_dir).where("round <= 4"), ["year"])
+    return rows.groupBy("year", "overall_pick", "stratum").agg(F.count("*").alias("n"), F.sum("negative").alias("s"))
+
+
 QUERIES = {f.__name__: f for f in (
     population_prior, gm_weighted_profile, gm_shrunk_profile, gm_shrunk_profile_1995, gm_adaptive_history_weight, rank_deviation, archetype_rules,
     archetype_gmm, team_needs, draft_history, draft_breakdown, cohort_medians, empirical_cdf, ordinal_quality, list_ordinal_quality, draft_state_windows,
-    slot_pressure, position_competition_rank, sample_weights, feature_matrix, stratified_negatives,
+    slot_pressure, position_competition_rank, position_competition_rank_year, sample_weights, feature_matrix, stratified_negatives,
+    stratified_negatives_year,
 )}
 
 _RW = "CASE round WHEN 1 THEN 7 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 1 END"
@@ -165,6 +177,13 @@ _BOARD = f"""{ORDER_PICKS}, {_QUALITY},
   board AS (SELECT *, round(coalesce(taken / nullif(seq - 1, 0)::DOUBLE, 0), 4) AS taken_share, round(remaining / (nc - seq + 1)::DOUBLE, 4) AS remaining_share,
     round(greatest(0, round_best - quality), 6) AS rank_gap, round(greatest(0.0, 1.0 - (round_index - 1) / greatest(round_size - 1, 1)::DOUBLE), 6) AS slot_pressure FROM st)"""
 
+# Floyd's sampling of 12 places, one step after another
+_STEP = "('0x' || substr(md5(concat_ws('|', 42, year, overall_pick, {k})), 1, 8))::BIGINT % (pool - 11 + {k})"
+_FLOYD = "f0 AS (SELECT *, CAST([] AS BIGINT[]) AS s FROM sq WHERE pool >= 12)" + "".join(
+    f""",
+  f{k + 1} AS (SELECT * EXCLUDE (s, h), list_append(s, CASE WHEN list_contains(s, h) THEN pool - 12 + {k} ELSE h END) AS s FROM (SELECT *, {_STEP.format(k=k)} AS h FROM f{k}))""" for k in range(12)
+)
+
 _HOT = lambda col, words, prefix: ", ".join(f"CAST({col} = '{w}' AS INT) AS \"{prefix}_{w}\"" for w in words)
 
 SQL = {
@@ -227,4 +246,16 @@ SQL = {
         al AS (SELECT *, 'position' AS stratum FROM drawn UNION ALL
           SELECT r.year, r.month, r.overall_pick, r.negative, 'window' FROM rest r LEFT JOIN (SELECT DISTINCT year, month, overall_pick AS op FROM drawn) d ON d.year = r.year AND d.month = r.month AND d.op = r.overall_pick WHERE d.op IS NULL OR r.place <= 19)
         SELECT year, month, overall_pick, stratum, count(*) AS n, CAST(sum(negative) AS BIGINT) AS s FROM al GROUP BY 1, 2, 3, 4""",
+    "position_competition_rank_year": f"""WITH {ORDER_PICKS}, {_QUALITY},
+        c AS (SELECT a.id, count(*) AS n, count(*) FILTER (b.quality > a.quality) AS better FROM quality a JOIN quality b ON a.year = b.year AND a.position = b.position AND b.overall_pick >= a.overall_pick GROUP BY 1)
+        SELECT id, CASE WHEN n > 1 THEN round(1 - better / n::DOUBLE, 4) ELSE 1.0 END AS pos_quality_rank FROM c""",
+    "stratified_negatives_year": f"""WITH {ORDER_PICKS}, p AS (SELECT * FROM picks WHERE round <= 4),
+        sq AS (SELECT year, position, overall_pick, row_number() OVER (PARTITION BY year ORDER BY overall_pick) AS place, row_number() OVER (PARTITION BY year, position ORDER BY overall_pick) AS seq,
+          count(*) OVER (PARTITION BY year, position) - row_number() OVER (PARTITION BY year, position ORDER BY overall_pick) AS pool FROM p),
+        {_FLOYD}, asked AS (SELECT year, position, overall_pick, seq + 1 + unnest(s) AS target FROM f12),
+        drawn AS (SELECT a.year, a.overall_pick, b.overall_pick AS negative FROM asked a JOIN sq b ON a.year = b.year AND a.position = b.position AND a.target = b.seq),
+        near AS (SELECT a.year, a.overall_pick, a.pool, b.overall_pick AS negative FROM sq a JOIN sq b ON a.year = b.year AND b.place BETWEEN a.place + 1 AND a.place + 31),
+        rest AS (SELECT n.*, row_number() OVER (PARTITION BY year, overall_pick ORDER BY negative) AS nth FROM near n ANTI JOIN drawn USING (year, overall_pick, negative)),
+        al AS (SELECT *, 'position' AS stratum FROM drawn UNION ALL SELECT year, overall_pick, negative, 'window' FROM rest WHERE pool < 12 OR nth <= 19)
+        SELECT year, overall_pick, stratum, count(*) AS n, CAST(sum(negative) AS BIGINT) AS s FROM al GROUP BY 1, 2, 3""",
 }
