@@ -72,6 +72,17 @@ def reciprocal_fusion(lists: list[DataFrame], key: str, k: int, constant: int =
     return fused.orderBy(F.desc("score"), key).limit(k)
 
 
+def reciprocal_fusion_by(lists: list[DataFrame], by: str, key: str, k: int, constant: int = 60) -> DataFrame:
+    """by, key, score: as ``reciprocal_fusion`` over lists (by, key, rank), the k best keys of each ``by``."""
+    union = None
+    for x in lists:
+        part = x.groupBy(by, key).agg(F.min("rank").alias("rank"))
+        union = part if union is None else union.unionByName(part)
+    fused = union.groupBy(by, key).agg(F.round(F.sum(1 / (F.col("rank") + constant)), 9).alias("score"))
+    place = F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), key))
+    return fused.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
 def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     """Adds ``rank`` to a short list."""
     return df.withColumn("rank", F.row_number().over(W.orderBy(*order)))

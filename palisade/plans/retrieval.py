@@ -35,6 +35,18 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.reciprocal_fusion([near, text], "key", 10)
 
 
+def hybrid_rrf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten fused documents for every vector whose id is divisible by 20: lists of max(3k, 15), text ranks over all documents."""
+    e, k = table(spark, sf_dir, "embeddings"), 10
+    fetch = max(3 * k, 15)
+    queries = e.where("vec_id % 20 = 0")
+    near = retrieval.cosine_topk(queries, e, fetch).select("query_id", F.col("id").alias("key"), F.col("place").alias("rank"))
+    text = retrieval.fulltext_rank(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS, fetch)
+    text = retrieval.ranked(text, [F.desc("score"), F.asc("doc_id")]).select(F.col("doc_id").alias("key"), "rank")
+    text = queries.select(F.col("vec_id").alias("query_id")).crossJoin(F.broadcast(text))  # at most 30 rows
+    return retrieval.reciprocal_fusion_by([near, text], "query_id", "key", k)
+
+
 def pro_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of label 0 with their three nearest among label 1."""
     e = table(spark, sf_dir, "embeddings")
@@ -108,7 +120,7 @@ def game_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cosine_topk, fulltext_rank, bm25_rank, hybrid_rrf, pro_comparison, prospect_documents, session_last_n, session_overflow, session_counts,
+    cosine_topk, fulltext_rank, bm25_rank, hybrid_rrf, hybrid_rrf_all, pro_comparison, prospect_documents, session_last_n, session_overflow, session_counts,
     repeat_call_detection, breaker_sliding_failures, breaker_states, stream_tumbling, stream_sliding, stream_session, stat_history_upsert, game_log_totals,
 )}
 
@@ -130,6 +142,11 @@ SQL = {
         x AS ({_TEXT} AND doc_id IN (SELECT vec_id FROM embeddings)), y AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x),
         u AS (SELECT * FROM v WHERE rank <= 15 UNION ALL SELECT * FROM y WHERE rank <= 15)
         SELECT key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY 1 ORDER BY score DESC, key LIMIT 10""",
+    "hybrid_rrf_all": f"""WITH {_CNT}, v AS (SELECT a.vec_id AS query_id, b.vec_id AS key, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+        x AS ({_TEXT}), y AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x),
+        u AS (SELECT * FROM v WHERE rank <= 30 UNION ALL SELECT vec_id, y.key, y.rank FROM embeddings, y WHERE vec_id % 20 = 0 AND y.rank <= 30),
+        f AS (SELECT query_id, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY 1, 2),
+        p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS place FROM f) SELECT query_id, key, score FROM p WHERE place <= 10""",
     "pro_comparison": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND a.label = 0 AND b.label = 1),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s) SELECT query_id, id, score FROM r WHERE place <= 3""",
     "prospect_documents": f"""WITH {PROSPECTS}, p AS (SELECT *, CASE WHEN id % 3 <> 0 THEN ppg - (id % 7 - 3) / 10.0::DOUBLE END AS prev, id % 40 + 165 AS height,
