@@ -13,8 +13,8 @@ from .profiles import _QUALITY
 BLEND = 0.6
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where("round <= 2")
+def _ranked(spark: SparkSession, sf_dir: str, rounds: int = 2) -> DataFrame:
+    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where(F.col("round") <= rounds)
     p = evaluate.with_candidates(p, ["year"], 31, ["quality", "ppg"])
     model = lambda q, g: F.round(BLEND * q + (1 - BLEND) * g / 5, 6)
     return p.withColumns(
@@ -27,12 +27,12 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def topk_mrr_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.breakdown(_ranked(spark, sf_dir).withColumn("round", F.col("round").cast("string")), "rank", ["round", "league"])
+def topk_mrr_breakdown(spark: SparkSession, sf_dir: str, rounds: int = 2) -> DataFrame:
+    return evaluate.breakdown(_ranked(spark, sf_dir, rounds).withColumn("round", F.col("round").cast("string")), "rank", ["round", "league"])
 
 
-def baseline_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _ranked(spark, sf_dir)
+def baseline_lift(spark: SparkSession, sf_dir: str, rounds: int = 2) -> DataFrame:
+    r = _ranked(spark, sf_dir, rounds)
     model = r.agg(*evaluate.hit_metrics(F.col("rank")))
     rows = [("consensus", evaluate.hit_metrics(F.col("css"))), ("production", evaluate.hit_metrics(F.col("prod"))), ("random", evaluate.random_baseline(F.col("pool")))]
     out = None
@@ -43,16 +43,16 @@ def baseline_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.crossJoin(m).select("baseline", *[c for c in ("top1", "top3", "top5", "mrr")], *[F.round(F.col(f"m_{c}") - F.col(c), 6).alias(f"lift_{c}") for c in ("top1", "top3", "top5", "mrr")])
 
 
-def cross_year_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    years = _ranked(spark, sf_dir).groupBy("year").agg(*evaluate.hit_metrics(F.col("rank")))
+def cross_year_summary(spark: SparkSession, sf_dir: str, rounds: int = 2) -> DataFrame:
+    years = _ranked(spark, sf_dir, rounds).groupBy("year").agg(*evaluate.hit_metrics(F.col("rank")))
     long = years.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in ("top1", "top3", "mrr")])))
     r = lambda f: F.round(f("v"), 6)
     return long.groupBy("metric").agg(r(F.avg).alias("mean"), r(F.stddev_pop).alias("std"), r(F.min).alias("low"), r(F.max).alias("high"), F.count("*").alias("n"))
 
 
-def blend_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def blend_sweep(spark: SparkSession, sf_dir: str, rounds: int = 1) -> DataFrame:
     """Metrics of eleven blends of rank and production; the first by top-1 is the best."""
-    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where("round = 1")
+    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where(F.col("round") <= rounds)
     p = evaluate.with_candidates(p, ["year"], 31, ["quality", "ppg"])
     p = p.withColumn("w", F.explode(F.array(*[F.lit(i / 10) for i in range(11)])))
     score = lambda q, g: F.round(F.col("w") * q + (1 - F.col("w")) * g / 5, 6)
@@ -79,8 +79,8 @@ def conformal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.conformal_sets(rows, "grp", "score", evaluate.conformal_quantiles(rows, "grp", "quality", "score"), 0.10).select("doc_id", "grp", "nc", "in_set")
 
 
-def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where("round = 1").select("id", "quality", "ppg", F.col("overall_pick").cast("double").alias("slot"))
+def linear_attribution(spark: SparkSession, sf_dir: str, rounds: int = 1) -> DataFrame:
+    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where(F.col("round") <= rounds).select("id", "quality", "ppg", F.col("overall_pick").cast("double").alias("slot"))
     means = p.agg(*[F.avg(c).alias(f"mean_{c}") for c in ("quality", "ppg", "slot")])
     return evaluate.linear_attribution(p, "id", {"quality": 1.5, "ppg": 0.4, "slot": -0.001}, means, top=2)
 
@@ -146,9 +146,23 @@ def dq_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.passed(dq_ingestion(spark, sf_dir).unionByName(dq_training(spark, sf_dir)))
 
 
+def _all_rounds(query):
+    """``query`` over the rounds that the reference's backtests take."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir, rounds=4)
+
+    run.__name__ = f"{query.__name__}_rounds4"
+    run.__doc__ = f"As {query.__name__}, rounds 1 to 4."
+    return run
+
+
+ROUNDS4 = [_all_rounds(f) for f in (topk_mrr_breakdown, baseline_lift, cross_year_summary, blend_sweep, linear_attribution)]
+
 QUERIES = {f.__name__: f for f in (
     topk_mrr_breakdown, baseline_lift, cross_year_summary, blend_sweep, ndcg_at_1, conformal_quantiles, conformal_sets, linear_attribution,
     pairwise_ranker_cv, js_categorical, js_numeric, rank_drift, dq_ingestion, dq_training, dq_model_gate, dq_rollup,
+    *ROUNDS4,
 )}
 
 _PAIRS = f"""{ORDER_PICKS}, {_QUALITY}, e AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY overall_pick) AS s FROM quality WHERE round <= 2),
@@ -212,3 +226,4 @@ SQL = {
         SELECT 'model_metric_gate' AS "check", 0.1361::DOUBLE AS value, 'PASS' AS status UNION ALL SELECT 'feature_dominance', round(max(k) / sum(k), 4), CASE WHEN max(k) / sum(k) > 0.60 THEN 'WARN' ELSE 'PASS' END FROM s""",
     "dq_rollup": f"""WITH {_T}, r AS ({_DQ_TR} UNION ALL {_DQ_IN}) SELECT count(*) FILTER (status = 'FAIL') = 0 AS passed, count(*) AS n_checks, count(*) FILTER (status = 'WARN') AS n_warn, count(*) FILTER (status = 'FAIL') AS n_fail FROM r""",
 }
+SQL |= {f.__name__: SQL[f.__name__.removesuffix("_rounds4")].replace("WHERE round <= 2", "WHERE round <= 4").replace("WHERE round = 1", "WHERE round <= 4") for f in ROUNDS4}
