@@ -56,8 +56,15 @@ def bucket(rows: int, per_bucket: int) -> int:
     return max(1, -(-rows // per_bucket))
 
 
+#: Words and pre-tokens longer than this (bytes or characters) are never sent to all workers.
+LONGEST = 64
+
+
 def merged(parts: DataFrame, fan_in: int = 16):
-    """Sum of pickled tuples of arrays, one row each, by a tree of ``fan_in``; None for no rows."""
+    """Sum of pickled tuples of arrays, one row each, by a tree of ``fan_in``; None for no rows.
+
+    At most ``fan_in`` sums of one fixed size reach the driver, all in one job.
+    """
 
     def add(rows):
         total = None
@@ -69,5 +76,5 @@ def merged(parts: DataFrame, fan_in: int = 16):
     rdd = parts.rdd.map(lambda r: r[0])
     while rdd.getNumPartitions() > fan_in:
         rdd = rdd.mapPartitions(add).repartition(-(-rdd.getNumPartitions() // fan_in))
-    got = add(rdd.mapPartitions(add).toLocalIterator())
+    got = add(rdd.mapPartitions(add).collect())
     return pickle.loads(got[0]) if got else None

@@ -18,9 +18,10 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import text_or_empty
+from .common import LONGEST, text_or_empty
 
-#: Entries of the broadcast table, and of what one partition or merge passes on.
+#: Entries of the broadcast table, and of what one partition or merge passes on: none is longer than ``LONGEST``
+#: characters, so the table has at most 17 MB of text.
 FREQUENT = 65_536
 #: Entries that a worker's cache or a partition's running count may hold.
 BOUND = 400_000
@@ -55,16 +56,16 @@ def _trimmed(counts: Counter, size: int) -> Counter:
 def frequent_pre_tokens(df: DataFrame, text: str = "text", size: int = FREQUENT, fan_in: int = 16) -> list[str]:
     """About the ``size`` most frequent pre-tokens of all texts, by a tree of bounded summaries.
 
-    A partition counts all its pre-tokens, dropping the rarest half of its entries
+    A partition counts all its pre-tokens of up to ``LONGEST`` characters, dropping the rarest half of its entries
     whenever ``BOUND`` is passed, and hands on ``size`` of them; ``fan_in`` summaries merge into one per
-    level, the last on the driver. Which entries are kept decides speed alone.
+    level, the last of at most ``fan_in`` on the driver. Which entries are kept decides speed alone.
     """
 
     def summary(batches):
         counts: Counter = Counter()
         for batch in batches:
             for x in batch.column(0):
-                counts.update(pre_tokens(x.as_py()))
+                counts.update(p for p in pre_tokens(x.as_py()) if len(p) <= LONGEST)
                 if len(counts) > BOUND:
                     counts = _trimmed(counts, BOUND // 2)
         yield pa.RecordBatch.from_pydict({"summary": [pickle.dumps(dict(_trimmed(counts, size)))]})
@@ -79,7 +80,7 @@ def frequent_pre_tokens(df: DataFrame, text: str = "text", size: int = FREQUENT,
     summaries = df.select(text_or_empty(text).alias("text")).mapInArrow(summary, "summary binary").rdd.map(lambda r: bytes(r[0]))
     while summaries.getNumPartitions() > fan_in:
         summaries = summaries.repartition(-(-summaries.getNumPartitions() // fan_in)).mapPartitions(lambda it: [merge(it)])
-    top = merge(summaries.mapPartitions(lambda it: [merge(it)]).toLocalIterator())
+    top = merge(summaries.mapPartitions(lambda it: [merge(it)]).collect())
     return sorted(pickle.loads(top))
 
 
@@ -109,7 +110,7 @@ def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, text: str =
                     cache.update(zip(new, encoder.counts(new), strict=True))
                     totals.append(sum(filter(None, found)) + sum(map(cache.get, missing)))
                     for p in new:  # long ones hardly come again
-                        if len(p) > 64:
+                        if len(p) > LONGEST:
                             del cache[p]
                 else:
                     totals.append(sum(found))
