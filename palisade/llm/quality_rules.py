@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Every rule is a boolean expression over one text that is true where the rule
-rejects. ``plan_cascade`` times each rule and counts its rejections on a bounded
+rejects. ``plan_cascade`` times each rule and counts its rejections on a small
 sample; rules that reject most per second come first, as for independent
 predicates that order costs least. The order only decides how soon a bad text is
 dropped, never whether: the verdict is the disjunction of all rules.
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -79,9 +79,10 @@ def with_features(df: DataFrame, wanted: tuple[str, ...] = COUNTS, text: str = "
     return out
 
 
-def rules_on_features(limits: Limits = Limits(), prefix: str = "") -> dict[str, Column]:
-    """Each rule as a test of columns that ``with_features`` made."""
-    c = lambda name: F.col(prefix + name)
+def rules_on_features(limits: Limits = Limits(), prefix: str = "", late: tuple[str, ...] = ()) -> dict[str, Column]:
+    """Each rule as a test of columns that ``with_features`` made; features named ``late`` are made within the rule itself."""
+    names = {x: f"`{prefix}{x}`" for x in _FEATURES}
+    c = lambda name: F.expr(_FEATURES[name][1].format(**names)) if name in late else F.col(prefix + name)
     low, high = limits.word_chars
     return {
         "few_words": c("n_words") < limits.least_words,
@@ -105,7 +106,7 @@ READS = {
 
 
 def cascade(rules: dict[str, Column], order: list[str]) -> Column:
-    """Name of the first rule, in ``order``, that rejects; null where none does."""
+    """Name of the first rule, in ``order``, that rejects; null where none does. Rules after that one are not evaluated."""
     out = None
     for name in order:
         out = F.when(rules[name], F.lit(name)) if out is None else out.when(rules[name], F.lit(name))
@@ -115,47 +116,50 @@ def cascade(rules: dict[str, Column], order: list[str]) -> Column:
 def plan_cascade(
     df: DataFrame, limits: Limits = Limits(), sample_rows: int = 1000, text: str = "text"
 ) -> tuple[list[str], dict[str, tuple[float, float]]]:
-    """Order of the rules by rejections per second on ``sample_rows`` rows, and (seconds, share rejected) of each.
+    """Order of the rules by rejections per second on a sample, and (seconds, share rejected) of each.
 
-    The sample is bounded, held in executor memory and recomputable. An empty table
-    keeps the rules as declared.
+    Every row is drawn with the same chance, so that about ``sample_rows`` are, at any number of
+    partitions; the sample is a small table of its own. Each rule runs once before it is timed, or the first would
+    pay for what all compile. An empty sample keeps the rules as declared.
     """
-    sample = df.select(F.col(text).cast("string").alias("text")).limit(sample_rows).cache()
-    try:
-        total = sample.count()
-        names = list(rules_on_features(limits))
-        if not total:
-            return names, {}
-        rules = rules_on_features(limits)
-        rejected = with_features(sample).agg(*[F.count_if(rules[x]).alias(x) for x in names]).collect()[0]
-        measured = {}
-        for name in names:
+    rows = df.count()
+    names = list(rules_on_features(limits))
+    if not rows:
+        return names, {}
+    texts = df.select(F.col(text).cast("string").alias("text"))
+    sample = written(texts.sample(min(1.0, sample_rows / rows), 42).repartition(8), "quality-sample")
+    rules = rules_on_features(limits)
+    counted = with_features(sample).agg(F.count("*").alias("rows"), *[F.count_if(rules[x]).alias(x) for x in names]).collect()[0]
+    total = counted["rows"]
+    if not total:
+        return names, {}
+    measured = {}
+    for name in names:
+        for _ in range(2):
             began = time.perf_counter()
             with_features(sample, READS[name]).agg(F.count_if(rules[name])).collect()
-            measured[name] = (time.perf_counter() - began, rejected[name] / total)
-    finally:
-        sample.unpersist()
+            took = time.perf_counter() - began
+        measured[name] = (took, counted[name] / total)
     # a rule that rejected nothing still ranks by cost, below those that did
     order = sorted(names, key=lambda x: (-(measured[x][1] + 0.5 / total) / max(measured[x][0], 1e-6), x))
     return order, measured
 
 
+#: The counts that ``judge`` returns; what else a rule reads is made only where the rules before it let a text pass.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def judge(df: DataFrame, order: list[str], limits: Limits = Limits(), text: str = "text") -> DataFrame:
     """One row per row of ``df``: its counts, base_failed, kept.
 
     Columns out: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, n_lines, n_distinct_words. Null and empty texts have no words and
-    fail the base; repeated rows are judged each; other columns of ``df`` are not read.
+    base_failed, kept. Null and empty texts have no words and fail the base; repeated rows are
+    judged each; other columns of ``df`` are not read. ``kept`` is the cascade's verdict: the rules are asked in
+    ``order`` and stop at the first that rejects.
     """
-    rows = with_features(df.select("doc_id", F.col(text).alias("text")))
-    rules = rules_on_features(limits)
-    first = cascade(rules, order)
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (rules["few_words"] | rules["repeats"]).alias("base_failed"),
-        first.isNull().alias("kept"),
-        "n_lines", "n_distinct_words",
-    )
+    rows = with_features(df.select("doc_id", F.col(text).alias("text")), REPORTED)
+    rules = rules_on_features(limits, late=tuple(x for x in COUNTS if x not in REPORTED))
+    return rows.select("doc_id", *REPORTED, (rules["few_words"] | rules["repeats"]).alias("base_failed"), cascade(rules, order).isNull().alias("kept"))
 
 
 def keep_good(df: DataFrame, order: list[str], limits: Limits = Limits(), text: str = "text") -> DataFrame:

@@ -103,7 +103,7 @@ WITH docs AS (
          CAST(len(ln) AS BIGINT) AS n_lines, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct_words
   FROM split LEFT JOIN repeats USING (rid)
 )
-SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 20 * n_words
             OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_distinct_words < 30 * least(n_words, 1000)
             OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
@@ -111,7 +111,6 @@ FROM counts
 """
 
 
-
 def _jump_sql(shards: int) -> str:
     """The chain of jumps as one number, 64 * shard + next; all ``shards`` steps of it."""
     u = "(('0x' || substr(md5(key || ':' || i), 1, 8))::BIGINT + 1.0::DOUBLE) / 4294967296.0::DOUBLE"
@@ -133,7 +132,7 @@ WITH table_crc AS (
   FROM bytes, table_crc
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
-       row_number() OVER (PARTITION BY shard ORDER BY md5(key || ':slot')[1:8], doc_id NULLS LAST, text_crc32, size) - 1 AS slot
+       row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws(':', key, 'slot', text_crc32, size))[1:8], doc_id NULLS LAST, text_crc32, size) - 1 AS slot
 FROM rows
 """
 

@@ -49,7 +49,7 @@ def shard_documents(df: DataFrame, shards: int = 16, rows_per_bucket: int = 256,
 
     ``law`` is ``key``: doc_id and the number of shards decide, so rows with equal ids share a
     shard and null ids are one key. ``size`` is the UTF-8 length plus 1 (null text: 1, crc 0).
-    ``slot`` numbers the rows of a shard from 0 without gaps, in order of a digest of the key:
+    ``slot`` numbers the rows of a shard from 0 without gaps, in order of a digest of key, text_crc32 and size:
     rows are ranked inside small ranges of digests and shifted by the running count of the
     ranges before, so no shard is ever sorted as a whole. Rows that tie in a rank are identical. ``grown_shard`` is the shard
     among one more.
@@ -58,7 +58,9 @@ def shard_documents(df: DataFrame, shards: int = 16, rows_per_bucket: int = 256,
     key = key_text("doc_id")
     total = df.count()
     buckets = bucket(total, rows_per_bucket * shards)
-    place = F.conv(F.substring(F.md5(F.concat(key, F.lit(":slot")).cast("binary")), 1, 8), 16, 10).cast("long")
+    # the text has a part in the digest, so that the rows of one key (null ids, say) lie in many ranges
+    row = F.concat_ws(":", key, F.lit("slot"), F.crc32(raw.cast("binary")).cast("string"), (F.octet_length(raw) + 1).cast("string"))
+    place = F.conv(F.substring(F.md5(row.cast("binary")), 1, 8), 16, 10).cast("long")
     spread = F.shiftright(place * F.lit(buckets).cast("long"), 32).cast("int")
     rows = df.select(
         "doc_id",
