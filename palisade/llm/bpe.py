@@ -102,15 +102,15 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", bytes_per_bucket
                 decoded = by_id.take(ids.astype(np.int64)).flat.tobytes()
                 texts.append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())],
+                [doc_ids, pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
         return end
 
     return look_up(
-        raw, table, buckets, prepare, finish, df.schema["doc_id"].dataType.simpleString(),
-        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", **how,
+        raw, table, buckets, prepare, finish,
+        f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", **how,
     )
 
 

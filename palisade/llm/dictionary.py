@@ -3,7 +3,7 @@
 The table is dealt in buckets by a hash of the word. Words travel packed: one row holds
 the words that one task has for one bucket, so a word costs a few bytes of shuffle and a
 task sends each of its words once. Lookups go two ways: the most frequent words (a fixed
-number) are sent to every worker; the others are asked for by blocks of documents, each
+number of them, none long) are sent to every worker; the others are asked for by blocks of documents, each
 block asking each bucket once, and the answers meet the block's documents again.
 """
 
@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import merged, written
+from .common import LONGEST, merged, written
 
-#: Words that every worker holds.
+#: Words that every worker holds: with at most ``LONGEST`` bytes each, 17 MB of text.
 FREQUENT = 262_144
-#: Entries of a task's running count or of a block's rare words before they are passed on.
-BOUND = 500_000
+#: Entries of a task's running count or of a block's rare words before they are passed on, and their bytes.
+BOUND, BOUND_BYTES = 500_000, 32 << 20
 BLOCK_RARE, BLOCK_WORDS, CHUNK = 60_000, 1_000_000, 128
-#: Words of one row of the table.
-ROW_WORDS = 16_384
+#: Words of one row of the table, and their bytes unless it is one word.
+ROW_WORDS, ROW_BYTES = 16_384, 4 << 20
 _LEVELS = 4096
 
 
@@ -51,6 +51,11 @@ def pack_words(words: list[bytes]) -> bytes:
     return len(lengths).to_bytes(4, "little") + lengths + zlib.compress(b"".join(words), 1)
 
 
+def word_lengths(blob: bytes) -> np.ndarray:
+    """Bytes of each word of ``pack_words``."""
+    return unpack_numbers(blob[4 : 4 + int.from_bytes(blob[:4], "little")]).astype(np.int64)
+
+
 def unpack_words(blob: bytes) -> list[bytes]:
     n = int.from_bytes(blob[:4], "little")
     ends = np.cumsum(unpack_numbers(blob[4 : 4 + n])).astype(np.int64).tolist()
@@ -93,9 +98,8 @@ def bucket_of(words: list[bytes], buckets: int) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
 
 
-def by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places of its words) for every bucket that has any."""
-    at = bucket_of(words, buckets)
+def by_bucket(words: list[bytes], at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its words) for every bucket that has any; ``at`` has the bucket of each word."""
     order = np.argsort(at, kind="stable")
     cuts = np.flatnonzero(np.diff(at[order])) + 1
     for part in np.split(order, cuts):
@@ -116,26 +120,34 @@ def word_table(texts: DataFrame, split: Callable[[bytes], list[bytes]], values:
         def rows():
             words = list(counts)
             numbers = np.fromiter(counts.values(), np.uint64, len(words))
-            got = [(b, pack_words([words[i] for i in part]), pack_numbers(numbers[part])) for b, part in by_bucket(words, buckets)]
+            got = [(b, pack_words([words[i] for i in part]), pack_numbers(numbers[part])) for b, part in by_bucket(words, bucket_of(words, buckets))]
             counts.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[i] for x in got], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "words", "counts"]
             )
 
+        read = 0
         for batch in batches:
             for x in batch.column(0):
-                counts.update(split(x.as_py()))
-                if len(counts) > BOUND:
+                raw = x.as_py()
+                counts.update(split(raw))
+                read += len(raw)
+                if len(counts) > BOUND or read > BOUND_BYTES and sum(map(len, counts)) > BOUND_BYTES:
                     yield rows()
+                    read = 0
+                elif read > BOUND_BYTES:
+                    read = 0
         yield rows()
 
     def gather(batches):
         counts: Counter = Counter()
 
         def rows(b):
-            words = sorted(counts)
-            for i in range(0, len(words), ROW_WORDS):
-                part = words[i : i + ROW_WORDS]
+            words, i = sorted(counts), 0
+            while i < len(words):
+                end = int(np.searchsorted(np.cumsum(np.fromiter(map(len, words[i : i + ROW_WORDS]), np.int64)), ROW_BYTES)) + 1
+                part = words[i : i + min(end, ROW_WORDS)]
+                i += len(part)
                 numbers = np.fromiter((counts[w] for w in part), np.uint64, len(part))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in (pack_words(part), pack_numbers(numbers), values(part, numbers).packed()))],
@@ -177,18 +189,24 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 
 def frequent_words(table: DataFrame, size: int = FREQUENT) -> tuple[list[bytes], Ragged]:
-    """The words of highest count, as many whole levels of counts as fit in ``size``, most frequent first, and their answers."""
+    """The words of highest count that are not longer than ``LONGEST``, as many whole levels of counts as fit in ``size``,
+    most frequent first, and their answers."""
+
+    def short(words, counts):
+        numbers = unpack_numbers(counts)
+        return numbers, word_lengths(words) <= LONGEST
 
     def histogram(batches):
         import pickle
 
         total = np.zeros(_LEVELS + 1024)
         for batch in batches:
-            for x in batch.column("counts"):
-                total += np.bincount(_levels(unpack_numbers(x.as_py())), minlength=len(total))
+            for words, counts in zip(batch.column("words"), batch.column("counts"), strict=True):
+                numbers, fits = short(words.as_py(), counts.as_py())
+                total += np.bincount(_levels(numbers[fits]), minlength=len(total))
         yield pa.RecordBatch.from_pydict({"part": [pickle.dumps((total,))]})
 
-    got = merged(table.select("counts").mapInArrow(histogram, "part binary"))
+    got = merged(table.select("words", "counts").mapInArrow(histogram, "part binary"))
     if got is None:
         return [], Ragged.of([])
     above = np.cumsum(got[0][::-1])[::-1]  # words at this level or higher
@@ -197,8 +215,8 @@ def frequent_words(table: DataFrame, size: int = FREQUENT) -> tuple[list[bytes],
     def pick(batches):
         for batch in batches:
             for words, counts, answers in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                numbers = unpack_numbers(counts)
-                places = np.flatnonzero(_levels(numbers) >= least)
+                numbers, fits = short(words, counts)
+                places = np.flatnonzero((_levels(numbers) >= least) & fits)
                 if len(places):
                     all_words = unpack_words(words)
                     chosen = [all_words[i] for i in places.tolist()]
@@ -222,11 +240,13 @@ def look_up(
     buckets: int,
     prepare: Callable[[], Callable],
     finish: Callable[[], Callable],
-    id_kind: str,
     out_kind: str,
     frequent: int = FREQUENT,
+    more: DataFrame | None = None,
+    place: Callable[[list[bytes]], np.ndarray] | None = None,
+    probe: Callable[[bytes, list[bytes]], np.ndarray] | None = None,
 ) -> DataFrame:
-    """Answers for every word of every row of ``df`` (doc_id, text as binary), rows finished as ``out_kind``.
+    """Answers for every word of every row of ``df`` (doc_id of any type, text as binary), rows finished as ``out_kind``.
 
     ``prepare()`` gives, once per task, a function of a list of texts that returns (their lists
     of words, a number for each text); ``finish()`` one of (doc_ids, numbers, codes, Ragged) -> record batch, where ``codes`` has an array for
@@ -235,7 +255,11 @@ def look_up(
     The documents are read twice, once for the questions and once for what the answers go
     into; block numbers follow the partitions of ``df``, so ``df`` must be a scan of a table. A block whose two
     readings differ is found by a checksum and stops the job.
+
+    ``more`` (bucket, answers) has rows of another kind, in buckets of their own: ``probe(answers, words)`` gives
+    one number for each word that ``place`` sends there (``place`` gives the buckets of all words).
     """
+    place = place or (lambda ws: bucket_of(ws, buckets))
     words, answers = frequent_words(table, frequent)
     shared = df.sparkSession.sparkContext.broadcast((words, answers.lengths, answers.flat))
     n_frequent = len(words)
@@ -245,16 +269,16 @@ def look_up(
         split = prepare()
         base, block = 0, 0
         rare: dict[bytes, int] = {}
-        held, seen = [], 0  # documents of this block
+        held, seen, rare_bytes = [], 0, 0  # documents of this block
 
         def rows():
-            nonlocal block, seen
+            nonlocal block, seen, rare_bytes
             words, check = list(rare), zlib.crc32(b"\0".join(rare))
             number = base + block
-            block, seen = block + 1, 0
+            block, seen, rare_bytes = block + 1, 0, 0
             rare.clear()
             if questions:
-                got = [(number, b, check, pack_numbers(part), pack_words([words[i] for i in part])) for b, part in by_bucket(words, buckets)]
+                got = [(number, b, check, pack_numbers(part), pack_words([words[i] for i in part])) for b, part in by_bucket(words, place(words))]
                 return pa.RecordBatch.from_arrays(
                     [pa.array([x[i] for x in got], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
                     names=["block", "bucket", "sum", "places", "words"],
@@ -282,29 +306,37 @@ def look_up(
                     if None in codes:
                         for k, c in enumerate(codes):
                             if c is None:
+                                rare_bytes += 0 if ws[k] in rare else len(ws[k])
                                 codes[k] = n_frequent + rare.setdefault(ws[k], len(rare))
                     if not questions:
                         held.append((doc_id, number, np.array(codes, np.int64)))
                     seen += len(ws)
-                    if len(rare) > BLOCK_RARE or seen > BLOCK_WORDS:
+                    if len(rare) > BLOCK_RARE or seen > BLOCK_WORDS or rare_bytes > BOUND_BYTES:
                         yield rows()
         if seen or held or rare:
             yield rows()
 
     def reply(batches):
-        known, now, at, parts, size = {}, None, 0, [], 0
-        values = None
+        known, now, parts, size = {}, None, [], 0
+        values = blob = None
         for batch in batches:
             out = []
             for b, is_question, block, check, places, words, answers in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if b != now:
-                    known, now, parts, size, values = {}, b, [], 0, None
+                    known, now, parts, size, values, blob = {}, b, [], 0, None, None
+                if not is_question and words is None:
+                    blob = answers
+                    continue
                 if not is_question:
                     got = unpack_words(words)
                     known.update(zip(got, range(size, size + len(got))))
                     parts.append(Ragged.unpacked(answers))
                     size += len(got)
                     continue
+                if blob is not None:
+                    told = probe(blob, unpack_words(words))
+                    out.append((block, check, places, Ragged(np.ones(len(told), np.int64), told).packed()))
+                    continue
                 if values is None:  # the table's rows come first; one empty row more for words it lacks
                     values = Ragged(np.concatenate([*(p.lengths for p in parts), [0]]), np.concatenate([*(p.flat for p in parts), np.zeros(0, np.int64)]))
                 found = values.take(np.fromiter((known.get(w, size) for w in unpack_words(words)), np.int64))
@@ -332,6 +364,7 @@ def look_up(
                     if parts:
                         got = Ragged(np.concatenate([p.lengths for p in parts]), np.concatenate([p.flat for p in parts]))
                         full = base.join(got.take(np.argsort(np.concatenate(places))))
+                doc_ids = pa.array(doc_ids, id_type(batch))
                 docs = Ragged.unpacked(codes)
                 cuts = (docs.starts + docs.lengths)[:-1]
                 top = int(docs.flat.max()) if len(docs.flat) else -1
@@ -339,18 +372,22 @@ def look_up(
                     raise ValueError("a partition of the documents differs between its two readings")
                 yield end(doc_ids, numbers, np.split(docs.flat, cuts), full)
 
-    kind = pa.from_numpy_dtype(np.dtype(np.int64)) if id_kind == "bigint" else None
-    if kind is None:
-        raise TypeError("doc_id must be a long")
+    id_type = lambda batch: batch.schema.field("doc_ids").type.value_type
+    ids = f"array<{df.schema['doc_id'].dataType.simpleString()}>"
     rows = df.select("doc_id", "text", F.spark_partition_id().alias("part"))  # of the scan, whatever stage it ends in
     asked = rows.mapInArrow(lambda it: blocks(it, True), "block bigint, bucket int, sum bigint, places binary, words binary")
     none = F.lit(None)
     both = table.select(
         "bucket", F.lit(False).alias("is_question"), none.cast("bigint").alias("block"), none.cast("bigint").alias("sum"), none.cast("binary").alias("places"), "words", "answers"
-    ).unionByName(asked.select("bucket", F.lit(True).alias("is_question"), "block", "sum", "places", "words", none.cast("binary").alias("answers")))
+    )
+    if more is not None:
+        both = both.unionByName(more.select(
+            "bucket", F.lit(False).alias("is_question"), *[none.cast(t).alias(c) for c, t in (("block", "bigint"), ("sum", "bigint"), ("places", "binary"), ("words", "binary"))], "answers"
+        ))
+    both = both.unionByName(asked.select("bucket", F.lit(True).alias("is_question"), "block", "sum", "places", "words", none.cast("binary").alias("answers")))
     replies = both.repartition("bucket").sortWithinPartitions("bucket", "is_question").mapInArrow(reply, "block bigint, sum bigint, places binary, answers binary")
-    told = rows.mapInArrow(lambda it: blocks(it, False), "block bigint, sum bigint, doc_ids array<bigint>, numbers array<double>, codes binary")
+    told = rows.mapInArrow(lambda it: blocks(it, False), f"block bigint, sum bigint, doc_ids {ids}, numbers array<double>, codes binary")
     all_rows = told.select("*", none.cast("binary").alias("places"), none.cast("binary").alias("answers")).unionByName(
-        replies.select("block", "sum", none.cast("array<bigint>").alias("doc_ids"), none.cast("array<double>").alias("numbers"), none.cast("binary").alias("codes"), "places", "answers")
+        replies.select("block", "sum", none.cast(ids).alias("doc_ids"), none.cast("array<double>").alias("numbers"), none.cast("binary").alias("codes"), "places", "answers")
     )
     return all_rows.repartition("block").sortWithinPartitions("block", F.col("codes").isNotNull()).mapInArrow(meet, out_kind)

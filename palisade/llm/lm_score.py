@@ -3,8 +3,9 @@
 The counts of all words and word pairs of the training texts are quantised to powers of
 two: an n-gram with count c enters the filter once for each level 1 .. 1 + floor(log2 c).
 Asking for level after level until one is missing gives the quantised count back, never
-too low. The filter is dealt in segments by a hash of the n-gram; tasks fill segments, workers get
-them in broadcasts of bounded size. P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu) with
+too low. The filter is dealt in segments by a hash of the n-gram, which tasks fill. A filter of up to
+``BROADCAST_BYTES`` is broadcast to the workers; of a larger one every segment stays where it is and
+the n-grams of blocks of documents are sent to it, with equal scores. P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu) with
 P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). Exact word counts for the base score come from a table of
 distinct words.
 """
@@ -19,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket, text_or_empty, written
-from .dictionary import Ragged, look_up, pack_numbers, totals, unpack_numbers, word_table
+from .dictionary import Ragged, bucket_of, look_up, pack_numbers, totals, unpack_numbers, word_table
 
 #: No word holds white space, so this stands for the end of a text.
 END = b"\n"
 #: Bits of filter per training token (most tokens start a pair that is new), and membership bits per level.
 BITS_PER_TOKEN, PROBES = 5, 3
-#: Training tokens per segment, bytes of one broadcast, levels at most.
-SEGMENT_TOKENS, BROADCAST_BYTES, LEVELS = 500_000, 256_000_000, 48
+#: Training tokens per segment, bytes of the filter up to which it is broadcast, levels at most.
+SEGMENT_TOKENS, BROADCAST_BYTES, LEVELS = 500_000, 128_000_000, 48
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -70,10 +71,10 @@ def count_at(level: np.ndarray) -> np.ndarray:
 class Segments:
     """Where the bits of an n-gram lie: a segment by its high bits, places inside by mixing in level and probe."""
 
-    def __init__(self, n_tokens: int):
+    def __init__(self, n_tokens: int, bits_per_token: int = BITS_PER_TOKEN):
         self.shift = max(0, (-(-n_tokens // SEGMENT_TOKENS) - 1).bit_length())
         self.n = 1 << self.shift
-        self.bits = 64 * max(1, -(-BITS_PER_TOKEN * n_tokens // (self.n * 64)))
+        self.bits = 64 * max(1, -(-bits_per_token * n_tokens // (self.n * 64)))
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.shift)).astype(np.int64) if self.shift else np.zeros(len(hashes), np.int64)
@@ -141,95 +142,125 @@ def train_filter(texts: DataFrame, segments: Segments) -> DataFrame:
     return written(dealt.mapInArrow(fill, "segment int, bits binary"), "lm-filter")
 
 
+def probe_levels(bits: np.ndarray, hashes: np.ndarray, at: np.ndarray, segments: Segments) -> np.ndarray:
+    """Level of each n-gram: probes level after level while all bits are there. ``at`` is the first bit of its segment in ``bits``."""
+    out = np.zeros(len(hashes), np.int64)
+    rows = np.arange(len(hashes))
+    for level in range(1, LEVELS + 1):
+        for probe in range(PROBES):
+            place = at[rows] + segments.places(hashes[rows], level, probe)
+            rows = rows[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+        if not len(rows):
+            break
+        out[rows] = level
+    return out
+
+
 class Filter:
-    """The filter as broadcasts of at most ``BROADCAST_BYTES``; answers quantised counts."""
-
-    def __init__(self, table: DataFrame, segments: Segments, broadcast_bytes: int = BROADCAST_BYTES):
-        self.segments, self.width = segments, segments.bits // 8
-        per = max(1, broadcast_bytes // self.width)
-        self.parts = []
-        for first in range(0, segments.n, per):
-            n = min(per, segments.n - first)
-            bits = np.zeros((n, self.width), np.uint8)
-            for row in table.where((F.col("segment") >= first) & (F.col("segment") < first + n)).toLocalIterator():
-                bits[row["segment"] - first] = np.frombuffer(row["bits"], np.uint8)
-            self.parts.append((first, n, table.sparkSession.sparkContext.broadcast(bits.reshape(-1))))
+    """The whole filter as one broadcast; answers quantised counts."""
+
+    def __init__(self, table: DataFrame, segments: Segments):
+        self.segments = segments
+        bits = np.zeros((segments.n, segments.bits // 8), np.uint8)
+        for row in table.collect():  # at most BROADCAST_BYTES, as its user sees to
+            bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+        self.shared = table.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """Level of each n-gram: probes level after level while all bits are there."""
-        out = np.zeros(len(hashes), np.int64)
-        of = self.segments.of(hashes)
-        for first, n, shared in self.parts:
-            bits = shared.value
-            at = np.flatnonzero((of >= first) & (of < first + n)) if len(self.parts) > 1 else np.arange(len(hashes))
-            for level in range(1, LEVELS + 1):
-                for probe in range(PROBES):
-                    place = (of[at] - first) * (self.width * 8) + self.segments.places(hashes[at], level, probe)
-                    at = at[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
-                if not len(at):
-                    break
-                out[at] = level
-            if len(self.parts) > 1 and hasattr(shared, "_value"):
-                del shared._value  # a worker holds one part at a time; the next use loads it again
-        return out
+        return probe_levels(self.shared.value, hashes, self.segments.of(hashes) * self.segments.bits, self.segments)
+
 
+def log_probabilities(ones: np.ndarray, pairs: np.ndarray, end: int, starts: np.ndarray, mu: float, base: float) -> np.ndarray:
+    """log10 P of each token of a stream of texts that begin at ``starts``, from the levels of its words and pairs and of the end of a text."""
+    c = count_at(ones)
+    before = np.concatenate([c[:1], c[:-1]])
+    before[starts] = count_at(np.array([end]))[0]
+    both = np.minimum(count_at(pairs), before)
+    return np.log10((both + mu * (c + 0.5) / base) / (before + mu))
 
-def score_texts(df: DataFrame, mu: float = 8.0, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, bytes_per_bucket: int = 2_000_000, **how) -> DataFrame:
+
+def score_texts(
+    df: DataFrame, mu: float = 8.0, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, bytes_per_bucket: int = 2_000_000,
+    bits_per_token: int = BITS_PER_TOKEN, **how,
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    Rows with a crc32 of the id modulo 5 other than 1 train the model; all are scored.
-    Null texts count as empty: one token, the end. Repeated rows count each time. With no training row
-    every word is unknown: N and V are 0 and the base of a token is log10(1).
+    Rows with a crc32 of the id modulo 5 other than 1 train the model; all are scored. doc_id has any type that casts to
+    text; a null one counts as the text ``null``. Null texts count as empty: one token, the end. Repeated rows count each
+    time. With no training row every word is unknown: N and V are 0 and the base of a token is log10(1).
     """
-    raw = df.select("doc_id", text_or_empty(text).cast("binary").alias("text"))
-    training = raw.where(fold_of() != 1).select("text")
+    raw = df.select(F.struct("doc_id", (fold_of() == 1).alias("held_out")).alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
+    training = raw.where(~F.col("doc_id.held_out")).select("text")
     size = raw.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = bucket(size, bytes_per_bucket)
     table = word_table(training, tokens, lambda words, counts: Ragged(np.ones(len(words), np.int64), counts.astype(np.int64)), buckets)
     n, v = totals(table)
     base = n + 0.5 * (v + 1)
-    segments = Segments(n)
-    model = Filter(train_filter(training, segments), segments, broadcast_bytes)
+    segments = Segments(n, bits_per_token)
+    filled = train_filter(training, segments)
+    sent = segments.n * segments.bits // 8 <= broadcast_bytes
+    model = Filter(filled, segments) if sent else None
+    mark = len(END) + 8  # an n-gram is asked for as END and its hash: no word, and no other key, has an END and more
 
     def prepare():
         def split(texts, questions):
             lists = [tokens(x) for x in texts]
-            if questions:
+            if sent and questions:
                 return lists, [0.0] * len(texts)
-            stream = word_hashes([t for x in lists for t in x])
-            ones, pairs = n_grams(stream)
-            distinct, back = np.unique(ones, return_inverse=True)
-            c = count_at(model.levels(distinct))[back]
-            end = count_at(model.levels(_mixed(word_hashes([END]) + _A)))
-            before = np.concatenate([end, c[:-1]])
-            both = np.minimum(count_at(model.levels(pairs)), before)
-            p = (both + mu * (c + 0.5) / base) / (before + mu)
-            starts = np.cumsum([0, *map(len, lists)])[:-1]
-            return lists, np.add.reduceat(np.log10(p), starts).tolist() if len(lists) else []
+            lengths = list(map(len, lists))
+            ones, pairs = n_grams(word_hashes([t for x in lists for t in x]))
+            starts = np.cumsum([0, *lengths])[:-1]
+            if sent:
+                distinct, back = np.unique(ones, return_inverse=True)
+                end = model.levels(_mixed(word_hashes([END]) + _A))[0]
+                logs = log_probabilities(model.levels(distinct)[back], model.levels(pairs), end, starts, mu, base)
+                return lists, np.add.reduceat(logs, starts).tolist() if lists else []
+            raw = [END + ones[i].tobytes() for i in range(len(ones))], [END + pairs[i].tobytes() for i in range(len(pairs))]
+            return [x + raw[0][s : s + k] + raw[1][s : s + k] for x, s, k in zip(lists, starts.tolist(), lengths, strict=True)], [0.0] * len(texts)
 
         return split
 
+    def hashes_of(words):
+        return np.frombuffer(b"".join(w[len(END) :] for w in words), np.uint64)
+
+    def place(words):
+        at = bucket_of(words, buckets)
+        if not sent and (grams := np.array([len(w) == mark and w.startswith(END) for w in words], bool)).any():
+            at[grams] = buckets + segments.of(hashes_of([w for w, is_gram in zip(words, grams, strict=True) if is_gram]))
+        return at
+
+    def probe(bits, words):
+        hashes = hashes_of(words)
+        return probe_levels(np.frombuffer(bits, np.uint8), hashes, np.zeros(len(hashes), np.int64), segments)
+
     def finish():
         state = {}
 
-        def end(doc_ids, numbers, codes, answers):
+        def end(ids, numbers, codes, answers):
             if state.get("for") is not answers:
                 counts = np.zeros(len(answers.lengths))
                 counts[answers.lengths > 0] = answers.flat
-                state.update({"for": answers, "known": counts > 0, "logs": np.log10((counts + 0.5) / base)})
-            held = [zlib.crc32(str("null" if i is None else i).encode()) % 5 == 1 for i in doc_ids]
+                state.update({"for": answers, "counts": counts, "known": counts > 0, "logs": np.log10((counts + 0.5) / base)})
+            if not sent:
+                grams, codes = [np.split(x, 3)[1:] for x in codes], [x[: len(x) // 3] for x in codes]
+                ones, pairs = ([state["counts"][g[k]].astype(np.int64) for g in grams] for k in (0, 1))
+                numbers = [float(log_probabilities(a, b, a[-1], np.zeros(1, int), mu, base).sum()) for a, b in zip(ones, pairs, strict=True)]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(doc_ids, pa.int64()), pa.array(held), pa.array([len(x) for x in codes], pa.int64()),
+                    ids, pa.array([len(x) for x in codes], pa.int64()),
                     pa.array([int(state["known"][x].sum()) for x in codes], pa.int64()), pa.array([n] * len(codes), pa.int64()),
                     pa.array([float(state["logs"][x].sum()) for x in codes], pa.float64()), pa.array(numbers, pa.float64()),
                 ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
         return end
 
-    return look_up(
-        raw, table, buckets, prepare, finish, df.schema["doc_id"].dataType.simpleString(),
-        "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double", **how,
+    more = None if sent else filled.select((F.col("segment") + buckets).alias("bucket"), F.col("bits").alias("answers"))
+    kind = df.schema["doc_id"].dataType.simpleString()
+    out = look_up(
+        raw, table, buckets, prepare, finish,
+        f"doc_id struct<doc_id: {kind}, held_out: boolean>, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+        more=more, place=place, probe=probe, **how,
     )
+    return out.select("doc_id.doc_id", "doc_id.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
