@@ -145,8 +145,8 @@ def word_table(texts: DataFrame, split: Callable[[bytes], list[bytes]], values:
         def rows(b):
             words, i = sorted(counts), 0
             while i < len(words):
-                end = int(np.searchsorted(np.cumsum(np.fromiter(map(len, words[i : i + ROW_WORDS]), np.int64)), ROW_BYTES)) + 1
-                part = words[i : i + min(end, ROW_WORDS)]
+                sizes = np.cumsum(np.fromiter(map(len, words[i : i + ROW_WORDS]), np.int64))
+                part = words[i : i + max(1, int(np.searchsorted(sizes, ROW_BYTES, side="right")))]
                 i += len(part)
                 numbers = np.fromiter((counts[w] for w in part), np.uint64, len(part))
                 yield pa.RecordBatch.from_arrays(

@@ -3,15 +3,18 @@
 Texts and templates are sequences of words (letters and digits, A-Z lower-cased) and of
 their five-word shingles. Windows of shingles, overlapping by half in a text and starting at every
 shingle in a template, get MinHash signatures; windows that share all rows of one band
-name a template. With s the least share of equal shingles of a window, r rows a band and
-b bands, a window is missed with probability (1 - s**r)**b; b is chosen so that this
-stays under a bound. Each retrieved template is then verified exactly: the share of its
-shingles within the passage must reach the threshold.
+name a template. With s the Jaccard index of two windows, r rows a band and
+b bands, the pair is missed with probability (1 - s**r)**b; b is chosen so that this
+stays under a bound at the threshold. A passage in which words were replaced has windows no worse than its mean, so it is
+missed with that probability at most; where words were put in or left out windows shift against each other and
+no such bound holds (the tests measure the recall). Each retrieved template is then verified exactly: the share of its
+shingles within a passage of its own length must reach the threshold.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .license_texts import TEXTS
 
 # Notices of public licenses, name and text.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -134,7 +138,7 @@ def band_keys(signature: np.ndarray, rows: int, window: int) -> np.ndarray:
 class Scanner:
     """Templates with the index of their bands; finds their passages in a list of words."""
 
-    def __init__(self, templates=TEMPLATES, threshold: float = 0.8, rows: int = 2, miss: float = 1e-3):
+    def __init__(self, templates=TEMPLATES + TEXTS, threshold: float = 0.8, rows: int = 2, miss: float = 1e-3):
         self.threshold, self.rows, self.names = threshold, rows, [name for name, _ in templates]
         # a share t of equal shingles among two windows of one size is a Jaccard of t / (2 - t)
         self.n_bands = bands(threshold / (2 - threshold), rows, miss)
@@ -173,36 +177,45 @@ class Scanner:
                         out.setdefault(t, []).append(int(at[i]))
         return out
 
+    def passages(self, t: int, found: list[bytes], low: int, high: int) -> list[tuple[int, int, int]]:
+        """(distinct shingles of template t, first shingle, last shingle) of passages that begin in low .. high, reach the threshold and do not overlap."""
+        wanted, reach = self.shingles[t], len(self.words[t])
+        shingle = {i: tuple(found[i : i + SHINGLE]) for i in range(low, min(len(found) - SHINGLE + 1, high + reach))}
+        hits = [i for i, x in shingle.items() if x in wanted]
+        inside: Counter = Counter()
+        ahead, best, out = 0, None, []
+        for k, start in enumerate(hits):
+            if best is not None and start > best[2]:
+                out.append(best)
+                best = None
+            while ahead < len(hits) and hits[ahead] < start + reach:
+                inside[shingle[hits[ahead]]] += 1
+                ahead += 1
+            n = len(inside)
+            if n >= self.threshold * len(wanted) and (best is None or n > best[0]) and (not out or start > out[-1][2]):
+                best = (n, start, hits[ahead - 1])
+            inside[shingle[start]] -= 1
+            if not inside[shingle[start]]:
+                del inside[shingle[start]]
+        return out if best is None else [*out, best]
+
     def matches(self, raw: bytes) -> list[tuple[str, int, int, float]]:
         """(license, first word, word after the last, containment) of every verified passage, in order."""
         found = words(raw)
         out = set()
         for t, places in self.candidates(found).items():
-            wanted, reach = self.shingles[t], len(self.words[t])
-            done = -1
-            for place in sorted(set(places)):
-                if place <= done:
-                    continue
-                low = max(0, place - reach, done + 1)
-                span = range(low, min(len(found) - SHINGLE + 1, place + reach))
-                hits = [i for i in span if tuple(found[i : i + SHINGLE]) in wanted]
-                # the tightest run of hits, as long as the template, that holds the most of its shingles
-                best = (0, 0, 0)
-                for k, i in enumerate(hits):
-                    part = [j for j in hits[k:] if j < i + reach]
-                    got = len({tuple(found[j : j + SHINGLE]) for j in part})
-                    best = max(best, (got, -i, part[-1]))
-                share = best[0] / len(wanted)
-                if share >= self.threshold:
-                    out.add((self.names[t], -best[1], best[2] + SHINGLE, round(share, 6)))
-                    done = best[2]
+            reach = len(self.words[t])
+            places = np.unique(places)
+            for near in np.split(places, np.flatnonzero(np.diff(places) > reach) + 1):
+                for n, first, last in self.passages(t, found, max(0, int(near[0]) - reach), int(near[-1])):
+                    out.add((self.names[t], first, last + SHINGLE, round(n / len(self.shingles[t]), 6)))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
-def scan(df: DataFrame, templates=TEMPLATES, threshold: float = 0.8, text: str = "text", **how) -> DataFrame:
+def scan(df: DataFrame, templates=TEMPLATES + TEXTS, threshold: float = 0.8, text: str = "text", **how) -> DataFrame:
     """doc_id, licenses (sorted names), matches (license, start, stop, containment) of every row.
 
-    start and stop count words. Null, empty and clean texts have empty arrays; repeated rows are
+    start and stop count words. A license whose text holds another's (the longer BSD text, say) may name both. Null, empty and clean texts have empty arrays; repeated rows are
     scanned each. The templates are a fixed list, so what goes to the workers is bounded by it.
     """
 

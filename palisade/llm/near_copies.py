@@ -1,11 +1,12 @@
-"""Near copies by the Jaccard index of five-word shingles: candidates by MinHash, every link confirmed exactly.
+"""Near copies by the Jaccard index of five-word shingles: candidates by SimHash and MinHash, every link confirmed exactly.
 
 A text is the set of hashes of its runs of five words; texts with one set are one node. Nodes
-that share a band of their MinHash signature are candidates if the signatures also agree in
+whose SimHash over that set lies within a few bits are candidates, as operator 7 links them. At an index of 0.8 two SimHashes
+differ in about 9 of 64 bits, and tables that find such pairs number in the thousands; so nodes that
+share a band of their MinHash signature are candidates too if the signatures also agree in
 enough rows (bands and rows both leave a stated chance of missing a pair at the threshold).
 Candidates form components, each text goes once to the group of its component, and there all pairs
-not yet joined are compared by their whole sets. SimHash serves as little here: a pair at 0.8
-differs in about 9 of 64 bits, and tables that find such pairs number in the thousands.
+not yet joined are compared by their whole sets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 from .licenses import _M, _mixed, bands, shingle_hashes
-from .simhash import classes
+from .simhash import classes, links, majority
 
 #: Rows of a band, and the chance that bands (or the agreement of signatures) miss a pair at the threshold.
 ROWS, MISS = 6, 1e-3
@@ -89,29 +90,30 @@ def spanning(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tupl
 
 
 def _prints(df: DataFrame, text: str, n_hashes: int) -> DataFrame:
-    """doc_id, fp (hash of the shingle set), size (of the set), sketch (a byte per hash function), bands."""
+    """doc_id, fp (hash of the shingle set), sim (its SimHash), size (of the set), sketch (a byte per hash function), bands."""
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            fps, sizes, sketches, keys = [], [], [], []
+            fps, sims, sizes, sketches, keys = [], [], [], [], []
             for x in batch.column(1):
                 s = shingle_set(x.as_py())
                 least = signature(s, n_hashes) if len(s) else None
                 fps.append(xxh64_intdigest(s.tobytes()) if len(s) else 0)
+                sims.append(majority(s))
                 sizes.append(len(s))
                 sketches.append(b"" if least is None else least.astype(np.uint8).tobytes())
                 keys.append([] if least is None else band_keys(least).view(np.int64))
-            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+            fp, sim = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sims))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), fp, pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "size", "sketch", "bands"],
+                [batch.column(0), fp, sim, pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "fp", "sim", "size", "sketch", "bands"],
             )
 
     kind = df.schema["doc_id"].dataType.simpleString()
     rows = df.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, size bigint, sketch binary, bands array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, sim bigint, size bigint, sketch binary, bands array<bigint>")
 
 
 def _with_fp(df: DataFrame, text: str) -> DataFrame:
@@ -162,6 +164,15 @@ def _edges(groups, near_of):
         yield pa.RecordBatch.from_arrays([pa.array(fp[links[:, 0]]), pa.array(fp[links[:, 1]])], names=["a", "b"])
 
 
+def within_radius(nodes: DataFrame, radius: int) -> DataFrame:
+    """a, b: links that span the components of nodes (fp, sim) whose SimHashes are within ``radius`` bits."""
+    heads = written(nodes.groupBy("sim").agg(F.min("fp").alias("head")), "near-sims")
+    same = nodes.select("fp", "sim").join(heads, "sim").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    pairs = links(heads.select(F.col("sim").alias("fp")), radius)
+    a, b = (heads.select(F.col("sim").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab")
+    return same.unionByName(pairs.join(a, "a").join(b, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+
+
 def candidates(nodes: DataFrame, threshold: float, n_hashes: int, split: int = SPLIT) -> DataFrame:
     """a, b: links that span the components of nodes (fp, sketch, bands) with a band in common and sketches alike."""
     least = agreement(threshold, n_hashes)
@@ -171,7 +182,9 @@ def candidates(nodes: DataFrame, threshold: float, n_hashes: int, split: int = S
         return lambda i, rest: (marks[rest] == marks[i]).mean(axis=1) >= least
 
     rows = nodes.select("fp", F.explode("bands").alias("band"))
-    shared = written(rows.withColumn("n", F.count("*").over(W.partitionBy("band"))).where("n > 1"), "near-shared")
+    # counted by map-side sums and joined back: a window would sort all rows of a hot band in one task
+    counts = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-bands")
+    shared = written(rows.join(counts.hint("merge"), "band"), "near-shared")
     shared = shared.join(nodes.select("fp", "sketch").hint("merge"), "fp")
     parts = F.when(F.col("n") > split, F.ceil(F.col("n") / (split // 2))).otherwise(1)
     return _dealt(shared, "band", parts).select("band", "s", "t", "fp", "sketch").mapInArrow(lambda b: _edges(_groups(b, "band"), near_of), "a bigint, b bigint")
@@ -205,29 +218,35 @@ def confirmed(texts: DataFrame, threshold: float, heavy: int = HEAVY) -> DataFra
     return _dealt(texts, "comp", parts).select("comp", "s", "t", "fp", "text").mapInArrow(lambda b: _edges(_groups(b, "comp"), near_of), "a bigint, b bigint")
 
 
-def drop_near_copies(df: DataFrame, text: str = "text", threshold: float = 0.8, split: int = SPLIT, heavy: int = HEAVY) -> DataFrame:
+def drop_near_copies(df: DataFrame, text: str = "text", threshold: float = 0.8, radius: int = 3, split: int = SPLIT, heavy: int = HEAVY) -> DataFrame:
     """One row of each component of texts whose five-word Jaccard index reaches ``threshold``, columns as they were.
 
-    That of the smallest doc_id stays, of rows that tie in it the first by text; rows without a partner all
-    stay. ``df`` is read twice, so it should be a table. Texts are shuffled once, those with candidates once more for
-    the comparison and once for the result.
+    That of the smallest doc_id stays, of rows that tie in it the first by a hash of the text and the text; rows without a
+    partner all stay. ``df`` is read twice, so it should be a table. Only the row of the smallest doc_id of a shingle set can
+    stay, so the texts are shuffled once, by set and doc_id together (a set that a third of all rows have is no hot key), and
+    one for each set at most is ever compared.
     """
     n_hashes = ROWS * bands(threshold, ROWS, MISS)
     prints = written(_prints(df, text, n_hashes), "near-prints")
-    firsts = [F.first(c).alias(c) for c in ("size", "sketch", "bands")]
-    nodes = written(prints.groupBy("fp").agg(F.count("*").alias("n"), *firsts), "near-nodes")
-    found = components(written(candidates(nodes, threshold, n_hashes, split), "near-candidates"))
+    firsts = [F.first(c).alias(c) for c in ("sim", "size", "sketch", "bands")]
+    nodes = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), *firsts), "near-nodes")
+    found = components(written(within_radius(nodes, radius).unionByName(candidates(nodes, threshold, n_hashes, split)), "near-candidates"))
     comps = written(found.select(F.col("node").alias("fp"), F.col("root").alias("comp")), "near-components")
     sized = comps.join(nodes.select("fp", "size"), "fp")
     weights = sized.groupBy("comp").agg(F.sum("size").alias("weight"))
     sized = sized.select("fp", "comp").join(weights, "comp")
-    touched = written(nodes.select("fp", "n").join(sized, "fp", "left").where("n > 1 OR comp IS NOT NULL"), "near-touched")
-    joined = written(_with_fp(df, text).join(touched.hint("merge"), "fp", "left"), "near-joined")
-    texts = joined.where("comp IS NOT NULL").select("fp", "comp", "weight", F.coalesce(F.col("row")[text].cast("string"), F.lit("")).cast("binary").alias("text"))
-    links = written(confirmed(texts.dropDuplicates(["fp"]), threshold, heavy), "near-links")
-    kinds = classes(prints.select("doc_id", "fp"), edges=links)
-    grouped = joined.where("n IS NOT NULL").join(kinds.hint("merge"), "fp", "left")
-    heads = grouped.where(F.col("root").isNotNull() & F.col("row")["doc_id"].eqNullSafe(F.col("component_id")))
-    first = F.row_number().over(W.partitionBy("root").orderBy(F.xxhash64(F.col("row")[text]), F.col("row")[text]))
-    alone = joined.where("n IS NULL").select("row.*").unionByName(grouped.where("root IS NULL").select("row.*"))
-    return alone.unionByName(heads.withColumn("place", first).where("place = 1").select("row.*"))
+    marks = written(nodes.select("fp", "n", "least").join(sized, "fp", "left"), "near-marks")
+    rows, least = _with_fp(df, text).alias("r"), marks.hint("merge").alias("m")
+    is_first = (F.col("r.fp") == F.col("m.fp")) & F.col("r.row")["doc_id"].eqNullSafe(F.col("m.least"))
+    first_rows = written(rows.join(least, is_first).select("r.row", "r.fp", "m.n", "m.comp", "m.weight"), "near-firsts")
+    texts = first_rows.where("comp IS NOT NULL").select("fp", "comp", "weight", F.coalesce(F.col("row")[text].cast("string"), F.lit("")).cast("binary").alias("text"))
+    found = written(confirmed(texts.dropDuplicates(["fp"]), threshold, heavy), "near-links")
+    kinds = classes(prints.select("doc_id", "fp"), edges=found)
+    single = F.col("n") == 1
+    alone = first_rows.where(single & F.col("comp").isNull()).select("row.*")
+    unlinked = first_rows.where(single & F.col("comp").isNotNull()).join(kinds.select("fp"), "fp", "left_anti").select("row.*")
+    k = kinds.hint("merge").alias("k")
+    is_head = (F.col("r.fp") == F.col("k.fp")) & F.col("r.row")["doc_id"].eqNullSafe(F.col("k.component_id"))
+    heads = first_rows.where(~(single & F.col("comp").isNull())).alias("r").join(k, is_head).select("r.row", "k.root")
+    place = F.row_number().over(W.partitionBy("root").orderBy(F.xxhash64(F.col("row")[text]), F.col("row")[text]))
+    return alone.unionByName(unlinked).unionByName(heads.withColumn("place", place).where("place = 1").select("row.*"))

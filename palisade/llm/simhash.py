@@ -27,6 +27,15 @@ TILE = 512
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        part = hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def simhash(raw: bytes, size: int = 3) -> int:
     """Fingerprint of a text (UTF-8): bit set if set in over half of its shingles' hashes; no words: 0."""
     from xxhash import xxh64_intdigest
@@ -36,12 +45,7 @@ def simhash(raw: bytes, size: int = 3) -> int:
         return 0
     join = b" ".join
     grams = zip(*(words[i:] for i in range(size)), strict=False) if len(words) >= size else [words]
-    hashes = np.fromiter((xxh64_intdigest(join(g), 42) for g in grams), np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        part = hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((xxh64_intdigest(join(g), 42) for g in grams), np.uint64))
 
 
 def planes(values: np.ndarray) -> np.ndarray:

@@ -86,13 +86,36 @@ def test_quality_rules(docs, empty):
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     assert by_row(got, "doc_id", *columns) == collections.Counter((i, *brute(t)) for i, t, *_ in ROWS)
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept) for r in got)
+    assert set(got[0].asDict()) == {"doc_id", *columns, "base_failed", "kept"}
     kept = quality_rules.keep_good(docs, order)
+    assert by_row(kept.collect(), "doc_id") == by_row([r for r in quality_rules.judge(docs, order[::-1]).collect() if r.kept], "doc_id")
     assert kept.columns == docs.columns
     assert by_row(kept.collect(), "doc_id") == collections.Counter((r.doc_id,) for r in got if r.kept)
     assert by_row(kept.collect(), "doc_id") == by_row(quality_rules.keep_good(docs, order[::-1]).collect(), "doc_id")
     assert quality_rules.judge(empty, quality_rules.plan_cascade(empty)[0]).count() == 0
 
 
+def test_cascade_stops_at_the_first_rejection(spark):
+    """A rule after the one that rejects is never evaluated; one before a rule that passes is."""
+    fails = F.raise_error(F.lit("asked")).cast("boolean")
+    rules = {"short": F.col("n") < 10, "dear": F.when(F.col("n") >= 0, fails)}
+    assert [r[0] for r in spark.range(5).toDF("n").select(quality_rules.cascade(rules, ["short", "dear"])).collect()] == ["short"] * 5
+    with pytest.raises(Exception, match="asked"):
+        spark.range(5).toDF("n").select(quality_rules.cascade(rules, ["dear", "short"])).collect()
+
+
+def test_sample_of_rules_is_small_at_any_partitioning(spark):
+    df = spark.range(0, 40_000, 1, 200).select(F.concat_ws(" ", F.array_repeat(F.lit("word"), 12), "id").alias("text"))
+    rows = []
+    real = quality_rules.written
+    quality_rules.written = lambda sample, name: rows.append(sample.count()) or real(sample, name)
+    try:
+        order, measured = quality_rules.plan_cascade(df, sample_rows=500)
+    finally:
+        quality_rules.written = real
+    assert 300 < rows[0] < 800 and order[0] == max(measured, key=lambda x: (measured[x][1] + 0.5 / rows[0]) / measured[x][0])
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
@@ -122,6 +145,56 @@ def test_dictionary_blocks(docs, monkeypatch):
     assert ragged.take(np.array([2, 0, 1])).flat.tolist() == [3, 1, 2]
 
 
+def test_long_words(spark, tmp_path, monkeypatch):
+    """Megabyte-long words are neither sent to all workers nor held in large numbers, and every count stays exact."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    long = ["".join(random.Random(i).choices("abcdef0123", k=400_000)) for i in range(4)]
+    rows = [(i, " ".join(["the of", long[i % 4], "and"] * 2)) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    for name, value in (("BOUND_BYTES", 500_000), ("ROW_BYTES", 500_000)):
+        monkeypatch.setattr(dictionary, name, value)
+    table = dictionary.word_table(df.select(F.col("text").cast("binary")), lm_score.tokens, lambda w, c: dictionary.Ragged(np.ones(len(w), np.int64), c.astype(np.int64)), 2)
+    counts = collections.Counter(w for _, t in rows for w in lm_score.tokens(t.encode()))
+    held = [dict(zip(dictionary.unpack_words(r.words), dictionary.unpack_numbers(r.counts).tolist(), strict=True)) for r in table.collect()]
+    assert sum(map(collections.Counter, held), collections.Counter()) == counts and max(sum(map(len, h)) for h in held if len(h) > 1) <= 500_000
+    words, _ = dictionary.frequent_words(table)
+    assert set(words) == {w for w in counts if len(w) <= 64}
+    path = tokenizer_path("piece_bpe_32k.model")
+    assert all(len(x) <= 64 for x in token_count.frequent_pre_tokens(df))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(df, path).collect()} == {i: len(model.encode(t)) for i, t in rows}
+    path = tokenizer_path("byte_bpe_50k.json")
+    ids = {t: hashlib.sha256(np.array(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for t in {t for _, t in rows}}
+    assert {r.doc_id: r.ids_sha256 for r in bpe.encode_decode(df, path).collect()} == {i: ids[t] for i, t in rows}
+
+
+def test_ids_of_any_type(spark, tmp_path):
+    """A string or a date serves as doc_id in every operator; with strings the results are those of the same longs."""
+    rows = [(str(i), t, "en", s, 1) for i, t, _, s, _ in ROWS[:40] if i is not None] + [(None, "a null id", "en", "src1", 1)]
+    spark.createDataFrame(rows, SCHEMA.replace("doc_id bigint", "doc_id string")).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    longs = df.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    longs.write.parquet(str(tmp_path / "l"))
+    longs = spark.read.parquet(str(tmp_path / "l"))
+    dates = longs.withColumn("doc_id", F.date_add(F.lit("2020-01-01"), F.col("doc_id").cast("int")))
+    labels = longs.select("doc_id", F.lit(1).alias("quality"))
+    for run, clear in (
+        (licenses.scan, str), (lambda x: quality_rules.judge(x, list(quality_rules.READS)), str), (lambda x: bpe.encode_decode(x, tokenizer_path("byte_bpe_50k.json")), str),
+        (lambda x: classifier.score_documents(x, labels.select(F.col("doc_id").cast(x.schema["doc_id"].dataType) if x is not dates else F.lit(None).cast("date").alias("doc_id"), "quality")), None),
+        (fingerprint.fingerprint_documents, None), (sharding.shard_documents, str), (simhash.near_duplicates, None),
+        (lambda x: token_count.count_tokens(x, tokenizer_path("piece_bpe_32k.model")), str), (lambda x: mixing.mix(x, keep=["doc_id"]), str), (lm_score.score_texts, str),
+    ):
+        got, want = run(df), run(longs)
+        assert got.schema["doc_id"].dataType.simpleString() == "string"
+        columns = [c for c in got.columns if not (clear is None and c not in ("held_out", "score", "n_chars", "fingerprint"))]
+        plain = lambda rows: collections.Counter(tuple(str(round(r[c], 9) if isinstance(r[c], float) else r[c]) for c in columns) for r in rows)  # noqa: B023, E731
+        assert plain(got.collect()) == plain(want.collect())
+        assert run(dates).count() == len(rows)
+
+
 def test_classifier(spark, docs, empty):
     rng = random.Random(1)
     good = [(i, _text(rng, 80)) for i in range(1000, 1200)]
@@ -147,12 +220,93 @@ def test_classifier(spark, docs, empty):
     assert (np.diff(fitted) >= 0).all()
 
 
+def test_classifier_against_dense_solution(spark, tmp_path):
+    """Scores equal those of the normal equations of the whole matrix, solved at once, and an isotonic fit by its max-min
+    formula; the random features rank as exact kernel ridge does."""
+    rng = random.Random(6)
+    rows = [(i, _text(rng, 60) if i % 3 else "spam %%% buy " * rng.randint(4, 30) + _text(rng, 20)) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0 and rng.random() < 0.9)) for i, _ in rows], "doc_id bigint, quality int")
+    y_of = {r.doc_id: r.quality for r in labels.collect()}
+    got = {r.doc_id: r.score for r in classifier.score_documents(df, labels).collect()}
+    fold = np.array([zlib.crc32(str(i).encode()) % 3 for i, _ in rows])
+    x, y = np.array([classifier.statistics(t.encode()) for _, t in rows]), np.array([float(y_of[i]) for i, _ in rows])
+    fit = fold != 1
+    z = np.clip((x - x[fit].mean(axis=0)) / np.sqrt(np.maximum(x[fit].var(axis=0), 1e-8)), -4, 4)
+    draw = np.random.default_rng(42)
+    waves = draw.normal(size=(x.shape[1], 256)) * 0.25
+    features = np.hstack([np.ones((len(x), 1)), np.cos(z @ waves + draw.uniform(0, 2 * math.pi, 256)) * math.sqrt(2 / 256)])
+    penalty = np.diag([1e-6] + [1.0] * 256)
+    weights = lambda rows: np.linalg.solve(features[rows].T @ features[rows] + penalty, features[rows].T @ y[rows])
+    raw, unseen = features @ weights(fit), np.where(fold == 0, features @ weights(fold == 2), features @ weights(fold == 0))
+    at = np.clip(((unseen[fit] + 0.5) / 2 * 400).astype(int), 0, 399)
+    used = np.unique(at)
+    n, good = np.array([(at == k).sum() for k in used]), np.array([y[fit][at == k].sum() for k in used])
+    mean = lambda a, b: good[a : b + 1].sum() / n[a : b + 1].sum()
+    steps = [max(min(mean(a, b) for b in range(k, len(used))) for a in range(k + 1)) for k in range(len(used))]
+    want = np.clip(np.interp(raw, -0.5 + (used + 0.5) * 2 / 400, steps), 0, 1)
+    assert np.allclose([got[i] for i, _ in rows], want, atol=1e-6)
+    kernel = np.exp(-0.5 * 0.25**2 * ((z[:, None, :] - z[None, fit, :]) ** 2).sum(axis=2))
+    centred = y[fit] - y[fit].mean()
+    exact = kernel @ np.linalg.solve(kernel[fit] + np.eye(fit.sum()), centred) + y[fit].mean()
+    assert np.corrcoef(exact, raw)[0, 1] > 0.95
+
+
+def _sums(parts):
+    """The fingerprint of these members by sums of whole numbers, apart from the operator's own."""
+    count, full, signed = 0, [0] * 8, [0] * 256
+    for x in parts:
+        d = hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=32).digest()
+        w = [int.from_bytes(d[4 * k : 4 * k + 4], "little") for k in range(8)]
+        count, full = count + 1, [(a + b) % 2**32 for a, b in zip(full, w, strict=True)]
+        signed[w[0] % 256] += -1 if w[1] % 2 else 1
+    return (count.to_bytes(4, "little") + b"".join(a.to_bytes(4, "little") for a in full) + b"".join((a % 2**16).to_bytes(2, "little") for a in signed)).hex()
+
+
+def test_likeness_of_long_texts():
+    """At ten thousand members the estimate tells an edited text from another one, and is near the true share."""
+    rng = random.Random(12)
+    make = lambda n: "\n".join(f"line {rng.random()} {k}" for k in range(n))
+    for n in (30, 1000, 10_000):
+        near, far = [], []
+        for _ in range(6):
+            a, b = make(n), make(n)
+            new = fingerprint.edited(a, b)
+            x, y = set(fingerprint.members(a)), set(fingerprint.members(new))
+            near.append(fingerprint.fingerprint(a).likeness(fingerprint.fingerprint(new)) - len(x & y) / len(x | y))
+            far.append(fingerprint.fingerprint(a).likeness(fingerprint.fingerprint(b)))
+        assert abs(np.mean(near)) < 0.1 and np.max(np.abs(near)) < 0.2 and np.mean(far) < 0.1
+
+
+def test_cuts_follow_content():
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefghij0123456789", k=50_000))
+    whole, moved = fingerprint.members(text), fingerprint.members("an" + text[:20_000] + "zz" + text[20_000:])
+    assert "".join(whole) == text and len(whole) > 100 and max(map(len, whole)) <= 17 * fingerprint.LONG
+    assert len(set(whole) - set(moved)) <= 4
+    assert "".join(fingerprint.members("x" * 60_000)) == "x" * 60_000
+
+
+def test_null_and_equal_ids_share_no_bucket(spark, tmp_path):
+    rows = [(None, f"null {i}") for i in range(200)] + [(7, f"seven {i % 3}") for i in range(200)] + [(i, f"text {i}") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    placed = fingerprint.with_follower(df, rows_per_bucket=20).where("not guest").groupBy("bucket").count().collect()
+    assert len(placed) > 12 and max(r["count"] for r in placed) < 100
+    got = fingerprint.fingerprint_documents(df, rows_per_bucket=20).collect()
+    assert by_row(got, "doc_id", "n_chars") == collections.Counter((i, len(t)) for i, t in rows)
+
+
 def test_fingerprint(spark, docs, empty):
-    order = sorted([(i, t or "") for i, t, *_ in ROWS], key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
+    import xxhash
+
+    signed = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), seed=42)).astype(np.int64)
+    order = sorted([(i, t or "") for i, t, *_ in ROWS], key=lambda x: (x[0] is None, -(x[0] or 0), -signed(x[1])))
     want = collections.Counter()
     for k, (i, t) in enumerate(order):
         new = fingerprint.edited(t, order[(k + 1) % len(order)][1])
-        want[(i, len(t), hashlib.sha256(new.encode()).hexdigest(), str(fingerprint.fingerprint(t)), str(fingerprint.fingerprint(new)))] += 1
+        want[(i, len(t), hashlib.sha256(new.encode()).hexdigest(), _sums(fingerprint.members(t)), _sums(fingerprint.members(new)))] += 1
     for rows in (4, 10_000):
         got = fingerprint.fingerprint_documents(docs, rows_per_bucket=rows).collect()
         assert by_row(got, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint") == want
@@ -314,21 +468,27 @@ def test_lm_scores(docs, empty):
             pairs.update(zip([b"\n", *x], x, strict=False))
     n = sum(c.values())
     base = n + 0.5 * (len(c) + 1)
-    for how in ({}, {"frequent": 5, "bytes_per_bucket": 3000, "broadcast_bytes": 64}):
+    level = lambda k: (2 ** (k.bit_length() - 1) + 2 ** k.bit_length() - 1) / 2 if k else 0.0  # noqa: E731  the middle of the counts of a level
+    texts = collections.defaultdict(set)
+    for i, t, *_ in ROWS:
+        texts[i].add(t)
+    scores = []
+    wide = {"bits_per_token": 64}
+    for how in (wide, wide | {"frequent": 5, "bytes_per_bucket": 3000}, wide | {"broadcast_bytes": 64, "bytes_per_bucket": 3000}, {}, {"broadcast_bytes": 0}):
         got = lm_score.score_texts(docs, **how).collect()
         want = collections.Counter((i, len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, zlib.crc32(key(i)) % 5 == 1) for i, t, *_ in ROWS)
         assert by_row(got, "doc_id", "n_tokens", "n_known", "train_tokens", "held_out") == want
-        texts = collections.defaultdict(set)
-        for i, t, *_ in ROWS:
-            texts[i].add(t)
         near = []
         for r in got:
             (t,) = texts[r.doc_id]
             x = tokens(t)
             assert abs(r.base_score - sum(math.log10((c[w] + 0.5) / base) for w in x)) < 1e-6 * len(x)
-            exact = sum(math.log10((pairs[(v, w)] + 8 * (c[w] + 0.5) / base) / (c[v] + 8)) for v, w in zip([b"\n", *x], x, strict=False))
+            exact = sum(math.log10((min(level(pairs[(v, w)]), level(c[v])) + 8 * (level(c[w]) + 0.5) / base) / (level(c[v]) + 8)) for v, w in zip([b"\n", *x], x, strict=False))
             near.append(abs(r.score - exact) / len(x))
-        assert np.mean(near) < 0.2
+        assert np.mean(near) < (0.02 if "bits_per_token" in how else 0.1)
+        scores.append(collections.Counter((r.doc_id, round(r.score, 6)) for r in got))
+    # the same filter answers alike, broadcast or asked by segment
+    assert scores[0] == scores[1] == scores[2] and scores[3] == scores[4]
     assert lm_score.score_texts(empty).count() == 0
 
 
@@ -349,21 +509,50 @@ def test_filter_never_loses_a_count(spark):
     assert (level >= want).all() and np.mean(level > want) < 0.1
 
 
+def _holds(template, found, threshold):
+    """Does any passage of the template's length hold enough of its shingles? Every start is tried."""
+    w = licenses.words(template.encode())
+    wanted = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    grams = [tuple(found[i : i + 5]) for i in range(len(found) - 4)]
+    at = [i for i, g in enumerate(grams) if g in wanted]
+    return any(len({grams[j] for j in at if i <= j < i + len(w)}) >= threshold * len(wanted) for i in at)
+
+
+def _damaged(rng, words, share):
+    out = []
+    for w in words:
+        kind = rng.random()
+        if kind < share / 3:
+            out.append("changed")
+        elif kind < 2 * share / 3:
+            out += ["inserted", w]
+        elif kind >= share:
+            out.append(w)
+    return out
+
+
+def test_licenses_against_every_window():
+    """Licenses of damaged passages in running text, held against a search of all windows: none too many, recall 0.9 at least."""
+    rng, scanner = random.Random(4), licenses.Scanner()
+    all_templates = licenses.TEMPLATES + licenses.TEXTS
+    found = missed = 0
+    for _ in range(12):
+        for _, text in all_templates:
+            words = _damaged(rng, text.split(), rng.choice([0.0, 0.01, 0.03, 0.05]))
+            around = [rng.choice(WORDS[:15]) for _ in range(rng.randint(0, 60))]
+            raw = " ".join([*around, *words, *around]).encode()
+            got = {m[0] for m in scanner.matches(raw)}
+            want = {name for name, x in all_templates if _holds(x, licenses.words(raw), 0.8)}
+            assert got <= want
+            found, missed = found + len(want), missed + len(want - got)
+    assert found > 150 and missed <= 0.02 * found
+
+
 def test_licenses(docs, empty):
     got = licenses.scan(docs).collect()
     assert {r.doc_id: r.licenses for r in got if r.licenses} == {409: ["MIT"]} and len(got) == len(ROWS)
-    scanner = licenses.Scanner()
-    rng = random.Random(4)
-    for name, text in licenses.TEMPLATES:
-        w = text.split()
-        around = " ".join(rng.choice(WORDS[:15]) for _ in range(200))
-        assert (name in {m[0] for m in scanner.matches(f"{around} {text} {around}".encode())}), text
-        if len(w) > 30:  # two words changed far apart: a match where 0.8 of the shingles stay, none below
-            w[3], w[-3] = "changed", "changed"
-            grams = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (licenses.words(text.encode()), licenses.words(" ".join(w).encode()))]
-            stays = len(grams[0] & grams[1]) >= 0.8 * len(grams[0])
-            assert (name in {m[0] for m in scanner.matches(f"{around} {' '.join(w)} {around}".encode())}) == stays
-            half = " ".join(w[: len(w) // 2])
-            assert name not in {m[0] for m in scanner.matches(f"{around} {half}".encode())}
+    twice = " ".join([dict(licenses.TEXTS)["ISC"], "and then some other words", dict(licenses.TEXTS)["ISC"]])
+    spans = [m for m in licenses.Scanner(licenses.TEXTS).matches(twice.encode()) if m[0] == "ISC"]
+    assert [m[3] for m in spans] == [1.0, 1.0] and spans[0][1] == 0 and spans[0][2] + 5 == spans[1][1]
     assert licenses.scan(empty).count() == 0
     assert (1 - 0.6**2) ** licenses.bands(0.6, 2, 1e-3) <= 1e-3
