@@ -26,7 +26,7 @@ def keep_good_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard index of 0.8 or more of five-word shingles."""
+    """One document of each group linked by a Jaccard index of 0.8 or more of five-word shingles; SimHash finds the closest, MinHash the rest."""
     return near_copies.drop_near_copies(docs, threshold=0.8)
 
 
