@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket, text_or_empty, written
-from .dictionary import Ragged, bucket_of, look_up, pack_numbers, totals, unpack_numbers, word_table
+from .dictionary import CHUNK, Ragged, bucket_of, look_up, pack_numbers, totals, unpack_numbers, word_table
 
 #: No word holds white space, so this stands for the end of a text.
 END = b"\n"
@@ -86,7 +86,7 @@ class Segments:
 
 def train_filter(texts: DataFrame, segments: Segments) -> DataFrame:
     """segment, bits: the filter of all n-grams of ``texts`` (one binary column), a row per segment with any."""
-    bound = 8_000_000
+    bound = 4_000_000
 
     def gather(batches):
         seen, held = [], 0
@@ -103,13 +103,14 @@ def train_filter(texts: DataFrame, segments: Segments) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["segment", "hashes", "counts"])
 
         for batch in batches:
-            stream = [t for x in batch.column(0) for t in tokens(x.as_py())]
-            if stream:
+            texts = batch.column(0)
+            for i in range(0, len(texts), CHUNK):  # the words of a whole batch would be millions of objects
+                stream = [t for x in texts.slice(i, CHUNK) for t in tokens(x.as_py())]
                 seen += n_grams(word_hashes(stream))
                 held += 2 * len(stream)
-            if held > bound:
-                yield rows()
-                held = 0
+                if held > bound:
+                    yield rows()
+                    held = 0
         if seen:
             yield rows()
 
