@@ -6,11 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .relational import number_rows
+
 
 def with_candidates(picks: DataFrame, cohort: list[str], window: int, scores: list[str]) -> DataFrame:
-    """Adds ``candidates``: the scores of the pick and the ``window`` picks after it; linear in the picks."""
-    frame = W.partitionBy(*cohort).orderBy("overall_pick").rowsBetween(0, window)
-    return picks.withColumn("candidates", F.collect_list(F.struct(*scores)).over(frame))
+    """Adds ``candidates``: the scores of the pick and the ``window`` picks after it; linear in the picks.
+
+    ``overall_pick`` numbers each cohort without gaps. A task holds a block of a cohort, not the whole.
+    """
+    rows = in_blocks(picks, cohort, window)
+    frame = W.partitionBy(*cohort, "_block").orderBy("overall_pick").rowsBetween(0, window)
+    return rows.withColumn("candidates", F.collect_list(F.struct(*scores)).over(frame)).where(~F.col("_halo")).drop("_block", "_halo")
+
+
+def in_blocks(picks: DataFrame, cohort: list[str], window: int, size: int = 4096) -> DataFrame:
+    """Adds ``_block`` (a range of overall_pick) and ``_halo``: the first ``window`` picks of a block come once more, as the end of the one before."""
+    pick, block = F.col("overall_pick"), F.floor(F.col("overall_pick") / size)
+    first = (pick % size < window) & (block > 0)
+    own = F.struct(block.alias("_block"), F.lit(False).alias("_halo"))
+    halo = F.when(first, F.struct((block - 1).alias("_block"), F.lit(True).alias("_halo")))
+    return picks.select("*", F.inline(F.array_compact(F.array(own, halo))))
 
 
 def rank_of_actual(score: Column, candidate_score) -> Column:
@@ -64,7 +79,7 @@ def conformal_quantiles(rows: DataFrame, group: str, label: str, score: str, alp
     The threshold is the order statistic k = ceil((n + 1)(1 - alpha)), at most n: the finite-sample quantile.
     """
     nc = softmax_shares(rows, group, score).where(F.col(label) == 1).groupBy(group).agg((1 - F.max("share")).alias("nc"))
-    placed = nc.select("nc", F.row_number().over(W.orderBy("nc")).alias("place"))
+    placed = number_rows(nc, [], F.floor(F.col("nc") * 10_000), [F.col("nc")], "place")
     stats = placed.agg(F.count("*").alias("n"), F.round(F.avg("nc"), 6).alias("nc_mean"), F.round(F.stddev_pop("nc"), 6).alias("nc_std"))
     levels = rows.sparkSession.createDataFrame([(a,) for a in alphas], "alpha double")
     wanted = stats.crossJoin(F.broadcast(levels)).withColumn("k", F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.round((F.col("n") + 1) * (1 - F.col("alpha")), 9)))))

@@ -9,41 +9,54 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.shared import written
+from .evaluate import with_candidates
+from .relational import number_rows
 
 UNRANKED_QUALITY = 0.15
 
 
 def ordinal_quality(picks: DataFrame, cohort: list[str], order: tuple[str, ...] = ("css_rank", "id")) -> DataFrame:
     """Adds ``ordinal`` and ``quality``: the place among the ranked of the cohort, on a square-root scale; 0.15 without a rank."""
-    ranked = F.col(order[0]).isNotNull()
-    place = F.row_number().over(W.partitionBy(*cohort, ranked).orderBy(*order))
-    n = F.count_if(ranked).over(W.partitionBy(*cohort))
-    out = picks.withColumns({"ordinal": F.when(ranked, place), "n_ranked": n})
+    rank = F.col(order[0])
+    numbered = number_rows(picks, cohort, F.floor(rank / 4096), [F.asc_nulls_last(c) for c in order], "_place")
+    sizes = picks.groupBy(*cohort).agg(F.count(rank).alias("n_ranked"))
+    # unranked rows have a null block, whose numbers come first
+    unranked = F.col("_all") - F.col("n_ranked")
+    sizes = sizes.join(picks.groupBy(*cohort).agg(F.count("*").alias("_all")), cohort)
+    out = numbered.join(sizes, cohort).withColumn("ordinal", F.when(rank.isNotNull(), F.col("_place") - unranked).cast("int")).drop("_place", "_all")
     quality = F.when(F.col("ordinal").isNotNull(), X.sqrt_rank_norm(F.col("ordinal"), F.col("n_ranked"))).otherwise(UNRANKED_QUALITY)
     return out.withColumn("quality", F.round(quality, 6))
 
 
 def board_state(picks: DataFrame, cohort: list[str]) -> DataFrame:
-    """Adds what the board looked like at each pick, from windows over the cohort in pick order.
+    """Adds what the board looked like at each pick of the cohort.
 
     taken_share of the position before, remaining_share from this pick on, team_taken at the position,
-    index and size of the round, best quality of the round and the gap to it, slot_pressure.
+    index and size of the round, best quality of the round and the gap to it, slot_pressure. Counts are of
+    blocks of picks (one shuffle for all windows) and shifted by the counts of the blocks before.
     """
-    by = W.partitionBy(*cohort)
-    before = W.unboundedPreceding, -1
-    position = W.partitionBy(*cohort, "position").orderBy("overall_pick")
-    team = W.partitionBy(*cohort, "team", "position").orderBy("overall_pick")
-    in_round = W.partitionBy(*cohort, "round")
-    seq, n = F.row_number().over(by.orderBy("overall_pick")), F.count("*").over(by)
-    out = picks.withColumns(
+    picks = written(picks, "board")
+    rows = picks.withColumn("_block", F.floor(F.col("overall_pick") / 4096)).repartition(*cohort, "_block")
+    sizes = picks.groupBy(*cohort).agg(F.count("*").alias("n_cohort"))
+    rounds = picks.groupBy(*cohort, "round").agg(F.count("*").alias("round_size"), F.max("quality").alias("round_best"))
+    positions = picks.groupBy(*cohort, "position").agg(F.count("*").alias("_of_position"))
+    out = rows
+    counted = {"_seq": [], "taken": ["position"], "team_taken": ["team", "position"], "_in_round": ["round"]}
+    for name, keys in counted.items():
+        within = W.partitionBy(*cohort, "_block", *keys).orderBy("overall_pick").rowsBetween(W.unboundedPreceding, -1)
+        out = out.withColumn(name, F.count("*").over(within))
+    for name, keys in counted.items():
+        before = W.partitionBy(*cohort, *keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+        sums = picks.groupBy(*cohort, *keys, F.floor(F.col("overall_pick") / 4096).alias("_block")).agg(F.count("*").alias("_n"))
+        sums = sums.select(*cohort, *keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        out = out.join(sums, [*cohort, *keys, "_block"]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+    out = out.join(sizes, cohort).join(rounds, [*cohort, "round"]).join(positions, [*cohort, "position"])
+    out = out.withColumns(
         {
-            "seq": seq, "n_cohort": n,
-            "taken": F.count("*").over(position.rowsBetween(*before)), "remaining": F.count("*").over(position.rowsBetween(0, W.unboundedFollowing)),
-            "team_taken": F.count("*").over(team.rowsBetween(*before)),
-            "round_index": F.row_number().over(in_round.orderBy("overall_pick")), "round_size": F.count("*").over(in_round),
-            "round_best": F.max("quality").over(in_round),
+            "seq": (F.col("_seq") + 1).cast("int"), "remaining": F.col("_of_position") - F.col("taken"), "round_index": (F.col("_in_round") + 1).cast("int"),
         }
-    )
+    ).drop("_seq", "_in_round", "_of_position", "_block")
     return out.withColumns(
         {
             "taken_share": F.round(F.coalesce(F.try_divide("taken", F.col("seq") - 1), F.lit(0.0)), 4),
@@ -90,8 +103,9 @@ def competition_rank(picks: DataFrame, cohort: list[str]) -> DataFrame:
 
 
 def cohort_medians(picks: DataFrame, keys: list[str], goalie: str = "G") -> DataFrame:
-    """Exact medians of production (without goalies) and pick number by league."""
-    return picks.groupBy(*keys).agg(F.round(F.median(F.when(F.coalesce("position", F.lit("F")) != goalie, F.col("ppg"))), 6).alias("ppg_median"), F.round(F.median("overall_pick"), 6).alias("pick_median"))
+    """Exact medians of production (without goalies), age and pick number by league."""
+    ppg = F.when(F.coalesce("position", F.lit("F")) != goalie, F.col("ppg"))
+    return picks.groupBy(*keys).agg(*[F.round(F.median(c), 6).alias(n) for c, n in ((ppg, "ppg_median"), (F.col("age"), "age_median"), (F.col("overall_pick"), "pick_median"))])
 
 
 def empirical_cdf(df: DataFrame, group: Column, value: str, name: str = "cdf") -> DataFrame:
@@ -149,29 +163,14 @@ def feature_matrix(rows: DataFrame, keys: list[str], positions=X.POSITIONS, leag
 def stratified_negatives(picks: DataFrame, cohort: list[str], window: int = 31, same_position: int = 12, seed: int = 42) -> DataFrame:
     """cohort, overall_pick, negative, stratum: the candidates each pick was chosen over.
 
-    ``same_position`` later picks of the position drawn by hash of seed and both picks, then the next
-    picks of the window that are not among them, ``window`` in all; with too few of the position
-    the whole window. Window rows are linear; same-position pairs stay within cohort and position and
-    are cut to the sample by rank before anything is joined to them.
-    """
-    a = picks.select(*cohort, "overall_pick", "position")
-    later = picks.select(*cohort, F.col("overall_pick").alias("negative"), "position")
-    pairs = a.join(later, [*cohort, "position"]).where("negative > overall_pick")
-    at = W.partitionBy(*cohort, "overall_pick")
-    drawn = pairs.withColumns({"u": F.md5(F.concat_ws("|", F.lit(seed), *cohort, "overall_pick", "negative").cast("binary")), "pool": F.count("*").over(at)})
-    drawn = drawn.withColumn("place", F.row_number().over(at.orderBy("u", "negative"))).where((F.col("pool") >= same_position) & (F.col("place") <= same_position))
-    return _with_window(a, drawn.select(*cohort, "overall_pick", "negative"), cohort, window, same_position)
-
-
-def sampled_negatives(picks: DataFrame, cohort: list[str], window: int = 31, same_position: int = 12, seed: int = 42) -> DataFrame:
-    """The columns and strata of ``stratified_negatives``, drawn in bounded work, so a cohort may be a whole year.
-
-    The ``same_position`` places among the later picks of the position come from Floyd's sampling with hashes
+    ``same_position`` later picks of the position, then the next picks of the window that are not among them, ``window``
+    in all; with too few of the position the whole window. The ``same_position`` places among the later picks of the position come from Floyd's sampling with hashes
     of seed, pick and step as its numbers: each set of places is as likely, and no pairs are made but those drawn.
     """
     a = picks.select(*cohort, "overall_pick", "position").dropna()
-    position, k = W.partitionBy(*cohort, "position"), same_position
-    placed = a.withColumns({"seq": F.row_number().over(position.orderBy("overall_pick")), "size": F.count("*").over(position)})
+    k = same_position
+    sizes = a.groupBy(*cohort, "position").agg(F.count("*").alias("size"))
+    placed = number_rows(a, [*cohort, "position"], F.floor(F.col("overall_pick") / 4096), [F.col("overall_pick")], "seq").join(sizes, [*cohort, "position"])
     pool = placed.where(F.col("size") - F.col("seq") >= k).withColumn("pool", F.col("size") - F.col("seq"))
     number = f"conv(substr(md5(cast(concat_ws('|', {seed}, {', '.join(cohort)}, overall_pick, k) AS binary)), 1, 8), 16, 10)"
     step = f"pmod(cast({number} AS bigint), pool - {k} + k + 1)"
@@ -187,9 +186,8 @@ def _with_window(a: DataFrame, drawn: DataFrame, cohort: list[str], window: int,
     """``drawn`` and the next picks of the window that are not among them, with their strata."""
     at = W.partitionBy(*cohort, "overall_pick")
     drawn = drawn.withColumn("stratum", F.lit("position"))
-    frame = W.partitionBy(*cohort).orderBy("overall_pick").rowsBetween(1, window)
-    near = a.select(*cohort, "overall_pick", F.collect_list("overall_pick").over(frame).alias("later"))
-    near = near.select(*cohort, "overall_pick", F.explode("later").alias("negative"))
+    near = with_candidates(a, cohort, window, ["overall_pick"]).select(*cohort, "overall_pick", F.posexplode("candidates").alias("k", "c"))
+    near = near.where("k > 0").select(*cohort, "overall_pick", F.col("c.overall_pick").alias("negative"))
     stratified = drawn.groupBy(*cohort, "overall_pick").agg(F.count("*").alias("n_drawn"))
     rest = near.join(drawn, [*cohort, "overall_pick", "negative"], "left_anti").join(stratified, [*cohort, "overall_pick"], "left")
     rest = rest.withColumn("place", F.row_number().over(at.orderBy("negative")))

@@ -13,10 +13,26 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """Up to n rows of each key, first in ``order``, with their place."""
+    """Up to n rows of each key, first in ``order``, with their place from 1."""
     return df.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
 
 
+def number_rows(df: DataFrame, by: list[str], block: Column, order: list[Column], name: str, descending: bool = False) -> DataFrame:
+    """Adds ``name``: the place of each row in its group, from 1, as row_number over ``by`` in ``order`` would give it.
+
+    ``block`` is the leading part of the order (a day, a range of values); rows are numbered within (by, block) and
+    shifted by the counts of the blocks before, so a group may have any number of rows: no task sorts more than a block.
+    ``descending``: higher blocks come first.
+    """
+    rows = df.withColumn("_block", block)
+    counts = rows.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
+    upto = W.partitionBy(*by).orderBy(F.desc("_block") if descending else F.asc("_block")).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_block").alias("_at"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    within = rows.withColumn("_k", F.row_number().over(W.partitionBy(*by, "_block").orderBy(*order)))
+    on = [F.col("_block").eqNullSafe(F.col("_at")), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
+    return within.join(counts, on).select(*df.columns, (F.col("_before") + F.col("_k")).cast("int").alias(name))
+
+
 def interval_join(rows: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, row_id: str, tie: str) -> DataFrame:
     """Each row with the span of its key that holds ``at``; an open end never ends.
 

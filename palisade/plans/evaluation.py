@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, features, monitor
 from ..sources.star import ORDER_PICKS, line_picks, order_picks, table
 from .profiles import _QUALITY
 
-BLEND = 0.6
+BLEND, LAST_ROUND = 0.6, 4
 
 
-def _ranked(spark: SparkSession, sf_dir: str, rounds: int = 2) -> DataFrame:
-    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where(F.col("round") <= rounds)
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where(F.col("round") <= LAST_ROUND)
     p = evaluate.with_candidates(p, ["year"], 31, ["quality", "ppg"])
     model = lambda q, g: F.round(BLEND * q + (1 - BLEND) * g / 5, 6)
     return p.withColumns(
@@ -27,12 +26,12 @@ def _ranked(spark: SparkSession, sf_dir: str, rounds: int = 2) -> DataFrame:
     )
 
 
-def topk_mrr_breakdown(spark: SparkSession, sf_dir: str, rounds: int = 2) -> DataFrame:
-    return evaluate.breakdown(_ranked(spark, sf_dir, rounds).withColumn("round", F.col("round").cast("string")), "rank", ["round", "league"])
+def topk_mrr_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.breakdown(_ranked(spark, sf_dir).withColumn("round", F.col("round").cast("string")), "rank", ["round", "league"])
 
 
-def baseline_lift(spark: SparkSession, sf_dir: str, rounds: int = 2) -> DataFrame:
-    r = _ranked(spark, sf_dir, rounds)
+def baseline_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _ranked(spark, sf_dir)
     model = r.agg(*evaluate.hit_metrics(F.col("rank")))
     rows = [("consensus", evaluate.hit_metrics(F.col("css"))), ("production", evaluate.hit_metrics(F.col("prod"))), ("random", evaluate.random_baseline(F.col("pool")))]
     out = None
@@ -43,21 +42,22 @@ def baseline_lift(spark: SparkSession, sf_dir: str, rounds: int = 2) -> DataFram
     return out.crossJoin(m).select("baseline", *[c for c in ("top1", "top3", "top5", "mrr")], *[F.round(F.col(f"m_{c}") - F.col(c), 6).alias(f"lift_{c}") for c in ("top1", "top3", "top5", "mrr")])
 
 
-def cross_year_summary(spark: SparkSession, sf_dir: str, rounds: int = 2) -> DataFrame:
-    years = _ranked(spark, sf_dir, rounds).groupBy("year").agg(*evaluate.hit_metrics(F.col("rank")))
+def cross_year_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = _ranked(spark, sf_dir).groupBy("year").agg(*evaluate.hit_metrics(F.col("rank")))
     long = years.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in ("top1", "top3", "mrr")])))
     r = lambda f: F.round(f("v"), 6)
     return long.groupBy("metric").agg(r(F.avg).alias("mean"), r(F.stddev_pop).alias("std"), r(F.min).alias("low"), r(F.max).alias("high"), F.count("*").alias("n"))
 
 
-def blend_sweep(spark: SparkSession, sf_dir: str, rounds: int = 1) -> DataFrame:
-    """Metrics of eleven blends of rank and production; the first by top-1 is the best."""
-    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where(F.col("round") <= rounds)
+def blend_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of eleven blends of rank and production; the first by top-1 is the best. A pick's eleven ranks are one projection."""
+    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where(F.col("round") <= LAST_ROUND)
     p = evaluate.with_candidates(p, ["year"], 31, ["quality", "ppg"])
-    p = p.withColumn("w", F.explode(F.array(*[F.lit(i / 10) for i in range(11)])))
-    score = lambda q, g: F.round(F.col("w") * q + (1 - F.col("w")) * g / 5, 6)
-    ranks = p.select("w", evaluate.rank_of_actual(score(F.col("quality"), F.col("ppg")), lambda c: score(c["quality"], c["ppg"])).alias("rank"))
-    return ranks.groupBy("w").agg(*evaluate.hit_metrics(F.col("rank")))
+    ranks = []
+    for w in (i / 10 for i in range(11)):
+        score = lambda q, g, w=w: F.round(w * q + (1 - w) * g / 5, 6)
+        ranks.append(F.struct(F.lit(w).alias("w"), evaluate.rank_of_actual(score(F.col("quality"), F.col("ppg")), lambda c, score=score: score(c["quality"], c["ppg"])).alias("rank")))
+    return p.select(F.inline(F.array(*ranks))).groupBy("w").agg(*evaluate.hit_metrics(F.col("rank")))
 
 
 def _scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,32 +79,12 @@ def conformal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.conformal_sets(rows, "grp", "score", evaluate.conformal_quantiles(rows, "grp", "quality", "score"), 0.10).select("doc_id", "grp", "nc", "in_set")
 
 
-def linear_attribution(spark: SparkSession, sf_dir: str, rounds: int = 1) -> DataFrame:
-    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where(F.col("round") <= rounds).select("id", "quality", "ppg", F.col("overall_pick").cast("double").alias("slot"))
+def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where(F.col("round") <= LAST_ROUND).select("id", "quality", "ppg", F.col("overall_pick").cast("double").alias("slot"))
     means = p.agg(*[F.avg(c).alias(f"mean_{c}") for c in ("quality", "ppg", "slot")])
     return evaluate.linear_attribution(p, "id", {"quality": 1.5, "ppg": 0.4, "slot": -0.001}, means, top=2)
 
 
-def pairwise_ranker_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk-forward folds of the pairwise ranker: test year, its weights and its rate of right first choices."""
-    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where("round <= 2")
-    rows = evaluate.with_candidates(p, ["year"], 31, ["quality", "ppg"]).cache()
-    pairs = rows.select("year", "quality", "ppg", F.posexplode("candidates").alias("k", "c")).where("k > 0")
-    pairs = pairs.select("year", "quality", "ppg", F.col("c.quality").alias("neg_quality"), F.col("c.ppg").alias("neg_ppg"))
-    years = [r[0] for r in rows.select("year").distinct().orderBy("year").collect()]
-    out = []
-    for last, test in evaluate.walk_forward(years, years[-3]):
-        w = evaluate.pairwise_ranker(pairs.where(F.col("year") <= last), ["quality", "ppg"])
-        score = lambda q, g, w=w: w["quality"] * q + w["ppg"] * g
-        held = rows.where(F.col("year") == test)
-        rank = evaluate.rank_of_actual(score(F.col("quality"), F.col("ppg")), lambda c, score=score: score(c["quality"], c["ppg"]))
-        out.append(held.agg(F.lit(test).alias("test_year"), F.lit(w["quality"]).alias("w_quality"), F.lit(w["ppg"]).alias("w_ppg"), F.avg((rank == 1).cast("double")).alias("ndcg1")))
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result
-
-
 LATE = "year >= 1999"
 
 
@@ -146,26 +126,12 @@ def dq_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.passed(dq_ingestion(spark, sf_dir).unionByName(dq_training(spark, sf_dir)))
 
 
-def _all_rounds(query):
-    """``query`` over the rounds that the reference's backtests take."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query(spark, sf_dir, rounds=4)
-
-    run.__name__ = f"{query.__name__}_rounds4"
-    run.__doc__ = f"As {query.__name__}, rounds 1 to 4."
-    return run
-
-
-ROUNDS4 = [_all_rounds(f) for f in (topk_mrr_breakdown, baseline_lift, cross_year_summary, blend_sweep, linear_attribution)]
-
 QUERIES = {f.__name__: f for f in (
     topk_mrr_breakdown, baseline_lift, cross_year_summary, blend_sweep, ndcg_at_1, conformal_quantiles, conformal_sets, linear_attribution,
-    pairwise_ranker_cv, js_categorical, js_numeric, rank_drift, dq_ingestion, dq_training, dq_model_gate, dq_rollup,
-    *ROUNDS4,
+    js_categorical, js_numeric, rank_drift, dq_ingestion, dq_training, dq_model_gate, dq_rollup,
 )}
 
-_PAIRS = f"""{ORDER_PICKS}, {_QUALITY}, e AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY overall_pick) AS s FROM quality WHERE round <= 2),
+_PAIRS = f"""{ORDER_PICKS}, {_QUALITY}, e AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY overall_pick) AS s FROM quality WHERE round <= 4),
   pr AS (SELECT a.id, a.year, a.round, a.league, a.quality, a.ppg, b.quality AS cq, b.ppg AS cg, round(0.6 * a.quality + 0.4 * a.ppg / 5, 6) AS m, round(0.6 * b.quality + 0.4 * b.ppg / 5, 6) AS cm
     FROM e a JOIN e b ON a.year = b.year AND b.s BETWEEN a.s AND a.s + 31),
   ranked AS (SELECT id, year, round, league, 1 + count(*) FILTER (cm > m) AS rank, 1 + count(*) FILTER (cq > quality) AS css, 1 + count(*) FILTER (cg > ppg) AS prod, count(*) AS pool FROM pr GROUP BY 1, 2, 3, 4)"""
@@ -201,12 +167,12 @@ SQL = {
     "cross_year_summary": f"""WITH {_PAIRS}, y AS (SELECT year, {_H} FROM ranked GROUP BY 1), l AS (SELECT 'top1' AS metric, top1 AS v FROM y UNION ALL SELECT 'top3', top3 FROM y UNION ALL SELECT 'mrr', mrr FROM y)
         SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS low, round(max(v), 6) AS high, count(*) AS n FROM l GROUP BY 1""",
     "blend_sweep": f"""WITH {_PAIRS}, w AS (SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS w),
-        r AS (SELECT w, id, 1 + count(*) FILTER (round(w * cq + (1 - w) * cg / 5, 6) > round(w * quality + (1 - w) * ppg / 5, 6)) AS rank FROM (SELECT * FROM pr a WHERE round = 1) a, w GROUP BY 1, 2)
-        SELECT w, {_H} FROM r GROUP BY 1""".replace("FROM quality WHERE round <= 2", "FROM quality WHERE round = 1"),
+        r AS (SELECT w, id, 1 + count(*) FILTER (round(w * cq + (1 - w) * cg / 5, 6) > round(w * quality + (1 - w) * ppg / 5, 6)) AS rank FROM pr, w GROUP BY 1, 2)
+        SELECT w, {_H} FROM r GROUP BY 1""",
     "ndcg_at_1": f"WITH {_SCORED} SELECT grp, count(*) AS n, arg_max(quality, {{'s': score, 'd': doc_id}}) AS hit FROM sd GROUP BY 1 HAVING max(quality) = 1",
     "conformal_quantiles": f"WITH {_CONF} SELECT * FROM cq",
     "conformal_sets": f"WITH {_CONF} SELECT doc_id, grp, round(1 - share, 6) AS nc, round(1 - share, 6) <= (SELECT threshold FROM cq WHERE alpha = 0.10) AS in_set FROM sh",
-    "linear_attribution": f"""WITH {ORDER_PICKS}, {_QUALITY}, p AS (SELECT id, quality, ppg, overall_pick::DOUBLE AS slot FROM quality WHERE round = 1), m AS (SELECT avg(quality) AS mq, avg(ppg) AS mg, avg(slot) AS ms FROM p),
+    "linear_attribution": f"""WITH {ORDER_PICKS}, {_QUALITY}, p AS (SELECT id, quality, ppg, overall_pick::DOUBLE AS slot FROM quality WHERE round <= 4), m AS (SELECT avg(quality) AS mq, avg(ppg) AS mg, avg(slot) AS ms FROM p),
         c AS (SELECT id, 'quality' AS feature, round(1.5 * (quality - mq), 6) AS contribution FROM p, m UNION ALL SELECT id, 'ppg', round(0.4 * (ppg - mg), 6) FROM p, m UNION ALL SELECT id, 'slot', round(-0.001 * (slot - ms), 6) FROM p, m),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(contribution) DESC, feature) AS INT) AS place FROM c) SELECT * FROM r WHERE place <= 2""",
     "js_categorical": f"""WITH {ORDER_PICKS}, l AS (SELECT year >= 1999 AS late, unnest(['position', 'league', 'nationality']) AS dimension, unnest([position, league, nationality]) AS category FROM picks),
@@ -226,4 +192,3 @@ SQL = {
         SELECT 'model_metric_gate' AS "check", 0.1361::DOUBLE AS value, 'PASS' AS status UNION ALL SELECT 'feature_dominance', round(max(k) / sum(k), 4), CASE WHEN max(k) / sum(k) > 0.60 THEN 'WARN' ELSE 'PASS' END FROM s""",
     "dq_rollup": f"""WITH {_T}, r AS ({_DQ_TR} UNION ALL {_DQ_IN}) SELECT count(*) FILTER (status = 'FAIL') = 0 AS passed, count(*) AS n_checks, count(*) FILTER (status = 'WARN') AS n_warn, count(*) FILTER (status = 'FAIL') AS n_fail FROM r""",
 }
-SQL |= {f.__name__: SQL[f.__name__.removesuffix("_rounds4")].replace("WHERE round <= 2", "WHERE round <= 4").replace("WHERE round = 1", "WHERE round <= 4") for f in ROUNDS4}

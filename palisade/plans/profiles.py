@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import features, profiles, tools
+from ..operators import features, profiles, tools, training
+from ..sources.shared import written
 from ..sources.star import LINE_PICKS, ORDER_PICKS, PROSPECTS, line_picks, order_picks, prospects
 
 EUROPE = ["EUROPE", "MIDDLE EAST"]
@@ -98,11 +99,6 @@ def slot_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def position_competition_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.competition_rank(features.ordinal_quality(order_picks(spark, sf_dir), ["year", "month"]), ["year", "month"])
-
-
-def position_competition_rank_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As position_competition_rank, among the picks of the whole year."""
     return features.competition_rank(features.ordinal_quality(order_picks(spark, sf_dir), ["year"]), ["year"])
 
 
@@ -112,40 +108,62 @@ def sample_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.crossJoin(F.broadcast(last)).select("id", F.round(X.sample_weight(F.col("year"), F.col("last"), F.col("round")), 6).alias("w"))
 
 
-def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _board(spark, sf_dir).select(
-        "id", "year", "position", "overall_pick", F.col("league").alias("draft_league"), "nationality", F.col("ppg").alias("points_per_game"),
-        F.when(F.col("id") % 3 != 0, F.col("ppg") * 0.9).alias("ppg_prev_season"), (F.col("id") % 40 + 160).alias("height_cm"),
-        F.when(F.col("id") % 5 != 0, F.col("id") % 60 + 60).alias("weight_kg"), F.col("round").alias("draft_round"), F.col("quality").alias("css_rank_norm"),
-        F.col("rank_gap").alias("rank_gap_norm"), F.col("taken_share").alias("pos_taken_before_norm"), F.col("remaining_share").alias("pos_remaining_norm"),
-        F.col("team_taken").alias("team_drafted_this_pos"), "slot_pressure",
+POSITIONS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+GOALIE = "5-LOW"
+
+
+def with_physique(rows: DataFrame) -> DataFrame:
+    """Sizes and the season before, which the orders lack, from the id."""
+    return rows.withColumns(
+        {
+            "ppg_prev_season": F.when(F.col("id") % 3 != 0, F.col("ppg") * 0.9), "height_cm": F.col("id") % 40 + 160,
+            "weight_kg": F.when(F.col("id") % 5 != 0, F.col("id") % 60 + 60), "gp_pre_draft": F.when(F.col("id") % 7 != 0, F.col("id") % 82),
+        }
     )
+
+
+def matrix(rows: DataFrame, keys: list[str], physique_by: list[str] | None = None) -> DataFrame:
+    """The 48 features of rows of the training set or of a board, rounded but for products (which can lie halfway between two roundings)."""
+    rows = rows.withColumns({"draft_league": F.col("league"), "points_per_game": F.col("ppg")})
     out = features.feature_matrix(
-        rows, ["id"], positions=("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), leagues=("AUTOMOBILE", "BUILDING"), nations=("ASIA", "EUROPE"),
-        league=F.col("draft_league"), nation=F.col("nationality"), physique_by=["year"],
+        rows, keys, positions=tuple(POSITIONS), leagues=("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"), nations=("ASIA", "EUROPE"),
+        league=F.col("draft_league"), nation=F.col("nationality"), physique_by=physique_by,
     )
-    # products of rounded numbers can lie halfway between two roundings, so they stay as they are
-    floats = [n for n, t in out.dtypes if t == "double" and not n.endswith("_affinity")]
+    floats = [n for n, t in out.dtypes if t == "double" and not n.endswith("_affinity") and n not in keys]
     return out.select(*[F.round(n, 6).alias(n) if n in floats else F.col(f"`{n}`") for n in out.columns])
 
 
-def stratified_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picks = order_picks(spark, sf_dir).where("round <= 4")
-    rows = features.stratified_negatives(picks.where("month <= 2"), ["year", "month"])
-    return rows.groupBy("year", "month", "overall_pick", "stratum").agg(F.count("*").alias("n"), F.sum("negative").alias("s"))
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pick at its own slot, with its profile, competition and median features."""
+    board = written(_board(spark, sf_dir).withColumn("gm", F.col("team")), "board")
+    ranks = features.competition_rank(board, ["year"])
+    medians = features.cohort_medians(board, ["year", "league"], GOALIE).select("year", "league", "ppg_median")
+    weights, counts = training.history_weights(board)
+    rows = board.join(ranks, "id").join(medians, ["year", "league"], "left").join(counts, ["gm", "year"], "left")
+    for name, column in (("pos", "position"), ("league", "league"), ("nat", "nationality")):
+        w = weights.where(F.col("dimension") == column).select("gm", "year", F.col("category").alias(column), F.col("weight").alias(f"gm_{name}_weight"))
+        rows = rows.join(w, ["gm", "year", column], "left")
+    norm = F.when((F.col("position") == GOALIE) | (F.col("ppg_median") <= 0), 1.0).otherwise(F.round(F.col("ppg") / F.col("ppg_median"), 4))
+    rows = with_physique(rows).withColumns(
+        {
+            "draft_round": F.col("round"), "css_rank_norm": F.col("quality"), "rank_gap_norm": F.col("rank_gap"), "pos_taken_before_norm": F.col("taken_share"),
+            "pos_remaining_norm": F.col("remaining_share"), "team_drafted_this_pos": F.col("team_taken"), "pos_quality_rank_norm": F.col("pos_quality_rank"),
+            "css_rank_within_pos": F.col("pos_quality_rank"), "ppg_league_norm": norm, "gm_n_picks_norm": F.least(F.coalesce("n_picks", F.lit(0)) / 200, F.lit(1.0)),
+        }
+    )
+    return matrix(rows, ["id"], physique_by=["year"])
 
 
-def stratified_negatives_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stratified_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negatives of every pick of rounds 1 to 4, those of its position from the whole rest of the year."""
-    rows = features.sampled_negatives(order_picks(spark, sf_dir).where("round <= 4"), ["year"])
+    rows = features.stratified_negatives(order_picks(spark, sf_dir).where("round <= 4"), ["year"])
     return rows.groupBy("year", "overall_pick", "stratum").agg(F.count("*").alias("n"), F.sum("negative").alias("s"))
 
 
 QUERIES = {f.__name__: f for f in (
     population_prior, gm_weighted_profile, gm_shrunk_profile, gm_shrunk_profile_1995, gm_adaptive_history_weight, rank_deviation, archetype_rules,
     archetype_gmm, team_needs, draft_history, draft_breakdown, cohort_medians, empirical_cdf, ordinal_quality, list_ordinal_quality, draft_state_windows,
-    slot_pressure, position_competition_rank, position_competition_rank_year, sample_weights, feature_matrix, stratified_negatives,
-    stratified_negatives_year,
+    slot_pressure, position_competition_rank, sample_weights, feature_matrix, stratified_negatives,
 )}
 
 _RW = "CASE round WHEN 1 THEN 7 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 1 END"
@@ -177,6 +195,19 @@ _BOARD = f"""{ORDER_PICKS}, {_QUALITY},
   board AS (SELECT *, round(coalesce(taken / nullif(seq - 1, 0)::DOUBLE, 0), 4) AS taken_share, round(remaining / (nc - seq + 1)::DOUBLE, 4) AS remaining_share,
     round(greatest(0, round_best - quality), 6) AS rank_gap, round(greatest(0.0, 1.0 - (round_index - 1) / greatest(round_size - 1, 1)::DOUBLE), 6) AS slot_pressure FROM st)"""
 
+#: hw (gm, year, dimension, category, weight) and hcount (gm, year, n_picks) of the picks ``hp``, from earlier years.
+_HISTORY = f"""
+        hl AS (SELECT gm, year, {_RW} AS rw, unnest(['position', 'league', 'nationality']) AS dimension, unnest([position, league, nationality]) AS category FROM hp),
+        hg AS (SELECT DISTINCT gm, year FROM hp), hy AS (SELECT gm, year, sum({_RW}) AS w, count(*) AS k FROM hp GROUP BY 1, 2),
+        hc AS (SELECT gm, year, dimension, category, sum(rw) AS w FROM hl GROUP BY 1, 2, 3, 4),
+        hprior AS (SELECT dimension, category, count(*) / sum(count(*)) OVER (PARTITION BY dimension)::DOUBLE AS prior FROM hl GROUP BY 1, 2),
+        htot AS (SELECT a.gm, a.year, sum(b.k) AS n, sum(b.w * pow(0.85, a.year - b.year)) AS tw FROM hg a LEFT JOIN hy b ON a.gm = b.gm AND b.year < a.year GROUP BY 1, 2),
+        hcat AS (SELECT a.gm, a.year, b.dimension, b.category, sum(b.w * pow(0.85, a.year - b.year)) AS cw FROM hg a JOIN hc b ON a.gm = b.gm AND b.year < a.year GROUP BY 1, 2, 3, 4),
+        hj AS (SELECT t.gm, t.year, p.dimension, p.category, n, tw, coalesce(cw, 0) AS cw, prior, tw / (tw + CASE WHEN n < 20 THEN 30 WHEN n <= 60 THEN 15 ELSE 5 END) AS alpha
+          FROM htot t CROSS JOIN hprior p LEFT JOIN hcat c ON c.gm = t.gm AND c.year = t.year AND c.dimension = p.dimension AND c.category = p.category WHERE n > 0),
+        hw AS (SELECT gm, year, dimension, category, round(alpha * cw / sum(cw) OVER (PARTITION BY gm, year, dimension) + (1 - alpha) * prior, 6) AS weight FROM hj),
+        hcount AS (SELECT gm, year, CAST(coalesce(n, 0) AS BIGINT) AS n_picks FROM htot)"""
+
 # Floyd's sampling of 12 places, one step after another
 _STEP = "('0x' || substr(md5(concat_ws('|', 42, year, overall_pick, {k})), 1, 8))::BIGINT % (pool - 11 + {k})"
 _FLOYD = "f0 AS (SELECT *, CAST([] AS BIGINT[]) AS s FROM sq WHERE pool >= 12)" + "".join(
@@ -184,6 +215,15 @@ _FLOYD = "f0 AS (SELECT *, CAST([] AS BIGINT[]) AS s FROM sq WHERE pool >= 12)"
   f{k + 1} AS (SELECT * EXCLUDE (s, h), list_append(s, CASE WHEN list_contains(s, h) THEN pool - 12 + {k} ELSE h END) AS s FROM (SELECT *, {_STEP.format(k=k)} AS h FROM f{k}))""" for k in range(12)
 )
 
+_NEGATIVES = f"""
+        sq AS (SELECT year, position, overall_pick, row_number() OVER (PARTITION BY year ORDER BY overall_pick) AS place, row_number() OVER (PARTITION BY year, position ORDER BY overall_pick) AS seq,
+          count(*) OVER (PARTITION BY year, position) - row_number() OVER (PARTITION BY year, position ORDER BY overall_pick) AS pool FROM p),
+        {_FLOYD}, asked AS (SELECT year, position, overall_pick, seq + 1 + unnest(s) AS target FROM f12),
+        drawn AS (SELECT a.year, a.overall_pick, b.overall_pick AS negative FROM asked a JOIN sq b ON a.year = b.year AND a.position = b.position AND a.target = b.seq),
+        near AS (SELECT a.year, a.overall_pick, a.pool, b.overall_pick AS negative FROM sq a JOIN sq b ON a.year = b.year AND b.place BETWEEN a.place + 1 AND a.place + 31),
+        rest AS (SELECT n.*, row_number() OVER (PARTITION BY year, overall_pick ORDER BY negative) AS nth FROM near n ANTI JOIN drawn USING (year, overall_pick, negative)),
+        al AS (SELECT *, 'position' AS stratum FROM drawn UNION ALL SELECT year, overall_pick, negative, 'window' FROM rest WHERE pool < 12 OR nth <= 19)"""
+
 _HOT = lambda col, words, prefix: ", ".join(f"CAST({col} = '{w}' AS INT) AS \"{prefix}_{w}\"" for w in words)
 
 SQL = {
@@ -215,47 +255,34 @@ SQL = {
     "draft_history": f"WITH {ORDER_PICKS} SELECT year, overall_pick, round, position, league FROM picks WHERE team = 5 AND year >= 1999",
     "draft_breakdown": f"""WITH {ORDER_PICKS}, y AS (SELECT team, count(DISTINCT year) AS years, count(*) AS total FROM picks GROUP BY 1)
         SELECT team, league, count(*) AS n, round(100.0 * count(*) / any_value(total), 4) AS pct, any_value(years) AS years FROM picks JOIN y USING (team) GROUP BY 1, 2""",
-    "cohort_medians": f"""WITH {ORDER_PICKS} SELECT year, league, round(median(ppg) FILTER (position <> '5-LOW'), 6) AS ppg_median, round(median(overall_pick), 6) AS pick_median FROM picks GROUP BY 1, 2""",
+    "cohort_medians": f"""WITH {ORDER_PICKS} SELECT year, league, round(median(ppg) FILTER (position <> '5-LOW'), 6) AS ppg_median, round(median(age), 6) AS age_median, round(median(overall_pick), 6) AS pick_median FROM picks GROUP BY 1, 2""",
     "empirical_cdf": f"""WITH {PROSPECTS}, g AS (SELECT id, ppg, CASE WHEN position LIKE '%STEEL%' THEN 'goalie' ELSE 'skater' END AS grp FROM prospects)
         SELECT id, grp, round(cume_dist() OVER (PARTITION BY grp ORDER BY ppg), 6) AS cdf FROM g""",
     "ordinal_quality": f"WITH {ORDER_PICKS}, {_QUALITY} SELECT id, ordinal, quality FROM quality",
     "list_ordinal_quality": f"""WITH {PROSPECTS}, picks AS (SELECT id, position AS year, css_ranking AS css_rank FROM prospects), {_QUALITY} SELECT id, year AS position, ordinal, quality FROM quality""",
     "draft_state_windows": f"WITH {_BOARD} SELECT id, taken_share, remaining_share, team_taken, round_index, round_size, rank_gap FROM board",
     "slot_pressure": f"WITH {_BOARD} SELECT id, slot_pressure FROM board",
-    "position_competition_rank": f"""WITH {ORDER_PICKS}, {_QUALITY.replace('PARTITION BY year', 'PARTITION BY year, month')},
-        c AS (SELECT a.id, count(*) AS n, count(*) FILTER (b.quality > a.quality) AS better FROM quality a JOIN quality b ON a.year = b.year AND a.month = b.month AND a.position = b.position AND b.overall_pick >= a.overall_pick GROUP BY 1)
-        SELECT id, CASE WHEN n > 1 THEN round(1 - better / n::DOUBLE, 4) ELSE 1.0 END AS pos_quality_rank FROM c""",
     "sample_weights": f"""WITH {ORDER_PICKS} SELECT id, round(pow(0.92, (SELECT max(year) FROM picks) - year) * (1 + CASE round WHEN 1 THEN 3.0 WHEN 2 THEN 1.0 WHEN 3 THEN 0.4 WHEN 4 THEN 0.1 ELSE 0 END), 6) AS w FROM picks""",
-    "feature_matrix": f"""WITH {_BOARD}, r AS (SELECT *, ppg * 0.9 AS pp, (id % 40 + 160)::DOUBLE AS h, coalesce(CASE WHEN id % 5 <> 0 THEN (id % 60 + 60)::DOUBLE END, 85.0) AS wt,
-          least(greatest(1.0 - (overall_pick - 1) / 224.0, 0.0), 1.0) AS slot, id % 3 <> 0 AS has FROM board)
-        SELECT id, {_HOT('position', ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'), 'pos')}, {_HOT('nationality', ('ASIA', 'EUROPE'), 'nat')}, {_HOT('league', ('AUTOMOBILE', 'BUILDING'), 'league')},
-          round(h - median(h) OVER (PARTITION BY year, position), 6) AS height_norm, round(wt - median(wt) OVER (PARTITION BY year, position), 6) AS weight_norm, 1.0::DOUBLE AS ppg_league_norm, 0.0::DOUBLE AS age_league_norm,
-          quality AS css_rank_norm, round(slot, 6) AS pick_slot_norm, round(quality - slot, 6) AS rank_vs_slot, rank_gap AS rank_gap_norm, 0.2::DOUBLE AS gm_pos_weight, 0.2::DOUBLE AS gm_league_weight, 0.33::DOUBLE AS gm_nat_weight,
-          0.0::DOUBLE AS gm_n_picks_norm, 0.2::DOUBLE * quality AS gm_pos_affinity, 0.2::DOUBLE * quality AS gm_league_affinity, 0.33::DOUBLE * quality AS gm_nat_affinity, taken_share AS pos_taken_before_norm,
-          remaining_share AS pos_remaining_norm, team_taken::DOUBLE AS team_drafted_this_pos, 0.5::DOUBLE AS pos_quality_rank_norm, 0.5::DOUBLE AS css_rank_within_pos, 30.0::DOUBLE AS gp_pre_draft,
-          round(CASE WHEN has THEN pp ELSE 0.0 END, 6) AS ppg_prev_season, CAST(has AS INT) AS has_prev_season, round(CASE WHEN has THEN least(greatest(ppg - pp, -3.0), 3.0) ELSE 0.0 END, 6) AS ppg_delta, slot_pressure,
+    "feature_matrix": f"""WITH {_BOARD}, hp AS (SELECT *, team AS gm FROM picks), {_HISTORY},
+        cr AS (SELECT a.id, count(*) AS nn, count(*) FILTER (b.quality > a.quality) AS better FROM quality a JOIN quality b ON a.year = b.year AND a.position = b.position AND b.overall_pick >= a.overall_pick GROUP BY 1),
+        md AS (SELECT year, league, round(median(ppg) FILTER (position <> '5-LOW'), 6) AS pm FROM picks GROUP BY 1, 2),
+        r AS (SELECT b.*, ppg * 0.9 AS pp, (b.id % 40 + 160)::DOUBLE AS h, coalesce(CASE WHEN b.id % 5 <> 0 THEN (b.id % 60 + 60)::DOUBLE END, 85.0) AS wt,
+          least(greatest(1.0 - (overall_pick - 1) / 224.0, 0.0), 1.0) AS slot, b.id % 3 <> 0 AS has, CASE WHEN nn > 1 THEN round(1 - better / nn::DOUBLE, 4) ELSE 1.0 END AS comp,
+          CASE WHEN b.position = '5-LOW' OR pm <= 0 THEN 1.0 ELSE round(ppg / pm, 4) END AS pn, coalesce(w1.weight, 0.2) AS gp, coalesce(w2.weight, 0.2) AS gl, coalesce(w3.weight, 0.33) AS gn,
+          least(coalesce(hc.n_picks, 0) / 200.0::DOUBLE, 1.0) AS np
+          FROM board b JOIN cr ON cr.id = b.id JOIN md ON md.year = b.year AND md.league = b.league LEFT JOIN hcount hc ON hc.gm = b.team AND hc.year = b.year
+          LEFT JOIN hw w1 ON w1.gm = b.team AND w1.year = b.year AND w1.dimension = 'position' AND w1.category = b.position
+          LEFT JOIN hw w2 ON w2.gm = b.team AND w2.year = b.year AND w2.dimension = 'league' AND w2.category = b.league
+          LEFT JOIN hw w3 ON w3.gm = b.team AND w3.year = b.year AND w3.dimension = 'nationality' AND w3.category = b.nationality)
+        SELECT id, {_HOT('position', ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'), 'pos')}, {_HOT('nationality', ('ASIA', 'EUROPE'), 'nat')},
+          {_HOT('league', ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'), 'league')},
+          round(h - median(h) OVER (PARTITION BY year, position), 6) AS height_norm, round(wt - median(wt) OVER (PARTITION BY year, position), 6) AS weight_norm, round(pn, 6) AS ppg_league_norm, 0.0::DOUBLE AS age_league_norm,
+          quality AS css_rank_norm, round(slot, 6) AS pick_slot_norm, round(quality - slot, 6) AS rank_vs_slot, rank_gap AS rank_gap_norm, gp AS gm_pos_weight, gl AS gm_league_weight, gn AS gm_nat_weight,
+          round(np, 6) AS gm_n_picks_norm, gp * quality AS gm_pos_affinity, gl * quality AS gm_league_affinity, gn * quality AS gm_nat_affinity, taken_share AS pos_taken_before_norm,
+          remaining_share AS pos_remaining_norm, team_taken::DOUBLE AS team_drafted_this_pos, comp AS pos_quality_rank_norm, comp AS css_rank_within_pos,
+          CASE WHEN id % 7 <> 0 THEN (id % 82)::DOUBLE ELSE 30.0 END AS gp_pre_draft,
+          round(CASE WHEN has THEN pp ELSE 0.0 END, 6) AS ppg_prev_season, CAST(has AS INT) AS has_prev_season, round(CASE WHEN has THEN least(greatest((ppg - pp) / greatest(pn, 0.01), -3.0), 3.0) ELSE 0.0 END, 6) AS ppg_delta, slot_pressure,
           CAST(round = 1 AS INT) AS round_1, CAST(round = 2 AS INT) AS round_2, CAST(round = 3 AS INT) AS round_3, CAST(round = 4 AS INT) AS round_4 FROM r""",
-    "stratified_negatives": f"""WITH {ORDER_PICKS}, p AS (SELECT * FROM picks WHERE round <= 4 AND month <= 2),
-        pr AS (SELECT a.year, a.month, a.overall_pick, b.overall_pick AS negative, md5(concat_ws('|', 42, a.year, a.month, a.overall_pick, b.overall_pick)) AS u
-          FROM p a JOIN p b ON a.year = b.year AND a.month = b.month AND a.position = b.position AND b.overall_pick > a.overall_pick),
-        dr AS (SELECT *, count(*) OVER (PARTITION BY year, month, overall_pick) AS pool, row_number() OVER (PARTITION BY year, month, overall_pick ORDER BY u, negative) AS place FROM pr),
-        drawn AS (SELECT year, month, overall_pick, negative FROM dr WHERE pool >= 12 AND place <= 12),
-        sq AS (SELECT *, row_number() OVER (PARTITION BY year, month ORDER BY overall_pick) AS s FROM p),
-        near AS (SELECT a.year, a.month, a.overall_pick, b.overall_pick AS negative FROM sq a JOIN sq b ON a.year = b.year AND a.month = b.month AND b.s BETWEEN a.s + 1 AND a.s + 31),
-        rest AS (SELECT n.*, row_number() OVER (PARTITION BY year, month, overall_pick ORDER BY negative) AS place FROM near n ANTI JOIN drawn USING (year, month, overall_pick, negative)),
-        al AS (SELECT *, 'position' AS stratum FROM drawn UNION ALL
-          SELECT r.year, r.month, r.overall_pick, r.negative, 'window' FROM rest r LEFT JOIN (SELECT DISTINCT year, month, overall_pick AS op FROM drawn) d ON d.year = r.year AND d.month = r.month AND d.op = r.overall_pick WHERE d.op IS NULL OR r.place <= 19)
-        SELECT year, month, overall_pick, stratum, count(*) AS n, CAST(sum(negative) AS BIGINT) AS s FROM al GROUP BY 1, 2, 3, 4""",
-    "position_competition_rank_year": f"""WITH {ORDER_PICKS}, {_QUALITY},
-        c AS (SELECT a.id, count(*) AS n, count(*) FILTER (b.quality > a.quality) AS better FROM quality a JOIN quality b ON a.year = b.year AND a.position = b.position AND b.overall_pick >= a.overall_pick GROUP BY 1)
-        SELECT id, CASE WHEN n > 1 THEN round(1 - better / n::DOUBLE, 4) ELSE 1.0 END AS pos_quality_rank FROM c""",
-    "stratified_negatives_year": f"""WITH {ORDER_PICKS}, p AS (SELECT * FROM picks WHERE round <= 4),
-        sq AS (SELECT year, position, overall_pick, row_number() OVER (PARTITION BY year ORDER BY overall_pick) AS place, row_number() OVER (PARTITION BY year, position ORDER BY overall_pick) AS seq,
-          count(*) OVER (PARTITION BY year, position) - row_number() OVER (PARTITION BY year, position ORDER BY overall_pick) AS pool FROM p),
-        {_FLOYD}, asked AS (SELECT year, position, overall_pick, seq + 1 + unnest(s) AS target FROM f12),
-        drawn AS (SELECT a.year, a.overall_pick, b.overall_pick AS negative FROM asked a JOIN sq b ON a.year = b.year AND a.position = b.position AND a.target = b.seq),
-        near AS (SELECT a.year, a.overall_pick, a.pool, b.overall_pick AS negative FROM sq a JOIN sq b ON a.year = b.year AND b.place BETWEEN a.place + 1 AND a.place + 31),
-        rest AS (SELECT n.*, row_number() OVER (PARTITION BY year, overall_pick ORDER BY negative) AS nth FROM near n ANTI JOIN drawn USING (year, overall_pick, negative)),
-        al AS (SELECT *, 'position' AS stratum FROM drawn UNION ALL SELECT year, overall_pick, negative, 'window' FROM rest WHERE pool < 12 OR nth <= 19)
+    "stratified_negatives": f"""WITH {ORDER_PICKS}, p AS (SELECT * FROM picks WHERE round <= 4), {_NEGATIVES}
         SELECT year, overall_pick, stratum, count(*) AS n, CAST(sum(negative) AS BIGINT) AS s FROM al GROUP BY 1, 2, 3""",
 }

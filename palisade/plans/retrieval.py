@@ -27,15 +27,6 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    near = retrieval.cosine_topk(e.where("vec_id = 7"), e, 15).select(F.col("id").alias("key"), F.col("place").alias("rank"))
-    docs = table(spark, sf_dir, "documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    text = retrieval.fulltext_rank(docs, "doc_id", "text", TERMS, 15)
-    text = retrieval.ranked(text, [F.desc("score"), F.asc("doc_id")]).select(F.col("doc_id").alias("key"), "rank")
-    return retrieval.reciprocal_fusion([near, text], "key", 10)
-
-
-def hybrid_rrf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten fused documents for every vector whose id is divisible by 20: lists of max(3k, 15), text ranks over all documents."""
     e, k = table(spark, sf_dir, "embeddings"), 10
     fetch = max(3 * k, 15)
@@ -120,7 +111,7 @@ def game_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cosine_topk, fulltext_rank, bm25_rank, hybrid_rrf, hybrid_rrf_all, pro_comparison, prospect_documents, session_last_n, session_overflow, session_counts,
+    cosine_topk, fulltext_rank, bm25_rank, hybrid_rrf, pro_comparison, prospect_documents, session_last_n, session_overflow, session_counts,
     repeat_call_detection, breaker_sliding_failures, breaker_states, stream_tumbling, stream_sliding, stream_session, stat_history_upsert, game_log_totals,
 )}
 
@@ -138,11 +129,7 @@ SQL = {
     "bm25_rank": f"""WITH {_CNT}, s AS (SELECT count(*) AS nd, avg(length) AS al, {', '.join(f'count(*) FILTER (tf_{i} > 0) AS df_{i}' for i in range(3))} FROM c)
         SELECT doc_id, round({' + '.join(f'ln(1 + (nd - df_{i} + 0.5) / (df_{i} + 0.5)) * tf_{i} * 2.2 / (tf_{i} + 1.2 * (0.25 + 0.75 * length / al))' for i in range(3))}, 6) AS score FROM c, s
         WHERE tf_0 + tf_1 + tf_2 > 0 ORDER BY score DESC, doc_id LIMIT 20""",
-    "hybrid_rrf": f"""WITH {_CNT}, v AS (SELECT b.vec_id AS key, row_number() OVER (ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id = 7),
-        x AS ({_TEXT} AND doc_id IN (SELECT vec_id FROM embeddings)), y AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x),
-        u AS (SELECT * FROM v WHERE rank <= 15 UNION ALL SELECT * FROM y WHERE rank <= 15)
-        SELECT key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY 1 ORDER BY score DESC, key LIMIT 10""",
-    "hybrid_rrf_all": f"""WITH {_CNT}, v AS (SELECT a.vec_id AS query_id, b.vec_id AS key, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+    "hybrid_rrf": f"""WITH {_CNT}, v AS (SELECT a.vec_id AS query_id, b.vec_id AS key, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
         x AS ({_TEXT}), y AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x),
         u AS (SELECT * FROM v WHERE rank <= 30 UNION ALL SELECT vec_id, y.key, y.rank FROM embeddings, y WHERE vec_id % 20 = 0 AND y.rank <= 30),
         f AS (SELECT query_id, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY 1, 2),

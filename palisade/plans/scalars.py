@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import tools
-from ..operators.relational import first_per_key, interval_join, missing_from, page
+from ..operators import evaluate, tools
+from ..operators.relational import first_per_key, interval_join, missing_from, number_rows, page
 from ..sources.star import ORDER_PICKS, PROSPECTS, order_picks, prospects, table
 
 
@@ -114,7 +114,8 @@ def name_rank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four lists end to end in a fixed order with a running number; names joined to their last rank."""
     supplier = table(spark, sf_dir, "supplier").select(
         F.lower(F.trim(F.concat(F.lit(" Key "), (F.col("s_suppkey") % 80).cast("string")))).alias("key"), (F.col("s_suppkey") % 4).alias("category"), F.col("s_suppkey").alias("rank"))
-    combined = supplier.select("key", F.row_number().over(W.orderBy("category", "rank")).alias("combined"))
+    block = F.struct("category", F.floor(F.col("rank") / 4096).alias("range"))
+    combined = number_rows(supplier, [], block, [F.col("rank")], "combined")
     last = combined.groupBy("key").agg(F.max("combined").alias("css_rank"))
     people = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("key "), (F.col("c_custkey") % 200).cast("string")).alias("key"))
     return people.join(last, "key").select("c_custkey", "css_rank")
@@ -129,18 +130,16 @@ def anti_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def playoff_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    low = W.orderBy("s_acctbal", "s_suppkey")
-    lottery = s.select("s_suppkey", F.row_number().over(low).alias("place")).where("place <= 16")
-    rest = s.join(lottery, "s_suppkey", "left_anti").select("s_suppkey", (F.row_number().over(W.orderBy("s_acctbal", "s_suppkey")) + 16).alias("place"))
+    ranked = number_rows(s, [], F.floor(F.col("s_acctbal") / 10), [F.col("s_acctbal"), F.col("s_suppkey")], "place").select("s_suppkey", "place")
+    lottery = ranked.where("place <= 16")
+    rest = ranked.join(lottery, "s_suppkey", "left_anti")
     return lottery.select("s_suppkey", "place", F.lit(0).alias("segment")).unionByName(rest.select("s_suppkey", "place", F.lit(1).alias("segment")))
 
 
 def candidate_window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each pick with the 31 that follow in its year, by one window: linear in the picks."""
-    p = order_picks(spark, sf_dir).where("round = 1")
-    frame = W.partitionBy("year").orderBy("overall_pick").rowsBetween(1, 31)
-    pairs = p.select("year", "overall_pick", F.collect_list(F.struct("overall_pick", "ppg")).over(frame).alias("later"))
-    pairs = pairs.select("year", "overall_pick", F.explode("later").alias("c"))
+    """Each pick with the 31 that follow in its year, by windows over blocks: linear in the picks."""
+    p = evaluate.with_candidates(order_picks(spark, sf_dir), ["year"], 31, ["overall_pick", "ppg"])
+    pairs = p.select("year", "overall_pick", F.posexplode("candidates").alias("k", "c")).where("k > 0")
     return pairs.groupBy("year", "overall_pick").agg(F.count("*").alias("n"), F.max("c.overall_pick").alias("last"), F.round(F.max("c.ppg"), 6).alias("best_ppg"))
 
 
@@ -225,7 +224,7 @@ SQL = {
     "anti_seed": """SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE year(o_orderdate) = 1995 AND month(o_orderdate) <= 3 AND (o_custkey = c_custkey OR o_custkey + 1000 = c_custkey))""",
     "playoff_anti_join": """WITH r AS (SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS INT) AS place FROM supplier)
         SELECT s_suppkey, place, CASE WHEN place <= 16 THEN 0 ELSE 1 END AS segment FROM r""",
-    "candidate_window_pairs": f"""WITH {ORDER_PICKS}, f AS (SELECT * FROM picks WHERE round = 1)
+    "candidate_window_pairs": f"""WITH {ORDER_PICKS}, f AS (SELECT * FROM picks)
         SELECT a.year, a.overall_pick, count(*) AS n, max(b.overall_pick) AS last, round(max(b.ppg), 6) AS best_ppg
         FROM f a JOIN f b ON a.year = b.year AND b.overall_pick BETWEEN a.overall_pick + 1 AND a.overall_pick + 31 GROUP BY 1, 2""",
     "point_in_time_history": f"""WITH {ORDER_PICKS}, k AS (SELECT team, year, count(*) AS k FROM picks GROUP BY 1, 2)

@@ -7,9 +7,11 @@ game logs from events. Each binding has a SQL twin for the checks.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.relational import number_rows
+from .shared import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,22 +27,22 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, year, month, overall_pick, n, round, team, position, league, nationality, ppg, css_rank of every order."""
-    orders = table(spark, sf_dir, "orders")
-    year = F.year("o_orderdate")
-    cohort = W.partitionBy("year")
-    rows = orders.join(_customers(spark, sf_dir), orders.o_custkey == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("id"), year.alias("year"), F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 32).cast("int").alias("team"),
+    """id, year, month, overall_pick, n, round, team, position, league, nationality, ppg, css_rank, age of every order."""
+    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    sizes = orders.groupBy("year").agg(F.count("*").alias("n"))
+    orders = number_rows(orders, ["year"], F.col("o_orderdate"), [F.col("o_orderkey")], "overall_pick")
+    orders = number_rows(orders, ["year"], F.floor(F.col("o_totalprice") / 100), [F.desc("o_totalprice"), F.col("o_orderkey")], "price_rank", descending=True)
+    rows = orders.join(sizes, "year").join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("id"), "year", F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 32).cast("int").alias("team"),
         F.col("o_orderpriority").alias("position"), "league", "nationality", (F.col("o_totalprice") / 100000).alias("ppg"),
-        "o_orderdate", "o_totalprice", "o_orderstatus",
+        "o_orderstatus", "overall_pick", "n", "price_rank",
     )
-    pick = F.row_number().over(cohort.orderBy("o_orderdate", "id"))
-    rank = F.row_number().over(cohort.orderBy(F.desc("o_totalprice"), "id"))
-    rows = rows.select("*", pick.alias("overall_pick"), F.count("*").over(cohort).alias("n"), rank.alias("price_rank"))
-    return rows.select(
+    picks = rows.select(
         "id", "year", "month", "overall_pick", "n", F.expr("CAST((7 * overall_pick + n - 1) DIV n AS int)").alias("round"), "team", "position",
         "league", "nationality", "ppg", F.when(F.col("o_orderstatus") != "P", F.col("price_rank")).alias("css_rank"),
+        F.round(17.8 + F.col("id") % 450 / 365.25, 2).alias("age"),
     )
+    return written(picks, "picks")
 
 
 ORDER_PICKS = """
@@ -53,7 +55,7 @@ order_rows AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 ), picks AS (
   SELECT id, year, month, overall_pick, n, CAST((7 * overall_pick + n - 1) // n AS INT) AS round, team, position, league, nationality, ppg,
-         CASE WHEN o_orderstatus <> 'P' THEN price_rank END AS css_rank
+         CASE WHEN o_orderstatus <> 'P' THEN price_rank END AS css_rank, round(17.8::DOUBLE + (id % 450) / 365.25::DOUBLE, 2) AS age
   FROM order_rows
 )"""
 
@@ -83,8 +85,8 @@ lines AS (
 def prospects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, name, position, league, ppg, css_ranking (null for a tenth), price of every part."""
     part = table(spark, sf_dir, "part")
-    rank = F.row_number().over(W.orderBy(F.desc("p_retailprice"), "p_partkey"))
-    return part.select("*", rank.alias("place")).select(
+    ranked = number_rows(part, [], F.floor("p_retailprice"), [F.desc("p_retailprice"), F.col("p_partkey")], "place", descending=True)
+    return ranked.select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("position"), F.col("p_brand").alias("league"),
         (F.col("p_size") / 10).alias("ppg"), F.when(F.col("p_size") % 10 != 0, F.col("place")).alias("css_ranking"), F.col("p_size").alias("size"),
         F.col("p_retailprice").alias("price"),

@@ -8,5 +8,5 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_breakdown_shows_four_rounds(spark):
-    got = plans.QUERIES["topk_mrr_breakdown_rounds4"](spark, SF).where("dimension = 'round'").collect()
+    got = plans.QUERIES["topk_mrr_breakdown"](spark, SF).where("dimension = 'round'").collect()
     assert {r.value for r in got} == {"1", "2", "3", "4"}

@@ -15,6 +15,6 @@ def test_every_pick_with_a_pool_gets_twelve(spark):
         seen = pools.setdefault((r.year, r.position), [])
         seen.append((r.year, r.overall_pick, len(seen)))
     want = {(y, p) for v in pools.values() for y, p, pool in v if pool >= 12}
-    got = plans.QUERIES["stratified_negatives_year"](spark, SF).where("stratum = 'position'").collect()
+    got = plans.QUERIES["stratified_negatives"](spark, SF).where("stratum = 'position'").collect()
     assert {(r.year, r.overall_pick) for r in got} == want and all(r.n == 12 for r in got)
     assert {r.month for r in picks if (r.year, r.overall_pick) in want} > {1, 2}
