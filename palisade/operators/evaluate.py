@@ -103,20 +103,21 @@ def linear_attribution(rows: DataFrame, key: str, weights: dict[str, float], mea
     return out.select(key, "c.feature", "c.contribution", (F.col("place") + 1).alias("place"))
 
 
-def pairwise_ranker(pairs: DataFrame, features: list[str], weight: str | None = None, seed: int = 42):
+def pairwise_ranker(pairs: DataFrame, features: list[str], weight: str | None = None, seed: int = 42, ridge: float = 1e-3) -> dict[str, float]:
     """A linear ranker: logistic regression without intercept on differences of feature vectors.
 
-    ``pairs`` has for each feature f the columns f (chosen) and neg_f (passed over). Each difference enters once
-    with either sign, by a hash, so both classes occur.
+    ``pairs`` has for each feature the value of the chosen less that of the one passed over. Each difference enters once
+    with either sign, by a hash, so both classes occur; the loss is even in the sign. It is the mean of weighted losses
+    and ridge / 2 times the squared weights of the features as they are.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    cols = [((F.col(f) - F.col(f"neg_{f}")) * F.col("_s")).alias(f"d_{f}") for f in features]
+    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{f}`") for f in features]), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    cols = [(F.col(f"`{f}`") * F.col("_s")).alias(f"d_{i}") for i, f in enumerate(features)]
     rows = pairs.withColumn("_s", sign).select(*cols, F.when(F.col("_s") > 0, 1.0).otherwise(0.0).alias("label"), (F.col(weight) if weight else F.lit(1.0)).alias("w"))
-    data = VectorAssembler(inputCols=[f"d_{f}" for f in features], outputCol="features").transform(rows)
-    model = LogisticRegression(fitIntercept=False, weightCol="w", regParam=1e-3, maxIter=30).fit(data)
+    data = VectorAssembler(inputCols=[f"d_{i}" for i in range(len(features))], outputCol="features").transform(rows)
+    model = LogisticRegression(fitIntercept=False, weightCol="w", regParam=ridge, standardization=False, maxIter=100, tol=1e-9).fit(data)
     return dict(zip(features, model.coefficients.toArray().tolist(), strict=True))
 
 
