@@ -184,7 +184,8 @@ def round_of(pick: Column, teams: int = 32) -> Column:
 
 
 def strategy_band(pick: Column) -> Column:
-    return F.when(pick <= 10, "franchise").when(pick <= 32, "first_round").when(pick <= 96, "upside").otherwise("depth")
+    # The last pick of each band.
+    return F.when(pick <= 5, "top five").when(pick <= 15, "lottery").when(pick <= 32, "late first round").when(pick <= 64, "second round").when(pick <= 96, "third round").otherwise("late round")
 
 
 def value_gap(pick: Column, rank: Column) -> Column:
@@ -192,6 +193,7 @@ def value_gap(pick: Column, rank: Column) -> Column:
     return F.when(gap >= 10, "surplus").when(gap <= -10, "reach").otherwise("fair")
 
 
+# Bounds and wording of the bands of trend, styles and documents below.
 def trend(current: Column, previous: Column) -> Column:
     d = current - previous
     return (
@@ -240,13 +242,13 @@ def pro_style(position: Column, ppg: Column, goals: Column, assists: Column, plu
     return F.when(position == "G", "NHL goaltender").otherwise(F.array_join(F.array_compact(F.array(role, kind, pm)), ", "))
 
 
-def pro_document(name: Column, position: Column, team: Column, nationality: Column, gp: Column, goals: Column, assists: Column, ppg: Column, style: Column) -> Column:
+def pro_document(name: Column, position: Column, team: Column, nationality: Column, gp: Column, goals: Column, assists: Column, ppg: Column, plus_minus: Column, style: Column) -> Column:
     """Text of a professional: name, position line, season line, tags."""
     place = F.concat(
         F.lit("Position: "), position, F.when(team != "", F.concat(F.lit(" | Team: "), team)).otherwise(""),
         F.when(nationality != "", F.concat(F.lit(" | Nationality: "), nationality)).otherwise(""),
     )
-    season = F.when(gp > 0, F.format_string("Season: %d GP, %dG, %dA, %dP (%.2f PPG)", gp, goals, assists, goals + assists, ppg))
+    season = F.when(gp > 0, F.format_string("Season: %d GP, %dG, %dA, %dP (%.2f PPG), %+d +/-", gp, goals, assists, goals + assists, F.round(ppg, 2), plus_minus))
     return F.concat_ws("\n", F.concat(F.lit("NHL Player: "), name), place, season, F.when(style != "", F.concat(F.lit("Style: "), style)))
 
 
@@ -269,9 +271,9 @@ def profile_document(gm: Column, team: Column, archetype: Column, positions: Col
 
 
 def evidence(content: Column, lines: int = 3, chars: int = 500) -> Column:
-    """First non-blank lines of a document in one line."""
+    """First non-blank lines of a document in one line, bars between them."""
     kept = F.slice(F.filter(F.split(content, "\n"), lambda x: F.trim(x) != ""), 1, lines)
-    return F.left(F.array_join(F.transform(kept, lambda x: F.trim(x)), " "), F.lit(chars))
+    return F.left(F.array_join(F.transform(kept, lambda x: F.trim(x)), " | "), F.lit(chars))
 
 
 def query_terms(query: Column) -> Column:

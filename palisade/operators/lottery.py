@@ -98,6 +98,13 @@ def standings(teams: DataFrame, division: str, conference: str, points: str, tea
     return flagged.withColumn("lottery_slot", F.when(~F.col("playoff"), F.row_number().over(W.partitionBy("playoff").orderBy(F.col(points), F.desc(team)))))
 
 
+def custom_teams(rows: DataFrame) -> DataFrame:
+    """The lottery teams of a table that a user gives (slot, in_playoffs, standing, odds; any may be missing), in order of their standing."""
+    in_lottery = F.col("slot").isNotNull() | F.coalesce(~F.col("in_playoffs"), F.lit(False))
+    out = rows.where(in_lottery).withColumns({"standing": F.coalesce("standing", "slot"), "odds": F.coalesce("odds", F.lit(0.0))})
+    return out.where("standing IS NOT NULL").orderBy("standing")
+
+
 def round_order(order: DataFrame, rounds: int) -> DataFrame:
     """pick, round, team: the order of round one repeated."""
     n = order.agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,15 +11,25 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 
+#: Queries of one block: with 768 floats each, 60 MB.
+BLOCK = 20_000
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, id, score, place: the k most similar other vectors of each query, exact.
 
-    ``queries`` is a stated small set, sent to every task against blocks of all vectors; each task keeps its k best per query before
+    The queries are counted and dealt in blocks of at most about ``BLOCK``; each block is sent to the tasks, which hold a part
+    of all vectors, so what is broadcast has a bound and one pass over the vectors is made for each block. Each task keeps its k best per query before
     anything is shuffled, by a bounded two-level top-k.
     """
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"))
-    pairs = vectors.join(F.broadcast(q), F.col(id_col) != F.col("query_id"))
-    scored = pairs.select("query_id", F.col(id_col).alias("id"), F.round(X.cosine(F.col(vector), F.col("_q")), 6).alias("score"))
+    blocks = max(1, -(-q.count() // BLOCK))
+    scored = None
+    for i in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        pairs = vectors.join(F.broadcast(part), F.col(id_col) != F.col("query_id"))
+        found = pairs.select("query_id", F.col(id_col).alias("id"), F.round(X.cosine(F.col(vector), F.col("_q")), 6).alias("score"))
+        scored = found if scored is None else scored.unionByName(found)
     order = [F.desc("score"), F.asc("id")]
     slice_of = F.pmod(F.xxhash64("id"), F.lit(64))
     first = scored.withColumn("_s", slice_of).withColumn("place", F.row_number().over(W.partitionBy("query_id", "_s").orderBy(*order))).where(F.col("place") <= k)
@@ -83,6 +95,30 @@ def reciprocal_fusion_by(lists: list[DataFrame], by: str, key: str, k: int, cons
     return fused.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
+def query_terms(query: str) -> list[str]:
+    """The terms of a query as the text rank takes them, in the order they stand, each once."""
+    return list(dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())))
+
+
+def keyword_hits(docs: DataFrame, doc_id: str, text: str, word: str, k: int) -> DataFrame:
+    """key, score: documents that hold the word anywhere, in any case; all score 1."""
+    escaped = word.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return docs.where(F.col(text).ilike(f"%{escaped}%")).select(F.col(doc_id).alias("key"), F.lit(1.0).alias("score")).orderBy("key").limit(k)
+
+
+def first_that_finds(methods: list[tuple[str, DataFrame]], query: int) -> DataFrame:
+    """query, method, key, score: the rows of the first method that has any. Each is a short list, of at most k rows."""
+    out = None
+    for name, found in methods:
+        rows = found.select(F.lit(query).alias("query"), F.lit(name).alias("method"), "key", "score")
+        if out is None:
+            out = rows
+            continue
+        none = out.agg((F.count("*") == 0).alias("_none"))
+        out = out.unionByName(rows.crossJoin(F.broadcast(none)).where("_none").drop("_none"))
+    return out
+
+
 def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     """Adds ``rank`` to a short list."""
     return df.withColumn("rank", F.row_number().over(W.orderBy(*order)))

@@ -117,6 +117,22 @@ def sampled_drafts(pool: DataFrame, n: int, order: list[int], t: float = 0.25, n
     return sims.mapInPandas(run, "sim bigint, pick int, team int, id bigint")
 
 
+def alternatives(pool: DataFrame, picks: DataFrame, n: int, need_weight: float = 0.15) -> DataFrame:
+    """pick, place, id, value, bar: the n candidates left that the team valued most at its pick, the chosen apart; bar is the share of the highest value.
+
+    Pool and picks are those of one draft, bounded by the window.
+    """
+    gone = picks.select("id", F.col("pick").alias("_gone"))
+    board = pool.join(gone, "id", "left")
+    at = picks.select("pick", "team", F.col("id").alias("_chosen"))
+    left = at.join(F.broadcast(board), F.col("_gone").isNull() | (F.col("_gone") >= F.col("pick")))
+    value = F.round(F.col("base") + F.when(F.col("need") == F.col("team") % 6, need_weight).otherwise(0.0), 6)
+    rows = left.withColumn("value", value).withColumn("_top", F.max("value").over(W.partitionBy("pick")))
+    place = F.row_number().over(W.partitionBy("pick").orderBy(F.desc("value"), "rank"))
+    out = rows.where(F.col("id") != F.col("_chosen")).withColumn("place", place).where(F.col("place") <= n)
+    return out.select("pick", "place", "id", "value", F.round(F.col("value") / F.greatest("_top", F.lit(0.001)), 6).alias("bar"))
+
+
 def divergence(baseline: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Picks at which two drafts differ."""
     b, o = baseline.withColumnRenamed("id", "baseline_id"), other.select(*keys, "pick", F.col("id").alias("other_id"))

@@ -55,14 +55,21 @@ def compare(df: DataFrame, first: int, second: int, metrics: tuple[tuple[str, bo
     return a.crossJoin(F.broadcast(b)).select(F.inline(F.array(*rows)))
 
 
+def find_teams(teams: DataFrame, query: str) -> DataFrame:
+    """Teams whose full name holds the query or whose abbreviation is it, in any case, in order of their id."""
+    q = query.strip()
+    escaped = q.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return teams.where(F.col("full_name").ilike(f"%{escaped}%") | (F.lower("abbreviation") == q.lower())).orderBy("id")
+
+
 def gm_profile(teams: DataFrame, managers: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every team with its active manager and the newest profile, where there are such."""
+    """Every team with an active manager and that one's profile: of several the newest profile, then the smaller id; nulls where there is none."""
     active = managers.where("is_active").select(F.col("id").alias("gm_id"), F.col("name").alias("gm_name"), "team_id")
-    newest = profiles.groupBy("gm_id").agg(F.max_by(F.struct(*[c for c in profiles.columns if c != "gm_id"]), F.col("computed_at")).alias("profile"))
-    return (
-        teams.select(F.col("id").alias("team_id"), "abbreviation", "full_name").join(active, "team_id", "left").join(newest, "gm_id", "left")
-        .select("team_id", "abbreviation", "full_name", "gm_id", "gm_name", "profile.*")
-    )
+    own = [c for c in profiles.columns if c != "gm_id"]
+    joined = teams.select(F.col("id").alias("team_id"), "abbreviation", "full_name").join(active, "team_id", "left").join(profiles, "gm_id", "left")
+    first = F.struct(F.col("computed_at"), -F.col("gm_id"))
+    best = joined.groupBy("team_id").agg(F.max_by(F.struct(*[c for c in joined.columns if c != "team_id"]), first).alias("x"))
+    return best.select("team_id", "x.abbreviation", "x.full_name", "x.gm_id", "x.gm_name", *[f"x.{c}" for c in own])
 
 
 def team_needs(drafted: DataFrame, pool: DataFrame, group: str, vocabulary: list[str]) -> DataFrame:

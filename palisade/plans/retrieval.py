@@ -78,29 +78,32 @@ def breaker_sliding_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("shard", F.col("user_id") % 8)
-    return streams.breaker_states(e, "shard", "ts", seconds=7200, threshold=3, reset=1800)
+    """Every event as a call of its user: errors fail, all others succeed."""
+    e = table(spark, sf_dir, "events").withColumn("failed", F.col("event_type") == "error")
+    out = streams.breaker_states(e, "user_id", "ts", "event_id", "failed", seconds=5 * 86_400, threshold=2, reset=2 * 86_400)
+    return out.select("user_id", "event_id", "state")
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.read_events(spark, f"{sf_dir}/events.parquet")
+def _windows(spark: SparkSession, sf_dir: str, name: str, window, where: str = "true") -> DataFrame:
+    events, end = streams.read_events(spark, f"{sf_dir}/events.parquet")
+    return streams.run_to_table(spark, streams.windowed(events.where(where), window), name, end)
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.run_to_table(spark, streams.windowed(_stream(spark, sf_dir), F.window("at", "6 hours")), "tumbling")
+    return _windows(spark, sf_dir, "tumbling", F.window("at", "6 hours"))
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.run_to_table(spark, streams.windowed(_stream(spark, sf_dir), F.window("at", "12 hours", "6 hours")), "sliding")
+    return _windows(spark, sf_dir, "sliding", F.window("at", "12 hours", "6 hours"))
 
 
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.run_to_table(spark, streams.windowed(_stream(spark, sf_dir).where("event_type = 'error'"), F.session_window("at", "30 minutes")), "session")
+    return _windows(spark, sf_dir, "session", F.session_window("at", "30 minutes"), "event_type = 'error'")
 
 
 def stat_history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _stream(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", "value")
-    _, current = streams.upsert_history(spark, stream, "user_id", "ts", "event_id")
+    events, _ = streams.read_events(spark, f"{sf_dir}/events.parquet")
+    _, current = streams.upsert_history(spark, events.select("user_id", "ts", "event_id", "event_type", "value"), "user_id", "ts", "event_id")
     return current.select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
@@ -122,7 +125,18 @@ _CNT = f"{_TOK}, c AS (SELECT doc_id, len(w) AS length, {_TF} FROM t)"
 _TEXT = "SELECT doc_id, round((tf_0 + tf_1 + tf_2) / (1 + ln(length::DOUBLE)), 6) AS score FROM c WHERE tf_0 > 0 AND tf_1 > 0 AND tf_2 > 0"
 _W = "event_type, count(*) AS n, round(sum(value), 4) AS total"
 
+_BREAKER = """WITH RECURSIVE c AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+        b AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, '' AS state, CAST([] AS BIGINT[]) AS f, NULL::BIGINT AS o FROM (SELECT DISTINCT user_id FROM c)
+          UNION ALL SELECT c.user_id, c.k, c.event_id,
+            CASE WHEN o IS NOT NULL AND t - o < 172800000000 THEN 'refused' WHEN NOT bad AND o IS NULL THEN 'passed' WHEN NOT bad THEN 'closed' WHEN o IS NOT NULL THEN 'reopened'
+              WHEN len(list_filter(f, lambda x: x >= t - 432000000000)) >= 1 THEN 'opened' ELSE 'failed' END,
+            CASE WHEN o IS NOT NULL AND t - o < 172800000000 THEN f WHEN NOT bad AND o IS NOT NULL THEN CAST([] AS BIGINT[]) WHEN bad THEN list_append(list_filter(f, lambda x: x >= t - 432000000000), t) ELSE f END,
+            CASE WHEN o IS NOT NULL AND t - o < 172800000000 THEN o WHEN NOT bad THEN NULL WHEN o IS NOT NULL OR len(list_filter(f, lambda x: x >= t - 432000000000)) >= 1 THEN t END
+          FROM b JOIN c ON c.user_id = b.user_id AND c.k = b.k + 1)
+        SELECT user_id, event_id, state FROM b WHERE k > 0"""
+
 SQL = {
+    "breaker_states": _BREAKER,
     "cosine_topk": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS place FROM s) SELECT * FROM r WHERE place <= 5""",
     "fulltext_rank": f"WITH {_CNT} {_TEXT} ORDER BY score DESC, doc_id LIMIT 20",

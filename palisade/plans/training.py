@@ -109,7 +109,7 @@ def _named(p: DataFrame, part: str) -> DataFrame:
 
 def ml_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One prospect for one decision maker: its score at the slot and the five features that matter most, a row each."""
-    one = scoring.at_slot(scoring.candidate_pool(_named(pool(spark, sf_dir), "7")), SLOT)
+    one = scoring.at_slot(scoring.candidate_pool(_named(pool(spark, sf_dir), "small")), SLOT)
     profile = profiles.shrunk_profile(line_picks(spark, sf_dir)).where("gm = 3")
     rows = scoring.with_profile(one, profile).withColumn("ml_score", F.round(scoring.linear(WEIGHTS, 9), 4))
     return scoring.top_factors(rows, ["gm", "id", "css_ranking", "ml_score"], WEIGHTS)
@@ -228,7 +228,7 @@ SQL = {
     "temporal_split": f"WITH {_TRAIN} {_SPLIT.format(c=CUTOFF)} UNION ALL {_SPLIT.format(c=LAST)}",
     "pool_scores": f"WITH {_profile_sql('true')}, {_POOL_ROWS}, {_pool_sql(_FIRST40, SLOT)}, {_PROFILED} SELECT gm, id, round({_SCORE}, 6) AS score FROM m",
     "leaderboard": f"WITH {_POOL_ROWS}, {_pool_sql(_FIRST40, 1)}, s AS (SELECT id, round(round({_SCORE}, 9), 4) AS ml_score FROM (SELECT *, {_NEUTRAL} FROM win)) SELECT id, css_ranking, coalesce(ml_score, 0.0) AS ml_score FROM pool LEFT JOIN s USING (id)",
-    "ml_ranking": f"""WITH {_profile_sql('true')}, {_POOL_ROWS}, {_pool_sql("SELECT * FROM pool WHERE name ILIKE '%7%' ORDER BY css_ranking NULLS LAST, id LIMIT 1", SLOT)}, {_PROFILED},
+    "ml_ranking": f"""WITH {_profile_sql('true')}, {_POOL_ROWS}, {_pool_sql("SELECT * FROM pool WHERE name ILIKE '%small%' ORDER BY css_ranking NULLS LAST, id LIMIT 1", SLOT)}, {_PROFILED},
         s AS (SELECT *, round(round({_SCORE}, 9), 4) AS ml_score FROM m WHERE gm = 3), u AS ({_FACTORS}),
         r AS (SELECT *, CASE WHEN impact > 0 THEN 'positive' ELSE 'negative' END AS direction, CAST(row_number() OVER (ORDER BY abs(impact) DESC, feature) AS INT) AS place FROM u) SELECT * FROM r WHERE place <= 5""",
     "single_score": f"""WITH {_POOL_ROWS}, {_pool_sql('SELECT * FROM pool WHERE id = 1', SLOT)}, s1 AS (SELECT id, round({_SCORE}, 6) AS score FROM (SELECT *, {_NEUTRAL} FROM win)),

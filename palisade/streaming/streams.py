@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.relational import first_per_key, replace_keys
+from ..operators.relational import first_per_key
 from ..sources.shared import scratch
 
 KEEP_TURNS = 6
@@ -41,45 +46,93 @@ def failure_windows(failures: DataFrame, key: list[str], at: str, tie: str, seco
     return failures.withColumn("_t", t).withColumn("n_recent", F.count("*").over(frame)).withColumn("opened", F.col("n_recent") >= threshold).drop("_t")
 
 
-def breaker_states(failures: DataFrame, key: str, at: str, seconds: int = 60, threshold: int = 5, reset: int = 30) -> DataFrame:
-    """key, at, state after each failure of a circuit breaker, a fold over each key's failures in order.
+def breaker_states(calls: DataFrame, key: str, at: str, tie: str, failed: str, seconds: float = 60, threshold: int = 5, reset: float = 30) -> DataFrame:
+    """key, tie, at, state: what a circuit breaker of each key does with each call, in order of time.
 
-    Closed until ``threshold`` failures fall into ``seconds``; then open; a failure after ``reset`` seconds is
-    the failed probe that opens it again. A key's failures are one row: for a bounded recent log.
+    ``failed`` says how a call ends if it is let through. Closed: calls pass, and ``threshold`` failures within ``seconds`` open it. Open:
+    calls are refused until ``reset`` seconds have passed, then one probe passes; a success closes the breaker and forgets the
+    failures, a failure opens it anew. States: passed, failed, opened, refused, closed, reopened. Rows of a key come sorted in
+    Arrow batches; a task holds one key's state, the times of its last failures, never its calls.
     """
-    rows = failures.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(at).cast("timestamp")))).alias("ts"))
-    start = F.struct(F.array().cast("array<bigint>").alias("recent"), F.lit(-1).cast("bigint").alias("opened"), F.array().cast("array<string>").alias("states"))
-
-    def step(acc, t):
-        recent = F.concat(F.filter(acc["recent"], lambda x: x > t - seconds * 1_000_000), F.array(t))
-        is_open = acc["opened"] >= 0
-        probe = is_open & (t - acc["opened"] >= reset * 1_000_000)
-        trips = F.size(recent) >= threshold
-        state = F.when(probe, "reopened").when(is_open, "open").when(trips, "opened").otherwise("closed")
-        return F.struct(recent.alias("recent"), F.when(probe | (~is_open & trips), t).otherwise(acc["opened"]).alias("opened"), F.concat(acc["states"], F.array(state)).alias("states"))
+    rows = calls.select(key, tie, F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(failed).cast("boolean").alias("failed"))
+    rows = rows.repartition(key).sortWithinPartitions(key, "at", tie)
+
+    def run(batches):
+        now, failures, opened = None, deque(), None
+        for batch in batches:
+            states = []
+            for k, t, bad in zip(*(batch.column(c).to_pylist() for c in (key, "at", "failed")), strict=True):
+                if k != now:
+                    now, failures, opened = k, deque(), None
+                if opened is not None and t - opened < reset * 1_000_000:
+                    states.append("refused")
+                    continue
+                if not bad:
+                    states.append("passed" if opened is None else "closed")
+                    if opened is not None:
+                        failures.clear()
+                    opened = None
+                    continue
+                failures.append(t)
+                while failures[0] < t - seconds * 1_000_000:
+                    failures.popleft()
+                if len(failures) > threshold:  # older ones decide nothing
+                    failures.popleft()
+                if opened is not None:
+                    states.append("reopened")
+                    opened = t
+                elif len(failures) >= threshold:
+                    states.append("opened")
+                    opened = t
+                else:
+                    states.append("failed")
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(tie), batch.column("at"), pa.array(states, pa.string())], names=[key, tie, "at", "state"])
+
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, tie, "at")]
+    out = rows.mapInArrow(run, ", ".join(kinds) + ", state string")
+    return out.withColumn("at", F.timestamp_micros("at"))
+
+
+#: A time past all events; windows that begin here or later hold the mark that ends a stream, no event.
+END = "2100-01-01"
+
+
+def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The events as a stream with a watermarked time ``at``, and what ends it: a mark far ahead, so that every window closes.
+
+    Files are taken eight to a batch; events more than an hour behind the newest of the batches before are late and dropped.
+    """
+    schema = spark.read.parquet(path).schema
+    pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may match a file as well as a folder of files; a plain path must be a folder
+    marks = scratch(spark, "stream-end")
+    spark.createDataFrame([], schema).write.parquet(marks)
+    both = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(pattern).unionByName(spark.readStream.schema(schema).parquet(marks))
 
-    done = rows.select(key, "ts", F.aggregate("ts", start, step)["states"].alias("states"))
-    return done.select(key, F.explode(F.arrays_zip("ts", "states")).alias("x")).select(key, F.timestamp_micros("x.ts").alias("at"), F.col("x.states").alias("state"))
+    def end() -> None:
+        fixed = {"ts": F.lit(END), "event_type": F.lit("error")}
+        spark.range(1).select(*[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("append").parquet(marks)
 
+    return both.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour"), end
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The events as a stream with a watermarked time ``at``."""
-    schema = spark.read.parquet(path).schema
-    pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may match a file as well as a folder of files; a plain path must be a folder
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(pattern)
-    return stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
 
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, end: Callable[[], None], at: str = "start") -> DataFrame:
+    """All windows of a watermarked stream that is over, run in micro-batches to a table.
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """All there is of an aggregated stream, run in micro-batches to a table that the last batch completes."""
+    In append mode a window is written once, when the watermark has passed it, and its state is dropped. All there is runs first;
+    then ``end`` marks the end, and a second run from the checkpoint closes the windows still open. A batch that runs again
+    writes its own folder again.
+    """
     path, state = scratch(spark, name), scratch(spark, f"{name}-state")
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
-    return spark.read.parquet(path)
+    for last in (False, True):
+        if last:
+            end()
+        query = stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start()
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch=*").where(F.col(at) < F.lit(END))
 
 
 def windowed(events: DataFrame, window: Column) -> DataFrame:
@@ -89,25 +142,48 @@ def windowed(events: DataFrame, window: Column) -> DataFrame:
     return out.select(naive("w.start").alias("start"), naive("w.end").alias("stop"), "event_type", "n", "total")
 
 
-def upsert_history(spark: SparkSession, stream: DataFrame, key: str, at: str, tie: str) -> tuple[DataFrame, DataFrame]:
+def upsert_history(spark: SparkSession, stream: DataFrame, key: str, at: str, tie: str, folder: str | None = None, buckets: int = 16) -> tuple[DataFrame, DataFrame]:
     """(history, current): micro-batches appended to a log, and the newest row of each key kept beside it.
 
-    Each batch writes a new version of the current table from the one before, so a failed batch can run again.
+    Everything that a restart needs lies in ``folder``: the log by batch, the stream's checkpoint, and the current rows in ``buckets`` of
+    a hash of the key, each in a folder for the batch that last changed it. A batch reads and writes only buckets that its keys
+    fall in, and of each the newest version below its own number; so a batch that failed, or a stream that was stopped, goes on as if it had not.
     """
-    log, current, state = scratch(spark, "stat-history"), scratch(spark, "stat-current"), scratch(spark, "stat-state")
-    newest = {"path": None}
+    folder = folder or scratch(spark, "stat-upsert")
+    log, current = f"{folder}/history", f"{folder}/current"
+    order = [F.desc(at), F.desc(tie)]
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    version_schema = T.StructType([*stream.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
+
+    def versions(below: int | None) -> DataFrame:
+        """The newest version of each bucket (below a batch's number)."""
+        rows = _table_or_empty(spark, current, version_schema)
+        rows = rows if below is None else rows.where(F.col("version") < below)
+        newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+        return rows.join(F.broadcast(newest), ["bucket", "version"])  # one row for each bucket
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        best = first_per_key(batch, [key], [F.desc(at), F.desc(tie)])
-        if newest["path"]:
-            old = spark.read.parquet(newest["path"])
-            both = old.unionByName(best)
-            best = replace_keys(old, first_per_key(both, [key], [F.desc(at), F.desc(tie)]), [key])
-        path = f"{current}/v{number}"
-        best.write.mode("overwrite").parquet(path)
-        newest["path"] = path
-
-    query = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start()
+        new = spark.read.schema(stream.schema).parquet(f"{log}/batch={number}").withColumn("bucket", bucket)
+        touched = new.select("bucket").distinct()
+        old = versions(number).join(F.broadcast(touched), "bucket", "left_semi").select(*stream.columns, "bucket")
+        best = first_per_key(old.unionByName(new.select(*stream.columns, "bucket")), [key], order).withColumn("version", F.lit(number).cast("long"))
+        written = scratch(spark, "stat-version")
+        best.write.parquet(written)
+        # per bucket, so that a repeated batch replaces its own version alone
+        rows = spark.read.schema(version_schema).parquet(written)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(current)
+
+    query = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.parquet(log), spark.read.parquet(newest["path"])
+    history = spark.read.schema(stream.schema).parquet(f"{log}/batch=*")
+    return history, versions(None).select(*stream.columns)
+
+
+def _table_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as error:  # nothing was written yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
