@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.shared import written
 
 DIMENSIONS = ("position", "league", "nationality")
 
@@ -117,7 +118,8 @@ def archetype_clusters(vectors: DataFrame, n: int = 5, seeds: tuple[int, ...] =
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=["eur_share", "top2"], outputCol="features").transform(vectors).cache()
+    # read again for every step of every seed, so a table of its own; one row for each maker
+    rows = written(VectorAssembler(inputCols=["eur_share", "top2"], outputCol="features").transform(vectors), "archetypes")
     models = [GaussianMixture(k=n, seed=s, maxIter=50).fit(rows) for s in seeds]
     best = max(models, key=lambda m: m.summary.logLikelihood)
     taken, names = set(), []

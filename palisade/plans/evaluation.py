@@ -96,6 +96,15 @@ def js_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.numeric_drift(order_picks(spark, sf_dir), F.expr(LATE), ["ppg", "css_rank"])
 
 
+def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five dimensions and the worst of their states."""
+    both = js_categorical(spark, sf_dir).unionByName(js_numeric(spark, sf_dir))
+    severity = F.when(F.col("status") == "fail", 2).when(F.col("status") == "warn", 1).otherwise(0)
+    worst = both.agg(F.max(severity).alias("_w"))
+    overall = F.when(F.col("_w") == 2, "fail").when(F.col("_w") == 1, "warn").otherwise("pass")
+    return both.crossJoin(F.broadcast(worst)).select("dimension", "js", "status", overall.alias("overall"))
+
+
 def rank_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = line_picks(spark, sf_dir).groupBy("league").agg(F.count_if(F.expr("year = 1995")).alias("before"), F.count_if(F.expr("year = 1998")).alias("after"))
     return monitor.rank_drift(p, "league", "before", "after")
@@ -128,7 +137,7 @@ def dq_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     topk_mrr_breakdown, baseline_lift, cross_year_summary, blend_sweep, ndcg_at_1, conformal_quantiles, conformal_sets, linear_attribution,
-    js_categorical, js_numeric, rank_drift, dq_ingestion, dq_training, dq_model_gate, dq_rollup,
+    js_categorical, js_numeric, drift_report, rank_drift, dq_ingestion, dq_training, dq_model_gate, dq_rollup,
 )}
 
 _PAIRS = f"""{ORDER_PICKS}, {_QUALITY}, e AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY overall_pick) AS s FROM quality WHERE round <= 4),
@@ -192,3 +201,5 @@ SQL = {
         SELECT 'model_metric_gate' AS "check", 0.1361::DOUBLE AS value, 'PASS' AS status UNION ALL SELECT 'feature_dominance', round(max(k) / sum(k), 4), CASE WHEN max(k) / sum(k) > 0.60 THEN 'WARN' ELSE 'PASS' END FROM s""",
     "dq_rollup": f"""WITH {_T}, r AS ({_DQ_TR} UNION ALL {_DQ_IN}) SELECT count(*) FILTER (status = 'FAIL') = 0 AS passed, count(*) AS n_checks, count(*) FILTER (status = 'WARN') AS n_warn, count(*) FILTER (status = 'FAIL') AS n_fail FROM r""",
 }
+SQL["drift_report"] = f"""WITH d AS (SELECT * FROM ({SQL['js_categorical']}) UNION ALL SELECT * FROM ({SQL['js_numeric']}))
+    SELECT *, (SELECT CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'pass' END FROM d) AS overall FROM d"""

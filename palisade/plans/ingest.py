@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from ..operators import ingest, lottery, profiles, retrieval, simulate, tools
-from ..operators.relational import last_per_key, number_rows, page, replace_keys, upsert
+from ..operators.relational import first_per_key, last_per_key, number_rows, page, replace_keys, upsert
 from ..sources.shared import scratch
 from ..sources.star import LINE_PICKS, PROSPECTS, line_picks, prospects, table
 from ..streaming import streams
@@ -82,6 +82,16 @@ def stat_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.fill_missing(o, seasons, "player", "year", "ppg", "games").where("id % 4 = 0").select("id", "year", "player", "ppg", "games")
 
 
+def history_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks from a feed with repeats: units, tier, age; the first of each year and pick stays unless it is there already."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    raw = o.select((F.year("o_orderdate")).alias("year"), (F.col("o_custkey") % 200).alias("overall_pick"), k.alias("seq"), (k % 80).alias("inches"), F.when(k % 3 == 0, "OHL").when(k % 3 == 1, "Allsvenskan").alias("league"))
+    new = first_per_key(raw, ["year", "overall_pick"], [F.col("seq")])
+    there = o.where("o_orderkey % 10 = 0").select(F.year("o_orderdate").alias("year"), (F.col("o_custkey") % 200).alias("overall_pick")).distinct()
+    tier, region = X.league_tier(F.col("league"))
+    return new.join(there, ["year", "overall_pick"], "left_anti").select("year", "overall_pick", "seq", X.inches_to_cm(F.col("inches")).alias("height_cm"), tier.alias("tier"), region.alias("region"))
+
+
 def first_seen_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaders of four lists, each player from the first list that has them."""
     e = table(spark, sf_dir, "events")
@@ -302,6 +312,14 @@ def draft_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.alternatives(pool, simulate.draft(pool, [], DRAFT_ORDER), 3)
 
 
+def linear_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear rank norm, beside the square-root one that the model learns from."""
+    p = prospects(spark, sf_dir)
+    n = p.agg(F.count("css_ranking").alias("n"))
+    norm = lambda f: F.round(f(F.col("css_ranking"), F.col("n")), 6)
+    return p.where("css_ranking IS NOT NULL").crossJoin(F.broadcast(n)).select("id", norm(X.linear_rank_norm).alias("linear"), norm(X.sqrt_rank_norm).alias("root"))
+
+
 def confidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prospects(spark, sf_dir)
     score = F.round(F.col("size") / 50, 6)
@@ -361,10 +379,10 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    teams_upsert, players_upsert, class_seeds, class_records, stat_backfill, first_seen_players, draft_backfill, jsonl_history, conversation_fold,
+    teams_upsert, players_upsert, class_seeds, class_records, stat_backfill, history_records, first_seen_players, draft_backfill, jsonl_history, conversation_fold,
     pipeline_steps, health_snapshot, gm_profile, team_lookup, gm_documents, career_portability, archetype_truth, unweighted_prior, prospect_detail,
     semantic_search, index_replace, evidence_lines, query_terms, pro_documents, standings_enrichment, custom_lottery, multi_round_order,
-    draft_alternatives, confidence_labels, prospects_table, standings_sorts, board_by_round, attribution_bars, version_listing, run_history,
+    draft_alternatives, linear_rank, confidence_labels, prospects_table, standings_sorts, board_by_round, attribution_bars, version_listing, run_history,
 )}
 
 _TOP = "array_to_string(list_transform(list(category || '=' || printf('%.4f', weight) ORDER BY weight DESC, category)[1:{k}], lambda x: x), ', ')"
@@ -450,6 +468,12 @@ SQL = {
         CASE WHEN pick <= 5 THEN 'top five' WHEN pick <= 15 THEN 'lottery' WHEN pick <= 32 THEN 'late first round' WHEN pick <= 64 THEN 'second round' WHEN pick <= 96 THEN 'third round' ELSE 'late round' END AS band FROM p""",
     "draft_alternatives": f"""WITH RECURSIVE {_POOL}, {_fold('g', DRAFT_ORDER)}, o AS (SELECT g.pick, p.id, p.id = g.id AS chosen, round(base + CASE WHEN need = g.team % 6 THEN 0.15 ELSE 0 END, 6) AS value, p.rank FROM g CROSS JOIN pool p LEFT JOIN g t ON t.id = p.id WHERE t.pick IS NULL OR t.pick >= g.pick),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY pick, chosen ORDER BY value DESC, rank) AS INT) AS place, max(value) OVER (PARTITION BY pick) AS top FROM o) SELECT pick, place, id, value, round(value / greatest(top, 0.001), 6) AS bar FROM r WHERE NOT chosen AND place <= 3""",
+    "linear_rank": f"""WITH {PROSPECTS}, n AS (SELECT count(css_ranking) AS n FROM prospects) SELECT id, round(greatest(0.0, 1.0 - (css_ranking - 1) / n::DOUBLE), 6) AS linear, round(greatest(0.0, 1.0 - sqrt((css_ranking - 1) / n::DOUBLE)), 6) AS root
+        FROM prospects, n WHERE css_ranking IS NOT NULL""",
+    "history_records": """WITH r AS (SELECT CAST(year(o_orderdate) AS INT) AS year, o_custkey % 200 AS overall_pick, o_orderkey AS seq, row_number() OVER (PARTITION BY year(o_orderdate), o_custkey % 200 ORDER BY o_orderkey) AS k FROM orders),
+        t AS (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year, o_custkey % 200 AS overall_pick FROM orders WHERE o_orderkey % 10 = 0)
+        SELECT year, overall_pick, seq, CASE WHEN seq % 80 > 0 THEN CAST(round_even((seq % 80) * 2.54::DOUBLE, 0) AS INT) END AS height_cm, CASE seq % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS tier, CASE seq % 3 WHEN 0 THEN 'CAN' WHEN 1 THEN 'EUR' END AS region
+        FROM r ANTI JOIN t USING (year, overall_pick) WHERE k = 1""",
     "confidence_labels": f"WITH {PROSPECTS} SELECT id, round(size / 50.0::DOUBLE, 6) AS score, CASE WHEN id % 9 = 0 OR id % 4 = 0 THEN 'volatile' WHEN round(size / 50.0::DOUBLE, 6) >= 0.9 THEN 'high' ELSE 'in range' END AS label FROM prospects",
     "prospects_table": f"WITH {PROSPECTS}, o AS (SELECT id, league, coalesce(css_ranking, 9999) AS rank FROM prospects WHERE NOT regexp_matches(league, 'Brand#1|Brand#2')) SELECT *, (SELECT count(*) FROM o) AS total FROM o ORDER BY rank, id LIMIT 25 OFFSET 10",
     "standings_sorts": """WITH s AS (SELECT s_suppkey, CASE n_regionkey WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS conf, n_name AS division, s_acctbal AS points, s_suppkey % 16 AS odds FROM supplier JOIN nation ON s_nationkey = n_nationkey)
