@@ -99,13 +99,13 @@ def competition_rank(picks: DataFrame, cohort: list[str]) -> DataFrame:
 
     rows = picks.select(*cohort, "position", "id", "overall_pick", "quality").dropna(subset=[*cohort, "position"])
     counts = rows.groupBy(*cohort, "position").applyInArrow(run, f"id {picks.schema['id'].dataType.simpleString()}, n bigint, better bigint")
-    return counts.select("id", F.when(F.col("n") > 1, F.round(1 - F.col("better") / F.col("n"), 4)).otherwise(F.lit(1.0)).alias("pos_quality_rank"))
+    return counts.select("id", F.when(F.col("n") > 1, F.round((F.col("n") - F.col("better")) / F.col("n"), 4)).otherwise(F.lit(1.0)).alias("pos_quality_rank"))
 
 
 def cohort_medians(picks: DataFrame, keys: list[str], goalie: str = "G") -> DataFrame:
     """Exact medians of production (without goalies), age and pick number by league."""
     ppg = F.when(F.coalesce("position", F.lit("F")) != goalie, F.col("ppg"))
-    return picks.groupBy(*keys).agg(*[F.round(F.median(c), 6).alias(n) for c, n in ((ppg, "ppg_median"), (F.col("age"), "age_median"), (F.col("overall_pick"), "pick_median"))])
+    return picks.groupBy(*keys).agg(*[F.round(F.median(c), 8).alias(n) for c, n in ((ppg, "ppg_median"), (F.col("age"), "age_median"), (F.col("overall_pick"), "pick_median"))])
 
 
 def empirical_cdf(df: DataFrame, group: Column, value: str, name: str = "cdf") -> DataFrame:

@@ -133,7 +133,7 @@ def training_set(picks: DataFrame, positions: list[str], goalie: str, window: in
         value = F.when(F.coalesce("n_picks", F.lit(0)) == 0, missing).otherwise(F.coalesce(f"_{name}", F.lit(0.0)))
         rows = rows.withColumn(f"gm_{name}_weight", value).drop(f"_{name}")
     is_goalie = F.col("position") == goalie
-    rank = F.when(left > 1, 1 - F.col("better") / left).otherwise(1.0)
+    rank = F.when(left > 1, (left - F.col("better")) / left).otherwise(1.0)
     return rows.withColumns(
         {
             "was_picked": (F.col("stratum") == "picked").cast("int"), "css_rank_norm": F.col("quality"),

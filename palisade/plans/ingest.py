@@ -181,7 +181,7 @@ _TOPS = (("position", 4, "top_positions"), ("league", 4, "top_leagues"), ("natio
 
 
 def _shown(k: int, column: str):
-    return F.array_join(F.transform(X.top_entries(F.col(column), k), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"]))), ", ")
+    return F.array_join(F.transform(X.top_entries(F.col(column), k), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.6f", e["value"]))), ", ")
 
 
 def gm_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,7 +385,7 @@ QUERIES = {f.__name__: f for f in (
     draft_alternatives, linear_rank, confidence_labels, prospects_table, standings_sorts, board_by_round, attribution_bars, version_listing, run_history,
 )}
 
-_TOP = "array_to_string(list_transform(list(category || '=' || printf('%.4f', weight) ORDER BY weight DESC, category)[1:{k}], lambda x: x), ', ')"
+_TOP = "array_to_string(list_transform(list(category || '=' || printf('%.6f', weight) ORDER BY weight DESC, category)[1:{k}], lambda x: x), ', ')"
 _GM = f"""{_profile_sql('true')}, act AS (SELECT n_nationkey AS team_id, s_suppkey AS gm_id, s_name AS gm_name, n_name AS full_name, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey % 28 DESC, s_suppkey) AS k
     FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 3 <> 0), tm AS (SELECT * FROM act WHERE k = 1)"""
 _TOPS_SQL = ", ".join(f"(SELECT {_TOP.format(k=k)} FROM profile p WHERE p.gm = gm_id AND dimension = '{d}') AS {n}" for d, k, n in _TOPS)
@@ -408,12 +408,12 @@ SQL = {
     "class_records": """WITH r AS (SELECT *, c_custkey % 80 AS inches, c_custkey % 250 AS pounds, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 40 END, 0) + c_custkey % 50 AS points, c_custkey % 60 AS games,
           CASE c_custkey % 5 WHEN 0 THEN 'G' WHEN 1 THEN 'D' ELSE 'F' END AS position, c_custkey % 4 < 2 AS home FROM customer WHERE c_custkey % 11 <> 0)
         SELECT c_custkey, c_mktsegment || ' N' || c_custkey AS name, position, CASE WHEN inches > 0 THEN CAST(round_even(inches * 2.54::DOUBLE, 0) AS INT) END AS height_cm, CASE WHEN pounds > 0 THEN CAST(round_even(pounds * 0.453592::DOUBLE, 0) AS INT) END AS weight_kg,
-          CASE WHEN games > 0 THEN round(points / games::DOUBLE, 2) END AS ppg, CASE WHEN c_custkey % 7 <> 0 THEN round((c_custkey % 900 + 6300) / 365.25::DOUBLE, 2) END AS age,
+          CASE WHEN games > 0 THEN round((points / games::DOUBLE)::DECIMAL(18, 12), 2)::DOUBLE END AS ppg, CASE WHEN c_custkey % 7 <> 0 THEN round((c_custkey % 900 + 6300) / 365.25::DOUBLE, 2) END AS age,
           CASE WHEN position = 'G' THEN CASE WHEN home THEN 'na_goalie' ELSE 'eur_goalie' END WHEN home THEN 'na_skater' ELSE 'eur_skater' END AS category FROM r""",
     "stat_backfill": """WITH s AS (SELECT user_id AS player, (event_id % 11 + 1992) * 10000 + event_id % 11 + 1993 AS season, count(*) AS games, sum(event_id % 7) AS points FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
         o AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 9 <> 0 THEN o_custkey % 100 END AS player, CAST(year(o_orderdate) AS INT) AS year FROM orders WHERE o_orderkey % 4 = 0),
         j AS (SELECT o.*, season, games, points, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN season = (year - 1) * 10000 + year THEN 0 ELSE 1 END, season DESC NULLS LAST) AS k FROM o LEFT JOIN s ON s.player = o.player AND season % 10000 <= year)
-        SELECT id, year, player, CASE WHEN player IS NULL THEN NULL WHEN season IS NULL THEN 0.0 WHEN games > 0 THEN round(points / games::DOUBLE, 2) END AS ppg, CASE WHEN player IS NOT NULL THEN coalesce(games, 0) END AS games FROM j WHERE k = 1""",
+        SELECT id, year, player, CASE WHEN player IS NULL THEN NULL WHEN season IS NULL THEN 0.0 WHEN games > 0 THEN round((points / games::DOUBLE)::DECIMAL(18, 12), 2)::DOUBLE END AS ppg, CASE WHEN player IS NOT NULL THEN coalesce(games, 0) END AS games FROM j WHERE k = 1""",
     "first_seen_players": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k, list_position(['purchase', 'click', 'view', 'error'], event_type) AS pr FROM events WHERE event_type <> 'signup'),
         t AS (SELECT * FROM l WHERE k <= ([200, 75, 75, 50])[pr]), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pr, value DESC, event_id) AS q FROM t) SELECT user_id, event_type AS category, event_id FROM f WHERE q = 1""",
     "draft_backfill": """WITH e AS (SELECT CASE WHEN c_custkey % 8 = 0 THEN c_custkey END AS ext_id, 'P' || c_custkey % 120 AS name, CASE WHEN c_custkey % 16 = 0 THEN 1 END AS class_id FROM customer WHERE c_custkey % 4 = 0),
@@ -454,7 +454,7 @@ SQL = {
     "evidence_lines": f"SELECT doc_id, {_EVIDENCE} AS evidence FROM documents",
     "query_terms": r"""SELECT c_custkey, array_to_string(list_filter(regexp_split_to_array(lower(trim(' Find a ' || c_mktsegment || '-type D-man! ' || c_name || '  now ')), '\s+'), lambda x: regexp_full_match(x, '[a-z0-9-]+')), ' & ') AS query FROM customer""",
     "pro_documents": """WITH r AS (SELECT c_custkey, c_name, coalesce((['LW', 'RW', 'C', 'D', 'G'])[c_custkey % 6 + 1], 'F') AS p, c_custkey % 83 AS gp, c_custkey % 41 AS g, c_custkey % 67 AS a, c_custkey % 50 - 25 AS pm, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment ELSE '' END AS team FROM customer),
-        q AS (SELECT *, CASE WHEN gp > 0 THEN round((g + a) / gp::DOUBLE, 2) ELSE 0.0 END AS r, a / nullif(g + a, 0)::DOUBLE AS sa, g / nullif(g + a, 0)::DOUBLE AS sg FROM r),
+        q AS (SELECT *, CASE WHEN gp > 0 THEN round(((g + a) / gp::DOUBLE)::DECIMAL(18, 12), 2)::DOUBLE ELSE 0.0 END AS r, a / nullif(g + a, 0)::DOUBLE AS sa, g / nullif(g + a, 0)::DOUBLE AS sg FROM r),
         s AS (SELECT *, CASE WHEN p = 'G' THEN 'NHL goaltender' ELSE concat_ws(', ', CASE WHEN p = 'D' THEN CASE WHEN r >= 0.80 THEN 'elite offensive defenseman' WHEN r >= 0.55 THEN 'offensive defenseman' WHEN r >= 0.35 THEN 'two-way defenseman' ELSE 'defensive defenseman' END
             WHEN r >= 1.20 THEN 'elite scorer' WHEN r >= 0.85 THEN 'top-six scorer' WHEN r >= 0.55 THEN 'middle-six forward' ELSE 'bottom-six forward' END,
           CASE WHEN p = 'D' THEN CASE WHEN sa >= 0.70 THEN 'playmaking from the blue line' WHEN sa <= 0.35 THEN 'goal-scoring defenseman' END WHEN sg >= 0.48 THEN 'goal scorer' WHEN sg <= 0.28 THEN 'pure playmaker' WHEN sg IS NOT NULL THEN 'two-way producer' END,

@@ -192,7 +192,7 @@ _BOARD = f"""{ORDER_PICKS}, {_QUALITY},
     count(*) OVER (PARTITION BY year, team, position ORDER BY overall_pick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS team_taken,
     CAST(row_number() OVER (PARTITION BY year, round ORDER BY overall_pick) AS INT) AS round_index, count(*) OVER (PARTITION BY year, round) AS round_size,
     max(quality) OVER (PARTITION BY year, round) AS round_best FROM quality),
-  board AS (SELECT *, round(coalesce(taken / nullif(seq - 1, 0)::DOUBLE, 0), 4) AS taken_share, round(remaining / (nc - seq + 1)::DOUBLE, 4) AS remaining_share,
+  board AS (SELECT *, round(coalesce(taken / nullif(seq - 1, 0)::DOUBLE, 0)::DECIMAL(18, 12), 4)::DOUBLE AS taken_share, round((remaining / (nc - seq + 1)::DOUBLE)::DECIMAL(18, 12), 4)::DOUBLE AS remaining_share,
     round(greatest(0, round_best - quality), 6) AS rank_gap, round(greatest(0.0, 1.0 - (round_index - 1) / greatest(round_size - 1, 1)::DOUBLE), 6) AS slot_pressure FROM st)"""
 
 #: hw (gm, year, dimension, category, weight) and hcount (gm, year, n_picks) of the picks ``hp``, from earlier years.
@@ -255,7 +255,7 @@ SQL = {
     "draft_history": f"WITH {ORDER_PICKS} SELECT year, overall_pick, round, position, league FROM picks WHERE team = 5 AND year >= 1999",
     "draft_breakdown": f"""WITH {ORDER_PICKS}, y AS (SELECT team, count(DISTINCT year) AS years, count(*) AS total FROM picks GROUP BY 1)
         SELECT team, league, count(*) AS n, round(100.0 * count(*) / any_value(total), 4) AS pct, any_value(years) AS years FROM picks JOIN y USING (team) GROUP BY 1, 2""",
-    "cohort_medians": f"""WITH {ORDER_PICKS} SELECT year, league, round(median(ppg) FILTER (position <> '5-LOW'), 6) AS ppg_median, round(median(age), 6) AS age_median, round(median(overall_pick), 6) AS pick_median FROM picks GROUP BY 1, 2""",
+    "cohort_medians": f"""WITH {ORDER_PICKS} SELECT year, league, round(median(ppg) FILTER (position <> '5-LOW'), 8) AS ppg_median, round(median(age), 8) AS age_median, round(median(overall_pick), 8) AS pick_median FROM picks GROUP BY 1, 2""",
     "empirical_cdf": f"""WITH {PROSPECTS}, g AS (SELECT id, ppg, CASE WHEN position LIKE '%STEEL%' THEN 'goalie' ELSE 'skater' END AS grp FROM prospects)
         SELECT id, grp, round(cume_dist() OVER (PARTITION BY grp ORDER BY ppg), 6) AS cdf FROM g""",
     "ordinal_quality": f"WITH {ORDER_PICKS}, {_QUALITY} SELECT id, ordinal, quality FROM quality",
@@ -263,11 +263,14 @@ SQL = {
     "draft_state_windows": f"WITH {_BOARD} SELECT id, taken_share, remaining_share, team_taken, round_index, round_size, rank_gap FROM board",
     "slot_pressure": f"WITH {_BOARD} SELECT id, slot_pressure FROM board",
     "sample_weights": f"""WITH {ORDER_PICKS} SELECT id, round(pow(0.92, (SELECT max(year) FROM picks) - year) * (1 + CASE round WHEN 1 THEN 3.0 WHEN 2 THEN 1.0 WHEN 3 THEN 0.4 WHEN 4 THEN 0.1 ELSE 0 END), 6) AS w FROM picks""",
+    "position_competition_rank": f"""WITH {ORDER_PICKS}, {_QUALITY},
+        c AS (SELECT a.id, count(*) AS n, count(*) FILTER (b.quality > a.quality) AS better FROM quality a JOIN quality b ON a.year = b.year AND a.position = b.position AND b.overall_pick >= a.overall_pick GROUP BY 1)
+        SELECT id, CASE WHEN n > 1 THEN round(((n - better) / n::DOUBLE)::DECIMAL(18, 12), 4)::DOUBLE ELSE 1.0 END AS pos_quality_rank FROM c""",
     "feature_matrix": f"""WITH {_BOARD}, hp AS (SELECT *, team AS gm FROM picks), {_HISTORY},
         cr AS (SELECT a.id, count(*) AS nn, count(*) FILTER (b.quality > a.quality) AS better FROM quality a JOIN quality b ON a.year = b.year AND a.position = b.position AND b.overall_pick >= a.overall_pick GROUP BY 1),
-        md AS (SELECT year, league, round(median(ppg) FILTER (position <> '5-LOW'), 6) AS pm FROM picks GROUP BY 1, 2),
+        md AS (SELECT year, league, round(median(ppg) FILTER (position <> '5-LOW'), 8) AS pm FROM picks GROUP BY 1, 2),
         r AS (SELECT b.*, ppg * 0.9 AS pp, (b.id % 40 + 160)::DOUBLE AS h, coalesce(CASE WHEN b.id % 5 <> 0 THEN (b.id % 60 + 60)::DOUBLE END, 85.0) AS wt,
-          least(greatest(1.0 - (overall_pick - 1) / 224.0, 0.0), 1.0) AS slot, b.id % 3 <> 0 AS has, CASE WHEN nn > 1 THEN round(1 - better / nn::DOUBLE, 4) ELSE 1.0 END AS comp,
+          least(greatest(1.0 - (overall_pick - 1) / 224.0, 0.0), 1.0) AS slot, b.id % 3 <> 0 AS has, CASE WHEN nn > 1 THEN round(((nn - better) / nn::DOUBLE)::DECIMAL(18, 12), 4)::DOUBLE ELSE 1.0 END AS comp,
           CASE WHEN b.position = '5-LOW' OR pm <= 0 THEN 1.0 ELSE round(ppg / pm, 4) END AS pn, coalesce(w1.weight, 0.2) AS gp, coalesce(w2.weight, 0.2) AS gl, coalesce(w3.weight, 0.33) AS gn,
           least(coalesce(hc.n_picks, 0) / 200.0::DOUBLE, 1.0) AS np
           FROM board b JOIN cr ON cr.id = b.id JOIN md ON md.year = b.year AND md.league = b.league LEFT JOIN hcount hc ON hc.gm = b.team AND hc.year = b.year

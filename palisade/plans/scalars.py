@@ -140,7 +140,7 @@ def candidate_window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pick with the 31 that follow in its year, by windows over blocks: linear in the picks."""
     p = evaluate.with_candidates(order_picks(spark, sf_dir), ["year"], 31, ["overall_pick", "ppg"])
     pairs = p.select("year", "overall_pick", F.posexplode("candidates").alias("k", "c")).where("k > 0")
-    return pairs.groupBy("year", "overall_pick").agg(F.count("*").alias("n"), F.max("c.overall_pick").alias("last"), F.round(F.max("c.ppg"), 6).alias("best_ppg"))
+    return pairs.groupBy("year", "overall_pick").agg(F.count("*").alias("n"), F.max("c.overall_pick").alias("last"), F.round(F.max("c.ppg"), 7).alias("best_ppg"))
 
 
 def point_in_time_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +225,7 @@ SQL = {
     "playoff_anti_join": """WITH r AS (SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS INT) AS place FROM supplier)
         SELECT s_suppkey, place, CASE WHEN place <= 16 THEN 0 ELSE 1 END AS segment FROM r""",
     "candidate_window_pairs": f"""WITH {ORDER_PICKS}, f AS (SELECT * FROM picks)
-        SELECT a.year, a.overall_pick, count(*) AS n, max(b.overall_pick) AS last, round(max(b.ppg), 6) AS best_ppg
+        SELECT a.year, a.overall_pick, count(*) AS n, max(b.overall_pick) AS last, round(max(b.ppg), 7) AS best_ppg
         FROM f a JOIN f b ON a.year = b.year AND b.overall_pick BETWEEN a.overall_pick + 1 AND a.overall_pick + 31 GROUP BY 1, 2""",
     "point_in_time_history": f"""WITH {ORDER_PICKS}, k AS (SELECT team, year, count(*) AS k FROM picks GROUP BY 1, 2)
         SELECT a.team, a.year, CAST(coalesce((SELECT sum(b.k) FROM k b WHERE b.team = a.team AND b.year < a.year), 0) AS BIGINT) AS n_before, a.k FROM k a""",

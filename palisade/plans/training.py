@@ -176,12 +176,12 @@ _TRAIN = f"""{ORDER_PICKS}, {_P4}, {_QUALITY.replace('FROM picks)', 'FROM p)')},
   tot AS (SELECT year, position, count(*) AS of FROM p GROUP BY 1, 2), nc AS (SELECT year, count(*) AS nc FROM p GROUP BY 1),
   rd AS (SELECT year, round, max(quality) AS round_best FROM quality GROUP BY 1, 2),
   sl AS (SELECT year, overall_pick, round AS slot_round, team AS slot_gm, greatest(0.0, 1.0 - (row_number() OVER (PARTITION BY year, round ORDER BY overall_pick) - 1) / greatest(count(*) OVER (PARTITION BY year, round) - 1, 1)::DOUBLE) AS pressure FROM p),
-  md AS (SELECT year, league, round(median(ppg) FILTER (position <> '5-LOW'), 6) AS pm, round(median(age), 6) AS am FROM p GROUP BY 1, 2),
+  md AS (SELECT year, league, round(median(ppg) FILTER (position <> '5-LOW'), 8) AS pm, round(median(age), 8) AS am FROM p GROUP BY 1, 2),
   ask AS (SELECT DISTINCT pr.year, pr.overall_pick, c.position, c.quality FROM pr JOIN quality c ON c.year = pr.year AND c.overall_pick = pr.candidate),
   bt AS (SELECT a.year, a.overall_pick, a.position, a.quality, count(*) FILTER (b.quality > a.quality) AS better FROM ask a JOIN quality b ON b.year = a.year AND b.position = a.position AND b.overall_pick >= a.overall_pick GROUP BY 1, 2, 3, 4),
   t AS (SELECT pr.year, pr.overall_pick, c.id, CAST(pr.stratum = 'picked' AS INT) AS was_picked, pr.stratum, slot_round,
-      round(coalesce(taken / nullif(pr.overall_pick - 1, 0)::DOUBLE, 0), 4) AS pos_taken_before_norm, round((of - taken) / (nc - pr.overall_pick + 1)::DOUBLE, 4) AS pos_remaining_norm, by_team AS team_drafted_this_pos,
-      round(CASE WHEN of - taken > 1 THEN 1 - better / (of - taken)::DOUBLE ELSE 1.0 END, 4) AS pos_quality_rank_norm, round(greatest(0, round_best - c.quality), 6) AS rank_gap_norm, c.quality AS css_rank_norm,
+      round(coalesce(taken / nullif(pr.overall_pick - 1, 0)::DOUBLE, 0)::DECIMAL(18, 12), 4)::DOUBLE AS pos_taken_before_norm, round(((of - taken) / (nc - pr.overall_pick + 1)::DOUBLE)::DECIMAL(18, 12), 4)::DOUBLE AS pos_remaining_norm, by_team AS team_drafted_this_pos,
+      round((CASE WHEN of - taken > 1 THEN (of - taken - better) / (of - taken)::DOUBLE ELSE 1.0 END)::DECIMAL(18, 12), 4)::DOUBLE AS pos_quality_rank_norm, round(greatest(0, round_best - c.quality), 6) AS rank_gap_norm, c.quality AS css_rank_norm,
       round(pressure, 6) AS slot_pressure, CASE WHEN coalesce(n_picks, 0) = 0 THEN 0.2 ELSE coalesce(w1.weight, 0.0) END AS gm_pos_weight, CASE WHEN coalesce(n_picks, 0) = 0 THEN 0.2 ELSE coalesce(w2.weight, 0.0) END AS gm_league_weight,
       CASE WHEN coalesce(n_picks, 0) = 0 THEN 0.33 ELSE coalesce(w3.weight, 0.0) END AS gm_nat_weight, least(coalesce(n_picks, 0) / 200.0::DOUBLE, 1.0) AS gm_n_picks_norm,
       round(CASE WHEN c.position = '5-LOW' OR pm IS NULL OR pm <= 0 THEN 1.0 ELSE c.ppg / pm END, 4) AS ppg_league_norm, round(coalesce(am, 18.5) - coalesce(c.age, am, 18.5), 4) AS age_league_norm,
@@ -207,7 +207,7 @@ def _pool_sql(first: str, slot: int) -> str:
     round(cume_dist() OVER (PARTITION BY is_goalie ORDER BY ppg), 6) AS cdf FROM f),
   h AS (SELECT *, round(CASE WHEN o IS NOT NULL THEN greatest(0.0, 1.0 - sqrt((o - 1) / greatest(nr, 1)::DOUBLE)) ELSE cdf END, 6) AS css_rank_norm FROM g),
   i AS (SELECT h.*, max(css_rank_norm) OVER () AS best, count(*) OVER (PARTITION BY position) AS same, (SELECT count(*) FROM h x WHERE x.position = h.position AND x.css_rank_norm > h.css_rank_norm) AS better FROM h),
-  win AS (SELECT *, round(greatest(0, best - css_rank_norm), 6) AS rank_gap_norm, CASE WHEN same > 1 THEN round(1 - better / same::DOUBLE, 4) ELSE 1.0 END AS pos_quality_rank_norm, round(same / np::DOUBLE, 4) AS pos_remaining_norm,
+  win AS (SELECT *, round(greatest(0, best - css_rank_norm), 6) AS rank_gap_norm, CASE WHEN same > 1 THEN round(((same - better) / same::DOUBLE)::DECIMAL(18, 12), 4)::DOUBLE ELSE 1.0 END AS pos_quality_rank_norm, round(same / np::DOUBLE, 4) AS pos_remaining_norm,
     {norm} AS pick_slot_norm, round(css_rank_norm - {norm}, 6) AS rank_vs_slot, round(greatest(0.0, 1.0 - ({slot} - 1) / 31.0::DOUBLE), 6) AS slot_pressure FROM i)"""
 
 
