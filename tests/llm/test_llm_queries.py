@@ -46,3 +46,41 @@ def test_classifier_sample_bound(spark, rows):
     docs, labels = documents(spark, SF), spark.read.parquet(f"{SF}/labels.parquet")
     kept = classifier.keep_good(docs, labels, sample_rows=rows)
     assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_as_a_whole(spark, tmp_path, kind):
+    """Nulls in every column, repeated rows, an empty and a very long text, clashing extra columns; and no rows at all."""
+    import hashlib
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    words = [f"{a}{b}{c}" for a in ("tion", "the", "an", "re") for b in ("er", "ing", "ou", "sh") for c in ("a", "e", "d", "st")]
+    good = lambda n: ". ".join(" ".join(rng.choices(words, k=9)) for _ in range(n))
+    rows = [(i, good(12), "en", f"s{i % 3}") for i in range(90)]
+    near = rows[0][1].split(" ")
+    rows += [(100 + k, " ".join([*near[: 20 + k], "other", *near[21 + k :]]), "en", "s1") for k in range(4)] + [(110, rows[1][1], "en", None), rows[2], rows[2]]
+    rows += [(i, "spam ### %%% " * 40, "en", "s2") for i in range(200, 240)]
+    rows += [(None, good(12), None, None), (None, None, None, None), (300, None, "en", "s0"), (301, "", "en", "s0"), (302, good(9000), "en", "s0")]
+    schema = "doc_id bigint, text string, lang string, source string"
+    df = spark.createDataFrame(rows if kind == "odd" else [], schema)
+    clashes = ("row", "fp", "comp", "kept", "words", "mix_size", "palisade_row", "stats", "part", "n")
+    df.select("*", *[F.lit("clash").alias(c) for c in clashes]).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i < 200), 0) for i, *_ in rows if i is not None] + [(None, 1, 0), (5, None, 0)]
+    spark.createDataFrame(labels if kind == "odd" else [], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if kind == "empty":
+        assert got == []
+        return
+    ids = [r.doc_id for r in got]
+    assert not set(ids) & set(range(200, 240)) and not {300, 301} & set(ids)  # rejected
+    assert not {100, 101, 102, 103, 110} & set(ids) and all(ids.count(i) <= 2 for i in set(ids))  # one of a group stays; a mix takes nothing more than twice
+    assert len(set(ids)) > 60
+    model, text_of = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json")), {i: t for i, t, *_ in rows if i is not None}
+    for r in got:
+        if r.doc_id is not None:
+            want = model.encode(text_of[r.doc_id], add_special_tokens=False).ids
+            assert r.n_tokens == len(want) and r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
