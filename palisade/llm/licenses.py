@@ -153,7 +153,12 @@ class Scanner:
             for row in self._keys(h, window, 1):
                 for key in row.tolist():
                     entries.setdefault(window, {}).setdefault(key, set()).add(t)
-        self.index = {window: (np.array(sorted(got), np.uint64), [sorted(got[k]) for k in sorted(got)]) for window, got in entries.items()}
+        self.index = {}
+        for window, got in entries.items():
+            keys = np.array(sorted(got), np.uint64)
+            known = np.zeros(1 << 20, bool)  # by a key's first 20 bits: few keys of a text are searched for
+            known[keys >> np.uint64(44)] = True
+            self.index[window] = (keys, [sorted(got[k]) for k in keys.tolist()], known)
 
     def _keys(self, h: np.ndarray, window: int, step: int) -> np.ndarray:
         if window == 1:  # one shingle is its own signature: a single band finds it surely
@@ -164,17 +169,18 @@ class Scanner:
         """Template -> places (of shingles) of windows that share a band with it."""
         h = shingle_hashes(found)
         out: dict[int, list[int]] = {}
-        for window, (keys, templates) in self.index.items():
+        for window, (keys, templates, known) in self.index.items():
             step = max(1, window // 2)
             n = len(h) - window + 1
             if n <= 0:
                 continue
             at = np.unique(np.append(np.arange(0, n, step), n - 1)) if window > 1 else np.arange(n)
             for row in self._keys(h, window, step):
-                spot = np.minimum(np.searchsorted(keys, row), len(keys) - 1)
-                for i in np.flatnonzero(keys[spot] == row).tolist():
+                likely = np.flatnonzero(known[row >> np.uint64(44)])
+                spot = np.minimum(np.searchsorted(keys, row[likely]), len(keys) - 1)
+                for i in np.flatnonzero(keys[spot] == row[likely]).tolist():
                     for t in templates[int(spot[i])]:
-                        out.setdefault(t, []).append(int(at[i]))
+                        out.setdefault(t, []).append(int(at[likely[i]]))
         return out
 
     def passages(self, t: int, found: list[bytes], low: int, high: int) -> list[tuple[int, int, int]]:
