@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, features, monitor
+from ..sources.shared import written
 from ..sources.star import ORDER_PICKS, line_picks, order_picks, table
 from .profiles import _QUALITY
 
@@ -60,23 +61,26 @@ def blend_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.inline(F.array(*ranks))).groupBy("w").agg(*evaluate.hit_metrics(F.col("rank")))
 
 
-def _scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("n_chars") % 97 / 97.0).alias("score"))
-    l = table(spark, sf_dir, "labels").select("doc_id", "quality")  # noqa: E741
-    return d.join(l, "doc_id").select("doc_id", F.concat_ws("-", "source", (F.col("doc_id") % 3).cast("string")).alias("grp"), "score", "quality")
+def _scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per slot of rounds 1 to 4 and candidate: the blended score, and whether the candidate was the pick. Written once, as its readers take it more than once."""
+    p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where(F.col("round") <= LAST_ROUND)
+    p = evaluate.with_candidates(p, ["year"], 31, ["id", "quality", "ppg", "css_rank", "league"])
+    rows = p.select(F.col("id").alias("slot"), "year", F.inline("candidates"))
+    score = F.round(BLEND * F.col("quality") + (1 - BLEND) * F.col("ppg") / 5, 6)
+    return written(rows.select("slot", "year", "id", "css_rank", "league", score.alias("score"), (F.col("id") == F.col("slot")).cast("int").alias("was_picked")), "scored-candidates")
 
 
 def ndcg_at_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.group_hit_rate(_scored_documents(spark, sf_dir), "grp", "quality", "score", "doc_id")
+    return evaluate.group_hit_rate(_scored_candidates(spark, sf_dir), "slot", "was_picked", "score", "id")
 
 
 def conformal_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.conformal_quantiles(_scored_documents(spark, sf_dir), "grp", "quality", "score")
+    return evaluate.conformal_quantiles(_scored_candidates(spark, sf_dir), "slot", "was_picked", "score")
 
 
 def conformal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored_documents(spark, sf_dir)
-    return evaluate.conformal_sets(rows, "grp", "score", evaluate.conformal_quantiles(rows, "grp", "quality", "score"), 0.10).select("doc_id", "grp", "nc", "in_set")
+    rows = _scored_candidates(spark, sf_dir)
+    return evaluate.conformal_sets(rows, "slot", "score", evaluate.conformal_quantiles(rows, "slot", "was_picked", "score"), 0.10).select("slot", "id", "nc", "in_set")
 
 
 def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +126,7 @@ def dq_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = order_picks(spark, sf_dir).withColumn("was_picked", F.when(F.col("overall_pick") % 20 == 0, 1.0).otherwise(0.0))
-    return monitor.training_checks(p, "year", "was_picked", ["css_rank", "league"])
+    return monitor.training_checks(_scored_candidates(spark, sf_dir), "year", "was_picked", ["css_rank", "league"])
 
 
 def dq_model_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,14 +144,14 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _PAIRS = f"""{ORDER_PICKS}, {_QUALITY}, e AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY overall_pick) AS s FROM quality WHERE round <= 4),
-  pr AS (SELECT a.id, a.year, a.round, a.league, a.quality, a.ppg, b.quality AS cq, b.ppg AS cg, round(0.6 * a.quality + 0.4 * a.ppg / 5, 6) AS m, round(0.6 * b.quality + 0.4 * b.ppg / 5, 6) AS cm
+  pr AS (SELECT a.id, a.year, a.round, a.league, a.quality, a.ppg, b.id AS cid, b.css_rank AS c_css, b.league AS c_league, b.quality AS cq, b.ppg AS cg, round(0.6 * a.quality + 0.4 * a.ppg / 5, 6) AS m, round(0.6 * b.quality + 0.4 * b.ppg / 5, 6) AS cm
     FROM e a JOIN e b ON a.year = b.year AND b.s BETWEEN a.s AND a.s + 31),
   ranked AS (SELECT id, year, round, league, 1 + count(*) FILTER (cm > m) AS rank, 1 + count(*) FILTER (cq > quality) AS css, 1 + count(*) FILTER (cg > ppg) AS prod, count(*) AS pool FROM pr GROUP BY 1, 2, 3, 4)"""
 _HITS = "count(*) AS n, round(avg(CAST({r} <= 1 AS DOUBLE)), 6) AS top1, round(avg(CAST({r} <= 3 AS DOUBLE)), 6) AS top3, round(avg(CAST({r} <= 5 AS DOUBLE)), 6) AS top5, round(avg(1.0::DOUBLE / {r}), 6) AS mrr"
 _H = _HITS.format(r="rank")
-_SCORED = """sd AS (SELECT doc_id, source || '-' || CAST(doc_id % 3 AS VARCHAR) AS grp, (n_chars % 97) / 97.0::DOUBLE AS score, quality FROM documents JOIN labels USING (doc_id))"""
-_SHARES = f"{_SCORED}, sh AS (SELECT *, exp(score - max(score) OVER (PARTITION BY grp)) / sum(exp(score)) OVER (PARTITION BY grp) * exp(max(score) OVER (PARTITION BY grp)) AS share FROM sd)"
-_CONF = f"""{_SHARES}, nc AS (SELECT grp, 1 - max(share) AS nc FROM sh WHERE quality = 1 GROUP BY 1), pl AS (SELECT nc, row_number() OVER (ORDER BY nc) AS place FROM nc),
+_SCORED = f"{_PAIRS}, sd AS (SELECT id AS slot, cid AS id, cm AS score, CAST(cid = id AS INT) AS was_picked FROM pr)"
+_SHARES = f"{_SCORED}, sh AS (SELECT *, exp(score - max(score) OVER (PARTITION BY slot)) / sum(exp(score)) OVER (PARTITION BY slot) * exp(max(score) OVER (PARTITION BY slot)) AS share FROM sd)"
+_CONF = f"""{_SHARES}, nc AS (SELECT slot, 1 - max(share) AS nc FROM sh WHERE was_picked = 1 GROUP BY 1), pl AS (SELECT nc, row_number() OVER (ORDER BY nc) AS place FROM nc),
   st AS (SELECT count(*) AS n, round(avg(nc), 6) AS nc_mean, round(stddev_pop(nc), 6) AS nc_std FROM pl), al AS (SELECT unnest([0.10, 0.15, 0.20])::DOUBLE AS alpha),
   cq AS (SELECT alpha, round(nc, 6) AS threshold, n, nc_mean, nc_std FROM st, al JOIN pl ON place = greatest(1, least((SELECT n FROM st), ceil(round(((SELECT n FROM st) + 1) * (1 - alpha), 9)))))"""
 _JS = "round(sum((p * ln((p + 1e-10) / ((p + q) / 2 + 1e-10)) + q * ln((q + 1e-10) / ((p + q) / 2 + 1e-10))) / 2), 6)"
@@ -164,7 +167,7 @@ _DQ_TR = """SELECT 'training_row_count' AS "check", count(*)::DOUBLE AS value, C
   UNION ALL SELECT 'null_rate_css_rank', round(avg(CAST(css_rank IS NULL AS DOUBLE)), 4), CASE WHEN avg(CAST(css_rank IS NULL AS DOUBLE)) > 0.5 THEN 'WARN' ELSE 'PASS' END FROM t
   UNION ALL SELECT 'null_rate_league', 0.0, 'PASS'
   UNION ALL SELECT 'per_year_positive_rate', count(*)::DOUBLE, CASE WHEN count(*) > 0 THEN 'WARN' ELSE 'PASS' END FROM (SELECT avg(wp) AS r FROM t GROUP BY year) WHERE r NOT BETWEEN 0.01 AND 0.20"""
-_T = f"{ORDER_PICKS}, t AS (SELECT *, CASE WHEN overall_pick % 20 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS wp FROM picks)"
+_T = f"{_PAIRS}, t AS (SELECT year, c_css AS css_rank, c_league AS league, CAST(cid = id AS INT) AS wp FROM pr)"
 
 SQL = {
     "topk_mrr_breakdown": f"""WITH {_PAIRS} SELECT 'all' AS dimension, '' AS value, {_H} FROM ranked
@@ -178,9 +181,9 @@ SQL = {
     "blend_sweep": f"""WITH {_PAIRS}, w AS (SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS w),
         r AS (SELECT w, id, 1 + count(*) FILTER (round(w * cq + (1 - w) * cg / 5, 6) > round(w * quality + (1 - w) * ppg / 5, 6)) AS rank FROM pr, w GROUP BY 1, 2)
         SELECT w, {_H} FROM r GROUP BY 1""",
-    "ndcg_at_1": f"WITH {_SCORED} SELECT grp, count(*) AS n, arg_max(quality, {{'s': score, 'd': doc_id}}) AS hit FROM sd GROUP BY 1 HAVING max(quality) = 1",
+    "ndcg_at_1": f"WITH {_SCORED} SELECT slot, count(*) AS n, arg_max(was_picked, {{'s': score, 'd': id}}) AS hit FROM sd GROUP BY 1 HAVING max(was_picked) = 1",
     "conformal_quantiles": f"WITH {_CONF} SELECT * FROM cq",
-    "conformal_sets": f"WITH {_CONF} SELECT doc_id, grp, round(1 - share, 6) AS nc, round(1 - share, 6) <= (SELECT threshold FROM cq WHERE alpha = 0.10) AS in_set FROM sh",
+    "conformal_sets": f"WITH {_CONF} SELECT slot, id, round(1 - share, 6) AS nc, round(1 - share, 6) <= (SELECT threshold FROM cq WHERE alpha = 0.10) AS in_set FROM sh",
     "linear_attribution": f"""WITH {ORDER_PICKS}, {_QUALITY}, p AS (SELECT id, quality, ppg, overall_pick::DOUBLE AS slot FROM quality WHERE round <= 4), m AS (SELECT avg(quality) AS mq, avg(ppg) AS mg, avg(slot) AS ms FROM p),
         c AS (SELECT id, 'quality' AS feature, round(1.5 * (quality - mq), 6) AS contribution FROM p, m UNION ALL SELECT id, 'ppg', round(0.4 * (ppg - mg), 6) FROM p, m UNION ALL SELECT id, 'slot', round(-0.001 * (slot - ms), 6) FROM p, m),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(contribution) DESC, feature) AS INT) AS place FROM c) SELECT * FROM r WHERE place <= 2""",

@@ -68,8 +68,9 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeat_call_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signature = F.concat_ws("|", (F.length("text") % 3).cast("string"))
-    return streams.repeated_calls(table(spark, sf_dir, "conversations"), "conv_id", "turn", signature).select("conv_id", "turn", "signature")
+    """Events that call for the same thing with the same arguments as their user's event before."""
+    signature = F.concat_ws(" ", "event_type", "props")
+    return streams.repeated_calls(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], signature).select("user_id", "event_id", "signature")
 
 
 def breaker_sliding_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,8 +169,9 @@ SQL = {
     "session_overflow": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
         SELECT conv_id, count(*) AS n_folded, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS summary FROM r WHERE back > 6 GROUP BY 1""",
     "session_counts": "SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'user') AS n_user FROM conversations GROUP BY 1",
-    "repeat_call_detection": """WITH r AS (SELECT conv_id, turn, CAST(length(text) % 3 AS VARCHAR) AS signature, lag(CAST(length(text) % 3 AS VARCHAR)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
-        SELECT conv_id, turn, signature FROM r WHERE signature = before""",
+    "repeat_call_detection": """WITH s AS (SELECT *, concat_ws(' ', event_type, props) AS signature FROM events),
+        r AS (SELECT user_id, event_id, signature, lag(signature) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM s)
+        SELECT user_id, event_id, signature FROM r WHERE signature = before""",
     "breaker_sliding_failures": """WITH e AS (SELECT * FROM events WHERE event_type = 'error')
         SELECT a.event_id, count(*) AS n_recent, count(*) >= 2 AS opened FROM e a JOIN e b ON a.user_id = b.user_id AND epoch_us(b.ts) > epoch_us(a.ts) - 86400000000 AND b.ts <= a.ts GROUP BY 1""",
     "stream_tumbling": f"SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 6 HOURS AS stop, {_W} FROM events GROUP BY 1, 2, event_type",

@@ -32,7 +32,7 @@ def overflow(log: DataFrame, session: str, order: str, text: str, n: int = KEEP_
     return old.groupBy(session).agg(F.count("*").alias("n_folded"), F.array_join(parts, "\n").alias("summary"))
 
 
-def repeated_calls(log: DataFrame, session: str, order: str, signature: Column) -> DataFrame:
+def repeated_calls(log: DataFrame, session: str, order: str | list[str], signature: Column) -> DataFrame:
     """Turns whose signature equals that of the turn before."""
     rows = log.withColumn("signature", signature)
     before = F.lag("signature").over(W.partitionBy(session).orderBy(order))
