@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, fingerprint, licenses, lm_score, mixing, quality_rules, sharding, simhash, token_count
+from . import alignment, bpe, classifier, divergence, exact_dedup, fingerprint, licenses, lm_score, mixing, quality_rules, sharding, simhash, token_count
 from .common import documents
 
 
@@ -64,6 +64,18 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(documents(spark, sf_dir))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_copies(documents(spark, sf_dir))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir), least_docs=3, top=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_lm_scores": op10_lm_scores,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 OP2_SQL = r"""
@@ -136,4 +151,47 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
 FROM rows
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op6_sharding": OP6_SQL}
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, row_number() OVER w = 1 AS kept, h AS text_sha256
+FROM docs WINDOW w AS (PARTITION BY h ORDER BY doc_id NULLS LAST, rid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+"""
+
+#: Every kept term of a language in every group of it, absent ones too.
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), occurrences AS (
+  SELECT rid, lang, source, unnest(ts) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM occurrences GROUP BY lang, term HAVING count(DISTINCT rid) >= 3
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), own AS (
+  SELECT lang, source, term, count(*) AS n FROM occurrences SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT d.lang, d.source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) d LEFT JOIN own USING (lang, source) GROUP BY ALL
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n,
+         (1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 1)) // (g.total + l.v)::HUGEINT)::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v)::HUGEINT)::BIGINT AS lang_p
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+), pairs AS (
+  SELECT g.lang, g.source, h.source AS item, coalesce(f.value, 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) f ON f.lang = g.lang AND f.source = g.source AND f.item = h.source
+), more AS (
+  SELECT lang, source, term AS item, (p - lang_p) * (p - lang_p) // lang_p AS value FROM shares WHERE n > 0 AND p > lang_p
+)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value::BIGINT, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM more QUALIFY rank <= 200
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op6_sharding": OP6_SQL, "op12_exact_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}

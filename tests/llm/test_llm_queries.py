@@ -18,7 +18,7 @@ def test_against_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
