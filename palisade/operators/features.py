@@ -141,12 +141,18 @@ def feature_matrix(rows: DataFrame, keys: list[str], positions=X.POSITIONS, leag
     position = X.primary_position(F.col("position"))
     league = X.league_key(F.col("draft_league")) if league is None else league
     nation = X.nationality_group(F.col("nationality")) if nation is None else nation
-    by = W.partitionBy(*(physique_by or []), position)
+    by = [*(physique_by or []), "_position"]
+    physique = [n for n in ("height_cm", "weight_kg") if n in have]
+    if physique:  # a median for each position (of a cohort), few rows
+        rows = rows.withColumn("_position", position)
+        medians = rows.groupBy(*by).agg(*[F.median(value(n)).alias(f"_median_{n}") for n in physique])
+        medians = medians.withColumnsRenamed({c: f"_of_{c}" for c in by})
+        rows = rows.join(F.broadcast(medians), [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], "left")
     rank, slot = value("css_rank_norm"), X.slot_norm(value("overall_pick"))
     previous = F.col("ppg_prev_season").cast("double") if "ppg_prev_season" in have else F.lit(None).cast("double")
     current = F.col("points_per_game").cast("double") if "points_per_game" in have else F.lit(0.0)
     round_no = F.coalesce(F.col("draft_round"), F.lit(1)) if "draft_round" in have else F.lit(1)
-    deviation = lambda name: (value(name) - F.median(value(name)).over(by)) if name in have else F.lit(0.0)
+    deviation = lambda name: (value(name) - F.col(f"_median_{name}")) if name in have else F.lit(0.0)
     same = lambda *names: [value(n).alias(n) for n in names]
     columns = [
         *X.one_hot(position, positions, "pos"), *X.one_hot(nation, nations, "nat"), *X.one_hot(league, leagues, "league"),
