@@ -96,7 +96,7 @@ def _small(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _overlaps(postings: DataFrame) -> DataFrame:
-    """lang, a, b, ab, ba: for groups a < b of a language, the sums over the terms in both, in either direction.
+    """lang, source, item, common: for any two sources of a language the sum over the terms in both of what corrects their prices.
 
     ``postings`` (lang, term, source, p, z) hold a term's rows side by side. Pairs are formed and summed in numpy, a bounded number at a
     time; what leaves a task is one row for each pair of groups that it has seen (or more, where there are over BOUND_PAIRS).
@@ -127,11 +127,11 @@ def _overlaps(postings: DataFrame) -> DataFrame:
                 old[1] += y
 
         def rows():
-            both = [(names[k >> 32], names[k & 0xFFFFFFFF], *v) for k, v in sums.items()]
-            out = [(a[0], *((a[1], b[1], x, y) if a[1] < b[1] else (b[1], a[1], y, x))) for a, b, x, y in both]
+            found = [(names[k >> 32], names[k & 0xFFFFFFFF], *v) for k, v in sums.items()]
+            out = [r for a, b, ab, ba in found for r in ((a[0], a[1], b[1], ab), (a[0], b[1], a[1], ba))]
             sums.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "a", "b", "ab", "ba"]
+                [pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "source", "item", "common"]
             )
 
         def pairs(ends, code, p, z):
@@ -182,8 +182,8 @@ def _overlaps(postings: DataFrame) -> DataFrame:
         yield rows()
 
     dealt = postings.select("lang", "term", "source", "p", "z").repartition("lang", "term").sortWithinPartitions("lang", "term")
-    sums = dealt.mapInArrow(run, "lang string, a string, b string, ab bigint, ba bigint")
-    return sums.groupBy("lang", "a", "b").agg(F.sum("ab").alias("ab"), F.sum("ba").alias("ba"))
+    sums = dealt.mapInArrow(run, "lang string, source string, item string, common bigint")
+    return sums.groupBy("lang", "source", "item").agg(F.sum("common").alias("common"))
 
 
 def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_docs: int = 3, top: int = 200) -> DataFrame:
@@ -217,7 +217,6 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
 
     placed = postings.join(small, ["lang", "source"])
     placed = placed.withColumn("p", share(F.col("n"), F.col("total"), F.col("kept")))
-    both = _overlaps(placed)
 
     histogram = written(postings.groupBy("lang", "source", "n").agg(F.count("*").alias("terms")), "divergence-counts")
     absent = _small(groups.where("kept > 0").groupBy("lang").agg(F.collect_set("z").alias("zs")).select("lang", F.explode("zs").alias("zero")), "lang")
@@ -233,9 +232,7 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     pairs = groups.select("lang", "source", "kept", "support", "z").join(other, "lang").where(F.col("source") != F.col("item"))
     pairs = pairs.join(prices.select("lang", "source", F.col("zero").alias("other_z"), "over"), ["lang", "source", "other_z"], "left")
     pairs = pairs.join(prices.select("lang", F.col("source").alias("item"), F.col("zero").alias("z"), "under"), ["lang", "item", "z"], "left")
-    shared = both.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), F.col("ab").alias("common"))
-    shared = shared.unionByName(both.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), F.col("ba").alias("common")))
-    pairs = pairs.join(shared, ["lang", "source", "item"], "left")
+    pairs = pairs.join(_overlaps(placed), ["lang", "source", "item"], "left")
     value = (
         F.coalesce("over", zero) + F.coalesce("under", zero) + F.coalesce("common", zero)
         + (F.col("kept") - F.col("support") - F.col("other_support")) * gap(F.col("z"), F.col("other_z"))
