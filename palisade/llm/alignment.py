@@ -39,6 +39,8 @@ from .token_count import Encoder
 BLOCK_GROUPS, BLOCK_BYTES, BLOCK_CODES = 400_000, 32 << 20, 16_000_000
 #: Words that a task keeps tokenized, and their bytes; bytes of text that it tokenizes at once.
 WORDS, WORD_BYTES, CHUNK_BYTES = 400_000, 32 << 20, 2 << 20
+#: Characters of new words that are tokenized in one run.
+RUN = 16_384
 
 
 def _unit_pattern(space: str) -> re.Pattern:
@@ -55,28 +57,8 @@ def units(text: str) -> list[str]:
     return (_WIDE_UNITS if _WIDE.search(text.encode("utf-8", "replace")) else _UNITS).findall(text)
 
 
-def groups_of(a: list[int], b: list[int], a_size, b_size) -> list[tuple[list[int], list[int]]]:
-    """The A ids and B ids between neighbouring common ends; ``a_size`` and ``b_size`` give the bytes of an id."""
-    out, i, j, a_end, b_end, a_from, b_from = [], 0, 0, 0, 0, 0, 0
-    while i < len(a):
-        if a_end <= b_end:
-            a_end += a_size[a[i]]
-            i += 1
-        while b_end < a_end:
-            b_end += b_size[b[j]]
-            j += 1
-        if a_end == b_end:
-            while i < len(a) and not a_size[a[i]]:  # tokens without bytes end where the one before does
-                i += 1
-            while j < len(b) and not b_size[b[j]]:
-                j += 1
-            out.append((a[a_from:i], b[b_from:j]))
-            a_from, b_from = i, j
-    return out
-
-
 class Tokenizers:
-    """Byte-level A and sentence-piece B, for words alone."""
+    """Byte-level A and sentence-piece B, for runs of words."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -94,67 +76,137 @@ class Tokenizers:
         ids = range(self.b.get_piece_size())
         shown = lambda i, x: bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode()
         self.b_bytes = [shown(i, self.b.id_to_piece(i)) for i in ids]
-        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
-
-    def tokenize(self, words: list[str]) -> Iterator[list[tuple[list[int], list[int]]] | None]:
-        """The groups of each word; None where the joined tokens are not the word."""
-        for i in range(0, len(words), 2048):
-            part = words[i : i + 2048]
-            of_b = self.b.encode(["\n" + x for x in part], num_threads=1)  # two tokens first: the model's mark and the newline
-            for word, a, b in zip(part, self.a.encode_batch(part, add_special_tokens=False), of_b, strict=True):
-                a, b, raw = a.ids, b[2:], word.encode("utf-8", "replace")
-                whole = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-                yield groups_of(a, b, self.a_size, self.b_size) if whole else None
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        if not self.a_size.all() or not self.b_size.all():
+            raise ValueError("tokens without bytes cannot be aligned")
 
-
-def key_of(a: list[int], b: list[int]) -> str:
-    return ",".join(map(str, a)) + "|" + ",".join(map(str, b))
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """A ids and B ids of a text that starts with white space; None where the joined tokens are not the text."""
+        a = self.a.encode(text, add_special_tokens=False).ids
+        b = self.b.encode("\n" + text)[2:]  # two tokens first: the model's mark and the newline
+        raw = text.encode("utf-8", "replace")
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
 
 
 class Block:
     """Documents whose groups are interned together."""
 
     def __init__(self):
-        self.codes: dict[str, int] = {}
+        self.single: dict[int, int] = {}  # a << 32 | b -> code, of groups of one A id and one B id
+        self.several: dict[tuple, int] = {}
+        self.keys: list[str] = []
         self.sizes: list[tuple[int, int]] = []
-        self.links: list[list[int]] = []  # distinct pairs of a group, as a << 32 | b
+        self.links: list[tuple[int, ...]] = []  # distinct pairs of a group, as a << 32 | b
         self.docs = np.zeros(1024, np.int64)  # documents that hold a group
         self.excess: Counter = Counter()
         self.rows: list[tuple] = []
         self.key_bytes = self.n_codes = 0
-
-    def intern(self, a: list[int], b: list[int]) -> int:
-        key = key_of(a, b)
-        code = self.codes.setdefault(key, len(self.codes))
-        if code == len(self.sizes):
-            self.sizes.append((len(a), len(b)))
-            self.links.append([x << 32 | y for x in set(a) for y in set(b)])
-            self.key_bytes += len(key)
-            if code == len(self.docs):
-                self.docs = np.r_[self.docs, np.zeros(code, np.int64)]
-        return code
-
-    def add(self, doc_id, codes: list[int], text: str | None) -> None:
-        """A document with these groups, in any order; ``text`` has their keys in order, None for a document without tokens."""
-        if text is None:
+        self._sizes = np.zeros((0, 2), np.int64)
+
+    def _new(self, a: tuple, b: tuple) -> int:
+        key = ",".join(map(str, a)) + "|" + ",".join(map(str, b))
+        self.keys.append(key)
+        self.sizes.append((len(a), len(b)))
+        self.links.append(tuple(x << 32 | y for x in set(a) for y in set(b)))
+        self.key_bytes += len(key)
+        if len(self.keys) > len(self.docs):
+            self.docs = np.r_[self.docs, np.zeros(len(self.docs), np.int64)]
+        return len(self.keys) - 1
+
+    def groups(self, a: np.ndarray, b: np.ndarray, models: Tokenizers) -> tuple[list[int], np.ndarray]:
+        """The codes of the groups between neighbouring common ends, and these ends in bytes."""
+        a_ends, b_ends = np.cumsum(models.a_size[a]), np.cumsum(models.b_size[b])
+        ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_to, b_to = np.searchsorted(a_ends, ends, side="right"), np.searchsorted(b_ends, ends, side="right")
+        a_from, b_from = np.r_[0, a_to[:-1]], np.r_[0, b_to[:-1]]
+        one = (a_to - a_from == 1) & (b_to - b_from == 1)
+        codes = np.empty(len(ends), np.int64)
+        pairs, inverse = np.unique(a[a_from[one]] << 32 | b[b_from[one]], return_inverse=True)
+        found = []
+        for p in pairs.tolist():
+            code = self.single.get(p)
+            if code is None:
+                code = self.single[p] = self._new((p >> 32,), (p & 0xFFFFFFFF,))
+            found.append(code)
+        codes[one] = np.array(found, np.int64)[inverse]
+        a_ids, b_ids = a.tolist(), b.tolist()
+        many = np.flatnonzero(~one)
+        for i, s, e, u, v in zip(many.tolist(), *(x[many].tolist() for x in (a_from, a_to, b_from, b_to)), strict=True):
+            key = (*a_ids[s:e], -1, *b_ids[u:v])
+            code = self.several.get(key)
+            if code is None:
+                code = self.several[key] = self._new(tuple(a_ids[s:e]), tuple(b_ids[u:v]))
+            codes[i] = code
+        return codes.tolist(), ends
+
+    def words(self, new: list[str], models: Tokenizers) -> dict[str, tuple[int, ...] | None]:
+        """The codes of each word's groups; None where its tokens do not join to it.
+
+        Words that end in no white space are tokenized many at a time, one after the other: none changes its neighbour. The rest, and runs
+        that do not come back whole, go alone.
+        """
+        out: dict[str, tuple[int, ...] | None] = {}
+        run: list[str] = []
+        size = 0
+
+        def alone(word):
+            ids = models.ids(word)
+            out[word] = None if ids is None else tuple(self.groups(*ids, models)[0])
+
+        def settle():
+            nonlocal size
+            ids = models.ids("".join(run))
+            if ids is not None:
+                codes, ends = self.groups(*ids, models)
+                lengths = np.fromiter((len(w) if w.isascii() else len(w.encode("utf-8", "replace")) for w in run), np.int64, len(run))
+                own = np.cumsum(lengths)
+                to = np.searchsorted(ends, own, side="right").tolist()
+            if ids is None or not np.array_equal(ends[np.array(to) - 1], own):
+                for word in run:
+                    alone(word)
+            else:
+                out.update((w, tuple(codes[s:e])) for w, s, e in zip(run, [0, *to], to, strict=False))  # tuples of numbers: the collector leaves them out
+            run.clear()
+            size = 0
+
+        for word in new:
+            if word[-1].isspace() or word[0] not in " \n":
+                alone(word)
+                continue
+            run.append(word)
+            size += len(word)
+            if size > RUN:
+                settle()
+        if run:
+            settle()
+        return out
+
+    def add(self, doc_id, codes: list[int] | None) -> None:
+        """A document with these groups in order; None for one without tokens."""
+        if codes is None:
             self.rows.append((doc_id, 0, 0, 0, 0, "", None, None))
             return
+        if len(self._sizes) < len(self.sizes):
+            self._sizes = np.array(self.sizes, np.int64)
         found, times = np.unique(np.array(codes, np.int64), return_counts=True)
         self.docs[found] += 1
         order = found.tolist()
-        sizes = np.array([self.sizes[g] for g in order], np.int64).reshape(-1, 2)
+        sizes = self._sizes[found]
         pairs = np.sort(np.fromiter(chain.from_iterable(map(self.links.__getitem__, order)), np.int64))
         again = pairs[1:][pairs[1:] == pairs[:-1]]
         if len(again):
             self.excess.update(again.tolist())
         self.n_codes += len(order)
+        text = ";".join(map(self.keys.__getitem__, codes))
         self.rows.append(
             (doc_id, int(sizes[:, 0] @ times), int(sizes[:, 1] @ times), len(codes), int(sizes.prod(axis=1) @ times),
              hashlib.sha256(text.encode()).hexdigest(), pack_numbers(np.diff(found, prepend=0)), pack_numbers(times))
         )
 
     def full(self) -> bool:
-        return len(self.codes) > BLOCK_GROUPS or self.key_bytes > BLOCK_BYTES or self.n_codes > BLOCK_CODES or len(self.excess) > 4 * BLOCK_GROUPS
+        return len(self.keys) > BLOCK_GROUPS or self.key_bytes > BLOCK_BYTES or self.n_codes > BLOCK_CODES or len(self.excess) > 4 * BLOCK_GROUPS
 
 
 _FIELDS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times")
@@ -166,7 +218,7 @@ def _read(df: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches):
         models, block, number = Tokenizers(a_path, b_path), Block(), 0
-        known: dict[str, tuple | None] = {}  # word -> (codes of its groups, their keys), None if its tokens do not join to it
+        known: dict[str, tuple[int, ...] | None] = {}
         word_bytes = 0
         base = TaskContext.get().partitionId() << 24
 
@@ -179,7 +231,7 @@ def _read(df: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for i in range(0, len(block.rows), 1024):
                 part = block.rows[i : i + 1024]
                 yield batch_of(0, {x: pa.array([r[k] for r in part], kind or id_kind) for k, (x, kind) in enumerate(zip(_FIELDS, _KINDS, strict=True))}, len(part))
-            keys = list(block.codes)
+            keys = block.keys
             for i in range(0, len(keys), 16_384):
                 part = keys[i : i + 16_384]
                 n = len(part)
@@ -194,16 +246,12 @@ def _read(df: DataFrame, a_path: str, b_path: str) -> DataFrame:
         def take(ids, texts):
             nonlocal word_bytes
             lists = [units(" " + t) if t and "▁" not in t else [] for t in texts]
-            new = list(dict.fromkeys(w for ws in lists for w in ws if w not in known))
-            for word, found in zip(new, models.tokenize(new), strict=True):
-                word_bytes += len(word)
-                known[word] = None if found is None else ([block.intern(a, b) for a, b in found], ";".join(key_of(a, b) for a, b in found))
+            new = [w for w in dict.fromkeys(chain.from_iterable(lists)) if w not in known]
+            word_bytes += sum(map(len, new))
+            known.update(block.words(new, models))
             for doc_id, ws in zip(ids, lists, strict=True):
                 got = list(map(known.__getitem__, ws))
-                if not got or None in got:
-                    block.add(doc_id, [], None)
-                else:
-                    block.add(doc_id, list(chain.from_iterable(x[0] for x in got)), ";".join([x[1] for x in got]))
+                block.add(doc_id, None if not got or None in got else list(chain.from_iterable(got)))
             if len(known) > WORDS or word_bytes > WORD_BYTES:
                 known.clear()
                 word_bytes = 0
