@@ -9,32 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-
-
-#: Queries of one block: with 768 floats each, 60 MB.
-BLOCK = 20_000
-
+from .vectors import exact_top_k
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, score, place: the k most similar other vectors of each query, exact.
-
-    The queries are counted and dealt in blocks of at most about ``BLOCK``; each block is sent to the tasks, which hold a part
-    of all vectors, so what is broadcast has a bound and one pass over the vectors is made for each block. Each task keeps its k best per query before
-    anything is shuffled, by a bounded two-level top-k.
-    """
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"))
-    blocks = max(1, -(-q.count() // BLOCK))
-    scored = None
-    for i in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = vectors.join(F.broadcast(part), F.col(id_col) != F.col("query_id"))
-        found = pairs.select("query_id", F.col(id_col).alias("id"), F.round(X.cosine(F.col(vector), F.col("_q")), 6).alias("score"))
-        scored = found if scored is None else scored.unionByName(found)
-    order = [F.desc("score"), F.asc("id")]
-    slice_of = F.pmod(F.xxhash64("id"), F.lit(64))
-    first = scored.withColumn("_s", slice_of).withColumn("place", F.row_number().over(W.partitionBy("query_id", "_s").orderBy(*order))).where(F.col("place") <= k)
-    best = first.drop("place", "_s").withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
-    return best.where(F.col("place") <= k)
+    """query_id, id, score, place: the k most similar other vectors of each query, exact, by matrix products in blocks of queries."""
+    return exact_top_k(queries, vectors, k, id_col, vector)
 
 
 def tokens(text: Column) -> Column:

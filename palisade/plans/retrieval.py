@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import retrieval
+from ..operators import retrieval, vectors
+from ..sources.shared import written
 from ..sources.star import PROSPECTS, prospects, table
 from ..streaming import streams
 
@@ -18,6 +19,27 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.cosine_topk(e.where("vec_id % 20 = 0"), e, 5).select("query_id", "id", "score", "place")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, vectors.InvertedFile, int]:
+    """All vectors, those asked, the index of all and the lists that a query probes."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = vectors.build_index(e)
+    return e, e.where("vec_id % 20 = 0"), index, vectors.probes_for(index, e, 5)
+
+
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 against the probed lists of the inverted file."""
+    _, queries, index, probes = _index(spark, sf_dir)
+    return index.search(queries, 5, probes).select("query_id", "id", "score", "place")
+
+
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the index against the exact search, and the share of the vectors that a query was compared with."""
+    e, queries, index, probes = _index(spark, sf_dir)
+    found = vectors.recall(index.search(queries, 5, probes), written(vectors.exact_top_k(queries, e, 5), "vector-exact"))
+    shares = (F.lit(len(index.centroids)).alias("lists"), F.lit(probes).alias("probes"), F.lit(round(index.probed_share(queries, probes), 6)).alias("probed_share"))
+    return found.select("n_wanted", "n_found", F.round("recall", 6).alias("recall"), *shares)
+
+
 def fulltext_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fulltext_rank(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS, 20)
 
@@ -115,7 +137,7 @@ def game_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cosine_topk, fulltext_rank, bm25_rank, hybrid_rrf, pro_comparison, prospect_documents, session_last_n, session_overflow, session_counts,
+    cosine_topk, vector_index_search, vector_index_recall, fulltext_rank, bm25_rank, hybrid_rrf, pro_comparison, prospect_documents, session_last_n, session_overflow, session_counts,
     repeat_call_detection, breaker_sliding_failures, breaker_states, stream_tumbling, stream_sliding, stream_session, stat_history_upsert, game_log_totals,
 )}
 
