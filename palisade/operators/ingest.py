@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,14 +37,15 @@ def fill_missing(rows: DataFrame, seasons: DataFrame, key: str, year: str, value
     The season that ends in the row's year, else the latest that ended by then, else zeros.
     """
     missing = rows.where(F.col(value).isNull() & F.col(key).isNotNull())
-    code = (F.col(year) - 1) * 10000 + F.col(year)
-    s = seasons.select(F.col(key).alias("_key"), "season", F.col("games").alias("_games"), F.col("points").alias("_points"))
-    found = missing.join(s, (F.col(key) == F.col("_key")) & (F.col("season") % 10000 <= F.col(year)), "left")
-    best = F.max_by(F.struct("season", "_games", "_points"), F.struct((F.col("season") == code).alias("exact"), "season", "_games", "_points"))
-    own = [c for c in rows.columns if c not in (value, games)]
-    chosen = found.groupBy(*own).agg(F.max("season").isNotNull().alias("_any"), best.alias("_s"))
-    rate = F.when(F.col("_any"), F.when(F.col("_s._games") > 0, F.round(F.col("_s._points") / F.col("_s._games"), 2))).otherwise(0.0)
-    filled = chosen.select(*own, rate.alias(value), F.coalesce("_s._games", F.lit(0)).cast(rows.schema[games].dataType).alias(games)).select(*rows.columns)
+    asked = missing.select(F.col(key).alias("_key"), F.col(year).alias("_year")).distinct()
+    code = (F.col("_year") - 1) * 10000 + F.col("_year")
+    s = seasons.select(F.col(key).alias("_of"), "season", F.col("games").alias("_games"), F.col("points").alias("_points"))
+    found = asked.join(s, (F.col("_key") == F.col("_of")) & (F.col("season") % 10000 <= F.col("_year")))
+    best = F.max_by(F.struct("_games", "_points"), F.struct((F.col("season") == code).alias("exact"), "season", "_games", "_points"))
+    chosen = found.groupBy("_key", "_year").agg(best.alias("_s"))  # once for each key and year, so repeated rows stay
+    joined = missing.join(chosen, (F.col(key) == F.col("_key")) & (F.col(year) == F.col("_year")), "left")
+    rate = F.when(F.col("_s").isNotNull(), F.when(F.col("_s._games") > 0, F.round(F.col("_s._points") / F.col("_s._games"), 2))).otherwise(0.0)
+    filled = joined.withColumns({value: rate, games: F.coalesce("_s._games", F.lit(0)).cast(rows.schema[games].dataType)}).select(*rows.columns)
     return filled.unionByName(rows.where(F.col(value).isNotNull() | F.col(key).isNull()))
 
 
@@ -62,10 +64,23 @@ def set_where_null(rows: DataFrame, source: DataFrame, on: list[str], column: st
     return rows.join(s, on, "left").withColumn(column, F.coalesce(column, "_new")).drop("_new").select(*rows.columns)
 
 
+def _is_record(lines: pa.Array) -> pa.Array:
+    """Whether a line is one JSON object and nothing else; Spark's parser stops at the object's end and takes what follows for granted."""
+
+    def good(line):
+        try:
+            return isinstance(json.loads(line), dict)
+        except (TypeError, ValueError):
+            return False
+
+    return pa.array(map(good, lines.to_pylist()), pa.bool_())
+
+
 def read_lines(spark: SparkSession, path: str, schema: T.StructType, n: int, order: str) -> DataFrame:
-    """The ``n`` newest records of a file of JSON lines, newest first; lines that are no record are left out."""
-    parsed = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
-    return parsed.where(F.col("r").isNotNull() & F.col(f"r.{order}").isNotNull()).select("r.*").orderBy(F.desc(order)).limit(n)
+    """The ``n`` newest records of a file of JSON lines, newest first; lines that are no record, or whose fields are of other types, are left out."""
+    full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    parsed = spark.read.text(path).where(F.arrow_udf(_is_record, T.BooleanType())("value")).select(F.from_json("value", full, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return parsed.where(F.col("r._bad").isNull() & F.col(f"r.{order}").isNotNull()).select("r.*").drop("_bad").orderBy(F.desc(order)).limit(n)
 
 
 def fold_log(log: DataFrame, session: str, order: str, text: str, summaries: DataFrame, keep: int) -> DataFrame:

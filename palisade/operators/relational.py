@@ -33,16 +33,16 @@ def number_rows(df: DataFrame, by: list[str], block: Column, order: list[Column]
     return within.join(counts, on).select(*df.columns, (F.col("_before") + F.col("_k")).cast("int").alias(name))
 
 
-def interval_join(rows: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, row_id: str, tie: str) -> DataFrame:
+def interval_join(rows: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, tie: str) -> DataFrame:
     """Each row with the span of its key that holds ``at``; an open end never ends.
 
-    The key is an equality, so this is a hash or sort-merge join. Of several spans the one
-    with the least ``tie`` is taken, by one aggregate over the row's columns; rows without a span stay.
+    The key is an equality, so this is a hash or sort-merge join. Of several spans the one with the least ``tie`` is taken, once for each
+    (key, at) that occurs; every row stays, repeated ones and those without a span too.
     """
-    r, s = rows.alias("r"), spans.alias("s")
-    inside = (F.col(f"r.{key}") == F.col(f"s.{key}")) & (F.col(f"r.{at}") >= F.col(f"s.{start}")) & (F.col(f"s.{end}").isNull() | (F.col(f"r.{at}") <= F.col(f"s.{end}")))
-    joined = r.join(s, inside, "left").select("r.*", F.col(f"s.{tie}").alias(tie))
-    return joined.groupBy(*rows.columns).agg(F.min(tie).alias(tie))
+    asked, s = rows.select(F.col(key).alias("_key"), F.col(at).alias("_at")).dropna().distinct(), spans.alias("s")
+    inside = (F.col("_key") == F.col(f"s.{key}")) & (F.col("_at") >= F.col(f"s.{start}")) & (F.col(f"s.{end}").isNull() | (F.col("_at") <= F.col(f"s.{end}")))
+    found = asked.join(s, inside).groupBy("_key", "_at").agg(F.min(f"s.{tie}").alias(tie))
+    return rows.join(found, (F.col(key) == F.col("_key")) & (F.col(at) == F.col("_at")), "left").select(*rows.columns, tie)
 
 
 def missing_from(rows: DataFrame, others: list[tuple[DataFrame, Column]]) -> DataFrame:

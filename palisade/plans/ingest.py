@@ -77,9 +77,10 @@ def stat_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production of picks that lack it, from the season of the draft or the latest before."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 9 != 0, F.col("o_custkey") % 100).alias("player"), F.year("o_orderdate").alias("year"),
         F.when(F.col("o_orderkey") % 4 != 0, F.round(F.col("o_totalprice") / 100000, 2)).alias("ppg"), F.when(F.col("o_orderkey") % 4 != 0, F.lit(50).cast("bigint")).alias("games"))
+    o = o.unionByName(o.where("id % 40 = 0"))  # a feed that repeats some rows
     e = F.col("event_id") % 11 + 1992
     seasons = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("player"), (e * 10000 + e + 1).alias("season")).agg(F.count("*").alias("games"), F.sum(F.col("event_id") % 7).alias("points"))
-    return ingest.fill_missing(o, seasons, "player", "year", "ppg", "games").where("id % 4 = 0").select("id", "year", "player", "ppg", "games")
+    return ingest.fill_missing(o, seasons, "player", "year", "ppg", "games").select("id", "year", "player", "ppg", "games")
 
 
 def history_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,8 @@ def draft_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jsonl_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 newest records of a log of JSON lines, some of them broken."""
     c = table(spark, sf_dir, "customer")
-    line = F.when(F.col("c_custkey") % 17 == 3, F.lit('{"seq": 12, "auc')).when(F.col("c_custkey") % 17 == 4, F.lit("")).otherwise(F.to_json(F.struct(F.col("c_custkey").alias("seq"), (F.col("c_acctbal") / 10000).alias("auc"))))
+    line = F.when(F.col("c_custkey") % 17 == 3, F.format_string('{"seq": %d, "auc": 1.0} trailing', "c_custkey")).when(F.col("c_custkey") % 17 == 4, F.lit("")).when(F.col("c_custkey") % 17 == 5, F.format_string('{"seq": %d, "auc": "x"}', "c_custkey"))
+    line = line.otherwise(F.to_json(F.struct(F.col("c_custkey").alias("seq"), (F.col("c_acctbal") / 10000).alias("auc"))))
     path = scratch(spark, "history")
     c.select(line.alias("value")).write.text(path)
     schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("auc", T.DoubleType())])
@@ -228,27 +230,29 @@ def unweighted_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prospect_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best ranked prospect of a name with its ten latest statistics."""
-    p = prospects(spark, sf_dir).where(F.col("name").ilike("%wid%") & (F.col("id") < 100)).orderBy(F.col("css_ranking").asc_nulls_last(), "id").limit(1)
-    e = table(spark, sf_dir, "events").join(F.broadcast(p.select("id")), F.col("user_id") == F.col("id"))
-    stats = last_per_key(e, ["user_id"], [F.desc("ts"), F.desc("event_id")], 10).select(F.col("user_id").alias("id"), "place", "event_id", "event_type", F.round("value", 4).alias("value"))
+    p = prospects(spark, sf_dir).where(F.col("name").ilike("%wid%")).orderBy(F.col("css_ranking").asc_nulls_last(), "id").limit(1)
+    e = table(spark, sf_dir, "events").join(F.broadcast(p.select("id")), F.col("user_id") == F.col("id") % 15)
+    stats = last_per_key(e, ["id"], [F.desc("ts"), F.desc("event_id")], 10).select("id", "place", "event_id", "event_type", F.round("value", 4).alias("value"))
     return p.select("id", "name", "position", "league", "css_ranking").join(stats, "id", "left")
 
 
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three searches: by vector and text, by text alone where there is no vector, by keyword where the text finds nothing."""
+    """Searches by vector and text for every vector whose id is divisible by 20 (``query``); by text alone where there is no vector (-1); by keyword where the text finds nothing (-2)."""
     e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    near = retrieval.cosine_topk(e.where("vec_id = 20"), e, 15).select(F.col("id").alias("key"), F.col("place").alias("rank"))
+    asked = e.where("vec_id % 20 = 0")
+    near = retrieval.cosine_topk(asked, e, 15).select("query_id", F.col("id").alias("key"), F.col("place").alias("rank"))
 
     def by_text(query: str) -> DataFrame:
         found = retrieval.fulltext_rank(d, "doc_id", "text", retrieval.query_terms(query), 15)
         return retrieval.ranked(found, [F.desc("score"), F.asc("doc_id")])
 
     text = by_text("the that of")
-    hybrid = retrieval.reciprocal_fusion([near, text.select(F.col("doc_id").alias("key"), "rank")], "key", 5)
-    out = retrieval.first_that_finds([("hybrid_rrf", hybrid)], 1)
-    out = out.unionByName(retrieval.first_that_finds([("text", text.select(F.col("doc_id").alias("key"), "score").limit(5))], 2))
+    both = asked.select(F.col("vec_id").alias("query_id")).crossJoin(F.broadcast(text.select(F.col("doc_id").alias("key"), "rank")))  # at most 15 rows
+    hybrid = retrieval.reciprocal_fusion_by([near, both], "query_id", "key", 5)
+    out = hybrid.select(F.col("query_id").alias("query"), F.lit("hybrid_rrf").alias("method"), "key", "score")
+    out = out.unionByName(retrieval.first_that_finds([("text", text.select(F.col("doc_id").alias("key"), "score").limit(5))], -1))
     keyword = retrieval.keyword_hits(d, "doc_id", "text", "tion", 5)
-    return out.unionByName(retrieval.first_that_finds([("text", by_text("zzzznothing").select(F.col("doc_id").alias("key"), "score").limit(5)), ("keyword", keyword)], 3)).select("query", "method", "key", F.round("score", 6).alias("score"))
+    return out.unionByName(retrieval.first_that_finds([("text", by_text("zzzznothing").select(F.col("doc_id").alias("key"), "score").limit(5)), ("keyword", keyword)], -2)).select("query", "method", "key", F.round("score", 6).alias("score"))
 
 
 def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,16 +415,18 @@ SQL = {
           CASE WHEN games > 0 THEN round((points / games::DOUBLE)::DECIMAL(18, 12), 2)::DOUBLE END AS ppg, CASE WHEN c_custkey % 7 <> 0 THEN round((c_custkey % 900 + 6300) / 365.25::DOUBLE, 2) END AS age,
           CASE WHEN position = 'G' THEN CASE WHEN home THEN 'na_goalie' ELSE 'eur_goalie' END WHEN home THEN 'na_skater' ELSE 'eur_skater' END AS category FROM r""",
     "stat_backfill": """WITH s AS (SELECT user_id AS player, (event_id % 11 + 1992) * 10000 + event_id % 11 + 1993 AS season, count(*) AS games, sum(event_id % 7) AS points FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
-        o AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 9 <> 0 THEN o_custkey % 100 END AS player, CAST(year(o_orderdate) AS INT) AS year FROM orders WHERE o_orderkey % 4 = 0),
-        j AS (SELECT o.*, season, games, points, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN season = (year - 1) * 10000 + year THEN 0 ELSE 1 END, season DESC NULLS LAST) AS k FROM o LEFT JOIN s ON s.player = o.player AND season % 10000 <= year)
-        SELECT id, year, player, CASE WHEN player IS NULL THEN NULL WHEN season IS NULL THEN 0.0 WHEN games > 0 THEN round((points / games::DOUBLE)::DECIMAL(18, 12), 2)::DOUBLE END AS ppg, CASE WHEN player IS NOT NULL THEN coalesce(games, 0) END AS games FROM j WHERE k = 1""",
+        f AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 9 <> 0 THEN o_custkey % 100 END AS player, CAST(year(o_orderdate) AS INT) AS year, CASE WHEN o_orderkey % 4 <> 0 THEN round((o_totalprice / 100000)::DECIMAL(18, 12), 2)::DOUBLE END AS own FROM orders),
+        o AS (SELECT *, row_number() OVER () AS rid FROM (SELECT * FROM f UNION ALL SELECT * FROM f WHERE id % 40 = 0)),
+        j AS (SELECT o.*, season, games, points, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN season = (year - 1) * 10000 + year THEN 0 ELSE 1 END, season DESC NULLS LAST) AS k FROM o LEFT JOIN s ON s.player = o.player AND season % 10000 <= year)
+        SELECT id, year, player, CASE WHEN own IS NOT NULL THEN own WHEN player IS NULL THEN NULL WHEN season IS NULL THEN 0.0 WHEN games > 0 THEN round((points / games::DOUBLE)::DECIMAL(18, 12), 2)::DOUBLE END AS ppg,
+          CASE WHEN own IS NOT NULL THEN 50 WHEN player IS NOT NULL THEN coalesce(games, 0) END AS games FROM j WHERE k = 1""",
     "first_seen_players": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k, list_position(['purchase', 'click', 'view', 'error'], event_type) AS pr FROM events WHERE event_type <> 'signup'),
         t AS (SELECT * FROM l WHERE k <= ([200, 75, 75, 50])[pr]), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pr, value DESC, event_id) AS q FROM t) SELECT user_id, event_type AS category, event_id FROM f WHERE q = 1""",
     "draft_backfill": """WITH e AS (SELECT CASE WHEN c_custkey % 8 = 0 THEN c_custkey END AS ext_id, 'P' || c_custkey % 120 AS name, CASE WHEN c_custkey % 16 = 0 THEN 1 END AS class_id FROM customer WHERE c_custkey % 4 = 0),
         i AS (SELECT DISTINCT CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS ext_id, 'P' || c_custkey % 120 AS name FROM customer),
         n AS (SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM e WHERE i.ext_id = e.ext_id OR (i.ext_id IS NULL AND i.name = e.name))), u AS (SELECT * FROM e UNION ALL SELECT ext_id, name, NULL FROM n)
         SELECT name, CAST(coalesce(class_id, CAST(substr(name, 2) AS INT) % 5) AS INT) AS class_id, count(*) AS n, count(ext_id) AS n_ids FROM u GROUP BY 1, 2""",
-    "jsonl_history": "SELECT c_custkey AS seq, round(c_acctbal / 10000, 6) AS auc FROM customer WHERE c_custkey % 17 NOT IN (3, 4) ORDER BY c_custkey DESC LIMIT 20",
+    "jsonl_history": "SELECT c_custkey AS seq, round(c_acctbal / 10000, 6) AS auc FROM customer WHERE c_custkey % 17 NOT IN (3, 4, 5) ORDER BY c_custkey DESC LIMIT 20",
     "conversation_fold": """WITH b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), l AS (SELECT conv_id, count(*) AS n, min(turn) AS t, max(CASE WHEN role = 'system' THEN length(text) END) AS own FROM b WHERE back <= 6 GROUP BY 1),
         o AS (SELECT conv_id, length(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS k FROM b WHERE back > 6 GROUP BY 1)
         SELECT conv_id, n + CAST(k IS NOT NULL AS BIGINT) AS n, CASE WHEN k IS NULL THEN t ELSE -1 END AS first_turn, CAST(greatest(k, own) AS INT) AS summary_length FROM l LEFT JOIN o USING (conv_id)""",
@@ -439,15 +445,16 @@ SQL = {
         SELECT name, archetype, expected, archetype = expected AS agrees FROM a JOIN t ON contains(lower(name), key)""",
     "unweighted_prior": f"""WITH {LINE_PICKS}, l AS (SELECT unnest(['position', 'league', 'nationality']) AS dimension, unnest([CASE WHEN gm % 5 <> 0 THEN position ELSE 'F' END, league, nationality]) AS category FROM lines)
         SELECT dimension, category, round(count(*) / sum(count(*)) OVER (PARTITION BY dimension)::DOUBLE, 6) AS share FROM l GROUP BY 1, 2""",
-    "prospect_detail": f"""WITH {PROSPECTS}, p AS (SELECT * FROM prospects WHERE name ILIKE '%wid%' AND id < 100 ORDER BY css_ranking NULLS LAST, id LIMIT 1),
-        e AS (SELECT user_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS place, event_id, event_type, round(value, 4) AS value FROM events WHERE user_id IN (SELECT id FROM p))
+    "prospect_detail": f"""WITH {PROSPECTS}, p AS (SELECT * FROM prospects WHERE name ILIKE '%wid%' ORDER BY css_ranking NULLS LAST, id LIMIT 1),
+        e AS (SELECT p.id, CAST(row_number() OVER (PARTITION BY p.id ORDER BY ts DESC, event_id DESC) AS INT) AS place, event_id, event_type, round(value, 4) AS value FROM events JOIN p ON user_id = p.id % 15)
         SELECT p.id, name, position, league, css_ranking, place, event_id, event_type, value FROM p LEFT JOIN e ON e.id = p.id AND place <= 10""",
     "semantic_search": f"""WITH {_TOK}, cn AS (SELECT doc_id, len(w) AS length, {', '.join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf_{i}" for i, t in enumerate(('the', 'that', 'of')))} FROM t),
         x AS (SELECT doc_id, round((tf_0 + tf_1 + tf_2) / (1 + ln(length::DOUBLE)), 6) AS score FROM cn WHERE tf_0 > 0 AND tf_1 > 0 AND tf_2 > 0), y AS (SELECT doc_id AS key, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x),
-        v AS (SELECT b.vec_id AS key, row_number() OVER (ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id = 20),
-        u AS (SELECT key, rank FROM v WHERE rank <= 15 UNION ALL SELECT key, rank FROM y WHERE rank <= 15), f AS (SELECT key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY 1 ORDER BY score DESC, key LIMIT 5)
-        SELECT 1 AS query, 'hybrid_rrf' AS method, key, round(score, 6) AS score FROM f UNION ALL SELECT 2, 'text', key, round(score, 6) FROM y WHERE rank <= 5
-        UNION ALL SELECT 3, 'keyword', doc_id, 1.0 FROM (SELECT doc_id FROM documents WHERE text ILIKE '%tion%' ORDER BY doc_id LIMIT 5)""",
+        v AS (SELECT a.vec_id AS query, b.vec_id AS key, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+        u AS (SELECT query, key, rank FROM v WHERE rank <= 15 UNION ALL SELECT vec_id, key, rank FROM y, embeddings WHERE rank <= 15 AND vec_id % 20 = 0), f AS (SELECT query, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY 1, 2),
+        g AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS place FROM f)
+        SELECT query, 'hybrid_rrf' AS method, key, round(score, 6) AS score FROM g WHERE place <= 5 UNION ALL SELECT -1, 'text', key, round(score, 6) FROM y WHERE rank <= 5
+        UNION ALL SELECT -2, 'keyword', doc_id, 1.0 FROM (SELECT doc_id FROM documents WHERE text ILIKE '%tion%' ORDER BY doc_id LIMIT 5)""",
     "index_replace": f"""WITH {PROSPECTS}, n AS (SELECT 'prospect' AS doc_type, id AS ref_id, name AS content FROM prospects WHERE css_ranking <= 200),
         o AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'prospect' ELSE 'nhl_player' END AS doc_type, p_partkey AS ref_id, 'old' AS content FROM part WHERE p_partkey % 3 = 0)
         SELECT * FROM n UNION ALL SELECT * FROM o ANTI JOIN n USING (doc_type, ref_id)""",

@@ -13,7 +13,7 @@ from ..sources.star import ORDER_PICKS, PROSPECTS, order_picks, prospects, table
 
 
 def scan_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("year(l_shipdate) BETWEEN 1995 AND 1996 AND l_linenumber <= 4 AND l_quantity > 0")
+    line = table(spark, sf_dir, "lineitem").where("l_shipdate >= '1995-01-01' AND l_shipdate < '1997-01-01' AND l_linenumber <= 4 AND l_quantity > 0")
     return line.select("l_orderkey", "l_linenumber", F.round(F.try_divide("l_extendedprice", "l_quantity"), 8).alias("per_unit"))
 
 
@@ -100,6 +100,7 @@ def tenure_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("team"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"), "o_custkey")
     picks = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("id", "year", "team", F.make_date("year", F.lit(7), F.lit(1)).alias("day"))
+    picks = picks.unionByName(picks.where("id % 50 = 0"))  # a feed that repeats some rows
     teams = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("team"))
     tenures = teams.select(
         "team", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")
@@ -107,7 +108,7 @@ def tenure_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "team", (F.col("team") * 10 + F.col("k")).alias("gm"), F.make_date(F.col("k") * 3 + 1994 + F.col("team") % 2, F.lit(3), F.lit(1)).alias("start_date"),
         F.when(F.col("k") < 2, F.make_date(F.col("k") * 3 + 1997 + F.col("team") % 2, F.lit(2), F.lit(28))).alias("end_date"),
     )
-    return interval_join(picks, tenures, "team", "day", "start_date", "end_date", "id", "gm").select("id", "year", "gm")
+    return interval_join(picks, tenures, "team", "day", "start_date", "end_date", "gm").select("id", "year", "gm")
 
 
 def name_rank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +125,7 @@ def name_rank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anti_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without an order early in 1995 under their number or under the one 1000 below."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    orders = table(spark, sf_dir, "orders").where("year(o_orderdate) = 1995 AND month(o_orderdate) <= 3").select("o_custkey")
+    orders = table(spark, sf_dir, "orders").where("o_orderdate >= '1995-01-01' AND o_orderdate < '1995-04-01'").select("o_custkey")
     return missing_from(customer, [(orders, customer.c_custkey == orders.o_custkey), (orders.select((F.col("o_custkey") + 1000).alias("other")), F.col("c_custkey") == F.col("other"))])
 
 
@@ -216,8 +217,8 @@ SQL = {
         LEFT JOIN region ON n_regionkey = r_regionkey""",
     "tenure_interval_join": """WITH t AS (SELECT n_nationkey AS team, n_nationkey * 10 + k AS gm, make_date(1994 + 3 * k + n_nationkey % 2, 3, 1) AS s,
           CASE WHEN k < 2 THEN make_date(1997 + 3 * k + n_nationkey % 2, 2, 28) END AS e FROM nation, (VALUES (0), (1), (2)) v(k)),
-        p AS (SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INT) AS year, c_nationkey AS team FROM orders JOIN customer ON o_custkey = c_custkey)
-        SELECT id, year, min(gm) AS gm FROM p LEFT JOIN t ON p.team = t.team AND make_date(year, 7, 1) >= s AND (e IS NULL OR make_date(year, 7, 1) <= e) GROUP BY id, year""",
+        p AS (SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INT) AS year, c_nationkey AS team FROM orders JOIN customer ON o_custkey = c_custkey), q AS (SELECT * FROM p UNION ALL SELECT * FROM p WHERE id % 50 = 0)
+        SELECT id, year, (SELECT min(gm) FROM t WHERE q.team = t.team AND make_date(year, 7, 1) >= s AND (e IS NULL OR make_date(year, 7, 1) <= e)) AS gm FROM q""",
     "name_rank_join": """WITH s AS (SELECT 'key ' || CAST(s_suppkey % 80 AS VARCHAR) AS key, row_number() OVER (ORDER BY s_suppkey % 4, s_suppkey) AS combined FROM supplier),
         l AS (SELECT key, max(combined) AS css_rank FROM s GROUP BY key)
         SELECT c_custkey, CAST(css_rank AS INT) AS css_rank FROM customer JOIN l ON key = 'key ' || CAST(c_custkey % 200 AS VARCHAR)""",
