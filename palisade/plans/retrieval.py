@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import retrieval, vectors
+from ..operators import embedder, retrieval, text_index, vectors
 from ..sources.shared import written
 from ..sources.star import PROSPECTS, prospects, table
 from ..streaming import streams
@@ -48,6 +48,31 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25_rank(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS, 20)
 
 
+def _text_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    return text_index.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def text_index_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``fulltext_rank``, from postings."""
+    return _text_index(spark, sf_dir).rank(TERMS, 20)
+
+
+def text_index_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_index(spark, sf_dir).bm25(TERMS, 20)
+
+
+def text_index_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with one word right after another, how often and where first."""
+    return _text_index(spark, sf_dir).phrase(["of", "the"])
+
+
+def text_index_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text rank after a tenth of the documents was removed and a tenth replaced by the text of their source and language."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(" ", F.lit("the that of"), "source", "lang").alias("other"))
+    index = text_index.build(d).add(d.where("doc_id % 10 = 1"), text="other").remove(d.where("doc_id % 10 = 0").select("doc_id"))
+    return index.rank(TERMS, 200)
+
+
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten fused documents for every vector whose id is divisible by 20: lists of max(3k, 15), text ranks over all documents."""
     e, k = table(spark, sf_dir, "embeddings"), 10
@@ -77,6 +102,16 @@ def prospect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.prospect_document(rows, e)
 
 
+def prospect_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents most like that of every prospect whose id is divisible by 20, by an embedder of all prospects' documents; the
+    documents of every third are put into the index anew, in place of those that it has."""
+    docs = written(prospect_documents(spark, sf_dir), "prospect-documents")
+    model = embedder.fit(docs, "document", rank=32)
+    e = written(embedder.embed(docs, model, "document").select("id", "embedding"), "prospect-embeddings")
+    index = vectors.build_index(e, id_col="id").add(e.where("id % 3 = 0"), id_col="id")
+    return index.search(e.where("id % 20 = 0"), 5, vectors.probes_for(index, e, 5, id_col="id"), id_col="id").select("query_id", "id", "score", "place")
+
+
 def session_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.last_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "turn_no")
 
@@ -137,7 +172,7 @@ def game_log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cosine_topk, vector_index_search, vector_index_recall, fulltext_rank, bm25_rank, hybrid_rrf, pro_comparison, prospect_documents, session_last_n, session_overflow, session_counts,
+    cosine_topk, vector_index_search, vector_index_recall, text_index_rank, text_index_bm25, text_index_phrase, text_index_updated, prospect_neighbours, fulltext_rank, bm25_rank, hybrid_rrf, pro_comparison, prospect_documents, session_last_n, session_overflow, session_counts,
     repeat_call_detection, breaker_sliding_failures, breaker_states, stream_tumbling, stream_sliding, stream_session, stat_history_upsert, game_log_totals,
 )}
 
@@ -204,3 +239,8 @@ SQL = {
     "stat_history_upsert": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id, event_type, round(value, 6) AS value FROM r WHERE k = 1""",
     "game_log_totals": """SELECT user_id, count(*) AS games, round(sum(value), 4) AS total, CASE WHEN max(CAST(event_type = 'purchase' AS INT)) = 1 THEN 'playoff' ELSE 'regular' END AS season_type, max(event_type) AS last_type FROM events GROUP BY 1""",
 }
+SQL["text_index_rank"], SQL["text_index_bm25"] = SQL["fulltext_rank"], SQL["bm25_rank"]
+SQL["text_index_phrase"] = f"""WITH {_TOK}, p AS (SELECT doc_id, list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the') AS ps FROM t)
+    SELECT doc_id, CAST(len(ps) AS INT) AS n, CAST(ps[1] - 1 AS INT) AS first FROM p WHERE len(ps) > 0"""
+SQL["text_index_updated"] = f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN concat_ws(' ', 'the that of', source, lang) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0),
+    {_CNT.replace('FROM documents', 'FROM d')} {_TEXT} ORDER BY score DESC, doc_id LIMIT 200"""
