@@ -4,7 +4,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _name in ("scalars", "profiles", "drafts", "evaluation", "training", "ranker", "retrieval", "ingest"):
+for _name in ("scalars", "profiles", "drafts", "evaluation", "training", "ranker", "retrieval", "ingest", "state"):
     _module = import_module(f"{__name__}.{_name}")
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
