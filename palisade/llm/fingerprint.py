@@ -4,10 +4,10 @@ A text is the multiset of its paragraphs; paragraphs longer than a bound are cut
 sentence ends, so one edit changes few members. Each member is hashed to a wide vector
 and the fingerprint is the lane-wise sum modulo a power of two: a member can be added or
 taken away without the others, and their order does not matter. The vector has one lane
-that counts members, 8 full lanes modulo 2**32 for equality, and 256 signed lanes modulo 2**16, to
-one of which a member adds 1 or -1. The sum of the squares of those lanes estimates how many members there
-are, that of the lanes of a difference how many differ, within 9 % (one standard error) at any number of them; a member
-that is there k times counts k * k.
+that counts members, 8 full lanes modulo 2**32 for equality, and 256 signed lanes modulo 2**32, to
+one of which each occurrence of a member adds 1 or -1: the first, the second and further ones go each their own way. The sum of the
+squares of those lanes estimates how many members there are, that of the lanes of a difference how many differ, within
+9 % (one standard error); a member that is there k times counts k times, up to 2**31 of them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -76,22 +78,38 @@ class Fingerprint:
     __slots__ = ("count", "full", "signed")
 
     def __init__(self):
-        self.count, self.full, self.signed = 0, np.zeros(FULL, np.uint32), np.zeros(SIGNED, np.int16)
+        self.count, self.full, self.signed = 0, np.zeros(FULL, np.uint32), np.zeros(SIGNED, np.int32)
 
-    def change(self, digests: list[bytes], sign: int = 1) -> Fingerprint:
-        """Adds (or, with sign -1, removes) the members with these digests."""
+    def change(self, digests: list[bytes], sign: int = 1, held: Mapping[bytes, int] | None = None) -> Fingerprint:
+        """Adds (or, with sign -1, removes) the members with these digests.
+
+        ``held`` has, for members that repeat, how many of each are there already: an added one is the next occurrence, a removed one the last. Without
+        it, those added are the first ones, and those removed the only ones.
+        """
         if digests:
-            rows = np.frombuffer(b"".join(digests), "<u4").reshape(-1, FULL)
-            full = rows.sum(axis=0, dtype=np.uint32)
-            one = 1.0 - 2.0 * (rows[:, 1] & 1)
-            signed = np.bincount(rows[:, 0] % SIGNED, weights=one, minlength=SIGNED).astype(np.int64).astype(np.int16)
+            counts = Counter(digests)
+            rows = np.frombuffer(b"".join(counts), "<u4").reshape(-1, FULL)
+            times = np.fromiter(counts.values(), np.int64, len(counts))
+            first = np.zeros(len(counts), np.int64)
+            if held:
+                first = np.fromiter((held.get(d, 0 if sign > 0 else k) - (0 if sign > 0 else k) for d, k in counts.items()), np.int64, len(counts))
+            full = (rows.astype(np.uint64) * times[:, None].astype(np.uint64)).sum(axis=0).astype(np.uint32)
+            of = np.repeat(np.arange(len(times)), times)
+            number = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + first[of]
+            z = (rows[of, 0].astype(np.uint64) << np.uint64(32) | rows[of, 1]) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+            z ^= z >> np.uint64(31)
+            one = 1.0 - 2.0 * ((z >> np.uint64(32)) & np.uint64(1)).astype(np.float64)
+            signed = np.bincount((z % np.uint64(SIGNED)).astype(np.int64), weights=one, minlength=SIGNED).astype(np.int32)
             self.full = self.full + full if sign > 0 else self.full - full
             self.signed = self.signed + signed if sign > 0 else self.signed - signed
             self.count = (self.count + sign * len(digests)) % 2**32
         return self
 
     def __str__(self) -> str:
-        return (self.count.to_bytes(4, "little") + self.full.astype("<u4").tobytes() + self.signed.astype("<i2").tobytes()).hex()
+        narrow = -(1 << 15) <= self.signed.min() and self.signed.max() < 1 << 15  # the length tells which
+        return (self.count.to_bytes(4, "little") + self.full.astype("<u4").tobytes() + self.signed.astype("<i2" if narrow else "<i4").tobytes()).hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """Estimated share of members that both have alike among those that either has, 1 for equal multisets."""

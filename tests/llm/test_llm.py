@@ -255,13 +255,19 @@ def test_classifier_against_dense_solution(spark, tmp_path):
 
 def _sums(parts):
     """The fingerprint of these members by sums of whole numbers, apart from the operator's own."""
-    count, full, signed = 0, [0] * 8, [0] * 256
+    count, full, signed, seen, all64 = 0, [0] * 8, [0] * 256, collections.Counter(), (1 << 64) - 1
     for x in parts:
         d = hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=32).digest()
         w = [int.from_bytes(d[4 * k : 4 * k + 4], "little") for k in range(8)]
         count, full = count + 1, [(a + b) % 2**32 for a, b in zip(full, w, strict=True)]
-        signed[w[0] % 256] += -1 if w[1] % 2 else 1
-    return (count.to_bytes(4, "little") + b"".join(a.to_bytes(4, "little") for a in full) + b"".join((a % 2**16).to_bytes(2, "little") for a in signed)).hex()
+        z = ((w[0] << 32 | w[1]) + seen[x] * 0x9E3779B97F4A7C15) & all64  # each occurrence by itself
+        seen[x] += 1
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & all64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & all64
+        z ^= z >> 31
+        signed[z % 256] += -1 if z >> 32 & 1 else 1
+    width = 2 if max(map(abs, signed)) < 2**15 else 4
+    return (count.to_bytes(4, "little") + b"".join(a.to_bytes(4, "little") for a in full) + b"".join((a % 2 ** (8 * width)).to_bytes(width, "little") for a in signed)).hex()
 
 
 def test_likeness_of_long_texts():

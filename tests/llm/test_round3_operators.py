@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from palisade.llm import alignment, divergence, exact_dedup
+from palisade.llm import alignment, divergence, exact_dedup, fingerprint
 from palisade.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 from test_llm import CLASHES, ROWS, SCHEMA, by_row
@@ -195,3 +195,32 @@ def test_shares_of_huge_counts(spark):
     n, total, kept = 9 * 10**15, 10**16, 10**9
     row = spark.createDataFrame([(n, total, kept)], "n bigint, total bigint, kept bigint").select(divergence.share(F.col("n"), F.col("total"), F.col("kept")).alias("p")).collect()[0]
     assert row.p == 1 + 10**9 * (n + 1) // (total + kept)
+
+
+@pytest.mark.parametrize("n", [30_000, 65_535, 100_000, 131_071])
+def test_fingerprints_of_many_equal_paragraphs(n):
+    """A paragraph that is there n times counts n times: the share of a multiset that an edit leaves, at any n."""
+    own, new = ["same line"] * n, ["same line"] * (2 * n // 3) + [f"other {i}" for i in range(n // 3)]
+    a, b = (fingerprint.Fingerprint().change([fingerprint.digest(x) for x in part]) for part in (own, new))
+    x, y = collections.Counter(own), collections.Counter(new)
+    true = sum((x & y).values()) / sum((x | y).values())
+    assert abs(a.likeness(b) - true) < 0.1 and a.likeness(a) == 1.0
+    text = "\n" * n
+    cut = fingerprint.edited(text, "word " * n)
+    parts = collections.Counter(fingerprint.members(text)), collections.Counter(fingerprint.members(cut))
+    true = sum((parts[0] & parts[1]).values()) / sum((parts[0] | parts[1]).values())
+    assert abs(fingerprint.fingerprint(text).likeness(fingerprint.fingerprint(cut)) - true) < 0.1
+
+
+def test_fingerprints_change_by_occurrences():
+    """Adding and removing repeated members one by one gives what the whole text gives, if told how many are there."""
+    d = [fingerprint.digest(x) for x in ("a", "b", "c")]
+    whole = fingerprint.Fingerprint().change([d[0]] * 5 + [d[1]] * 2 + [d[2]])
+    step = fingerprint.Fingerprint().change([d[0]] * 3 + [d[2]]).change([d[0]] * 2 + [d[1]] * 2, held={d[0]: 3})
+    assert str(step) == str(whole)
+    less = step.change([d[0]] * 4 + [d[1]], -1, held={d[0]: 5, d[1]: 2})
+    assert str(less) == str(fingerprint.Fingerprint().change([d[0], d[1], d[2]]))
+    assert str(less.change([d[0], d[1], d[2]], -1)) == str(fingerprint.Fingerprint())
+    wide = fingerprint.Fingerprint()
+    wide.signed[3] = 1 << 20
+    assert len(str(wide)) == 2 * (36 + 4 * fingerprint.SIGNED) and len(str(whole)) == 2 * (36 + 2 * fingerprint.SIGNED)
