@@ -17,10 +17,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import bucket, text_or_empty
-from .dictionary import Ragged, look_up, word_table
+from .dictionary import BUCKET_WORDS, Ragged, distinct_words, look_up, word_table
 
 _WORDS = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+\Z")
 #: White space beyond ASCII, in UTF-8 and as characters: it may not end a word before more white space.
@@ -66,7 +65,7 @@ def pieces(path: str) -> Ragged:
     return Ragged.of(rows, np.uint8)
 
 
-def encode_decode(df: DataFrame, path: str, text: str = "text", bytes_per_bucket: int = 2_000_000, **how) -> DataFrame:
+def encode_decode(df: DataFrame, path: str, text: str = "text", words_per_bucket: int = BUCKET_WORDS, **how) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit numbers), decoded_sha256 (UTF-8) of every row.
 
     Null texts count as empty: no ids. Repeated rows each get their row; other columns are not read. ``path``
@@ -75,8 +74,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", bytes_per_bucket
     check_model(path)
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     raw = df.select("doc_id", text_or_empty(text).cast("binary").alias("text"))
-    size = raw.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    buckets = bucket(size, bytes_per_bucket)
+    buckets = bucket(distinct_words(raw.select("text"), words), words_per_bucket)
 
     def ids_of(found: list[bytes], _) -> Ragged:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -25,6 +25,8 @@ FREQUENT = 262_144
 #: Entries of a task's running count or of a block's rare words before they are passed on, and their bytes.
 BOUND, BOUND_BYTES = 500_000, 32 << 20
 BLOCK_RARE, BLOCK_WORDS, CHUNK = 60_000, 1_000_000, 128
+#: Distinct words of a bucket, about; a block asks for ``ASKED`` words of each bucket, up to ``MOST_RARE`` in all.
+BUCKET_WORDS, ASKED, MOST_RARE = 32_768, 192, 1_000_000
 #: Words of one row of the table, and their bytes unless it is one word.
 ROW_WORDS, ROW_BYTES = 16_384, 4 << 20
 _LEVELS = 4096
@@ -107,6 +109,32 @@ def by_bucket(words: list[bytes], at: np.ndarray) -> Iterator[tuple[int, np.ndar
             yield int(at[part[0]]), part
 
 
+def distinct_words(texts: DataFrame, split: Callable[[bytes], list[bytes]], share: int = 256) -> int:
+    """About how many distinct words all ``texts`` (one binary column) have: those are counted whose hash is a multiple of ``share``."""
+
+    def run(batches):
+        for batch in batches:
+            found: set[bytes] = set()
+            sampled: set[int] = set()
+
+            def settle(found=found, sampled=sampled):
+                sampled.update(h for h in map(zlib.crc32, found) if h % share == 0)
+                found.clear()
+
+            read = 0
+            for x in batch.column(0):
+                raw = x.as_py()
+                found.update(split(raw))
+                read += len(raw)
+                if read > BOUND_BYTES:
+                    settle()
+                    read = 0
+            settle()
+            yield pa.RecordBatch.from_arrays([pa.array(sampled, pa.int64())], names=["h"])
+
+    return share * texts.mapInArrow(run, "h bigint").distinct().count()
+
+
 def word_table(texts: DataFrame, split: Callable[[bytes], list[bytes]], values: Callable[[list[bytes], np.ndarray], Ragged], buckets: int) -> DataFrame:
     """bucket, words, counts, answers: the distinct words of all ``texts`` (one binary column), packed.
 
@@ -260,6 +288,8 @@ def look_up(
     one number for each word that ``place`` sends there (``place`` gives the buckets of all words).
     """
     place = place or (lambda ws: bucket_of(ws, buckets))
+    block_rare = min(MOST_RARE, max(BLOCK_RARE, ASKED * buckets))  # rows of (block, bucket) hold as many words at any number of buckets
+    block_words = BLOCK_WORDS * max(1, block_rare // BLOCK_RARE)
     words, answers = frequent_words(table, frequent)
     shared = df.sparkSession.sparkContext.broadcast((words, answers.lengths, answers.flat))
     n_frequent = len(words)
@@ -311,7 +341,7 @@ def look_up(
                     if not questions:
                         held.append((doc_id, number, np.array(codes, np.int64)))
                     seen += len(ws)
-                    if len(rare) > BLOCK_RARE or seen > BLOCK_WORDS or rare_bytes > BOUND_BYTES:
+                    if len(rare) > block_rare or seen > block_words or rare_bytes > BOUND_BYTES:
                         yield rows()
         if seen or held or rare:
             yield rows()

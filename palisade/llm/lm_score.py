@@ -12,15 +12,13 @@ distinct words.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket, text_or_empty, written
-from .dictionary import CHUNK, Ragged, bucket_of, look_up, pack_numbers, totals, unpack_numbers, word_table
+from .dictionary import BUCKET_WORDS, CHUNK, Ragged, bucket_of, distinct_words, look_up, pack_numbers, totals, unpack_numbers, word_table
 
 #: No word holds white space, so this stands for the end of a text.
 END = b"\n"
@@ -28,6 +26,8 @@ END = b"\n"
 BITS_PER_TOKEN, PROBES = 5, 3
 #: Training tokens per segment, bytes of the filter up to which it is broadcast, levels at most.
 SEGMENT_TOKENS, BROADCAST_BYTES, LEVELS = 500_000, 128_000_000, 48
+#: Bits a training token of a small corpus at most, and bytes that a filter takes while more than ``BITS_PER_TOKEN`` fit in them.
+MOST_BITS, FILL_BYTES = 64, 64_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -181,22 +181,24 @@ def log_probabilities(ones: np.ndarray, pairs: np.ndarray, end: int, starts: np.
 
 
 def score_texts(
-    df: DataFrame, mu: float = 8.0, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, bytes_per_bucket: int = 2_000_000,
-    bits_per_token: int = BITS_PER_TOKEN, **how,
+    df: DataFrame, mu: float = 8.0, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, words_per_bucket: int = BUCKET_WORDS,
+    bits_per_token: int | None = None, **how,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Rows with a crc32 of the id modulo 5 other than 1 train the model; all are scored. doc_id has any type that casts to
     text; a null one counts as the text ``null``. Null texts count as empty: one token, the end. Repeated rows count each
-    time. With no training row every word is unknown: N and V are 0 and the base of a token is log10(1).
+    time. The fewer bits a token gets, the more pairs of words that were never seen are taken for seen (``BITS_PER_TOKEN``: about one in
+    seven, at most one level; ``MOST_BITS``: none to speak of), so a small corpus gets more. With no training row every word is unknown: N and V are 0 and the base of a token is log10(1).
     """
     raw = df.select(F.struct("doc_id", (fold_of() == 1).alias("held_out")).alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
     training = raw.where(~F.col("doc_id.held_out")).select("text")
-    size = raw.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    buckets = bucket(size, bytes_per_bucket)
+    buckets = bucket(distinct_words(raw.select("text"), tokens), words_per_bucket)
     table = word_table(training, tokens, lambda words, counts: Ragged(np.ones(len(words), np.int64), counts.astype(np.int64)), buckets)
     n, v = totals(table)
     base = n + 0.5 * (v + 1)
+    if bits_per_token is None:  # what FILL_BYTES allow; below 5 bits the filter would claim too much, so it grows from there
+        bits_per_token = max(BITS_PER_TOKEN, min(MOST_BITS, 8 * FILL_BYTES // max(n, 1)))
     segments = Segments(n, bits_per_token)
     filled = train_filter(training, segments)
     sent = segments.n * segments.bits // 8 <= broadcast_bytes

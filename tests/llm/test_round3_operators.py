@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from palisade.llm import alignment, divergence, exact_dedup, fingerprint
+from palisade.llm import alignment, dictionary, divergence, exact_dedup, fingerprint, lm_score
 from palisade.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 from test_llm import CLASHES, ROWS, SCHEMA, by_row
@@ -224,3 +224,40 @@ def test_fingerprints_change_by_occurrences():
     wide = fingerprint.Fingerprint()
     wide.signed[3] = 1 << 20
     assert len(str(wide)) == 2 * (36 + 4 * fingerprint.SIGNED) and len(str(whole)) == 2 * (36 + 2 * fingerprint.SIGNED)
+
+
+def test_distinct_words_are_counted_by_a_sample_of_hashes(spark):
+    texts = [(" ".join(f"w{(i * 37 + k) % 40_000}" for k in range(400)),) for i in range(2000)]
+    df = spark.createDataFrame(texts, "text string").select(F.col("text").cast("binary").alias("text")).repartition(6)
+    true = len({w for (t,) in texts for w in t.split()})
+    assert abs(dictionary.distinct_words(df, bytes.split) - true) < 0.25 * true
+    assert dictionary.distinct_words(df, bytes.split, share=1) == true
+    assert dictionary.distinct_words(df.where("false"), bytes.split) == 0
+
+
+def test_asked_words_cost_alike_at_any_number_of_buckets():
+    """Bytes of a block's rows for each word it asks: blocks grow with the buckets, so rows do not get shorter."""
+    rng = np.random.default_rng(0)
+
+    def cost(buckets):
+        n = min(dictionary.MOST_RARE, max(dictionary.BLOCK_RARE, dictionary.ASKED * buckets))
+        words = [b" " + bytes(rng.integers(97, 123, 6 + i % 9).astype("u1")) for i in range(n)]
+        rows = [len(dictionary.pack_numbers(p)) + len(dictionary.pack_words([words[i] for i in p])) + 64 for _, p in dictionary.by_bucket(words, dictionary.bucket_of(words, buckets))]
+        return sum(rows) / n
+
+    few, many = cost(50), cost(4000)
+    assert many < 1.5 * few
+
+
+def test_false_claims_of_the_filter(spark):
+    """The share of unseen n-grams that the filter takes for seen: next to none with the bits of a small corpus, one in seven with the fewest."""
+    rng = np.random.default_rng(1)
+    texts = [(bytearray(b" ".join(b"w%d" % k for k in rng.integers(0, 3000, 300))),) for _ in range(200)]
+    df = spark.createDataFrame(texts, "text binary")
+    never = rng.integers(0, 1 << 62, 20_000).astype(np.uint64)
+    claimed = {}
+    for bits in (5, 64):
+        segments = lm_score.Segments(60_200, bits)
+        model = lm_score.Filter(lm_score.train_filter(df, segments), segments)
+        claimed[bits] = float((model.levels(never) > 0).mean())
+    assert claimed[64] < 0.001 and 0.05 < claimed[5] < 0.25
