@@ -19,12 +19,10 @@ UNRANKED_QUALITY = 0.15
 def ordinal_quality(picks: DataFrame, cohort: list[str], order: tuple[str, ...] = ("css_rank", "id")) -> DataFrame:
     """Adds ``ordinal`` and ``quality``: the place among the ranked of the cohort, on a square-root scale; 0.15 without a rank."""
     rank = F.col(order[0])
-    numbered = number_rows(picks, cohort, F.floor(rank / 4096), [F.asc_nulls_last(c) for c in order], "_place")
+    numbered = number_rows(picks.where(rank.isNotNull()), cohort, F.floor(rank / 4096), [F.asc_nulls_last(c) for c in order], "ordinal")
     sizes = picks.groupBy(*cohort).agg(F.count(rank).alias("n_ranked"))
-    # unranked rows have a null block, whose numbers come first
-    unranked = F.col("_all") - F.col("n_ranked")
-    sizes = sizes.join(picks.groupBy(*cohort).agg(F.count("*").alias("_all")), cohort)
-    out = numbered.join(sizes, cohort).withColumn("ordinal", F.when(rank.isNotNull(), F.col("_place") - unranked).cast("int")).drop("_place", "_all")
+    rest = picks.where(rank.isNull()).withColumn("ordinal", F.lit(None).cast("int"))  # not numbered: no block holds them
+    out = numbered.unionByName(rest).join(F.broadcast(sizes), cohort)  # a row a cohort
     quality = F.when(F.col("ordinal").isNotNull(), X.sqrt_rank_norm(F.col("ordinal"), F.col("n_ranked"))).otherwise(UNRANKED_QUALITY)
     return out.withColumn("quality", F.round(quality, 6))
 
@@ -38,7 +36,7 @@ def board_state(picks: DataFrame, cohort: list[str]) -> DataFrame:
     """
     picks = written(picks, "board")
     rows = picks.withColumn("_block", F.floor(F.col("overall_pick") / 4096)).repartition(*cohort, "_block")
-    sizes = picks.groupBy(*cohort).agg(F.count("*").alias("n_cohort"))
+    sizes = F.broadcast(picks.groupBy(*cohort).agg(F.count("*").alias("n_cohort")))  # a row a cohort; a few for each round and position
     rounds = picks.groupBy(*cohort, "round").agg(F.count("*").alias("round_size"), F.max("quality").alias("round_best"))
     positions = picks.groupBy(*cohort, "position").agg(F.count("*").alias("_of_position"))
     out = rows
@@ -51,7 +49,7 @@ def board_state(picks: DataFrame, cohort: list[str]) -> DataFrame:
         sums = picks.groupBy(*cohort, *keys, F.floor(F.col("overall_pick") / 4096).alias("_block")).agg(F.count("*").alias("_n"))
         sums = sums.select(*cohort, *keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
         out = out.join(sums, [*cohort, *keys, "_block"]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
-    out = out.join(sizes, cohort).join(rounds, [*cohort, "round"]).join(positions, [*cohort, "position"])
+    out = out.join(sizes, cohort).join(F.broadcast(rounds), [*cohort, "round"]).join(F.broadcast(positions), [*cohort, "position"])
     out = out.withColumns(
         {
             "seq": (F.col("_seq") + 1).cast("int"), "remaining": F.col("_of_position") - F.col("taken"), "round_index": (F.col("_in_round") + 1).cast("int"),

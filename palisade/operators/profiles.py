@@ -54,10 +54,16 @@ def shrunk_profile(picks: DataFrame, k: float = 30.0, decay: float = 0.85) -> Da
 
     n is the sum of a maker's weights. Every category of the prior appears for every maker.
     """
-    w = weighted_picks(picks, decay)
-    n = w.groupBy("gm").agg(F.sum("w").alias("n"))
-    own = distribution(long_format(w, ["gm"], F.col("w")), ["gm"]).select("gm", "dimension", "category", "share")
-    prior = population_prior(picks).withColumnRenamed("share", "prior")
+    cells = F.array(F.struct(F.lit("").alias("dimension"), F.lit("").alias("category")), *[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("category")) for d in DIMENSIONS])
+    long = picks.select("gm", "year", X.round_weight(F.coalesce("round", F.lit(4))).alias("rw"), F.explode(cells).alias("cell")).where("cell.category IS NOT NULL")
+    # the picks are read once; all that follows comes from these counts, where the empty dimension stands for the picks themselves
+    counts = written(long.groupBy("gm", "year", "rw", "cell.dimension", "cell.category").agg(F.count("*").alias("k")), "profile-counts")
+    last = counts.groupBy("gm").agg(F.max("year").alias("last_year"))
+    w = counts.join(last, "gm").withColumn("w", F.col("k") * F.col("rw") * F.pow(F.lit(decay), F.col("last_year") - F.col("year")))
+    n = w.where("dimension = ''").groupBy("gm").agg(F.sum("w").alias("n"))
+    own = distribution(w.where("dimension <> ''").select("gm", "dimension", "category", "w"), ["gm"]).select("gm", "dimension", "category", "share")
+    everyone = counts.where("dimension <> ''").select((F.col("k") * F.col("rw")).alias("w"), "dimension", "category")
+    prior = distribution(everyone, []).select("dimension", "category", F.col("share").alias("prior"))
     grid = n.crossJoin(prior)  # makers x vocabulary: the size of the result itself
     alpha = F.col("n") / (F.col("n") + k)
     joined = grid.join(own, ["gm", "dimension", "category"], "left")

@@ -120,7 +120,7 @@ def training_set(picks: DataFrame, positions: list[str], goalie: str, window: in
     chosen = p.select("year", "overall_pick", F.col("overall_pick").alias("candidate"), F.lit("picked").alias("stratum"))
     drawn = features.stratified_negatives(p, cohort, window, same_position).withColumnRenamed("negative", "candidate")
     candidates = q.drop("gm", "team").withColumnRenamed("overall_pick", "candidate").join(best.select("year", "round", "round_best"), ["year", "round"]).join(medians, ["year", "league"], "left")
-    rows = chosen.unionByName(drawn).join(slots, ["year", "overall_pick"]).join(sizes, "year").join(candidates, ["year", "candidate"])
+    rows = chosen.unionByName(drawn).join(slots, ["year", "overall_pick"]).join(F.broadcast(sizes), "year").join(candidates, ["year", "candidate"])
     rows = with_better(written(rows, "training-rows"), q, cohort)
     at = F.array_position(F.array(*map(F.lit, positions)), F.col("position")).cast("int")
     of = lambda name: F.element_at(name, at)
@@ -164,11 +164,3 @@ def temporal_split(rows: DataFrame, group: list[str], cutoff: int, year: str = "
 def group_sizes(rows: DataFrame, group: list[str], label: str, weight: str) -> DataFrame:
     """group, size, weight (that of its positive row): what a ranker is told of each group."""
     return rows.groupBy(*group).agg(F.count("*").alias("size"), F.max(F.when(F.col(label) == 1, F.col(weight))).alias("weight"))
-
-
-def linear_scores(rows: DataFrame, weights: dict[str, float]) -> Column:
-    """Score of a linear model; columns that are missing count as 0."""
-    total = F.lit(0.0)
-    for name, w in weights.items():
-        total = total + (F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in rows.columns else F.lit(0.0)) * F.lit(w)
-    return total

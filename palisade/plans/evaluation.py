@@ -51,14 +51,16 @@ def cross_year_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blend_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of eleven blends of rank and production; the first by top-1 is the best. A pick's eleven ranks are one projection."""
+    """Metrics of eleven blends of rank and production; the first by top-1 is the best. A pick's candidates are taken apart once and counted for all blends."""
     p = features.ordinal_quality(order_picks(spark, sf_dir), ["year"]).where(F.col("round") <= LAST_ROUND)
     p = evaluate.with_candidates(p, ["year"], 31, ["quality", "ppg"])
-    ranks = []
-    for w in (i / 10 for i in range(11)):
-        score = lambda q, g, w=w: F.round(w * q + (1 - w) * g / 5, 6)
-        ranks.append(F.struct(F.lit(w).alias("w"), evaluate.rank_of_actual(score(F.col("quality"), F.col("ppg")), lambda c, score=score: score(c["quality"], c["ppg"])).alias("rank")))
-    return p.select(F.inline(F.array(*ranks))).groupBy("w").agg(*evaluate.hit_metrics(F.col("rank")))
+    rows = p.select("id", "quality", "ppg", F.explode("candidates").alias("c"))
+    shares = [i / 10 for i in range(11)]
+    score = lambda w, q, g: F.round(w * q + (1 - w) * g / 5, 6)
+    ahead = [F.count_if(score(w, F.col("c.quality"), F.col("c.ppg")) > score(w, F.col("quality"), F.col("ppg"))).alias(f"n{i}") for i, w in enumerate(shares)]
+    ranks = rows.groupBy("id").agg(*ahead)
+    each = F.array(*[F.struct(F.lit(w).alias("w"), (F.col(f"n{i}") + 1).alias("rank")) for i, w in enumerate(shares)])
+    return ranks.select(F.inline(each)).groupBy("w").agg(*evaluate.hit_metrics(F.col("rank")))
 
 
 def _scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

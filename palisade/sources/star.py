@@ -32,7 +32,7 @@ def order_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = orders.groupBy("year").agg(F.count("*").alias("n"))
     orders = number_rows(orders, ["year"], F.col("o_orderdate"), [F.col("o_orderkey")], "overall_pick")
     orders = number_rows(orders, ["year"], F.floor(F.col("o_totalprice") / 100), [F.desc("o_totalprice"), F.col("o_orderkey")], "price_rank", descending=True)
-    rows = orders.join(sizes, "year").join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select(
+    rows = orders.join(F.broadcast(sizes), "year").join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("id"), "year", F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 32).cast("int").alias("team"),
         F.col("o_orderpriority").alias("position"), "league", "nationality", (F.col("o_totalprice") / 100000).alias("ppg"),
         "o_orderstatus", "overall_pick", "n", "price_rank",
