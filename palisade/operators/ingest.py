@@ -1,8 +1,7 @@
-"""Taking records in: seeds, backfills, logs, resumable steps."""
+"""Taking records in: seeds, backfills, logs."""
 
 from __future__ import annotations
 
-import datetime
 import json
 from collections.abc import Callable
 from functools import reduce
@@ -92,49 +91,3 @@ def fold_log(log: DataFrame, session: str, order: str, text: str, summaries: Dat
     left = log.withColumn("_back", back).where(F.col("_back") <= keep).drop("_back")
     first = summaries.select(session, F.lit(-1).cast(log.schema[order].dataType).alias(order), F.lit("system").alias("role"), F.col("summary").alias(text))
     return left.select(session, order, "role", text).unionByName(first)
-
-
-class Steps:
-    """Steps of a run that can be taken up again: a step that succeeded is skipped, one that failed runs anew.
-
-    Each attempt appends a record (run_id, step, status, detail, at) to a JSON table under ``path`` in the shared folder; the newest of
-    a step counts. Errors are cut at 500 characters. ``force`` runs every step.
-    """
-
-    SCHEMA = "run_id string, step string, status string, detail string, attempt int, at timestamp"
-
-    def __init__(self, spark: SparkSession, path: str, run_id: str, force: bool = False):
-        self.spark, self.path, self.run_id, self.force = spark, path, run_id, force
-
-    def records(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.SCHEMA).json(self.path).where(F.col("run_id") == self.run_id)
-        except Exception as error:  # the first record makes the folder
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], self.SCHEMA)
-
-    def latest(self) -> DataFrame:
-        """step, status, detail, attempts: the newest record of each step."""
-        by = W.partitionBy("step")
-        rows = self.records().withColumn("attempts", F.count("*").over(by)).withColumn("_k", F.row_number().over(by.orderBy(F.desc("attempt"))))
-        return rows.where("_k = 1").select("step", "status", "detail", "attempts")
-
-    def _append(self, step: str, status: str, detail: str, attempt: int) -> None:
-        row = (self.run_id, step, status, detail, attempt, datetime.datetime.now(datetime.timezone.utc))
-        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").json(self.path)
-
-    def step(self, name: str, work: Callable[[], dict]) -> bool:
-        """Runs ``work`` unless the step is done; True if it ran. Its dict is the detail; an error is recorded and raised."""
-        done = {r["step"]: r for r in self.latest().collect()}  # a row for each step of one run
-        before = done.get(name)
-        if before and before["status"] == "ok" and not self.force:
-            return False
-        attempt = before["attempts"] + 1 if before else 1
-        try:
-            detail = work()
-        except Exception as error:
-            self._append(name, "failed", str(error)[:500], attempt)
-            raise
-        self._append(name, "ok", json.dumps(detail, sort_keys=True), attempt)
-        return True

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.shared import written
+from .relational import number_rows
 
 # Odds in percent by final standing, worst first.
 ODDS = (18.5, 13.5, 11.5, 9.5, 8.5, 7.5, 6.5, 6.0, 5.0, 3.5, 3.0, 2.5, 2.0, 1.5, 1.0, 0.5)
@@ -61,27 +63,29 @@ def exact_probabilities(odds: DataFrame) -> DataFrame:
     return odds.select("standing").join(p1, "standing", "left").join(p2, "standing", "left").select("standing", value("p_first").alias("p_first"), value("p_second").alias("p_second"))
 
 
-def draws(spark: SparkSession, n: int, seed: int = 42, odds: tuple[float, ...] = ODDS) -> DataFrame:
-    """sim, w1, w2: winners of both draws of n lotteries, from hashed uniforms; parallel over simulations."""
+def draws(spark: SparkSession, n: int, seed: int = 42, odds: tuple[float, ...] = ODDS, keys: DataFrame | None = None) -> DataFrame:
+    """sim, w1, w2: winners of both draws of n lotteries (for each row of ``keys``), from hashed uniforms; parallel over simulations."""
     c = counts(odds)
     starts = [sum(c[:i]) for i in range(len(c))]
     ends = [a + b for a, b in zip(starts, c, strict=True)]
     lit = lambda xs: F.array(*map(F.lit, xs))
     at = lambda x, n_teams: (F.size(F.filter(lit(ends[:n_teams]), lambda e: e <= x)) + 1).cast("int")
     first_n, second_n = ends[CLIMB], ends[CLIMB + 1]
-    sims = spark.range(n).select(F.col("id").alias("sim"))
-    one = sims.select("sim", at(F.floor(X.uniform(F.lit(seed), F.col("sim"), F.lit(1)) * first_n), CLIMB + 1).alias("w1"))
+    sims, of = spark.range(n).select(F.col("id").alias("sim")), [*(keys.columns if keys is not None else []), "sim"]
+    sims = sims if keys is None else keys.crossJoin(F.broadcast(sims))  # n numbers
+    seeds = [F.lit(seed), *map(F.col, of)]
+    one = sims.select(*of, at(F.floor(X.uniform(*seeds, F.lit(1)) * first_n), CLIMB + 1).alias("w1"))
     won, before = F.get(lit(c), F.col("w1") - 1), F.get(lit(starts), F.col("w1") - 1)
-    x2 = F.floor(X.uniform(F.lit(seed), F.col("sim"), F.lit(2)) * (second_n - won))
-    return one.select("sim", "w1", at(x2 + F.when(x2 >= before, won).otherwise(0), CLIMB + 2).alias("w2"))
+    x2 = F.floor(X.uniform(*seeds, F.lit(2)) * (second_n - won))
+    return one.select(*of, "w1", at(x2 + F.when(x2 >= before, won).otherwise(0), CLIMB + 2).alias("w2"))
 
 
-def finishes(drawn: DataFrame, teams: int = len(ODDS)) -> DataFrame:
-    """team, slot, n over all simulations: winners first, the others in order of standing."""
-    rows = drawn.select("w1", "w2", F.explode(F.sequence(F.lit(1), F.lit(teams))).alias("team"))
+def finishes(drawn: DataFrame, teams: int = len(ODDS), keys: list[str] | None = None) -> DataFrame:
+    """(keys,) team, slot, n over all simulations: winners first, the others in order of standing."""
+    rows = drawn.select(*(keys or []), "w1", "w2", F.explode(F.sequence(F.lit(1), F.lit(teams))).alias("team"))
     ahead = (F.col("w1") < F.col("team")).cast("int") + (F.col("w2") < F.col("team")).cast("int")
     slot = F.when(F.col("team") == F.col("w1"), 1).when(F.col("team") == F.col("w2"), 2).otherwise(F.col("team") + 2 - ahead)
-    return rows.groupBy("team", slot.alias("slot")).agg(F.count("*").alias("n"))
+    return rows.groupBy(*(keys or []), "team", slot.alias("slot")).agg(F.count("*").alias("n"))
 
 
 def standings(teams: DataFrame, division: str, conference: str, points: str, team: str) -> DataFrame:
@@ -94,8 +98,10 @@ def standings(teams: DataFrame, division: str, conference: str, points: str, tea
     out = F.col("division_seq") > 3
     seq = seq.withColumn("wildcard_seq", F.when(out, F.row_number().over(W.partitionBy(conference, out).orderBy(*best))))
     flagged = seq.withColumn("playoff", X.playoff(F.col("division_seq"), F.col("wildcard_seq")))
-    flagged = flagged.withColumn("overall", F.row_number().over(W.orderBy(*best)))
-    return flagged.withColumn("lottery_slot", F.when(~F.col("playoff"), F.row_number().over(W.partitionBy("playoff").orderBy(F.col(points), F.desc(team)))))
+    block = F.floor(F.col(points) / 10)  # numbered by blocks of points, so no task holds all teams
+    flagged = written(number_rows(flagged, [], block, best, "overall", descending=True), "standings")
+    slots = number_rows(flagged.where(~F.col("playoff")), [], block, [F.col(points), F.desc(team)], "lottery_slot")
+    return slots.unionByName(flagged.where("playoff").withColumn("lottery_slot", F.lit(None).cast("int")))
 
 
 def custom_teams(rows: DataFrame) -> DataFrame:
@@ -105,9 +111,8 @@ def custom_teams(rows: DataFrame) -> DataFrame:
     return out.where("standing IS NOT NULL").orderBy("standing")
 
 
-def round_order(order: DataFrame, rounds: int) -> DataFrame:
-    """pick, round, team: the order of round one repeated."""
-    n = order.agg(F.count("*").alias("n"))
-    rows = order.crossJoin(F.broadcast(n)).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    return rows.select((F.col("place") + (F.col("round") - 1) * F.col("n")).alias("pick"), "round", "team")
-
+def round_order(order: DataFrame, rounds: int, keys: list[str]) -> DataFrame:
+    """keys, pick, round, team, n (teams): each key's order (keys, place, team) of round one repeated."""
+    n = order.groupBy(*keys).agg(F.count("*").alias("n"))
+    rows = order.join(F.broadcast(n), keys).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))  # a row a key
+    return rows.select(*keys, (F.col("place") + (F.col("round") - 1) * F.col("n")).alias("pick"), "round", "team", "n")

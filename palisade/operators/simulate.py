@@ -7,6 +7,8 @@ JVM; simulations run side by side.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,8 +83,8 @@ def draft(pools: DataFrame, keys: list[str], order: list[int], need_weight: floa
     return picks.select(*keys, (F.col("i") + 1).alias("pick"), F.get(teams, F.col("i")).alias("team"), "id")
 
 
-def sampled_drafts(pool: DataFrame, n: int, order: list[int], t: float = 0.25, need_weight: float = 0.15, seed: int = 42) -> DataFrame:
-    """sim, pick, team, id: n drafts by softmax at the adaptive temperature of the board.
+def sampled_drafts(pool: DataFrame, n: int, order: list[int], t: float = 0.25, need_weight: float = 0.15, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
+    """(keys,) sim, pick, team, id: n drafts (of each key's board) by softmax at the adaptive temperature of the board.
 
     Simulations are dealt to tasks and share no state; each draws from a generator seeded by ``seed`` and
     its number, so reruns agree. The pool is bounded by its window and goes to every simulation.
@@ -90,14 +92,18 @@ def sampled_drafts(pool: DataFrame, n: int, order: list[int], t: float = 0.25, n
     import numpy as np
     import pandas as pd
 
-    board = pool.agg(F.array_sort(F.collect_list(F.struct("rank", "id", "base", "need"))).alias("board"))
-    sims = pool.sparkSession.range(0, n, 1, max(1, min(n, 64))).withColumnRenamed("id", "sim").crossJoin(F.broadcast(board))
+    keys = keys or []
+    board = pool.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "base", "need"))).alias("board"))
+    if keys:  # boards stay where they are, and each runs its own simulations
+        sims = board.select(*keys, "board", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("sim"))
+    else:
+        sims = pool.sparkSession.range(0, n, 1, max(1, min(n, 64))).withColumnRenamed("id", "sim").crossJoin(F.broadcast(board))
 
     def run(frames):
         for frame in frames:
             out = []
-            for sim, rows in zip(frame["sim"], frame["board"], strict=True):
-                rng = np.random.default_rng([seed, int(sim)])
+            for sim, rows, *key in zip(frame["sim"], frame["board"], *(frame[k] for k in keys), strict=True):
+                rng = np.random.default_rng([seed, int(sim), *(zlib.crc32(str(k).encode()) for k in key)])
                 ids = np.array([r["id"] for r in rows])
                 base, need = np.array([r["base"] for r in rows]), np.array([r["need"] for r in rows])
                 left = np.ones(len(ids), bool)
@@ -111,26 +117,28 @@ def sampled_drafts(pool: DataFrame, n: int, order: list[int], t: float = 0.25, n
                     weights = np.exp((value - best[0]) / (t * max(0.01, (1 - gap) ** 2)))
                     chosen = at[rng.choice(len(at), p=weights / weights.sum())]
                     left[chosen] = False
-                    out.append((sim, pick, team, ids[chosen]))
-            yield pd.DataFrame(out, columns=["sim", "pick", "team", "id"])
+                    out.append((*key, sim, pick, team, ids[chosen]))
+            yield pd.DataFrame(out, columns=[*keys, "sim", "pick", "team", "id"])
 
-    return sims.mapInPandas(run, "sim bigint, pick int, team int, id bigint")
+    kinds = "".join(f"`{k}` {pool.schema[k].dataType.simpleString()}, " for k in keys)
+    return sims.mapInPandas(run, f"{kinds}sim bigint, pick int, team int, id bigint")
 
 
-def alternatives(pool: DataFrame, picks: DataFrame, n: int, need_weight: float = 0.15) -> DataFrame:
-    """pick, place, id, value, bar: the n candidates left that the team valued most at its pick, the chosen apart; bar is the share of the highest value.
+def alternatives(pool: DataFrame, picks: DataFrame, n: int, keys: list[str], need_weight: float = 0.15) -> DataFrame:
+    """keys, pick, place, id, value, bar: the n candidates left that the team valued most at its pick, the chosen apart; bar is the share of the highest value.
 
-    Pool and picks are those of one draft, bounded by the window.
+    Candidates meet the picks of their own draft; both are bounded by the board.
     """
-    gone = picks.select("id", F.col("pick").alias("_gone"))
-    board = pool.join(gone, "id", "left")
-    at = picks.select("pick", "team", F.col("id").alias("_chosen"))
-    left = at.join(F.broadcast(board), F.col("_gone").isNull() | (F.col("_gone") >= F.col("pick")))
+    gone = picks.select(*keys, "id", F.col("pick").alias("_gone"))
+    board = pool.join(gone, [*keys, "id"], "left")
+    at = picks.select(*keys, "pick", "team", F.col("id").alias("_chosen"))
+    left = at.join(board, keys).where(F.col("_gone").isNull() | (F.col("_gone") >= F.col("pick")))
     value = F.round(F.col("base") + F.when(F.col("need") == F.col("team") % 6, need_weight).otherwise(0.0), 6)
-    rows = left.withColumn("value", value).withColumn("_top", F.max("value").over(W.partitionBy("pick")))
-    place = F.row_number().over(W.partitionBy("pick").orderBy(F.desc("value"), "rank"))
+    by = W.partitionBy(*keys, "pick")
+    rows = left.withColumn("value", value).withColumn("_top", F.max("value").over(by))
+    place = F.row_number().over(by.orderBy(F.desc("value"), "rank"))
     out = rows.where(F.col("id") != F.col("_chosen")).withColumn("place", place).where(F.col("place") <= n)
-    return out.select("pick", "place", "id", "value", F.round(F.col("value") / F.greatest("_top", F.lit(0.001)), 6).alias("bar"))
+    return out.select(*keys, "pick", "place", "id", "value", F.round(F.col("value") / F.greatest("_top", F.lit(0.001)), 6).alias("bar"))
 
 
 def divergence(baseline: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

@@ -136,31 +136,6 @@ def conversation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"), F.max(F.when(F.col("role") == "system", F.length("text"))).alias("summary_length"))
 
 
-def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run whose second step fails, taken up again: the first is skipped, the second succeeds."""
-    path, calls = scratch(spark, "runs"), []
-
-    def work(name: str, error: str = ""):
-        def run() -> dict:
-            calls.append(name)
-            if error:
-                raise ValueError(error)
-            return {"rows": len(calls)}
-
-        return run
-
-    for error in ("x" * 600, ""):
-        steps = ingest.Steps(spark, path, "run-1")
-        try:
-            for name in ("teams", "picks", "rankings"):
-                steps.step(name, work(name, error if name == "picks" else ""))
-        except ValueError:
-            continue
-    ingest.Steps(spark, path, "run-2").step("teams", work("teams"))
-    failed = ingest.Steps(spark, path, "run-1").records().where("status = 'failed'").agg(F.max(F.length("detail")).alias("longest_error"))
-    return ingest.Steps(spark, path, "run-1").latest().crossJoin(F.broadcast(failed))
-
-
 def health_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").agg(F.count("*").alias("prospects_loaded"))
     teams = table(spark, sf_dir, "nation").agg(F.count("*").alias("teams_loaded"))
@@ -304,16 +279,18 @@ def custom_lottery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_round_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four rounds of one order: pick, round, place in the round."""
-    order = spark.createDataFrame([(i + 1, t) for i, t in enumerate(DRAFT_ORDER)], "place int, team int")
-    out = lottery.round_order(order, 4)
-    return out.select("pick", "round", "team", X.round_of(F.col("pick"), len(DRAFT_ORDER)).alias("round_of_pick"), ((F.col("pick") - 1) % len(DRAFT_ORDER) + 1).alias("pick_in_round"), X.strategy_band(F.col("pick")).alias("band"))
+    """Four rounds of each region's order, the worst team first: pick, round, place in the round."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    order = number_rows(s, ["n_regionkey"], F.floor(F.col("s_acctbal") / 10), [F.col("s_acctbal"), F.col("s_suppkey")], "place").select(F.col("n_regionkey").alias("region"), "place", F.col("s_suppkey").alias("team"))
+    out = lottery.round_order(order, 4, ["region"])
+    in_round = (F.col("pick") - 1) % F.col("n") + 1
+    return out.select("region", "pick", "round", "team", (F.floor((F.col("pick") - 1) / F.col("n")) + 1).cast("int").alias("round_of_pick"), in_round.alias("pick_in_round"), X.strategy_band(F.col("pick")).alias("band"))
 
 
 def draft_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three candidates that a team valued most at its pick but for the chosen, with the length of their bar on the board."""
     pool = _pool(spark, sf_dir)
-    return simulate.alternatives(pool, simulate.draft(pool, [], DRAFT_ORDER), 3)
+    return simulate.alternatives(pool, simulate.draft(pool, ["league"], DRAFT_ORDER), 3, ["league"])
 
 
 def linear_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,11 +329,11 @@ def standings_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def board_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The picks of a draft by round of eight, in order, with the best value of each."""
+    """The picks of each league's draft by round of eight, in order, with the best value of each."""
     pool = _pool(spark, sf_dir)
-    picks = simulate.draft(pool, [], DRAFT_ORDER).join(pool.select("id", "base"), "id")
+    picks = simulate.draft(pool, ["league"], DRAFT_ORDER).join(pool.select("id", "base"), "id")
     rows = F.transform(F.array_sort(F.collect_list(F.struct("pick", "id"))), lambda x: x["id"].cast("string"))
-    return picks.groupBy(X.round_of(F.col("pick"), 8).alias("round")).agg(F.array_join(rows, ",").alias("ids"), F.max("base").alias("best"))
+    return picks.groupBy("league", X.round_of(F.col("pick"), 8).alias("round")).agg(F.array_join(rows, ",").alias("ids"), F.max("base").alias("best"))
 
 
 def attribution_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,7 +361,7 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     teams_upsert, players_upsert, class_seeds, class_records, stat_backfill, history_records, first_seen_players, draft_backfill, jsonl_history, conversation_fold,
-    pipeline_steps, health_snapshot, gm_profile, team_lookup, gm_documents, career_portability, archetype_truth, unweighted_prior, prospect_detail,
+    health_snapshot, gm_profile, team_lookup, gm_documents, career_portability, archetype_truth, unweighted_prior, prospect_detail,
     semantic_search, index_replace, evidence_lines, query_terms, pro_documents, standings_enrichment, custom_lottery, multi_round_order,
     draft_alternatives, linear_rank, confidence_labels, prospects_table, standings_sorts, board_by_round, attribution_bars, version_listing, run_history,
 )}
@@ -430,7 +407,6 @@ SQL = {
     "conversation_fold": """WITH b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), l AS (SELECT conv_id, count(*) AS n, min(turn) AS t, max(CASE WHEN role = 'system' THEN length(text) END) AS own FROM b WHERE back <= 6 GROUP BY 1),
         o AS (SELECT conv_id, length(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS k FROM b WHERE back > 6 GROUP BY 1)
         SELECT conv_id, n + CAST(k IS NOT NULL AS BIGINT) AS n, CASE WHEN k IS NULL THEN t ELSE -1 END AS first_turn, CAST(greatest(k, own) AS INT) AS summary_length FROM l LEFT JOIN o USING (conv_id)""",
-    "pipeline_steps": """SELECT 'teams' AS step, 'ok' AS status, '{"rows": 1}' AS detail, 1::BIGINT AS attempts, 500 AS longest_error UNION ALL SELECT 'picks', 'ok', '{"rows": 3}', 2, 500 UNION ALL SELECT 'rankings', 'ok', '{"rows": 4}', 1, 500""",
     "health_snapshot": "SELECT (SELECT count(*) FROM part) AS prospects_loaded, (SELECT count(*) FROM nation) AS teams_loaded, 'ok' AS status",
     "gm_profile": f"WITH {_GM} SELECT team_id, 'T' || team_id AS abbreviation, gm_id, gm_name, {_TOPS_SQL} FROM tm",
     "team_lookup": f"WITH {_GM} SELECT team_id, full_name, gm_id FROM tm WHERE full_name ILIKE '%ION!_1%' ESCAPE '!' OR team_id = 7 OR full_name ILIKE '%t7%'",
@@ -471,10 +447,12 @@ SQL = {
     "standings_enrichment": f"WITH {_STANDINGS}, o AS (SELECT unnest(range(1, 17)) AS lottery_slot, unnest({list(lottery.ODDS)})::DOUBLE AS odds) SELECT s_suppkey, st.lottery_slot, odds FROM st LEFT JOIN o ON o.lottery_slot = st.lottery_slot",
     "custom_lottery": """WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 16 + 1 END AS slot, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 2 = 0 END AS po, CASE WHEN s_suppkey % 4 = 1 THEN s_suppkey % 16 + 1 END AS st, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal / 1000 END AS odds FROM supplier)
         SELECT s_suppkey, coalesce(st, slot) AS standing, round(coalesce(odds, 0), 6) AS odds FROM r WHERE (slot IS NOT NULL OR po = false) AND coalesce(st, slot) IS NOT NULL""",
-    "multi_round_order": f"""WITH p AS (SELECT CAST(unnest(range(1, 129)) AS BIGINT) AS pick) SELECT pick, CAST((pick - 1) // 32 + 1 AS INT) AS round, ({DRAFT_ORDER})[(pick - 1) % 32 + 1] AS team, CAST((pick - 1) // 32 + 1 AS INT) AS round_of_pick, (pick - 1) % 32 + 1 AS pick_in_round,
+    "multi_round_order": """WITH o AS (SELECT n_regionkey AS region, s_suppkey AS team, row_number() OVER (PARTITION BY n_regionkey ORDER BY s_acctbal, s_suppkey) AS place, count(*) OVER (PARTITION BY n_regionkey) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+        p AS (SELECT region, team, place + (r - 1) * n AS pick, r AS round, n FROM o, (SELECT unnest(range(1, 5)) AS r))
+        SELECT region, pick, CAST(round AS INT) AS round, team, CAST((pick - 1) // n + 1 AS INT) AS round_of_pick, (pick - 1) % n + 1 AS pick_in_round,
         CASE WHEN pick <= 5 THEN 'top five' WHEN pick <= 15 THEN 'lottery' WHEN pick <= 32 THEN 'late first round' WHEN pick <= 64 THEN 'second round' WHEN pick <= 96 THEN 'third round' ELSE 'late round' END AS band FROM p""",
-    "draft_alternatives": f"""WITH RECURSIVE {_POOL}, {_fold('g', DRAFT_ORDER)}, o AS (SELECT g.pick, p.id, p.id = g.id AS chosen, round(base + CASE WHEN need = g.team % 6 THEN 0.15 ELSE 0 END, 6) AS value, p.rank FROM g CROSS JOIN pool p LEFT JOIN g t ON t.id = p.id WHERE t.pick IS NULL OR t.pick >= g.pick),
-        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY pick, chosen ORDER BY value DESC, rank) AS INT) AS place, max(value) OVER (PARTITION BY pick) AS top FROM o) SELECT pick, place, id, value, round(value / greatest(top, 0.001), 6) AS bar FROM r WHERE NOT chosen AND place <= 3""",
+    "draft_alternatives": f"""WITH RECURSIVE {_POOL}, {_fold('g', DRAFT_ORDER)}, o AS (SELECT g.league, g.pick, p.id, p.id = g.id AS chosen, round(base + CASE WHEN need = g.team % 6 THEN 0.15 ELSE 0 END, 6) AS value, p.rank FROM g JOIN pool p ON p.league = g.league LEFT JOIN g t ON t.id = p.id WHERE t.pick IS NULL OR t.pick >= g.pick),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY league, pick, chosen ORDER BY value DESC, rank) AS INT) AS place, max(value) OVER (PARTITION BY league, pick) AS top FROM o) SELECT league, pick, place, id, value, round(value / greatest(top, 0.001), 6) AS bar FROM r WHERE NOT chosen AND place <= 3""",
     "linear_rank": f"""WITH {PROSPECTS}, n AS (SELECT count(css_ranking) AS n FROM prospects) SELECT id, round(greatest(0.0, 1.0 - (css_ranking - 1) / n::DOUBLE), 6) AS linear, round(greatest(0.0, 1.0 - sqrt((css_ranking - 1) / n::DOUBLE)), 6) AS root
         FROM prospects, n WHERE css_ranking IS NOT NULL""",
     "history_records": """WITH r AS (SELECT CAST(year(o_orderdate) AS INT) AS year, o_custkey % 200 AS overall_pick, o_orderkey AS seq, row_number() OVER (PARTITION BY year(o_orderdate), o_custkey % 200 ORDER BY o_orderkey) AS k FROM orders),
@@ -485,7 +463,7 @@ SQL = {
     "prospects_table": f"WITH {PROSPECTS}, o AS (SELECT id, league, coalesce(css_ranking, 9999) AS rank FROM prospects WHERE NOT regexp_matches(league, 'Brand#1|Brand#2')) SELECT *, (SELECT count(*) FROM o) AS total FROM o ORDER BY rank, id LIMIT 25 OFFSET 10",
     "standings_sorts": """WITH s AS (SELECT s_suppkey, CASE n_regionkey WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS conf, n_name AS division, s_acctbal AS points, s_suppkey % 16 AS odds FROM supplier JOIN nation ON s_nationkey = n_nationkey)
         SELECT s_suppkey, CAST(row_number() OVER (ORDER BY odds DESC, points DESC, s_suppkey) AS INT) AS by_odds, CAST(row_number() OVER (ORDER BY conf, division, points DESC, s_suppkey) AS INT) AS by_division, CAST(row_number() OVER (ORDER BY points, s_suppkey) AS INT) AS by_points FROM s""",
-    "board_by_round": f"WITH RECURSIVE {_POOL}, {_fold('g', DRAFT_ORDER)} SELECT CAST((pick - 1) // 8 + 1 AS INT) AS round, string_agg(CAST(g.id AS VARCHAR), ',' ORDER BY pick) AS ids, max(base) AS best FROM g JOIN pool USING (id) GROUP BY 1",
+    "board_by_round": f"WITH RECURSIVE {_POOL}, {_fold('g', DRAFT_ORDER)} SELECT g.league, CAST((pick - 1) // 8 + 1 AS INT) AS round, string_agg(CAST(g.id AS VARCHAR), ',' ORDER BY pick) AS ids, max(base) AS best FROM g JOIN pool USING (id) GROUP BY 1, 2",
     "version_listing": "SELECT 'models/model_' || strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey AS version, o_totalprice AS size FROM orders ORDER BY version DESC LIMIT 10",
     "run_history": "SELECT event_id, left(repeat(props, 100), 500) AS error FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100",
 }
