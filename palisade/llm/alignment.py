@@ -21,7 +21,6 @@ import hashlib
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
