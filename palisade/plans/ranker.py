@@ -136,6 +136,18 @@ def ranker_additivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("year").agg(F.count("*").alias("n"), F.count_if(error > 0.05).alias("n_off"), F.round(F.max(error), 6).alias("largest"))
 
 
+def ranker_feature_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store serves for slot 15: all features of every prospect as stored for the first slot, the slot's own in place of the neutral ones, scored."""
+    rows = written(_pool_matrix(spark, sf_dir, None, 1, None).drop("gm"), "ranker-features")
+    names = [c for c in rows.columns if c != "id"]
+    now = F.lit("2024-02-01 12:00:00").cast("timestamp")
+    at = now - F.make_dt_interval(hours=F.when(F.col("id") % 50 == 3, 30).otherwise(F.col("id") % 24).cast("int"))
+    store = written(scoring.stored(rows, "id", names, at, F.lit(scoring.VERSION)), "ranker-store")
+    requests = rows.select((F.col("id") % 50).alias("batch"), "id")
+    served = scoring.served(store, requests, scoring.read_batches(store, requests, "batch", "id", now), "batch", "id", names, SLOT)
+    return boosting.score(served, _fitted(spark, sf_dir)["model"]).select("batch", "id", "score")
+
+
 def ranker_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds of the conformal sets from the held-out slots as the final split's model scores them."""
     got = _fitted(spark, sf_dir)
@@ -163,6 +175,6 @@ def ranker_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ranker_search, ranker_folds, ranker_stages, ranker_backtest, ranker_importances, ranker_importance_record, ranker_importance_drift, ranker_gate,
-    ranker_pool_scores, ranker_leaderboard, ranker_attributions, ranker_additivity, ranker_conformal,
+    ranker_pool_scores, ranker_leaderboard, ranker_feature_store, ranker_attributions, ranker_additivity, ranker_conformal,
 )}
 SQL: dict[str, str] = {}
