@@ -84,3 +84,26 @@ def test_pipeline_as_a_whole(spark, tmp_path, kind):
         if r.doc_id is not None:
             want = model.encode(text_of[r.doc_id], add_special_tokens=False).ids
             assert r.n_tokens == len(want) and r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+
+
+def test_the_pipeline_keeps_what_the_classifier_scores_good(spark):
+    """With all labelled ids inside the bound, the stage's rows are those whose own query scores them 0.5 or more."""
+    from palisade.llm import classifier
+
+    docs, labels = documents(spark, SF), spark.read.parquet(f"{SF}/labels.parquet")
+    wanted = {r.doc_id for r in classifier.score_documents(docs, labels).where("score >= 0.5").collect()}
+    kept = [r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()]
+    assert sorted(kept) == sorted(wanted) and 0 < len(kept) < docs.count()
+
+
+def test_the_mix_holds_each_row_as_often_as_it_is_taken(spark):
+    from collections import Counter
+
+    from palisade.llm import mixing
+
+    docs = documents(spark, SF)
+    copies = {r.doc_id: r.mix_copies for r in mixing.mix(docs, keep=["doc_id"]).collect()}
+    rows = mixing.mixed(docs).collect()
+    assert Counter(r.doc_id for r in rows) == Counter({i: k for i, k in copies.items() if k})
+    whole = {r.doc_id: r for r in docs.collect()}
+    assert all(r == whole[r.doc_id] for r in rows)
