@@ -183,63 +183,68 @@ def round_of(pick: Column, teams: int = 32) -> Column:
     return F.ceil(pick / F.lit(teams)).cast("int")
 
 
+# Bounds and wording of the bands of picks, values, trends and styles; the first bound that a value reaches counts.
+PICK_BANDS = ((5, "top five"), (15, "lottery"), (32, "late first round"), (64, "second round"), (96, "third round"))
+LAST_BAND = "late round"
+VALUE_GAP, SURPLUS, REACH, FAIR = 10, "surplus", "reach", "fair"
+TREND_UP = ((0.20, "clear upward development trend"), (0.08, "modest year-over-year improvement"))
+TREND_DOWN = ((-0.20, "meaningful production drop from prior season"), (-0.08, "slight production regression"))
+TREND_STEADY = "stable production year over year"
+PROSPECT_GOALIE, PROSPECT_DEFENSE_REST, PROSPECT_FORWARD_REST = "goaltending prospect", "defensive defenseman", "depth forward"
+PROSPECT_DEFENSE = ((0.75, "offensive defenseman"), (0.45, "two-way defenseman"))
+PROSPECT_FORWARD = ((1.30, "high-end scoring forward"), (0.95, "top-six scoring forward"), (0.65, "middle-six forward"))
+PROSPECT_GOALS, PROSPECT_ASSISTS, PROSPECT_BALANCED = (0.48, "goal-driven production"), (0.28, "playmaking / assist-heavy"), "balanced scorer"
+COMPETITION = {1: "elite competition", 2: "strong junior or college competition"}
+PRO_GOALIE, PRO_DEFENSE_REST, PRO_FORWARD_REST = "NHL goaltender", "defensive defenseman", "bottom-six forward"
+PRO_DEFENSE = ((0.80, "elite offensive defenseman"), (0.55, "offensive defenseman"), (0.35, "two-way defenseman"))
+PRO_FORWARD = ((1.20, "elite scorer"), (0.85, "top-six scorer"), (0.55, "middle-six forward"))
+PRO_DEFENSE_ASSISTS, PRO_DEFENSE_GOALS = (0.70, "playmaking from the blue line"), (0.35, "goal-scoring defenseman")
+PRO_GOALS, PRO_ASSISTS, PRO_BALANCED = (0.48, "goal scorer"), (0.28, "pure playmaker"), "two-way producer"
+PLUS, MINUS = (20, "positive possession driver"), (-15, "negative differential player")
+
+
+def at_least(value: Column, bands, rest: str | None = None) -> Column:
+    """The name of the first band whose bound the value reaches from above."""
+    return F.coalesce(*[F.when(value >= bound, name) for bound, name in bands], F.lit(rest))
+
+
+def at_most(value: Column, bands, rest: str | None = None) -> Column:
+    return F.coalesce(*[F.when(value <= bound, name) for bound, name in bands], F.lit(rest))
+
+
 def strategy_band(pick: Column) -> Column:
-    # The last pick of each band.
-    return F.when(pick <= 5, "top five").when(pick <= 15, "lottery").when(pick <= 32, "late first round").when(pick <= 64, "second round").when(pick <= 96, "third round").otherwise("late round")
+    return at_most(pick, PICK_BANDS, LAST_BAND)
 
 
 def value_gap(pick: Column, rank: Column) -> Column:
     gap = pick - rank
-    return F.when(gap >= 10, "surplus").when(gap <= -10, "reach").otherwise("fair")
+    return F.when(gap >= VALUE_GAP, SURPLUS).when(gap <= -VALUE_GAP, REACH).otherwise(FAIR)
 
 
-# Bounds and wording of the bands of trend, styles and documents below.
 def trend(current: Column, previous: Column) -> Column:
-    d = current - previous
-    return (
-        F.when(d >= 0.20, "clear upward development trend")
-        .when(d >= 0.08, "modest year-over-year improvement")
-        .when(d <= -0.20, "meaningful production drop from prior season")
-        .when(d <= -0.08, "slight production regression")
-        .when(d.isNotNull(), "stable production year over year")
-    )
+    change = current - previous
+    return F.coalesce(at_least(change, TREND_UP), at_most(change, TREND_DOWN), F.when(change.isNotNull(), TREND_STEADY))
 
 
 def prospect_style(position: Column, ppg: Column, goals: Column, assists: Column, tier: Column) -> Column:
     """Comma-separated tags by position, production, share of goals and league tier."""
-    rate, total = F.coalesce(ppg, F.lit(0.0)), goals + assists
-    share = F.try_divide(goals, total)
-    role = (
-        F.when(position == "G", "goaltending prospect")
-        .when((position == "D") & (rate >= 0.75), "offensive defenseman")
-        .when((position == "D") & (rate >= 0.45), "two-way defenseman")
-        .when(position == "D", "defensive defenseman")
-        .when(rate >= 1.30, "high-end scoring forward")
-        .when(rate >= 0.95, "top-six scoring forward")
-        .when(rate >= 0.65, "middle-six forward")
-        .otherwise("depth forward")
-    )
-    scoring = F.when(share >= 0.48, "goal-driven production").when(share <= 0.28, "playmaking / assist-heavy").when(share.isNotNull(), "balanced scorer")
-    level = F.when(tier == 1, "elite competition").when(tier == 2, "strong junior or college competition")
+    rate, share = F.coalesce(ppg, F.lit(0.0)), F.try_divide(goals, goals + assists)
+    skater = F.when(position == "D", at_least(rate, PROSPECT_DEFENSE, PROSPECT_DEFENSE_REST)).otherwise(at_least(rate, PROSPECT_FORWARD, PROSPECT_FORWARD_REST))
+    role = F.when(position == "G", PROSPECT_GOALIE).otherwise(skater)
+    scoring = F.coalesce(at_least(share, [PROSPECT_GOALS]), at_most(share, [PROSPECT_ASSISTS]), F.when(share.isNotNull(), PROSPECT_BALANCED))
+    level = F.coalesce(*[F.when(tier == k, name) for k, name in COMPETITION.items()])
     return F.array_join(F.array_compact(F.array(role, scoring, level)), ", ")
 
 
 def pro_style(position: Column, ppg: Column, goals: Column, assists: Column, plus_minus: Column) -> Column:
     """Tags of a professional by position, production, shares and plus-minus."""
-    total = goals + assists
+    total, is_d = goals + assists, position == "D"
     a, g = F.try_divide(assists, total), F.try_divide(goals, total)
-    is_d = position == "D"
-    role = (
-        F.when(is_d & (ppg >= 0.80), "elite offensive defenseman").when(is_d & (ppg >= 0.55), "offensive defenseman")
-        .when(is_d & (ppg >= 0.35), "two-way defenseman").when(is_d, "defensive defenseman")
-        .when(ppg >= 1.20, "elite scorer").when(ppg >= 0.85, "top-six scorer").when(ppg >= 0.55, "middle-six forward").otherwise("bottom-six forward")
-    )
-    kind = (
-        F.when(is_d & (a >= 0.70), "playmaking from the blue line").when(is_d & (a <= 0.35), "goal-scoring defenseman")
-        .when(is_d, F.lit(None)).when(g >= 0.48, "goal scorer").when(g <= 0.28, "pure playmaker").when(g.isNotNull(), "two-way producer")
-    )
-    pm = F.when(plus_minus >= 20, "positive possession driver").when(plus_minus <= -15, "negative differential player")
-    return F.when(position == "G", "NHL goaltender").otherwise(F.array_join(F.array_compact(F.array(role, kind, pm)), ", "))
+    role = F.when(is_d, at_least(ppg, PRO_DEFENSE, PRO_DEFENSE_REST)).otherwise(at_least(ppg, PRO_FORWARD, PRO_FORWARD_REST))
+    of_forward = F.coalesce(at_least(g, [PRO_GOALS]), at_most(g, [PRO_ASSISTS]), F.when(g.isNotNull(), PRO_BALANCED))
+    kind = F.when(is_d, F.coalesce(at_least(a, [PRO_DEFENSE_ASSISTS]), at_most(a, [PRO_DEFENSE_GOALS]))).otherwise(of_forward)
+    balance = F.coalesce(at_least(plus_minus, [PLUS]), at_most(plus_minus, [MINUS]))
+    return F.when(position == "G", PRO_GOALIE).otherwise(F.array_join(F.array_compact(F.array(role, kind, balance)), ", "))
 
 
 def pro_document(name: Column, position: Column, team: Column, nationality: Column, gp: Column, goals: Column, assists: Column, ppg: Column, plus_minus: Column, style: Column) -> Column:

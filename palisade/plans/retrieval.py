@@ -142,9 +142,9 @@ def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", "state")
 
 
-def _windows(spark: SparkSession, sf_dir: str, name: str, window, where: str = "true") -> DataFrame:
+def _windows(spark: SparkSession, sf_dir: str, name: str, window, keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
     events, end = streams.read_events(spark, f"{sf_dir}/events.parquet")
-    return streams.run_to_table(spark, streams.windowed(events.where(where), window), name, end)
+    return streams.run_to_table(spark, streams.windowed(events, window, keys), name, end)
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,8 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows(spark, sf_dir, "session", F.session_window("at", "30 minutes"), "event_type = 'error'")
+    """Sessions of every user: events less than half an hour apart."""
+    return _windows(spark, sf_dir, "session", F.session_window("at", "30 minutes"), ("user_id",))
 
 
 def stat_history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,8 +235,8 @@ SQL = {
     "stream_tumbling": f"SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 6 HOURS AS stop, {_W} FROM events GROUP BY 1, 2, event_type",
     "stream_sliding": f"""WITH w AS (SELECT time_bucket(INTERVAL 6 HOURS, ts) - INTERVAL (6 * k) HOURS AS start, * FROM events, (VALUES (0), (1)) v(k))
         SELECT start, start + INTERVAL 12 HOURS AS stop, {_W} FROM w GROUP BY 1, 2, event_type""",
-    "stream_session": f"""WITH e AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (ORDER BY ts) + INTERVAL 30 MINUTES OR lag(ts) OVER (ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events WHERE event_type = 'error'),
-        g AS (SELECT *, sum(fresh) OVER (ORDER BY ts) AS g FROM e) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS stop, {_W} FROM g GROUP BY g, event_type""",
+    "stream_session": """WITH e AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTES OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM e) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS stop, user_id, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY g, user_id""",
     "stat_history_upsert": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id, event_type, round(value, 6) AS value FROM r WHERE k = 1""",
     "game_log_totals": """SELECT user_id, count(*) AS games, round(sum(value), 4) AS total, CASE WHEN max(CAST(event_type = 'purchase' AS INT)) = 1 THEN 'playoff' ELSE 'regular' END AS season_type, max(event_type) AS last_type FROM events GROUP BY 1""",
 }

@@ -135,11 +135,11 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, end: Callabl
     return spark.read.schema(stream.schema).parquet(f"{path}/batch=*").where(F.col(at) < F.lit(END))
 
 
-def windowed(events: DataFrame, window: Column) -> DataFrame:
-    """window start and end, event_type, n, total of a watermarked stream or of a table."""
-    out = events.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+def windowed(events: DataFrame, window: Column, keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """window start and end, keys, n, total of a watermarked stream or of a table."""
+    out = events.groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     naive = lambda c: F.col(c).cast("timestamp_ntz")
-    return out.select(naive("w.start").alias("start"), naive("w.end").alias("stop"), "event_type", "n", "total")
+    return out.select(naive("w.start").alias("start"), naive("w.end").alias("stop"), *keys, "n", "total")
 
 
 def upsert_history(spark: SparkSession, stream: DataFrame, key: str, at: str, tie: str, folder: str | None = None, buckets: int = 16) -> tuple[DataFrame, DataFrame]:
