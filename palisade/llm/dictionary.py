@@ -27,6 +27,8 @@ BOUND, BOUND_BYTES = 500_000, 32 << 20
 BLOCK_RARE, BLOCK_WORDS, CHUNK = 60_000, 1_000_000, 128
 #: Distinct words of a bucket, about; a block asks for ``ASKED`` words of each bucket, up to ``MOST_RARE`` in all.
 BUCKET_WORDS, ASKED, MOST_RARE = 32_768, 192, 1_000_000
+#: Words that a task holds while it samples their hashes.
+SET_WORDS = 20_000
 #: Words of one row of the table, and their bytes unless it is one word.
 ROW_WORDS, ROW_BYTES = 16_384, 4 << 20
 _LEVELS = 4096
@@ -113,24 +115,23 @@ def distinct_words(texts: DataFrame, split: Callable[[bytes], list[bytes]], shar
     """About how many distinct words all ``texts`` (one binary column) have: those are counted whose hash is a multiple of ``share``."""
 
     def run(batches):
-        for batch in batches:
-            found: set[bytes] = set()
-            sampled: set[int] = set()
+        sampled: set[int] = set()
+        found: set[bytes] = set()
 
-            def settle(found=found, sampled=sampled):
-                sampled.update(h for h in map(zlib.crc32, found) if h % share == 0)
-                found.clear()
+        def settle():
+            sampled.update(h for h in map(zlib.crc32, found) if h % share == 0)
+            found.clear()
 
-            read = 0
+        for batch in batches:
             for x in batch.column(0):
-                raw = x.as_py()
-                found.update(split(raw))
-                read += len(raw)
-                if read > BOUND_BYTES:
+                found.update(split(x.as_py()))
+                if len(found) > SET_WORDS:  # a worker keeps what it once took, so the set stays small
                     settle()
-                    read = 0
-            settle()
-            yield pa.RecordBatch.from_arrays([pa.array(sampled, pa.int64())], names=["h"])
+            if len(sampled) > SET_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(sampled, pa.int64())], names=["h"])
+                sampled.clear()
+        settle()
+        yield pa.RecordBatch.from_arrays([pa.array(sampled, pa.int64())], names=["h"])
 
     return share * texts.mapInArrow(run, "h bigint").distinct().count()
 
