@@ -16,7 +16,7 @@ from .training import SLOT, _pairs, pool
 
 #: Growth of the trees, the most trees of a fold, trees without gain before it stops, and the least trees of the last fit after an early stop.
 HOW = {"learning_rate": 0.15, "max_depth": 4, "min_child_weight": 5.0}
-ROUNDS, PATIENCE, FLOOR = 24, 6, 12
+ROUNDS, PATIENCE, FLOOR = 14, 4, 8
 KEYS = ["year", "overall_pick", "id", "was_picked", "sample_weight"]
 
 _FITTED: dict = {}
@@ -157,9 +157,9 @@ def ranker_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.conformal_quantiles(scored, "slot", "was_picked", "score")
 
 
-#: What the query searches: few and small trees, three batches of trials, the last two years.
-TRIALS, BATCH, STARTUP, FOLDS = 9, 3, 6, 2
-SEARCHED = search.SPACE | {"n_estimators": search.Span(2, 8, whole=True), "max_depth": search.Span(2, 4, whole=True), "learning_rate": search.Span(0.05, 0.4, log=True)}
+#: What the query searches: few and small trees, two batches of trials, the last two years.
+TRIALS, BATCH, STARTUP, FOLDS = 8, 4, 4, 2
+SEARCHED = search.SPACE | {"n_estimators": search.Span(2, 6, whole=True), "max_depth": search.Span(2, 4, whole=True), "learning_rate": search.Span(0.05, 0.4, log=True)}
 
 
 def ranker_search(spark: SparkSession, sf_dir: str) -> DataFrame:
