@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import bucket
 
 
+#: Slots of equal rows are made this many at a time.
+RUN = 65_536
+
+
 def key_text(column: str) -> Column:
     """The stable key: the id as text, ``null`` for a null id."""
     return F.coalesce(F.col(column).cast("string"), F.lit("null"))
@@ -76,11 +80,13 @@ def shard_documents(df: DataFrame, shards: int = 16, rows_per_bucket: int = 256,
         "shard", "part",
         F.coalesce(F.expr("sum(n) OVER (PARTITION BY shard ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0)).alias("before"),
     )
-    ranked = rows.withColumn(
-        "rank",
-        F.expr("row_number() OVER (PARTITION BY shard, part ORDER BY place, doc_id NULLS LAST, text_crc32, size)") - 1,
+    # equal rows are counted before the shuffle and dealt out again, so that one row repeated many times fills no task
+    same = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    ranked = same.withColumn(
+        "first",
+        F.expr("coalesce(sum(n) OVER (PARTITION BY shard, part ORDER BY place, doc_id NULLS LAST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"),
     )
-    return ranked.join(before, ["shard", "part"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("before") + F.col("rank")).cast("long").alias("slot"), "grown_shard",
-    )
+    dealt = ranked.join(before, ["shard", "part"]).select(*same.columns, (F.col("before") + F.col("first")).alias("first"))
+    runs = dealt.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    slots = runs.withColumn("slot", F.explode(F.sequence(F.col("first") + F.col("start"), F.col("first") + F.least(F.col("n"), F.col("start") + RUN) - 1)))
+    return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -341,6 +341,15 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_equal_rows_are_counted_before_the_shuffle(spark):
+    row = F.lit("one text").alias("text")
+    df = spark.range(150_000).select(F.lit(7).alias("doc_id"), row).unionByName(spark.range(50).select(F.col("id").cast("int").alias("doc_id"), row))
+    got = sharding.shard_documents(df)
+    bounds = got.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.min("slot").alias("a"), F.max("slot").alias("z")).collect()
+    assert sum(r.n for r in bounds) == 150_050 and all((r.d, r.a, r.z) == (r.n, 0, r.n - 1) for r in bounds)
+    assert got.where("doc_id = 7").select("shard").distinct().count() == 1
+
+
 def test_jump_moves_only_to_the_new_shard(spark):
     ids = spark.range(4000)
     shards = ids.select(*[sharding.jump(F.col("id").cast("string"), n).alias(f"s{n}") for n in (1, 2, 7, 8, 100, 101)]).collect()
