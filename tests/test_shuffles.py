@@ -1,7 +1,11 @@
 """How many rows steps shuffle, by Spark's own count, and odd inputs of the steps that were rebuilt to shuffle less."""
 
-from palisade.operators import profiles
+import random
+
+import numpy as np
+from palisade.operators import features, profiles, training
 from palisade.plans import profiles as plans_of_profiles
+from palisade.plans import training as plans_of_training
 from palisade.sources import star
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +55,29 @@ def test_rules_need_one_reading_of_the_lines(spark):
     one = shuffled_rows(spark, lambda: profiles.profile_sums(star.line_picks(spark, SF)))
     lines = star.table(spark, SF, "lineitem").count()
     assert shuffled_rows(spark, lambda: plans_of_profiles.archetype_rules(spark, SF).collect()) < one + lines
+
+
+def test_training_rows_are_not_shuffled(spark):
+    made = []
+    n = shuffled_rows(spark, lambda: made.append(plans_of_training.QUERIES["training_set"](spark, SF)))
+    assert n < made[0].count()
+    made.clear()
+    n = shuffled_rows(spark, lambda: made.append(features.stratified_negatives(star.order_picks(spark, SF), ["year"]).count()))
+    assert n < made[0]
+
+
+def test_candidates_across_blocks(spark):
+    rng = random.Random(5)
+    rows = [(1, i + 1, rng.choice(["a", "b", "c", None]), rng.randrange(40) / 40, 7 * i) for i in range(4300)] + [(2, i + 1, "a", 0.5, i) for i in range(9)]
+    picks = spark.createDataFrame(rows, "year int, overall_pick int, position string, quality double, id bigint")
+    board = picks.join(features.draws(picks, ["year"], 12, quality="quality"), ["year", "overall_pick"], "left")
+    got = training._candidates(board, ["year"], ["overall_pick"], ["position", "quality", "id"], 31, 12).collect()
+    at = {(y, p): (position, quality, i) for y, p, position, quality, i in rows}
+    want = {(r.year, r.overall_pick, r.negative, r.stratum) for r in features.stratified_negatives(picks, ["year"]).collect()} | {(y, p, p, "picked") for y, p in at}
+    want = {k for k in want if at[k[0], k[2]][0] is not None}
+    assert {(r.year, r.overall_pick, r.candidate, r.stratum) for r in got} == want and len(got) == len(want)
+    pick, quality = np.array([r[1] for r in rows if r[0] == 1]), np.array([r[3] for r in rows if r[0] == 1])
+    position = np.array([r[2] or "" for r in rows if r[0] == 1])
+    for r in rng.sample([r for r in got if r.year == 1], 3000):
+        assert at[1, r.candidate] == (r.position, r.quality, r.id)
+        assert r.better == ((position == r.position) & (pick >= r.overall_pick) & (quality > r.quality)).sum()
