@@ -16,6 +16,8 @@ from ..sources.shared import scratch, written
 
 #: Queries of one broadcast block, vectors multiplied at once, rows of a list and queries of a list that one task holds.
 BLOCK, TILE, PART_ROWS, PART_QUERIES = 4096, 1024, 32_768, 4096
+#: Scores of a matrix product that the exact search holds at once.
+TILE_SCORES = 1 << 20
 #: Vectors that centroids are fitted on at most for each list, and lists at most: 4,096 lists of 1,024 numbers take 32 MB.
 SAMPLE_PER_LIST, MOST_LISTS = 64, 4096
 
@@ -45,9 +47,14 @@ class Best:
         self.q, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores`` (queries x vectors)."""
-        scores = np.round(scores, 6) + 0.0
-        rows, columns = np.nonzero(scores >= self.least[:, None])
+        """``scores`` (queries x vectors), from which at most the k best of each query and their equals are taken on (and its own, which is none)."""
+        scores = np.round(scores, 6)
+        scores += 0.0
+        wanted = scores >= self.least[:, None]
+        if scores.shape[1] > self.k + 1 and np.count_nonzero(wanted) > 4 * (self.k + 1) * len(scores):
+            last = np.partition(np.where(wanted, scores, -np.inf), -(self.k + 1), axis=1)[:, -(self.k + 1)]
+            wanted &= scores >= last[:, None]
+        rows, columns = np.nonzero(wanted)
         other = self.query_ids[rows] != ids[columns]
         rows, columns = rows[other], columns[other]
         self.q, self.ids, self.scores = np.r_[self.q, rows], np.r_[self.ids, ids[columns]], np.r_[self.scores, scores[rows, columns]]
@@ -83,10 +90,11 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "v
     blocks = max(1, -(-n // BLOCK))
     q = written(q.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))), "vector-queries")
     v = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    kind = np.float32 if q.schema["v"].dataType.simpleString() == "array<float>" else np.float64  # sent as they are, as a worker keeps what it was sent
     out = None
     for i in range(blocks):
         part = q.where(F.col("b") == i).select("id", "v").toArrow()
-        shared = spark.sparkContext.broadcast((part.column("id").to_numpy(), unit(matrix_of(part.column("v")))))
+        shared = spark.sparkContext.broadcast((part.column("id").to_numpy(), matrix_of(part.column("v")).astype(kind)))
         found = v.mapInArrow(lambda batches, s=shared: _scan(batches, s, k), _FOUND)
         out = found if out is None else out.unionByName(found)
     return _top(out, k)
@@ -94,10 +102,12 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "v
 
 def _scan(batches, shared, k):
     ids, q = shared.value
+    q = unit(q.astype(np.float64))
     best = Best(ids, k)
+    tile = max(1, min(TILE, TILE_SCORES // max(1, len(ids))))
     for batch in batches:
-        for i in range(0, batch.num_rows, TILE):
-            part = batch.slice(i, TILE)
+        for i in range(0, batch.num_rows, tile):
+            part = batch.slice(i, tile)
             if len(ids):
                 best.add(q @ unit(matrix_of(part.column("v"))).T, part.column("id").to_numpy())
     yield pa.RecordBatch.from_arrays([pa.array(ids[best.q], pa.int64()), pa.array(best.ids, pa.int64()), pa.array(best.scores)], names=["query_id", "id", "score"])
