@@ -48,11 +48,14 @@ def fill_missing(rows: DataFrame, seasons: DataFrame, key: str, year: str, value
     return filled.unionByName(rows.where(F.col(value).isNotNull() | F.col(key).isNull()))
 
 
-def insert_missing(existing: DataFrame, incoming: DataFrame, branches: list[Callable[[DataFrame, DataFrame], Column]]) -> DataFrame:
-    """``existing`` and the distinct incoming rows that match none of it, by any branch of the condition: one anti join for each."""
+def insert_missing(existing: DataFrame, incoming: DataFrame, branches: list[tuple[list[str], Callable[[DataFrame, DataFrame], Column]]]) -> DataFrame:
+    """``existing`` and the distinct incoming rows that match none of it, by any branch: (columns of ``existing`` that it reads, its condition).
+
+    One anti join for each, against the different values of those columns, so a row is held against a value once however many rows have it.
+    """
     new = incoming.distinct()
-    for match in branches:
-        e = existing.alias("e")
+    for columns, match in branches:
+        e = existing.select(*columns).distinct().alias("e")
         new = new.alias("n").join(e, match(e, new), "left_anti")
     return existing.unionByName(new.select(*existing.columns))
 

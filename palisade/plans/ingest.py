@@ -111,7 +111,7 @@ def draft_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming = c.select(F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey")).alias("ext_id"), name.alias("name"), F.lit(None).cast("int").alias("class_id"))
     by_id = lambda e, n: F.col("n.ext_id") == F.col("e.ext_id")
     by_name = lambda e, n: F.col("n.ext_id").isNull() & (F.col("n.name") == F.col("e.name"))
-    rows = ingest.insert_missing(existing, incoming, [by_id, by_name])
+    rows = ingest.insert_missing(existing, incoming, [(["ext_id"], by_id), (["name"], by_name)])
     classes = c.select(name.alias("name")).distinct().withColumn("class_id", (F.substring("name", 2, 9).cast("int") % 5))
     out = ingest.set_where_null(rows, classes, ["name"], "class_id")
     return out.groupBy("name", "class_id").agg(F.count("*").alias("n"), F.count("ext_id").alias("n_ids"))
