@@ -48,9 +48,11 @@ class TextIndex:
         lone = new.join(repeated, again, "left_anti").select("doc_id", "t", F.lit(0).alias("before"))
         rows = lone.unionByName(new.join(repeated, again, "left_semi").withColumn("before", before).select("doc_id", "t", "before"))
         lengths = written(rows.groupBy("doc_id").agg(F.sum(F.size("t")).cast("int").alias("length")), "index-lengths")
-        each = rows.select("doc_id", F.posexplode("t").alias("p", "term"), "before").select("doc_id", "term", (F.col("p") + F.col("before")).alias("p"))
-        postings = each.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("p")).alias("positions"))  # bounded by a document's length
-        postings = postings.join(lengths, postings["doc_id"].eqNullSafe(lengths["doc_id"])).select("term", postings["doc_id"], F.size("positions").alias("tf"), "length", "positions")
+        # documents are shuffled whole and taken apart into words behind that, so no word is
+        whole = rows.join(lengths.withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of"))).select("doc_id", "t", "before", "length").repartition("doc_id")
+        each = whole.select("doc_id", "length", F.posexplode("t").alias("p", "term"), "before").select("doc_id", "length", "term", (F.col("p") + F.col("before")).alias("p"))
+        postings = each.groupBy("term", "doc_id", "length").agg(F.sort_array(F.collect_list("p")).alias("positions"))  # bounded by a document's length
+        postings = postings.select("term", "doc_id", F.size("positions").alias("tf"), "length", "positions")
         postings = written(postings, "index-postings")
         path, of_docs = scratch(self.spark, "index-segment"), scratch(self.spark, "index-documents")
         files = max(1, -(-postings.count() // FILE_ROWS))

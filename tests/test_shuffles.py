@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
-from palisade.operators import features, profiles, training
+from palisade.operators import features, profiles, text_index, training
 from palisade.plans import profiles as plans_of_profiles
 from palisade.plans import training as plans_of_training
 from palisade.sources import star
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +82,10 @@ def test_candidates_across_blocks(spark):
     for r in rng.sample([r for r in got if r.year == 1], 3000):
         assert at[1, r.candidate] == (r.position, r.quality, r.id)
         assert r.better == ((position == r.position) & (pick >= r.overall_pick) & (quality > r.quality)).sum()
+
+
+def test_postings_are_shuffled_once(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda x: F.concat(F.lit("w"), (x * F.col("id") % 997).cast("string")))).alias("text"))
+    made = []
+    n = shuffled_rows(spark, lambda: made.append(text_index.build(docs)))
+    assert n <= made[0].postings().count() + 10 * 200
