@@ -70,3 +70,27 @@ def test_empty_streams(spark, tmp_path):
         assert keyed.breaker_stream(stream, "k", "i").count() == 0
     except Exception as error:
         pytest.fail(str(error)[:500])
+
+
+def test_breaker_asks_the_store_once_for_calls_that_change_nothing():
+    asked = []
+
+    class Store:
+        """A handle and its one value; each call is a message to the store."""
+
+        held = None
+        getValueState = lambda self, *_: self
+        get = lambda self: asked.append("get") or self.held
+        clear = lambda self: asked.append("clear")
+        registerTimer = lambda self, at: asked.append("timer")
+
+        def update(self, value):
+            asked.append("update")
+            self.held = value
+
+    breaker = keyed.Breaker("k", "i", 30, 2, 40)
+    breaker.init(Store())
+    run = lambda *calls: [r.state for r in breaker.handleInputRows((1,), iter([{"us": s * 1_000_000, "i": s, "failed": f} for s, f in calls]), None)]
+    assert run((1, False), (2, False)) == ["passed", "passed"] and asked == ["get"]
+    assert run((3, True), (4, True), (5, False)) == ["failed", "opened", "refused"] and asked == ["get", "get", "timer", "update"]
+    assert run((6, True)) == ["refused"] and asked[4:] == ["get"]
