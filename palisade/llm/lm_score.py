@@ -4,7 +4,7 @@ The counts of all words and word pairs of the training texts are quantised to po
 two: an n-gram with count c enters the filter once for each level 1 .. 1 + floor(log2 c).
 Asking for level after level until one is missing gives the quantised count back, never
 too low. The filter is dealt in segments by a hash of the n-gram, which tasks fill. A filter of up to
-``BROADCAST_BYTES`` is broadcast to the workers; of a larger one every segment stays where it is and
+``BROADCAST_BYTES`` is sent to the executors as a file, which their workers map; of a larger one every segment stays where it is and
 the n-grams of blocks of documents are sent to it, with equal scores. P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu) with
 P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). Exact word counts for the base score come from a table of
 distinct words.
@@ -12,8 +12,15 @@ distinct words.
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +35,8 @@ BITS_PER_TOKEN, PROBES = 5, 3
 SEGMENT_TOKENS, BROADCAST_BYTES, LEVELS = 500_000, 128_000_000, 48
 #: Bits a training token of a small corpus at most, and bytes that a filter takes while more than ``BITS_PER_TOKEN`` fit in them.
 MOST_BITS, FILL_BYTES = 64, 64_000_000
+#: Words of which a worker keeps hash and level.
+KEPT_WORDS = 50_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -52,6 +61,33 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
+class Words:
+    """Hashes of words, and with ``levels`` what it gives for them: worked out once for the first ``KEPT_WORDS`` different ones, most of a text."""
+
+    def __init__(self, levels=None):
+        self.levels, self.index = levels, {}
+        self.hashes, self.ones = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
+        """Hash and level of each word."""
+        at, n = list(map(self.index.get, words)), len(self.hashes)
+        hashes, ones = self.hashes, self.ones
+        if None in at:
+            fresh: dict[bytes, int] = {}
+            for k, i in enumerate(at):
+                if i is None:
+                    at[k] = n + fresh.setdefault(words[k], len(fresh))
+            new = word_hashes(list(fresh))
+            hashes = np.concatenate([hashes, new])
+            if self.levels:
+                ones = np.concatenate([ones, self.levels(_mixed(new + _A))])
+            if n + len(fresh) <= KEPT_WORDS:
+                self.index.update(zip(fresh, range(n, len(hashes))))
+                self.hashes, self.ones = hashes, ones
+        places = np.array(at, np.int64)
+        return hashes[places], ones[places] if self.levels else None
+
+
 def n_grams(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and of the pairs of a stream of texts; before the first stands an end."""
     before = np.concatenate([word_hashes([END]), stream[:-1]])
@@ -89,7 +125,7 @@ def train_filter(texts: DataFrame, segments: Segments) -> DataFrame:
     bound = 4_000_000
 
     def gather(batches):
-        seen, held = [], 0
+        seen, held, known = [], 0, Words()
 
         def rows():
             hashes, counts = np.unique(np.concatenate(seen), return_counts=True)
@@ -106,7 +142,7 @@ def train_filter(texts: DataFrame, segments: Segments) -> DataFrame:
             texts = batch.column(0)
             for i in range(0, len(texts), CHUNK):  # the words of a whole batch would be millions of objects
                 stream = [t for x in texts.slice(i, CHUNK) for t in tokens(x.as_py())]
-                seen += n_grams(word_hashes(stream))
+                seen += n_grams(known(stream)[0])
                 held += 2 * len(stream)
                 if held > bound:
                     yield rows()
@@ -158,17 +194,29 @@ def probe_levels(bits: np.ndarray, hashes: np.ndarray, at: np.ndarray, segments:
 
 
 class Filter:
-    """The whole filter as one broadcast; answers quantised counts."""
+    """The whole filter as a file of each executor; answers quantised counts.
+
+    The driver writes it segment by segment and never holds it, and the workers of an executor share its pages.
+    """
 
     def __init__(self, table: DataFrame, segments: Segments):
-        self.segments = segments
-        bits = np.zeros((segments.n, segments.bits // 8), np.uint8)
-        for row in table.collect():  # at most BROADCAST_BYTES, as its user sees to
-            bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-        self.shared = table.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+        self.segments, self.name = segments, f"lm-filter-{uuid.uuid4().hex}"
+        folder = tempfile.mkdtemp(prefix="palisade-")  # executors that come later read it too
+        atexit.register(shutil.rmtree, folder, True)
+        with open(os.path.join(folder, self.name), "wb") as out:
+            out.truncate(segments.n * segments.bits // 8)  # at most BROADCAST_BYTES, as its user sees to
+            for row in table.toLocalIterator():
+                out.seek(row["segment"] * (segments.bits // 8))
+                out.write(row["bits"])
+        table.sparkSession.sparkContext.addFile(out.name)
+
+    def asker(self):
+        """A function of hashes, for one task."""
+        bits, segments = np.memmap(SparkFiles.get(self.name), np.uint8, "r"), self.segments
+        return lambda hashes: probe_levels(bits, hashes, segments.of(hashes) * segments.bits, segments)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        return probe_levels(self.shared.value, hashes, self.segments.of(hashes) * self.segments.bits, self.segments)
+        return self.asker()(hashes)
 
 
 def log_probabilities(ones: np.ndarray, pairs: np.ndarray, end: int, starts: np.ndarray, mu: float, base: float) -> np.ndarray:
@@ -206,18 +254,21 @@ def score_texts(
     mark = len(END) + 8  # an n-gram is asked for as END and its hash: no word, and no other key, has an END and more
 
     def prepare():
+        known = Words(model.asker()) if sent else None
+        end = known.levels(_mixed(word_hashes([END]) + _A))[0] if sent else 0
+
         def split(texts, questions):
             lists = [tokens(x) for x in texts]
             if sent and questions:
                 return lists, [0.0] * len(texts)
             lengths = list(map(len, lists))
-            ones, pairs = n_grams(word_hashes([t for x in lists for t in x]))
             starts = np.cumsum([0, *lengths])[:-1]
+            stream = [t for x in lists for t in x]
             if sent:
-                distinct, back = np.unique(ones, return_inverse=True)
-                end = model.levels(_mixed(word_hashes([END]) + _A))[0]
-                logs = log_probabilities(model.levels(distinct)[back], model.levels(pairs), end, starts, mu, base)
+                hashes, levels = known(stream)
+                logs = log_probabilities(levels, known.levels(n_grams(hashes)[1]), end, starts, mu, base)
                 return lists, np.add.reduceat(logs, starts).tolist() if lists else []
+            ones, pairs = n_grams(word_hashes(stream))
             raw = [END + ones[i].tobytes() for i in range(len(ones))], [END + pairs[i].tobytes() for i in range(len(pairs))]
             return [x + raw[0][s : s + k] + raw[1][s : s + k] for x, s, k in zip(lists, starts.tolist(), lengths, strict=True)], [0.0] * len(texts)
 
