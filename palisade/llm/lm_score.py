@@ -117,7 +117,8 @@ class Segments:
 
     def places(self, hashes: np.ndarray, level: int, probe: int) -> np.ndarray:
         salt = np.uint64((level * PROBES + probe + 1) * 0x9E3779B97F4A7C15 % 2**64)
-        return (_mixed(hashes ^ salt) % np.uint64(self.bits)).astype(np.int64)
+        mixed = _mixed(hashes ^ salt)
+        return (mixed - mixed // np.uint64(self.bits) * np.uint64(self.bits)).astype(np.int64)  # the remainder; numpy divides by one number faster than it takes %
 
 
 def train_filter(texts: DataFrame, segments: Segments) -> DataFrame:
