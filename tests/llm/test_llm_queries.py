@@ -107,3 +107,24 @@ def test_the_mix_holds_each_row_as_often_as_it_is_taken(spark):
     assert Counter(r.doc_id for r in rows) == Counter({i: k for i, k in copies.items() if k})
     whole = {r.doc_id: r for r in docs.collect()}
     assert all(r == whole[r.doc_id] for r in rows)
+
+
+@pytest.mark.parametrize(("own", "kept"), [("67108864b", 2 << 20), ("1m", 1 << 20)])
+def test_the_pipeline_hands_texts_to_python_in_small_batches(spark, own, kept):
+    """A batch of a whole split, held several times a task, took an executor beyond its memory."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    long = spark.range(3000).repartition(1).select("id", F.repeat(F.lit("x"), 4000).alias("text"))
+    try:
+        spark.conf.set(key, own)
+        corpus_pipeline.STAGES[-1][1](spark, documents(spark, SF), SF)
+        got = long.mapInArrow(sizes, "n long, size long").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(r.n for r in got) == 3000 and max(r.size for r in got) < kept + 100_000
