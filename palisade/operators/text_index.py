@@ -9,6 +9,9 @@ from __future__ import annotations
 import dataclasses
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,40 @@ from .retrieval import tokens
 
 #: Postings of a file, about; segments after which ``compact`` is due.
 FILE_ROWS, MANY_SEGMENTS = 2_000_000, 8
+#: Documents that a task takes apart at once.
+TAKEN = 256
 _POSTING = "term string, doc_id {id}, tf int, length int, positions array<int>"
 
 
+def _take_apart(batches):
+    """Postings of documents (doc_id, words) in order of term within a few documents, and a row without term for each, with its length."""
+    names = ["term", "doc_id", "tf", "length", "positions"]
+    for batch in batches:
+        for start in range(0, batch.num_rows, TAKEN):
+            part = batch.slice(start, TAKEN)
+            ids, lists = part.column(0), part.column(1)
+            sizes = pc.list_value_length(lists)
+            none = pa.nulls(part.num_rows, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.string()), ids, pa.nulls(part.num_rows, pa.int32()), sizes, none], names=names)
+            words = lists.flatten().dictionary_encode()
+            if not len(words):
+                continue
+            n = sizes.fill_null(0).to_numpy().astype(np.int64)
+            doc = np.repeat(np.arange(len(n)), n)
+            place = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            key = words.indices.to_numpy().astype(np.int64) * len(n) + doc
+            order = np.argsort(key, kind="stable")  # of equal keys the places stay in order
+            key = key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            offsets = pa.array(np.r_[first, len(key)].astype(np.int32))
+            of = pa.array(key[first] % len(n))
+            columns = [
+                words.dictionary.take(pa.array(key[first] // len(n))), ids.take(of), pa.array(np.diff(np.r_[first, len(key)]).astype(np.int32)), sizes.take(of),
+                pa.ListArray.from_arrays(offsets, pa.array(place[order])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
 @dataclasses.dataclass(frozen=True)
 class TextIndex:
     """Segments (path of postings, path of their documents' lengths), and (segments that were there, path of ids removed from them)."""
@@ -40,24 +74,22 @@ class TextIndex:
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> TextIndex:
         """Indexes documents; those whose ids the index has are replaced. A null text has no terms and no length; ids that repeat within ``docs`` are one
         document whose texts follow each other in order of their hash."""
-        new = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"), F.xxhash64(text).alias("h"))
-        new = written(new, "index-tokens")
-        before = F.coalesce(F.expr("sum(size(t)) over (partition by doc_id order by h, t rows between unbounded preceding and 1 preceding)"), F.lit(0)).cast("int")
-        repeated = new.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
-        again = F.col("doc_id").eqNullSafe(F.col("_again"))
-        lone = new.join(repeated, again, "left_anti").select("doc_id", "t", F.lit(0).alias("before"))
-        rows = lone.unionByName(new.join(repeated, again, "left_semi").withColumn("before", before).select("doc_id", "t", "before"))
-        lengths = written(rows.groupBy("doc_id").agg(F.sum(F.size("t")).cast("int").alias("length")), "index-lengths")
-        # documents are shuffled whole and taken apart into words behind that, so no word is
-        whole = rows.join(lengths.withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of"))).select("doc_id", "t", "before", "length").repartition("doc_id")
-        each = whole.select("doc_id", "length", F.posexplode("t").alias("p", "term"), "before").select("doc_id", "length", "term", (F.col("p") + F.col("before")).alias("p"))
-        postings = each.groupBy("term", "doc_id", "length").agg(F.sort_array(F.collect_list("p")).alias("positions"))  # bounded by a document's length
-        postings = postings.select("term", "doc_id", F.size("positions").alias("tf"), "length", "positions")
-        postings = written(postings, "index-postings")
+        new = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        repeated = written(new.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "index-repeated")
+        rows = new.select("doc_id", tokens(F.col("text")).alias("t"))
+        if not repeated.isEmpty():  # else no text is shuffled
+            again = F.col("doc_id").eqNullSafe(F.col("_again"))
+            parts = F.expr("array_sort(filter(collect_list(struct(h, t)), x -> x.t is not null))")
+            joined = new.join(repeated, again, "left_semi").select("doc_id", F.xxhash64("text").alias("h"), tokens(F.col("text")).alias("t")).groupBy("doc_id").agg(parts.alias("p"))
+            rows = rows.join(repeated, again, "left_anti").unionByName(joined.select("doc_id", F.expr("if(size(p) > 0, flatten(transform(p, x -> x.t)), null)").alias("t")))
+        # a document's postings are made where it lies, with a row without term for its length
+        made = written(rows.mapInArrow(_take_apart, _POSTING.format(id=self.id_type)), "index-postings")
+        postings = made.where("term IS NOT NULL")
         path, of_docs = scratch(self.spark, "index-segment"), scratch(self.spark, "index-documents")
         files = max(1, -(-postings.count() // FILE_ROWS))
         postings.repartitionByRange(files, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(path)
-        lengths.write.parquet(of_docs)
+        made.where("term IS NULL").select("doc_id", "length").write.parquet(of_docs)
+        lengths = self.spark.read.schema(f"doc_id {self.id_type}, length int").parquet(of_docs)
         known = self.remove(lengths) if self.segments else self
         return dataclasses.replace(known, segments=(*self.segments, (path, of_docs)))
 

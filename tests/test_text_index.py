@@ -91,3 +91,21 @@ def test_repeated_ids_and_no_documents(spark):
     assert got[("one", 1)] == (2, 5) and got[("three", 1)] == (1, 5) and got[("four", None)] == (1, 3) and found.documents().count() == 2
     none = text_index.build(docs.where("false"))
     assert none.rank(["one"], 3).collect() == [] and none.phrase(["one", "two"]).collect() == [] and none.bm25(["one"], 3).collect() == []
+
+
+def test_texts_are_not_shuffled(spark):
+    from test_shuffles import shuffled_rows
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(80)), lambda x: F.concat(F.lit("w"), (x * F.col("id") % 97).cast("string")))).alias("text"))
+    made = []
+    n = shuffled_rows(spark, lambda: made.append(text_index.build(docs)))
+    assert n <= made[0].postings().count() + 300 + 30  # postings once, and an id of each document
+
+
+def test_rows_of_equal_and_missing_ids(spark):
+    rows = [(1, "b a"), (1, "a"), (1, None), (None, "c a"), (None, None), (2, None), (3, ""), (4, "a b a")]
+    index = text_index.build(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert {(r.doc_id, r.length) for r in index.documents().collect()} == {(1, 3), (None, 2), (2, None), (3, 0), (4, 3)}
+    found = {(r.doc_id, r.term): (r.tf, r.length, list(r.positions)) for r in index.postings().collect()}
+    assert found[4, "a"] == (2, 3, [0, 2]) and found[None, "c"] == (1, 2, [0]) and len(found) == 6
+    assert {tuple(found[1, "a"][2] + found[1, "b"][2])} <= {(0, 2, 1), (1, 2, 0)}
