@@ -32,7 +32,7 @@ END = b"\n"
 #: Bits of filter per training token (most tokens start a pair that is new), and membership bits per level.
 BITS_PER_TOKEN, PROBES = 5, 3
 #: Training tokens per segment, bytes of the filter up to which it is broadcast, levels at most.
-SEGMENT_TOKENS, BROADCAST_BYTES, LEVELS = 500_000, 128_000_000, 48
+SEGMENT_TOKENS, BROADCAST_BYTES, LEVELS = 500_000, 1_024_000_000, 48
 #: Bits a training token of a small corpus at most, and bytes that a filter takes while more than ``BITS_PER_TOKEN`` fit in them.
 MOST_BITS, FILL_BYTES = 64, 64_000_000
 #: Words of which a worker keeps hash and level.

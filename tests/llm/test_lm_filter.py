@@ -32,3 +32,10 @@ def test_kept_words(monkeypatch):
         assert (hashes == want).all() and (levels == (lm_score._mixed(want + lm_score._A) % np.uint64(7)).astype(np.int64)).all()
     assert asked == [30, 20, 20, 30]  # nothing for words that are kept
     assert words([])[0].tolist() == []
+
+
+def test_filter_of_a_larger_corpus_is_sent():
+    from palisade.llm import lm_score
+
+    six_gb = lm_score.Segments(1_230_000_000)  # training tokens of about 6 GB of documents
+    assert six_gb.n * six_gb.bits // 8 <= lm_score.BROADCAST_BYTES  # else its n-grams are shuffled
